@@ -9,8 +9,10 @@ more than E empty parts: of two linked sets with at most E, one common part has
 content. Tiles link their members to the smallest one; those pairs are checked
 by bitmaps, whose bit counts bound the overlap from above, and then by
 intersection of the sorted arrays. Members of a tile that end in different
-components are then paired in blocks, again bitmap first, so that no link is
-lost. Components come from label propagation with pointer jumping over written
+components then meet in blocks, again bitmap first, so that no link is lost: a
+task names spanning forests of the pairs that pass, one at first and four times
+as many each round, until no pair between components is left unnamed; pairs
+within a component are never named. Components come from label propagation with pointer jumping over written
 tables.
 
 Null, empty and white-space texts have the empty set and link with nothing. A
@@ -213,10 +215,17 @@ def join(df: DataFrame, spec: Spec | None = None, id_col: str = "doc_id", text_c
     found = stash(features(df.select(id_col, text_col).join(wanted, id_col), spec, text_col), "join-features")
     edges = stash(verified(pairs, found, spec), "join-edges")
     labels = components(edges)
-    rest = cross_pairs(tiles, pairs, labels, found, spec)
-    if rest is not None:
-        more = stash(verified(rest, found, spec), "join-edges")
-        labels = components(edges.union(more))
+    opened = open_tiles(tiles, labels)
+    tested, forests, rest = pairs, 1, True
+    while rest:
+        named = stash(cross_pairs(opened, labels, found, spec, forests), "join-cross")
+        rest = named.where("a = b").limit(1).count() > 0
+        fresh = stash(named.where("a != b").distinct().join(tested, ["a", "b"], "left_anti"), "join-pairs")
+        if fresh.limit(1).count():
+            tested = tested.union(fresh)
+            edges = edges.union(stash(verified(fresh, found, spec), "join-edges"))
+            labels = components(edges)
+        forests *= 4
     grouped = nodes.join(labels, "set", "left").select("set", "_rep", F.coalesce("comp", "set").alias("comp"))
     smallest = grouped.groupBy("comp").agg(F.min("_rep").alias("component"))
     classes = grouped.join(smallest, "comp").select("set", "component")
@@ -224,52 +233,69 @@ def join(df: DataFrame, spec: Spec | None = None, id_col: str = "doc_id", text_c
     return out.select(id_col, "n_shingles", F.coalesce("component", F.col(id_col)).alias("component_id"), "set")
 
 
-def cross_pairs(tiles: DataFrame, pairs: DataFrame, labels: DataFrame, found: DataFrame, spec: Spec) -> DataFrame | None:
-    """Untested pairs of tile members in different components that the bitmaps let through; None if there are none.
+def open_tiles(tiles: DataFrame, labels: DataFrame) -> DataFrame:
+    """(tile, set, n): members of tiles that hold several components and more than two sets; one tile of those with the same members."""
+    comp = F.coalesce("comp", "set")
+    labelled = tiles.join(labels, "set", "left").select("tile", "set", comp.alias("comp"))
+    who = F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("who")
+    several = labelled.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), who).where("lo != hi AND n > 2")
+    chosen = several.groupBy("who", "n").agg(F.min("tile").alias("tile"))
+    return stash(tiles.select("tile", "set").join(chosen.select("tile", "n"), "tile"), "join-open")
+
+
+def cross_pairs(opened: DataFrame, labels: DataFrame, found: DataFrame, spec: Spec, forests: int) -> DataFrame:
+    """Pairs (a, b) of tile members in different components that the bitmaps let through.
 
     A tile's members are cut into blocks; every two blocks of a tile meet in one
-    task, whose output is only the pairs whose bound reaches the threshold.
+    task, which names at most ``forests`` spanning forests over components, and
+    a pair of a set with itself if that leaves some out.
     """
-    comp = F.coalesce("comp", "set")
-    labelled = tiles.join(labels, "set", "left").select("tile", "set", "least", comp.alias("comp"))
-    per_tile = labelled.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo != hi AND n > 2")
-    open_tiles = labelled.join(per_tile.select("tile", "n"), "tile")
-    # tiles with the same members ask the same questions: keep one of them
-    same = open_tiles.groupBy("tile").agg(F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("who"), F.first("n").alias("n")).groupBy("who", "n").agg(F.min("tile").alias("tile"))
-    rows = stash(open_tiles.join(same.select("tile"), "tile"), "join-open")
-    if not rows.limit(1).count():
-        return None
     blocks = F.ceil(F.col("n") / F.lit(spec.block)).cast("int")
-    mine = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
-    blocked = rows.withColumn("blocks", blocks).withColumn("mine", mine)
+    mine = F.pmod(F.xxhash64("set"), blocks).cast("int")
+    labelled = opened.join(labels, "set", "left").select("tile", "set", F.coalesce("comp", "set").alias("comp"), blocks.alias("blocks"), mine.alias("mine"))
     meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("x"), F.greatest("mine", o).alias("y"))))
-    placed = blocked.select("tile", "set", "least", "comp", "mine", meet.alias("m")).select("tile", "set", "least", "comp", "mine", "m.x", "m.y")
+    placed = labelled.select("tile", "set", "comp", "mine", meet.alias("m")).select("tile", "set", "comp", "mine", "m.x", "m.y")
     bits = found.select("set", "bitmap", (F.octet_length("items") / 8).cast("int").alias("size"))
-    ready = placed.join(bits, "set").select("tile", "x", "y", "set", "least", "comp", "mine", "bitmap", "size")
+    ready = placed.join(bits, "set").select("tile", "x", "y", "set", "comp", "mine", "bitmap", "size")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        s, least, comp_, mine_ = (table.column(c).to_numpy() for c in ("set", "least", "comp", "mine"))
+        s, mine_ = table.column("set").to_numpy(), table.column("mine").to_numpy()
+        label = np.unique(table.column("comp").to_numpy(), return_inverse=True)[1]
+        size = table.column("size").to_numpy().astype(np.int64)
         maps = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bitmap")]
-        size = table.column("size").to_numpy()
-        x, y = key[1].as_py(), key[2].as_py()
         width = min(map(len, maps))
         folded = np.stack([_fold(m, width) for m in maps])
+        allowed = label[:, None] != label[None, :]
+        if key[1].as_py() != key[2].as_py():
+            allowed &= mine_[:, None] != mine_[None, :]
+        allowed = np.triu(allowed, 1)
+        for i in np.flatnonzero(allowed.any(1)).tolist():
+            j = np.flatnonzero(allowed[i])
+            bound = np.minimum(size[i] - np.bitwise_count(folded[i] & ~folded[j]).sum(1, dtype=np.int64), size[j] - np.bitwise_count(folded[j] & ~folded[i]).sum(1, dtype=np.int64))
+            allowed[i, j] = spec.den * bound >= spec.num * (size[i] + size[j] - bound)
         a, b = [], []
-        for i in range(len(s)):
-            other = (comp_ != comp_[i]) & (s > s[i]) & (s[i] != least[i])
-            other &= (mine_ != mine_[i]) if x != y else True
-            j = np.flatnonzero(other)
-            if len(j):
-                bound = np.minimum(size[i] - np.bitwise_count(folded[i] & ~folded[j]).sum(1, dtype=np.int64), size[j] - np.bitwise_count(folded[j] & ~folded[i]).sum(1, dtype=np.int64))
-                j = j[spec.den * bound >= spec.num * (size[i] + size[j] - bound)]
-                a.append(np.full(len(j), s[i]))
-                b.append(s[j])
+        for _ in range(forests):
+            own = label.copy()
+            some = np.flatnonzero(allowed.any(1)).tolist()
+            if not some:
+                break
+            for i in some:
+                j = np.flatnonzero(allowed[i])
+                j = j[own[j] != own[i]]
+                if len(j):
+                    kinds, at = np.unique(own[j], return_index=True)
+                    j = j[at]
+                    allowed[i, j] = False
+                    own[np.isin(own, kinds)] = own[i]
+                    a.append(np.minimum(s[i], s[j]))
+                    b.append(np.maximum(s[i], s[j]))
+        if allowed.any():
+            a.append(s[:1])
+            b.append(s[:1])
         empty = np.zeros(0, np.int64)
         return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
 
-    candidates = ready.groupBy("tile", "x", "y").applyInArrow(run, "a long, b long").distinct()
-    out = stash(candidates.join(pairs, ["a", "b"], "left_anti"), "join-cross")
-    return out if out.limit(1).count() else None
+    return ready.groupBy("tile", "x", "y").applyInArrow(run, "a long, b long")
 
 
 def _fold(bits: np.ndarray, width: int) -> np.ndarray:
