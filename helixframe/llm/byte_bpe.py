@@ -130,46 +130,67 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class IdTable:
-    """Growing table hash -> id list, emptied when it holds more than ``limit`` entries."""
+    """Growing table hash -> id list, emptied when it holds more than ``limit`` entries.
+
+    Hashes are kept in two sorted arrays, the smaller one merged into the larger as it grows.
+    """
 
     def __init__(self, limit: int = KEEP_MISSES):
         self.limit = limit
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.levels = [none, none]
+        self.n = self.used = 0
         self.start = np.zeros(1 << 12, np.int64)
         self.count = np.zeros(1 << 12, np.int64)
         self.flat = np.zeros(1 << 14, np.uint32)
-        self.used = 0
 
-    def add(self, keys: list[int], lists: list[list[int]]) -> None:
-        have, counts = len(self.slot), np.fromiter(map(len, lists), np.int64, len(lists))
-        need, more = have + len(keys), int(counts.sum())
-        while need > len(self.start):
+    def add(self, keys: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        slots = np.arange(self.n, self.n + len(keys))
+        self.n += len(keys)
+        while self.n > len(self.start):
             self.start, self.count = np.resize(self.start, 2 * len(self.start)), np.resize(self.count, 2 * len(self.count))
-        while self.used + more > len(self.flat):
+        while self.used + len(flat) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.count[have:need] = counts
-        self.start[have:need] = self.used + np.concatenate(([0], np.cumsum(counts)[:-1]))
-        self.flat[self.used : self.used + more] = np.fromiter((x for ids in lists for x in ids), np.uint32, more)
-        self.used += more
-        self.slot.update(zip(keys, range(have, need), strict=True))
+        self.count[slots] = counts
+        self.start[slots] = self.used + np.cumsum(counts) - counts
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        large, small = self.levels
+        small = _merged(small, (keys, slots))
+        if len(small[0]) > 1 << 14 and 8 * len(small[0]) > len(large[0]):
+            large, small = _merged(large, small), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.levels = [large, small]
+        return slots
 
     def slots(self, keys: np.ndarray, make) -> np.ndarray:
-        """Slots of distinct keys; ``make(positions)`` gives the id lists of those not yet held."""
-        if len(self.slot) > self.limit:
+        """Slots of sorted distinct keys; ``make(positions)`` gives (counts, ids) of those not yet held."""
+        if self.n > self.limit:
             self.clear()
-        get = self.slot.get
-        found = np.array([get(k, -1) for k in keys.tolist()], np.int64)
+        found = np.full(len(keys), -1)
+        for have, slot in self.levels:
+            if len(have):
+                at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                found = np.where(have[at] == keys, slot[at], found)
         new = np.flatnonzero(found < 0)
         if len(new):
-            at = len(self.slot)
-            self.add(keys[new].tolist(), make(new))
-            found[new] = np.arange(at, at + len(new))
+            found[new] = self.add(keys[new], *make(new))
         return found
 
 
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    keys, slots = np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1]))
+    order = np.argsort(keys, kind="stable")
+    return keys[order], slots[order]
+
+
+def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.fromiter(map(len, lists), np.int64, len(lists))
+    return counts, np.fromiter((x for ids in lists for x in ids), np.uint32, int(counts.sum()))
+
+
 def spread(count: np.ndarray, source: np.ndarray) -> np.ndarray:
     """Indices ``source[i], source[i]+1, ...`` (``count[i]`` of them) for all i, in order."""
     to = np.cumsum(count) - count
@@ -266,7 +287,7 @@ class ByteBPE:
         if len(miss):
             keys, at, back = np.unique(h[miss], return_index=True, return_inverse=True)
             raw, a, b = data.tobytes(), start[miss[at]], end[miss[at]]
-            held = self.misses.slots(keys, lambda new: self.merge([raw[a[i] : b[i]] for i in new.tolist()]))[back]
+            held = self.misses.slots(keys, lambda new: flattened(self.merge([raw[a[i] : b[i]] for i in new.tolist()])))[back]
             count[miss] = self.misses.count[held]
         to = np.concatenate(([0], np.cumsum(count)))
         out = np.empty(int(to[-1]), np.uint32)

@@ -30,6 +30,7 @@ from helixframe.llm.textops import Hasher, chunks, words
 MAGIC = 0x31425648
 BLOCK_TOKENS = 1 << 19
 SHARD_TOKENS = 1 << 24
+KEEP_WORDS = 500_000
 _BATCH = 1 << 13
 
 _LETTER = np.zeros(256, bool)
@@ -82,7 +83,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.table = IdTable()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.table = IdTable(KEEP_WORDS)
 
     def units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         start, end, _ = words(data, offsets)
@@ -99,9 +103,26 @@ class WordTokenizer:
         keys, first, back = np.unique(Hasher(data, lower=not special).of(start, end), return_index=True, return_inverse=True)
         raw, a, b = data.tobytes(), start[first], end[first]
 
-        def make(new: np.ndarray) -> list[list[int]]:
-            texts = [raw[a[i] : b[i]].decode("utf-8") for i in new.tolist()]
-            return [x.ids for lo in range(0, len(texts), _BATCH) for x in self.tokenizer.encode_batch_fast(texts[lo : lo + _BATCH], add_special_tokens=False)]
+        def make(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            texts = [raw[a[i] : b[i]].decode() for i in new.tolist()]
+            counts, parts = np.zeros(len(texts), np.int64), [np.zeros(0, np.uint32)] * len(texts)
+            # Latin letters only: one pre-token, so one word end
+            plain = [k for k, t in enumerate(texts) if t.isalpha() and (t.isascii() or (max(t) < "\u0250" and "\u0130" not in t))]
+            for lo in range(0, len(plain), _BATCH):
+                some = plain[lo : lo + _BATCH]
+                ids = np.array(self.tokenizer.encode(" ".join([texts[k] for k in some]), add_special_tokens=False).ids, np.uint32)
+                end = np.flatnonzero(self.ends[ids]) + 1
+                counts[some] = np.diff(end, prepend=0)
+                for k, x in zip(some, np.split(ids, end[:-1]), strict=True):
+                    parts[k] = x
+            held = set(plain)
+            rest = [k for k in range(len(texts)) if k not in held]
+            for lo in range(0, len(rest), _BATCH):
+                some = rest[lo : lo + _BATCH]
+                for k, x in zip(some, self.tokenizer.encode_batch_fast([texts[k] for k in some], add_special_tokens=False), strict=True):
+                    parts[k] = np.array(x.ids, np.uint32)
+                    counts[k] = len(x.ids)
+            return counts, np.concatenate(parts)
 
         held = self.table.slots(keys, make)[back]
         count = self.table.count[held]
@@ -208,8 +229,8 @@ def write(df: DataFrame, path: str, vocabulary: int, end_id: int = 1, id_col: st
     return stash(blocks, "token-blocks"), by_rank
 
 
-def read(blocks: DataFrame, by_rank: np.ndarray, id_col: str = "doc_id") -> DataFrame:
-    """Per document, from the blocks: id, start, n_tokens, ids_crc32, and the token ids (array<int>)."""
+def read(blocks: DataFrame, by_rank: np.ndarray, id_col: str = "doc_id", ids: bool = True) -> DataFrame:
+    """Per document, from the blocks: id, start, n_tokens, ids_crc32, and with ``ids`` the token ids (array<int>)."""
     table = blocks.sparkSession.sparkContext.broadcast(by_rank)
     inside = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("shard_tokens"))
@@ -220,14 +241,14 @@ def read(blocks: DataFrame, by_rank: np.ndarray, id_col: str = "doc_id") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                ids = table.value[unpack(batch.column(3)[k].as_buffer())].astype("<u4")
+                found = table.value[unpack(batch.column(3)[k].as_buffer())].astype("<u4")
                 sizes = np.asarray(batch.column(2)[k].values, np.int64)
                 end = np.cumsum(sizes)
-                raw, cut = memoryview(ids.tobytes()), np.concatenate(([0], end * 4)).tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(1)[k].values, pa.array(batch.column(0)[k].as_py() + end - sizes), pa.array(sizes), pa.array([zlib.crc32(raw[a:b]) for a, b in zip(cut, cut[1:], strict=False)], pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], end)), pa.int32()), pa.array(ids.astype(np.int32)))],
-                    [id_col, "start", "n_tokens", "ids_crc32", "ids"],
-                )
+                raw, cut = memoryview(found.tobytes()), np.concatenate(([0], end * 4)).tolist()
+                columns = [batch.column(1)[k].values, pa.array(batch.column(0)[k].as_py() + end - sizes), pa.array(sizes), pa.array([zlib.crc32(raw[a:b]) for a, b in zip(cut, cut[1:], strict=False)], pa.int64())]
+                if ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], end)), pa.int32()), pa.array(found.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, [id_col, "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
     key = blocks.schema["ids"].dataType.elementType.simpleString()
-    return blocks.join(starts, ["shard", "block"]).select("start", "ids", "sizes", "payload").mapInArrow(run, f"`{id_col}` {key}, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    return blocks.join(starts, ["shard", "block"]).select("start", "ids", "sizes", "payload").mapInArrow(run, f"`{id_col}` {key}, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if ids else ""))
