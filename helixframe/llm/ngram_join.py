@@ -35,6 +35,10 @@ from helixframe.llm.store import stash
 from helixframe.llm.textops import Hasher, chunks, mix, sequence_hash, signed, windows, words
 
 
+#: Rows of an Arrow batch where rows hold whole texts or sets.
+WIDE = 500
+
+
 @dataclass(frozen=True)
 class Spec:
     """Shingle length, and the threshold as a fraction: links need den * intersection >= num * union."""
@@ -212,8 +216,8 @@ def join(df: DataFrame, spec: Spec | None = None, id_col: str = "doc_id", text_c
     pairs = stash(tiles.where("set != least").select(F.col("least").alias("a"), F.col("set").alias("b")).distinct(), "join-pairs")
     needed = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
     wanted = nodes.join(needed, "set").select("set", F.col("_rep").alias(id_col))
-    found = stash(features(df.select(id_col, text_col).join(wanted, id_col), spec, text_col), "join-features")
-    edges = stash(verified(pairs, found, spec), "join-edges")
+    found = stash(features(df.select(id_col, text_col).join(wanted, id_col), spec, text_col), "join-features", WIDE)
+    edges = stash(verified(pairs, found, spec), "join-edges", WIDE)
     labels = components(edges)
     opened = open_tiles(tiles, labels)
     tested, forests, rest = pairs, 1, True
@@ -223,7 +227,7 @@ def join(df: DataFrame, spec: Spec | None = None, id_col: str = "doc_id", text_c
         fresh = stash(named.where("a != b").distinct().join(tested, ["a", "b"], "left_anti"), "join-pairs")
         if fresh.limit(1).count():
             tested = tested.union(fresh)
-            edges = edges.union(stash(verified(fresh, found, spec), "join-edges"))
+            edges = edges.union(stash(verified(fresh, found, spec), "join-edges", WIDE))
             labels = components(edges)
         forests *= 4
     grouped = nodes.join(labels, "set", "left").select("set", "_rep", F.coalesce("comp", "set").alias("comp"))

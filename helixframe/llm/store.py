@@ -22,12 +22,24 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/helixframe/{label}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stash(df: DataFrame, label: str, batch_rows: int = 0) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``batch_rows`` bounds the rows of an Arrow batch while it is written, for wide rows.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
     schema = df.schema
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH)
+    try:
+        if batch_rows:
+            spark.conf.set(BATCH, batch_rows)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     return spark.read.schema(schema).parquet(path)
 
 
