@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,11 +165,24 @@ def context_rows(df: DataFrame, length: int, gram: int, id_col: str, text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, _, data, offsets in chunks(batch.column(1)):
+            for lo, hi, data, offsets in chunks(batch.column(1)):
                 doc, anchor, whole, first, last, at = contexts(data, offsets, length, gram)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + lo)), pa.array(anchor), pa.array(whole), *(pa.array(x.astype(np.int32)) for x in (first, last, at))], ["id", "anchor", "whole", "first", "last", "at"])
+                ids = batch.column(0).slice(lo, hi - lo)
+                copy = _later(np.asarray(pc.rank(ids, tiebreaker="dense", null_placement="at_start"), np.int64)[doc], whole, anchor, first)
+                spread = signed(mix(whole.view(np.uint64) + mix((doc << 32 | first).astype(np.uint64) + np.uint64(lo))))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(np.where(copy, spread, anchor)), pa.array(whole), *(pa.array(x.astype(np.int32)) for x in (first, last, at)), pa.array(copy)], ["id", "anchor", "whole", "first", "last", "at", "copy"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"id {key}, anchor long, whole long, first int, last int, at int")
+    return df.select(id_col, text_col).mapInArrow(run, f"id {key}, anchor long, whole long, first int, last int, at int, copy boolean")
+
+
+def _later(rank: np.ndarray, whole: np.ndarray, anchor: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether an equal context comes earlier in the chunk."""
+    order = np.lexsort((first, rank, whole))
+    later = np.zeros(len(order), bool)
+    if len(order) > 1:
+        a, b = order[1:], order[:-1]
+        later[a] = (whole[a] == whole[b]) & (anchor[a] == anchor[b]) & ((rank[a] != rank[b]) | (first[a] != first[b]))
+    return later
 
 
 def with_bytes(rows: DataFrame, df: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
@@ -274,14 +288,18 @@ def resolve(rows: DataFrame, length: int) -> DataFrame:
 
 
 def removals(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start, end) byte runs that are removed; runs may overlap."""
+    """(id, start, end) byte runs that are removed; runs may overlap.
+
+    A context with an equal one earlier in its chunk is a copy already: it goes
+    on under a key of its own, so that text repeated in a document is not hot.
+    """
     rows = context_rows(df, length, gram, id_col, text_col)
     same = Window.partitionBy("anchor")
     order = Window.partitionBy("anchor", "whole").orderBy(F.col("id").asc_nulls_first(), "first")
     ranked = (
         rows.withColumn("turn", F.row_number().over(order)).withColumn("lo", F.min("whole").over(same)).withColumn("hi", F.max("whole").over(same))
-        .where("turn > 1 OR lo != hi")
-        .select("id", "anchor", "first", "last", "at", (F.col("turn") > 1).alias("copy"))
+        .where("copy OR turn > 1 OR lo != hi")
+        .select("id", "anchor", "first", "last", "at", (F.col("copy") | (F.col("turn") > 1)).alias("copy"))
     )
     ranked = stash(ranked, "repeat-contexts")
     copies = ranked.where("copy").select("id", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
