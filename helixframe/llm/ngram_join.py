@@ -137,16 +137,16 @@ def tile_rows(df: DataFrame, spec: Spec, text_col: str) -> DataFrame:
 
 
 def features(df: DataFrame, spec: Spec, text_col: str = "text") -> DataFrame:
-    """(set, bitmap, items) of rows (set, text): sorted hashes, and a bitmap of about eight bits an item."""
+    """(set, bitmap, size, items) of rows (set, text): sorted hashes, and a bitmap of about eight bits an item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(1)):
                 wanted = batch.column(0).slice(lo, hi - lo).to_pylist()
                 us = [(s, u) for s, u in zip(wanted, shingle_sets(data, offsets, spec.size), strict=True) if len(u) and set_id(u) == s]  # an id's other texts are left out
-                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in us], pa.int64()), pa.array([bitmap(u).tobytes() for _, u in us], pa.binary()), pa.array([u.tobytes() for _, u in us], pa.binary())], ["set", "bitmap", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in us], pa.int64()), pa.array([bitmap(u).tobytes() for _, u in us], pa.binary()), pa.array([len(u) for _, u in us], pa.int32()), pa.array([u.tobytes() for _, u in us], pa.binary())], ["set", "bitmap", "size", "items"])
 
-    return df.select("set", text_col).mapInArrow(run, "set long, bitmap binary, items binary")
+    return df.select("set", text_col).mapInArrow(run, "set long, bitmap binary, size int, items binary")
 
 
 def bitmap(u: np.ndarray) -> np.ndarray:
@@ -165,28 +165,39 @@ def overlap_bound(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> int:
     return min(na - int(np.bitwise_count(a & ~b).sum()), nb - int(np.bitwise_count(b & ~a).sum()))
 
 
-def linked(a: bytes, bits_a: bytes, b: bytes, bits_b: bytes, spec: Spec) -> bool:
+def linked(a: bytes, b: bytes, spec: Spec) -> bool:
     u, v = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    need = lambda both: spec.den * both >= spec.num * (len(u) + len(v) - both)
-    if not need(min(len(u), len(v))) or not need(overlap_bound(np.frombuffer(bits_a, np.uint8), len(u), np.frombuffer(bits_b, np.uint8), len(v))):
-        return False
     at = np.minimum(np.searchsorted(v, u), len(v) - 1)
-    return need(int((v[at] == u).sum()))
+    both = int((v[at] == u).sum())
+    return spec.den * both >= spec.num * (len(u) + len(v) - both)
 
 
 def verified(pairs: DataFrame, found: DataFrame, spec: Spec) -> DataFrame:
-    """The pairs (a, b) that link; ``found`` has the features of their sets."""
-    left = found.select(F.col("set").alias("a"), F.col("bitmap").alias("bits_a"), F.col("items").alias("items_a"))
-    right = found.select(F.col("set").alias("b"), F.col("bitmap").alias("bits_b"), F.col("items").alias("items_b"))
+    """The pairs (a, b) that link; ``found`` has the features of their sets.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(k) for k in range(2, 6)]
-            keep = [linked(*(c[i].as_buffer() for c in columns), spec) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+    Bitmaps, an eighth of the size, are joined first; sorted sets are only for pairs they let through.
+    """
+
+    def run(test):
+        def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                columns = [batch.column(k) for k in range(2, batch.num_columns)]
+                keep = [test(*(c[i] for c in columns)) for i in range(batch.num_rows)]
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+        return filtered
+
+    def bounded(bits_a: pa.Scalar, n_a: pa.Scalar, bits_b: pa.Scalar, n_b: pa.Scalar) -> bool:
+        n, m = n_a.as_py(), n_b.as_py()
+        need = lambda both: spec.den * both >= spec.num * (n + m - both)
+        return need(min(n, m)) and need(overlap_bound(np.frombuffer(bits_a.as_buffer(), np.uint8), n, np.frombuffer(bits_b.as_buffer(), np.uint8), m))
+
+    def joined(rows: DataFrame, *columns: str) -> DataFrame:
+        side = lambda s: found.select(F.col("set").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns])
+        return rows.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{c}_{s}" for s in "ab" for c in columns])
 
-    joined = pairs.join(left, "a").join(right, "b")
-    return joined.select("a", "b", "items_a", "bits_a", "items_b", "bits_b").mapInArrow(run, "a long, b long")
+    near = stash(joined(pairs, "bitmap", "size").mapInArrow(run(bounded), "a long, b long"), "join-near", WIDE)
+    return joined(near, "items").mapInArrow(run(lambda x, y: linked(x.as_buffer(), y.as_buffer(), spec)), "a long, b long")
 
 
 def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -259,7 +270,7 @@ def cross_pairs(opened: DataFrame, labels: DataFrame, found: DataFrame, spec: Sp
     labelled = opened.join(labels, "set", "left").select("tile", "set", F.coalesce("comp", "set").alias("comp"), blocks.alias("blocks"), mine.alias("mine"))
     meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("x"), F.greatest("mine", o).alias("y"))))
     placed = labelled.select("tile", "set", "comp", "mine", meet.alias("m")).select("tile", "set", "comp", "mine", "m.x", "m.y")
-    bits = found.select("set", "bitmap", (F.octet_length("items") / 8).cast("int").alias("size"))
+    bits = found.select("set", "bitmap", "size")
     ready = placed.join(bits, "set").select("tile", "x", "y", "set", "comp", "mine", "bitmap", "size")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:

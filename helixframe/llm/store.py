@@ -22,6 +22,8 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/helixframe/{label}-{uuid.uuid4().hex}"
 
 
+#: Bytes of a row group, which a writer holds in memory for each task.
+ROW_GROUP = 16 << 20
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -37,7 +39,7 @@ def stash(df: DataFrame, label: str, batch_rows: int = 0) -> DataFrame:
     try:
         if batch_rows:
             spark.conf.set(BATCH, batch_rows)
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     finally:
         spark.conf.set(BATCH, before)
     return spark.read.schema(schema).parquet(path)
