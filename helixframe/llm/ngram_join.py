@@ -10,8 +10,8 @@ content. Tiles link their members to the smallest one; those pairs are checked
 by bitmaps, whose bit counts bound the overlap from above, and then by
 intersection of the sorted arrays. Members of a tile that end in different
 components then meet in blocks, again bitmap first, so that no link is lost: a
-task names spanning forests of the pairs that pass, one at first and four times
-as many each round, until no pair between components is left unnamed; pairs
+task names spanning forests of the pairs that pass, two at first and sixteen
+times as many each round, until no pair between components is left unnamed; pairs
 within a component are never named. Components come from label propagation with pointer jumping over written
 tables.
 
@@ -196,20 +196,24 @@ def verified(pairs: DataFrame, found: DataFrame, spec: Spec) -> DataFrame:
         side = lambda s: found.select(F.col("set").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns])
         return rows.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{c}_{s}" for s in "ab" for c in columns])
 
-    near = stash(joined(pairs, "bitmap", "size").mapInArrow(run(bounded), "a long, b long"), "join-near", WIDE)
+    near = joined(pairs, "bitmap", "size").mapInArrow(run(bounded), "a long, b long")
     return joined(near, "items").mapInArrow(run(lambda x, y: linked(x.as_buffer(), y.as_buffer(), spec)), "a long, b long")
 
 
-def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(set, comp) of every node of ``edges`` (a, b): smallest reachable node, by hooking to the least neighbour label and jumping."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     links = stash(both, "links")
-    labels = stash(links.groupBy(F.col("a").alias("set")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
-    while True:
+    labels = links.groupBy(F.col("a").alias("set")).agg(F.least(F.min("b"), F.first("a")).alias("comp"))
+
+    def step(labels: DataFrame) -> DataFrame:
         near = links.join(labels.select(F.col("set").alias("b"), "comp"), "b").groupBy(F.col("a").alias("set")).agg(F.min("comp").alias("near"))
         hooked = labels.join(near, "set").select("set", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         up = labels.select(F.col("set").alias("comp"), F.col("comp").alias("up"))
-        moved = stash(hooked.join(up, "comp", "left").select("set", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp")), "labels")
+        return hooked.join(up, "comp", "left").select("set", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp"))
+
+    while True:  # two steps a written table; at rest when the second changes nothing
+        moved = stash(step(step(labels).select("set", "comp")), "labels")
         labels = moved.select("set", "comp")
         if not moved.where("old != comp").limit(1).count():
             return labels
@@ -231,7 +235,7 @@ def join(df: DataFrame, spec: Spec | None = None, id_col: str = "doc_id", text_c
     edges = stash(verified(pairs, found, spec), "join-edges", WIDE)
     labels = components(edges)
     opened = open_tiles(tiles, labels)
-    tested, forests, rest = pairs, 1, True
+    tested, forests, rest = pairs, 2, True
     while rest:
         named = stash(cross_pairs(opened, labels, found, spec, forests), "join-cross")
         rest = named.where("a = b").limit(1).count() > 0
@@ -240,7 +244,7 @@ def join(df: DataFrame, spec: Spec | None = None, id_col: str = "doc_id", text_c
             tested = tested.union(fresh)
             edges = edges.union(stash(verified(fresh, found, spec), "join-edges", WIDE))
             labels = components(edges)
-        forests *= 4
+        forests *= 16
     grouped = nodes.join(labels, "set", "left").select("set", "_rep", F.coalesce("comp", "set").alias("comp"))
     smallest = grouped.groupBy("comp").agg(F.min("_rep").alias("component"))
     classes = grouped.join(smallest, "comp").select("set", "component")
