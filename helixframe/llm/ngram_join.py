@@ -235,15 +235,16 @@ def join(df: DataFrame, spec: Spec | None = None, id_col: str = "doc_id", text_c
     edges = stash(verified(pairs, found, spec), "join-edges", WIDE)
     labels = components(edges)
     opened = open_tiles(tiles, labels)
-    tested, forests, rest = pairs, 2, True
-    while rest:
+    tested, forests = pairs, 2
+    while opened.limit(1).count():
         named = stash(cross_pairs(opened, labels, found, spec, forests), "join-cross")
-        rest = named.where("a = b").limit(1).count() > 0
         fresh = stash(named.where("a != b").distinct().join(tested, ["a", "b"], "left_anti"), "join-pairs")
         if fresh.limit(1).count():
             tested = tested.union(fresh)
             edges = edges.union(stash(verified(fresh, found, spec), "join-edges", WIDE))
             labels = components(edges)
+        # only tiles that left pairs out go on
+        opened = stash(opened.join(named.where("a = b").select(F.col("a").alias("tile")).distinct(), "tile", "left_semi"), "join-open")
         forests *= 16
     grouped = nodes.join(labels, "set", "left").select("set", "_rep", F.coalesce("comp", "set").alias("comp"))
     smallest = grouped.groupBy("comp").agg(F.min("_rep").alias("component"))
@@ -267,7 +268,7 @@ def cross_pairs(opened: DataFrame, labels: DataFrame, found: DataFrame, spec: Sp
 
     A tile's members are cut into blocks; every two blocks of a tile meet in one
     task, which names at most ``forests`` spanning forests over components, and
-    a pair of a set with itself if that leaves some out.
+    the tile, as a pair with itself, if that leaves some out.
     """
     blocks = F.ceil(F.col("n") / F.lit(spec.block)).cast("int")
     mine = F.pmod(F.xxhash64("set"), blocks).cast("int")
@@ -309,8 +310,8 @@ def cross_pairs(opened: DataFrame, labels: DataFrame, found: DataFrame, spec: Sp
                     a.append(np.minimum(s[i], s[j]))
                     b.append(np.maximum(s[i], s[j]))
         if allowed.any():
-            a.append(s[:1])
-            b.append(s[:1])
+            a.append(np.array([key[0].as_py()]))
+            b.append(a[-1])
         empty = np.zeros(0, np.int64)
         return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
 
