@@ -38,7 +38,8 @@ def bucket_of(value: Column, bounds: list[int]) -> Column:
         steps.append(F.lit(step))
         step >>= 1
     table = F.array(*[F.lit(b) for b in bounds])
-    return F.aggregate(F.array(*steps), F.lit(0), lambda at, s: F.when(F.get(table, at + s - 1) <= value, at + s).otherwise(at))
+    search = lambda v: F.aggregate(F.array(*steps), F.lit(0), lambda at, s: F.when(F.get(table, at + s - 1) <= v, at + s).otherwise(at))
+    return F.get(F.transform(F.array(value), search), 0)  # bound once: the fold would evaluate it at every step
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
