@@ -25,18 +25,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.store import stash
+from helixframe.llm.store import release, stash
 from helixframe.llm.textops import Hasher, chunks, mix, sequence_hash, signed, windows, words
 
 
 #: Rows of an Arrow batch where rows hold whole texts or sets.
 WIDE = 500
+#: Tiles of so many members are paired by a join, larger ones in blocks.
+FEW = 16
 
 
 @dataclass(frozen=True)
@@ -137,7 +141,7 @@ def tile_rows(df: DataFrame, spec: Spec, text_col: str) -> DataFrame:
 
 
 def features(df: DataFrame, spec: Spec, text_col: str = "text") -> DataFrame:
-    """(set, bitmap, size, items) of rows (set, text): sorted hashes, and a bitmap of about eight bits an item."""
+    """(set, bitmap, size, items) of rows (set, text): sorted hashes, and a bitmap of four to eight bits an item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +154,7 @@ def features(df: DataFrame, spec: Spec, text_col: str = "text") -> DataFrame:
 
 
 def bitmap(u: np.ndarray) -> np.ndarray:
-    size = 1 << max(6, (8 * len(u) - 1).bit_length() if len(u) else 6)
+    size = 1 << max(6, (4 * len(u) - 1).bit_length() if len(u) else 6)
     bits = np.zeros(size, np.uint8)
     bits[(u & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little")
@@ -212,10 +216,15 @@ def components(edges: DataFrame) -> DataFrame:
         up = labels.select(F.col("set").alias("comp"), F.col("comp").alias("up"))
         return hooked.join(up, "comp", "left").select("set", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp"))
 
+    last = None
     while True:  # two steps a written table; at rest when the second changes nothing
         moved = stash(step(step(labels).select("set", "comp")), "labels")
-        labels = moved.select("set", "comp")
+        if last is not None:
+            release(last)
+        last, labels = moved, moved.select("set", "comp")
+        labels._stashed_at = moved._stashed_at
         if not moved.where("old != comp").limit(1).count():
+            release(links)
             return labels
 
 
@@ -227,25 +236,31 @@ def join(df: DataFrame, spec: Spec | None = None, id_col: str = "doc_id", text_c
     least = F.min("set").over(Window.partitionBy("tile"))
     most = F.max("set").over(Window.partitionBy("tile"))
     shared = tile_rows(df, spec, text_col).withColumn("least", least).withColumn("most", most).where("least != most")
-    tiles = stash(shared.select("tile", "set", "least"), "join-tiles")
+    tiles = shared.select("tile", "set", "least").persist(StorageLevel.DISK_ONLY)  # lost blocks are computed again
     pairs = stash(tiles.where("set != least").select(F.col("least").alias("a"), F.col("set").alias("b")).distinct(), "join-pairs")
     needed = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
     wanted = nodes.join(needed, "set").select("set", F.col("_rep").alias(id_col))
-    found = stash(features(df.select(id_col, text_col).join(wanted, id_col), spec, text_col), "join-features", WIDE)
-    edges = stash(verified(pairs, found, spec), "join-edges", WIDE)
-    labels = components(edges)
+    found = features(df.select(id_col, text_col).join(wanted, id_col), spec, text_col).persist(StorageLevel.DISK_ONLY)
+    edges = [stash(verified(pairs, found, spec).distinct(), "join-edges", WIDE)]
+    labels = components(edges[0])
     opened = open_tiles(tiles, labels)
-    tested, forests = pairs, 2
+    tested, forests, used = [pairs], 2, []
     while opened.limit(1).count():
-        named = stash(cross_pairs(opened, labels, found, spec, forests), "join-cross")
-        fresh = stash(named.where("a != b").distinct().join(tested, ["a", "b"], "left_anti"), "join-pairs")
+        named = stash(cross_pairs(opened, labels, found, spec, forests).distinct(), "join-cross", WIDE)
+        known = reduce(DataFrame.union, tested)
+        fresh = stash(named.where("a != b").join(known, ["a", "b"], "left_anti"), "join-pairs")
+        tested.append(fresh)
+        used += [named, opened]
         if fresh.limit(1).count():
-            tested = tested.union(fresh)
-            edges = edges.union(stash(verified(fresh, found, spec), "join-edges", WIDE))
-            labels = components(edges)
+            edges.append(stash(verified(fresh, found, spec).distinct(), "join-edges", WIDE))
+            used.append(labels)
+            labels = components(reduce(DataFrame.union, edges))
         # only tiles that left pairs out go on
-        opened = stash(opened.join(named.where("a = b").select(F.col("a").alias("tile")).distinct(), "tile", "left_semi"), "join-open")
+        opened = stash(opened.join(named.where("a = b").select(F.col("a").alias("tile")), "tile", "left_semi"), "join-open")
         forests *= 16
+    release(opened, *used, *tested, *edges)
+    tiles.unpersist()
+    found.unpersist()
     grouped = nodes.join(labels, "set", "left").select("set", "_rep", F.coalesce("comp", "set").alias("comp"))
     smallest = grouped.groupBy("comp").agg(F.min("_rep").alias("component"))
     classes = grouped.join(smallest, "comp").select("set", "component")
@@ -266,13 +281,18 @@ def open_tiles(tiles: DataFrame, labels: DataFrame) -> DataFrame:
 def cross_pairs(opened: DataFrame, labels: DataFrame, found: DataFrame, spec: Spec, forests: int) -> DataFrame:
     """Pairs (a, b) of tile members in different components that the bitmaps let through.
 
-    A tile's members are cut into blocks; every two blocks of a tile meet in one
+    A tile of ``FEW`` members or less is joined with itself. Members of others are cut into blocks; every two blocks of a tile meet in one
     task, which names at most ``forests`` spanning forests over components, and
     the tile, as a pair with itself, if that leaves some out.
     """
+    own = opened.join(labels, "set", "left").select("tile", "set", "n", F.coalesce("comp", "set").alias("comp"))
+    few = own.where(F.col("n") <= FEW)
+    other = few.select("tile", F.col("set").alias("b"), F.col("comp").alias("comp_b"))
+    direct = few.select("tile", F.col("set").alias("a"), "comp").join(other, "tile").where("a < b AND comp != comp_b").select("a", "b")
+    many = own.where(F.col("n") > FEW)
     blocks = F.ceil(F.col("n") / F.lit(spec.block)).cast("int")
     mine = F.pmod(F.xxhash64("set"), blocks).cast("int")
-    labelled = opened.join(labels, "set", "left").select("tile", "set", F.coalesce("comp", "set").alias("comp"), blocks.alias("blocks"), mine.alias("mine"))
+    labelled = many.select("tile", "set", "comp", blocks.alias("blocks"), mine.alias("mine"))
     meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("x"), F.greatest("mine", o).alias("y"))))
     placed = labelled.select("tile", "set", "comp", "mine", meet.alias("m")).select("tile", "set", "comp", "mine", "m.x", "m.y")
     bits = found.select("set", "bitmap", "size")
@@ -315,7 +335,7 @@ def cross_pairs(opened: DataFrame, labels: DataFrame, found: DataFrame, spec: Sp
         empty = np.zeros(0, np.int64)
         return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
 
-    return ready.groupBy("tile", "x", "y").applyInArrow(run, "a long, b long")
+    return ready.groupBy("tile", "x", "y").applyInArrow(run, "a long, b long").union(direct.distinct())
 
 
 def _fold(bits: np.ndarray, width: int) -> np.ndarray:

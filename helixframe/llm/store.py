@@ -42,7 +42,19 @@ def stash(df: DataFrame, label: str, batch_rows: int = 0) -> DataFrame:
         df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     finally:
         spark.conf.set(BATCH, before)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._stashed_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by ``stash`` that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_stashed_at", None)
+        if path:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
