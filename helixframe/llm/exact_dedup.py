@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.store import stash
+from helixframe.llm.store import release, stash
 
 PREFIX_BITS = 12
 BUCKET_ENTRIES = 1 << 20
@@ -67,7 +67,9 @@ def build_index(entries: DataFrame, capacity: int = BUCKET_ENTRIES) -> DataFrame
     bucket = F.get(F.array(*[F.lit(t) for t in table]), F.shiftright(prefix, PREFIX_BITS - depth))
     owned = entries.withColumn("_bucket", bucket).repartitionByRange("_bucket", "_key")
     chain = F.row_number().over(Window.partitionBy("_bucket", "_key").orderBy("text_sha256"))
-    return stash(owned.withColumn("_chain", chain), "dedup-index")
+    index = stash(owned.withColumn("_chain", chain), "dedup-index")
+    release(entries)
+    return index
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_ENTRIES) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.store import stash
+from helixframe.llm.store import release, stash
 from helixframe.llm.textops import Hasher, chunks, mix, signed
 
 LENGTH = 100
@@ -287,8 +287,8 @@ def resolve(rows: DataFrame, length: int) -> DataFrame:
     return ordered.select("id", "anchor", "first", "last", "at", "bytes").mapInArrow(run, f"id {key}, start int, end int")
 
 
-def removals(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start, end) byte runs that are removed; runs may overlap.
+def removals(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(id, start, end) byte runs that are removed (they may overlap), and the written table they come from.
 
     A context with an equal one earlier in its chunk is a copy already: it goes
     on under a key of its own, so that text repeated in a document is not hot.
@@ -304,12 +304,14 @@ def removals(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str
     ranked = stash(ranked, "repeat-contexts")
     copies = ranked.where("copy").select("id", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
     mixed = ranked.where("NOT copy").select("id", "anchor", "first", "last", "at")
-    return copies.union(resolve(with_bytes(mixed, df, length, id_col, text_col), length))
+    return copies.union(resolve(with_bytes(mixed, df, length, id_col, text_col), length)), ranked
 
 
 def dedup(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``texts`` also the remaining bytes (``kept``)."""
-    runs = stash(removals(df, length, gram, id_col, text_col), "repeat-runs")
+    found, ranked = removals(df, length, gram, id_col, text_col)
+    runs = stash(found, "repeat-runs")
+    release(ranked)
     lists = runs.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("start", "end")).alias("runs"))  # a document's own runs
     joined = df.select(id_col, text_col).join(lists, F.col(id_col).eqNullSafe(F.col("_id")), "left").select(id_col, text_col, "runs")
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm.byte_bpe import IdTable, spread
-from helixframe.llm.store import stash
+from helixframe.llm.store import release, stash
 from helixframe.llm.textops import Hasher, chunks, words
 
 MAGIC = 0x31425648
@@ -226,7 +226,9 @@ def write(df: DataFrame, path: str, vocabulary: int, end_id: int = 1, id_col: st
     key = df.schema[id_col].dataType.simpleString()
     ordered = encoded.select(id_col, "ids").repartitionByRange(shards, F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first())
     blocks = ordered.mapInArrow(run, f"shard int, block int, ids array<{key}>, sizes array<long>, n_tokens long, payload binary")
-    return stash(blocks, "token-blocks"), by_rank
+    written = stash(blocks, "token-blocks")
+    release(encoded)
+    return written, by_rank
 
 
 def read(blocks: DataFrame, by_rank: np.ndarray, id_col: str = "doc_id", ids: bool = True) -> DataFrame:
