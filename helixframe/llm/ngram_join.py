@@ -29,11 +29,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.store import release, stash
+from helixframe.llm.store import release, stash, tidy
 from helixframe.llm.textops import Hasher, chunks, mix, sequence_hash, signed, windows, words
 
 
@@ -236,12 +235,15 @@ def join(df: DataFrame, spec: Spec | None = None, id_col: str = "doc_id", text_c
     least = F.min("set").over(Window.partitionBy("tile"))
     most = F.max("set").over(Window.partitionBy("tile"))
     shared = tile_rows(df, spec, text_col).withColumn("least", least).withColumn("most", most).where("least != most")
-    tiles = shared.select("tile", "set", "least").persist(StorageLevel.DISK_ONLY)  # lost blocks are computed again
+    tiles = stash(shared.select("tile", "set", "least"), "join-tiles")
+    tidy(df.sparkSession)
     pairs = stash(tiles.where("set != least").select(F.col("least").alias("a"), F.col("set").alias("b")).distinct(), "join-pairs")
     needed = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
     wanted = nodes.join(needed, "set").select("set", F.col("_rep").alias(id_col))
-    found = features(df.select(id_col, text_col).join(wanted, id_col), spec, text_col).persist(StorageLevel.DISK_ONLY)
+    found = stash(features(df.select(id_col, text_col).join(wanted, id_col), spec, text_col), "join-features", WIDE)
+    tidy(df.sparkSession)
     edges = [stash(verified(pairs, found, spec).distinct(), "join-edges", WIDE)]
+    tidy(df.sparkSession)
     labels = components(edges[0])
     opened = open_tiles(tiles, labels)
     tested, forests, used = [pairs], 2, []
@@ -254,13 +256,13 @@ def join(df: DataFrame, spec: Spec | None = None, id_col: str = "doc_id", text_c
         if fresh.limit(1).count():
             edges.append(stash(verified(fresh, found, spec).distinct(), "join-edges", WIDE))
             used.append(labels)
+            tidy(df.sparkSession)
             labels = components(reduce(DataFrame.union, edges))
         # only tiles that left pairs out go on
         opened = stash(opened.join(named.where("a = b").select(F.col("a").alias("tile")), "tile", "left_semi"), "join-open")
         forests *= 16
-    release(opened, *used, *tested, *edges)
-    tiles.unpersist()
-    found.unpersist()
+    release(opened, tiles, found, *used, *tested, *edges)
+    tidy(df.sparkSession)
     grouped = nodes.join(labels, "set", "left").select("set", "_rep", F.coalesce("comp", "set").alias("comp"))
     smallest = grouped.groupBy("comp").agg(F.min("_rep").alias("component"))
     classes = grouped.join(smallest, "comp").select("set", "component")

@@ -47,6 +47,11 @@ def stash(df: DataFrame, label: str, batch_rows: int = 0) -> DataFrame:
     return out
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver notice shuffles that nothing reads any more, so that their files go now."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables made by ``stash`` that nothing reads any more."""
     for df in tables:
