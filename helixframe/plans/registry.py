@@ -1,5 +1,313 @@
-"""Registered queries and their SQL."""
-def queries():
-    return {}
-def oracle_sql():
-    return {}
+"""Registered queries over the driver's tables, each with the SQL that must give the same rows.
+
+The tables hold no sequences, so nucleotide strings are derived from keys by a
+digest: 32 letters each, or a length that follows from the key.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from helixframe.functions import sequence as S
+from helixframe.operators import alignment, dedup, kmers, mapping, stats, tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+HEX, PLAIN, CODED = "0123456789abcdef", "ACGTACGTACGTACGT", "ACGTRYSWKMBDHVNA"
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _register(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _dna(spark: SparkSession, sf_dir: str, table: str = "part", key: str = "p_partkey", letters: str = PLAIN, mixed: bool = False) -> DataFrame:
+    digest = F.md5(F.col(key).cast("string"))
+    cut = F.substring(digest, F.lit(1), (F.col(key) % 9 + 4).cast("int")) if mixed else digest
+    return _table(spark, sf_dir, table).select(F.col(key).alias("id"), F.translate(cut, HEX, letters).alias("sequence"))
+
+
+def _dna_sql(table: str = "part", key: str = "p_partkey", letters: str = PLAIN, mixed: bool = False) -> str:
+    digest = f"md5({key}::VARCHAR)"
+    digest = f"substr({digest}, 1, ({key} % 9 + 4)::INT)" if mixed else digest
+    return f"SELECT {key} AS id, translate({digest}, '{HEX}', '{letters}') AS sequence FROM {table}"
+
+
+_RC = "reverse(translate({}, 'ATGC', 'TACG'))"
+_RC_ALL = f"reverse(translate({{}}, '{S.COMPLEMENT[0]}', '{S.COMPLEMENT[1]}'))"
+_CODON_MAP = "MAP {" + ", ".join(f"'{c}': '{a}'" for c, a in S.CODONS.items()) + "}"
+_KMERS = "list_transform(range(1, length({s}) - {k} + 2), lambda i: substr({s}, i, {k}))"
+
+
+@_register("""
+WITH d AS (SELECT source, length(text)::BIGINT AS l FROM documents),
+w AS (SELECT source, l, sum(l) OVER (PARTITION BY source ORDER BY l ROWS UNBOUNDED PRECEDING) AS cum, sum(l) OVER (PARTITION BY source) AS tot FROM d)
+SELECT source, count(*) AS n_seqs, sum(l)::BIGINT AS total_len, min(l) AS min_len, max(l) AS max_len, sum(l::DOUBLE * l) / sum(l) AS aun,
+    min(l) FILTER (WHERE 100 * cum >= tot * 50) AS n50, min(l) FILTER (WHERE 100 * cum >= tot * 10) AS n90 FROM w GROUP BY source""")
+def asm_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.length_stats(_table(spark, sf_dir, "documents").select("source", F.length("text").alias("length")), "source")
+
+
+@_register(f"""SELECT p_brand, avg(100.0 * (length(s) - length(replace(replace(s, 'G', ''), 'C', ''))) / length(s)) AS gc_percent
+FROM (SELECT p_brand, translate(md5(p_partkey::VARCHAR), '{HEX}', '{PLAIN}') AS s FROM part) GROUP BY 1""")
+def gc_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seqs = _table(spark, sf_dir, "part").select("p_brand", F.translate(F.md5(F.col("p_partkey").cast("string")), HEX, PLAIN).alias("sequence"))
+    return stats.mean_gc(seqs, "p_brand")
+
+
+@_register(f"SELECT id, {_RC.format('sequence')} AS revcomp, {_RC.format(chr(39) * 2)} || {_RC_ALL.format('sequence')} AS revcomp_iupac FROM ({_dna_sql(letters=CODED)})")
+def reverse_complements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("sequence")
+    return _dna(spark, sf_dir, letters=CODED).select("id", S.reverse_complement(s, "acgt").alias("revcomp"), S.reverse_complement(s).alias("revcomp_iupac"))
+
+
+@_register(f"SELECT id, {_RC.format(chr(114) + 'egexp_replace(sequence, ' + chr(39) + '[^ACGT]' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')} AS revcomp FROM ({_dna_sql(letters=CODED)})")
+def reverse_complement_plain_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dna(spark, sf_dir, letters=CODED).select("id", S.reverse_complement(F.col("sequence"), "acgt", "drop").alias("revcomp"))
+
+
+@_register(f"""SELECT kmer, count(*) AS n, count(DISTINCT id) AS n_ids FROM (SELECT id, unnest({_KMERS.format(s='sequence', k=6)}) AS kmer FROM ({_dna_sql()})) GROUP BY 1""")
+def kmer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.kmer_counts(_dna(spark, sf_dir), 6)
+
+
+@_register(f"""WITH d AS ({_dna_sql()}), k AS (SELECT id, unnest({_KMERS.format(s='sequence', k=11)}) AS kmer FROM d)
+SELECT id, sequence FROM d WHERE id IN (SELECT id FROM k WHERE kmer IN (SELECT kmer FROM k GROUP BY 1 HAVING count(DISTINCT id) > 1))""")
+def sharing_kmer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.sharing_kmer(_dna(spark, sf_dir), 11)
+
+
+@_register(f"""WITH d AS ({_dna_sql()}), k AS (SELECT id, unnest({_KMERS.format(s='sequence', k=10)}) AS kmer FROM d)
+SELECT id, sequence FROM d WHERE id IN (SELECT id FROM k WHERE kmer IN (SELECT kmer FROM k GROUP BY 1 HAVING count(*) > 1))""")
+def repeated_kmer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.repeated_kmer(_dna(spark, sf_dir), 10)
+
+
+@_register("SELECT doc_id, text FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
+def first_per_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.first_per_sequence(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+@_register(f"WITH d AS ({_dna_sql(mixed=True)}) SELECT id, sequence FROM d a WHERE NOT EXISTS (SELECT 1 FROM d b WHERE length(b.sequence) > length(a.sequence) AND contains(b.sequence, a.sequence))")
+def not_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.drop_contained(_dna(spark, sf_dir, mixed=True), 4)
+
+
+@_register("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
+def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.value_counts(_table(spark, sf_dir, "customer"), "c_mktsegment")
+
+
+@_register(f"SELECT codon, count(*) AS n, count(*) / 64.0::DOUBLE AS bias FROM (SELECT unnest(list_transform(range(0, length(sequence) // 3), lambda i: substr(sequence, i * 3 + 1, 3))) AS codon FROM ({_dna_sql()})) GROUP BY 1")
+def codon_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.codon_bias(_dna(spark, sf_dir))
+
+
+_FRAMES = " UNION ALL ".join(f"SELECT id, '{d}{f}' AS frame, substr({s}, {f}) AS s FROM d" for d, s in (("F", "sequence"), ("R", _RC.format("sequence"))) for f in (1, 2, 3))
+_PROTEINS = f"""WITH d AS ({{}}), f AS ({_FRAMES}), p AS (SELECT id, frame,
+array_to_string(list_filter(list_transform(range(0, length(s) // 3), lambda i: ({_CODON_MAP})[substr(s, i * 3 + 1, 3)]), lambda a: a IS NOT NULL), '') AS protein FROM f)"""
+
+
+@_register(_PROTEINS.replace("{}", _dna_sql(letters=CODED)) + " SELECT id, frame, protein FROM p")
+def six_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dna(spark, sf_dir, letters=CODED).select("id", F.inline(S.six_frames(F.col("sequence"))))
+
+
+@_register(_PROTEINS.replace("{}", _dna_sql()) + " SELECT id, frame, protein FROM p WHERE instr(protein, '*') IN (0, length(protein))")
+def open_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dna(spark, sf_dir).select("id", F.inline(S.six_frames(F.col("sequence")))).where(S.open_frame(F.col("protein")))
+
+
+@_register(_PROTEINS.replace("{}", _dna_sql()) + " SELECT id, string_split(protein, '*')[1] AS protein FROM p WHERE frame = 'F1'")
+def first_proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dna(spark, sf_dir).select("id", S.translate(F.col("sequence"), 1, to_stop=True).alias("protein"))
+
+
+FORWARD, REVERSE = "ARN", "CYT"
+_F, _R = S.iupac_regex(FORWARD), S.iupac_regex(S.reverse_complement_text(REVERSE))
+
+
+@_register(f"SELECT id, regexp_matches(sequence, '{_F}') AND regexp_matches(sequence, '{_R}') AS present FROM ({_dna_sql()})")
+def primer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dna(spark, sf_dir).select("id", mapping.primer_pair(F.col("sequence"), FORWARD, REVERSE).alias("present"))
+
+
+@_register(f"""SELECT id, CASE WHEN pos = 1 THEN 'FORWARD' WHEN pos > 0 AND pos + 2 = length(sequence) THEN 'REVERSE' ELSE 'NONE' END AS side
+FROM (SELECT id, sequence, CASE WHEN m <> '' THEN instr(sequence, m) ELSE 0 END AS pos FROM (SELECT *, regexp_extract(sequence, '{_F}') AS m FROM ({_dna_sql()})))""")
+def anchored_primers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dna(spark, sf_dir).select("id", mapping.anchored(F.col("sequence"), FORWARD).alias("side"))
+
+
+@_register(f"SELECT id || '_{FORWARD}_{REVERSE}' AS id, regexp_extract(sequence, '{_F}(.*?){_R}', 1) AS sequence FROM ({_dna_sql()}) WHERE regexp_matches(sequence, '{_F}.*?{_R}')")
+def amplicons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.amplicons(_dna(spark, sf_dir).withColumn("id", F.col("id").cast("string")), FORWARD, REVERSE)
+
+
+_IUPAC_ROWS = ", ".join(f"('{c}', '{b}')" for c, bases in S.IUPAC.items() for b in bases)
+
+
+@_register(f"""WITH RECURSIVE m(c, b) AS (VALUES {_IUPAC_ROWS}), d AS (SELECT s_suppkey AS id, translate(substr(md5(s_suppkey::VARCHAR), 1, 5), '{HEX}', '{CODED}') AS sequence FROM supplier),
+r AS (SELECT id, sequence, 0 AS k, '' AS variant FROM d UNION ALL SELECT id, sequence, k + 1, variant || b FROM r JOIN m ON c = substr(sequence, k + 1, 1) WHERE k < 5)
+SELECT id, variant FROM r WHERE k = 5""")
+def iupac_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    coded = F.translate(F.substring(F.md5(key.cast("string")), 1, 5), HEX, CODED)
+    return _table(spark, sf_dir, "supplier").select(key.alias("id"), F.explode(S.expand(coded)).alias("variant"))
+
+
+@_register(f"""SELECT id, i AS start FROM ({_dna_sql()}), range(1, 29) x(i)
+WHERE len(list_filter(range(0, 5), lambda k: NOT contains(['A', 'AG', 'ACGT', 'CT', 'G'][k + 1], substr(sequence, (i + k)::INT, 1)))) <= 1""")
+def pattern_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.map_one(_dna(spark, sf_dir), "ARNYG", 1).select("id", F.col("start").cast("long").alias("start"))
+
+
+_Q12 = f"SELECT s_suppkey AS id, translate(substr(md5(s_suppkey::VARCHAR), 1, 12), '{HEX}', '{PLAIN}') AS q FROM supplier"
+
+
+@_register(f"""WITH q AS (SELECT id, q, '+' AS strand FROM ({_Q12}) UNION ALL SELECT id, {_RC.format('q')}, '-' FROM ({_Q12})), r AS ({_dna_sql()}),
+m AS (SELECT q.id AS query_id, r.id AS ref_id, strand, i AS start, i + 11 AS "end", hamming(q, substr(sequence, i::INT, 12)) AS mismatch FROM q, r, range(1, 22) x(i))
+SELECT query_id, ref_id, strand, start, "end", mismatch FROM m WHERE mismatch <= 2""")
+def mapped_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.translate(F.substring(F.md5(F.col("s_suppkey").cast("string")), 1, 12), HEX, PLAIN).alias("sequence"))
+    out = mapping.map_queries(queries, _dna(spark, sf_dir), 2)
+    return out.withColumns({c: F.col(c).cast("long") for c in ("start", "end", "mismatch")})
+
+
+_NN = "MAP {" + ", ".join(f"'{p}': {{}}".format(v) for p, v in ((p, f"[{h}, {s}]") for p, (h, s) in S.NEAREST_NEIGHBOUR.items())) + "}"
+
+
+@_register(f"""SELECT id, 1000.0 * list_sum(list_transform(k, lambda p: coalesce(({_NN})[p][1], 0)))::DOUBLE / (list_sum(list_transform(k, lambda p: coalesce(({_NN})[p][2], 0)))::DOUBLE - 10.8 + 1.99 * ln(0.5e-6 / 4))
+- 273.15 + 16.6 * log10(0.05::DOUBLE) AS tm FROM (SELECT id, {_KMERS.format(s='sequence', k=2)} AS k FROM ({_dna_sql()}))""")
+def melting_temperatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dna(spark, sf_dir).select("id", S.melting_temperature(F.col("sequence")).alias("tm"))
+
+
+@_register(f"""SELECT id, coalesce(bool_or(substr(sequence, i::INT, k::INT) = {_RC.format('substr(sequence, (i + k)::INT, k::INT)')}) FILTER (WHERE i + 2 * k - 1 <= 32), false) AS hairpin
+FROM ({_dna_sql()}), range(4, 16) a(k), range(1, 26) b(i) GROUP BY id""")
+def hairpins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dna(spark, sf_dir).select("id", S.hairpin(F.col("sequence")).alias("hairpin"))
+
+
+@_register("""SELECT l_partkey AS key, coalesce(sum(1) FILTER (WHERE l_linestatus = 'F'), 0)::BIGINT AS "F", coalesce(sum(1) FILTER (WHERE l_linestatus = 'O'), 0)::BIGINT AS "O" FROM lineitem GROUP BY 1""")
+def merged_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("key"), F.col("l_linestatus").alias("sample")).agg(F.count("*").alias("n"))
+    return tables.merge_counts(long, ["F", "O"])
+
+
+@_register("""SELECT coalesce(c.k, s.k) AS key, coalesce(c.n, 0) AS customers, coalesce(s.n, 0) AS suppliers
+FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) c FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) s ON c.k = s.k""")
+def appended_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    count = lambda t, k, n: _table(spark, sf_dir, t).groupBy(F.col(k).alias("key")).agg(F.count("*").alias(n))
+    return tables.append_column(count("customer", "c_nationkey", "customers"), count("supplier", "s_nationkey", "suppliers"))
+
+
+@_register(f"""WITH d AS (SELECT sequence AS id, sum(id)::BIGINT AS n FROM ({_dna_sql(mixed=True)}) GROUP BY 1),
+m AS (SELECT a.id, a.n, (SELECT b.id FROM d b WHERE length(b.id) > length(a.id) AND contains(b.id, a.id) ORDER BY length(b.id) DESC, b.id LIMIT 1) AS up FROM d a)
+SELECT coalesce(up, id) AS id, sum(n)::BIGINT AS n FROM m GROUP BY 1""")
+def related_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _dna(spark, sf_dir, mixed=True).groupBy(F.col("sequence")).agg(F.sum("id").alias("n")).withColumnRenamed("sequence", "id")
+    return tables.merge_related(counts)
+
+
+_EXONS = "SELECT user_id AS transcript, event_id * 10 AS start, event_id * 10 + 5 AS e FROM events"
+
+
+@_register(f"""SELECT transcript, e + 1 AS start, nxt - 1 AS "end" FROM (SELECT transcript, e, lead(start) OVER (PARTITION BY transcript ORDER BY start, e) AS nxt FROM ({_EXONS})) WHERE nxt IS NOT NULL""")
+def introns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exons = _table(spark, sf_dir, "events").select(F.col("user_id").alias("transcript"), (F.col("event_id") * 10).alias("start"), (F.col("event_id") * 10 + 5).alias("end"))
+    return mapping.introns(exons)
+
+
+@_register(f"""SELECT id, s::INT AS start, e::INT AS "end", 'part' AS annotation, CASE WHEN s > e THEN {_RC_ALL.format('substr(sequence, e::INT, (s - e + 1)::INT)')} ELSE substr(sequence, s::INT, (e - s + 1)::INT) END AS sequence
+FROM (SELECT id, sequence, id % 20 + 1 AS s, id % 13 + 1 AS e FROM ({_dna_sql()}))""")
+def interval_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seqs = _dna(spark, sf_dir)
+    spans = seqs.select("id", (F.col("id") % 20 + 1).cast("int").alias("start"), (F.col("id") % 13 + 1).cast("int").alias("end"), F.lit("part").alias("annotation"))
+    return mapping.extract_intervals(seqs, spans)
+
+
+@_register(f"""WITH d AS ({_dna_sql()}), b AS (SELECT id, '+' AS strand, sequence AS s FROM d UNION ALL SELECT id, '-', {_RC.format('sequence')} FROM d),
+a AS (SELECT id, strand, s, i AS start FROM b, range(1, 31) x(i) WHERE substr(s, i::INT, 3) IN ('ATG', 'TTG', 'CTG', 'GTG'))
+SELECT id, strand, start, min(j) + 2 AS "end" FROM a, range(1, 31) y(j) WHERE j >= start AND (j - start) % 3 = 0 AND substr(s, j::INT, 3) IN ('TAA', 'TAG', 'TGA') GROUP BY ALL""")
+def open_reading_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mapping.open_reading_frames(_dna(spark, sf_dir))
+    return out.withColumns({c: F.col(c).cast("long") for c in ("start", "end")})
+
+
+@_register("SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, 'a.e') OR regexp_matches(p_name, 'red')")
+def keyword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select("p_partkey", "p_name").where(F.col("p_name").rlike("a.e") | F.col("p_name").rlike("red"))
+
+
+@_register("""SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM pages""")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("link"))
+
+
+@_register("SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256 FROM documents")
+def text_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("md5"), F.sha2("text", 256).alias("sha256"))
+
+
+@_register(f"SELECT id, '>' || id || chr(10) || substr(sequence, 1, 20) || chr(10) || substr(sequence, 21) AS record FROM ({_dna_sql()})")
+def wrapped_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dna(spark, sf_dir).select("id", F.concat(F.lit(">"), F.col("id").cast("string"), F.lit("\n"), S.wrap(F.col("sequence"), 20)).alias("record"))
+
+
+@_register("SELECT doc_id, (length(text) - round_even(0.85 * length(text), 0))::INT AS most FROM documents")
+def mismatch_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", S.max_mismatches(F.length("text"), 0.85).alias("most"))
+
+
+@_register("SELECT source, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) <= 5")
+def longest_five(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
+    return _table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars", rank.alias("_r")).where("_r <= 5").drop("_r")
+
+
+@_register("SELECT c_custkey, CASE WHEN length(c_name) > 12 THEN substr(c_name, 1, 9) || '...' ELSE c_name END AS name FROM customer")
+def truncated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "customer").select("c_custkey", S.truncated(F.col("c_name"), 12).alias("name"))
+
+
+@_register()
+def global_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring keys aligned; no SQL form (tests rescore the alignment)."""
+    a = _dna(spark, sf_dir)
+    b = a.select((F.col("id") - 1).alias("id"), F.col("sequence").alias("seq2"))
+    return alignment.align(a.select("id", F.col("sequence").alias("seq1")).join(b, "id"))
+
+
+@_register()
+def local_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _dna(spark, sf_dir)
+    b = a.select((F.col("id") - 1).alias("id"), F.col("sequence").alias("seq2"))
+    return alignment.align(a.select("id", F.col("sequence").alias("seq1")).join(b, "id"), local=True)
+
+
+@_register()
+def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.fold(_dna(spark, sf_dir))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
