@@ -139,17 +139,21 @@ def tile_rows(df: DataFrame, spec: Spec, text_col: str) -> DataFrame:
     return df.select(text_col).mapInArrow(run, "tile long, set long")
 
 
-def features(df: DataFrame, spec: Spec, text_col: str = "text") -> DataFrame:
-    """(set, bitmap, size, items) of rows (set, text): sorted hashes, and a bitmap of four to eight bits an item."""
+def features(df: DataFrame, spec: Spec, items: bool, text_col: str = "text") -> DataFrame:
+    """(set, bitmap, size), or (set, items) with the sorted hashes, of rows (set, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(1)):
                 wanted = batch.column(0).slice(lo, hi - lo).to_pylist()
                 us = [(s, u) for s, u in zip(wanted, shingle_sets(data, offsets, spec.size), strict=True) if len(u) and set_id(u) == s]  # an id's other texts are left out
-                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in us], pa.int64()), pa.array([bitmap(u).tobytes() for _, u in us], pa.binary()), pa.array([len(u) for _, u in us], pa.int32()), pa.array([u.tobytes() for _, u in us], pa.binary())], ["set", "bitmap", "size", "items"])
+                sets_ = pa.array([s for s, _ in us], pa.int64())
+                if items:
+                    yield pa.RecordBatch.from_arrays([sets_, pa.array([u.tobytes() for _, u in us], pa.binary())], ["set", "items"])
+                else:
+                    yield pa.RecordBatch.from_arrays([sets_, pa.array([bitmap(u).tobytes() for _, u in us], pa.binary()), pa.array([len(u) for _, u in us], pa.int32())], ["set", "bitmap", "size"])
 
-    return df.select("set", text_col).mapInArrow(run, "set long, bitmap binary, size int, items binary")
+    return df.select("set", text_col).mapInArrow(run, "set long, items binary" if items else "set long, bitmap binary, size int")
 
 
 def bitmap(u: np.ndarray) -> np.ndarray:
@@ -175,10 +179,11 @@ def linked(a: bytes, b: bytes, spec: Spec) -> bool:
     return spec.den * both >= spec.num * (len(u) + len(v) - both)
 
 
-def verified(pairs: DataFrame, found: DataFrame, spec: Spec) -> DataFrame:
-    """The pairs (a, b) that link; ``found`` has the features of their sets.
+def verified(pairs: DataFrame, bits: DataFrame, texts_of, spec: Spec) -> DataFrame:
+    """The pairs (a, b) that link, written.
 
-    Bitmaps, an eighth of the size, are joined first; sorted sets are only for pairs they let through.
+    Bitmaps are joined first; sorted sets are made only for sets of pairs that
+    they let through (``texts_of`` gives their texts).
     """
 
     def run(test):
@@ -195,12 +200,18 @@ def verified(pairs: DataFrame, found: DataFrame, spec: Spec) -> DataFrame:
         need = lambda both: spec.den * both >= spec.num * (n + m - both)
         return need(min(n, m)) and need(overlap_bound(np.frombuffer(bits_a.as_buffer(), np.uint8), n, np.frombuffer(bits_b.as_buffer(), np.uint8), m))
 
-    def joined(rows: DataFrame, *columns: str) -> DataFrame:
+    def joined(rows: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
         side = lambda s: found.select(F.col("set").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns])
         return rows.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{c}_{s}" for s in "ab" for c in columns])
 
-    near = joined(pairs, "bitmap", "size").mapInArrow(run(bounded), "a long, b long")
-    return joined(near, "items").mapInArrow(run(lambda x, y: linked(x.as_buffer(), y.as_buffer(), spec)), "a long, b long")
+    near = stash(joined(pairs, bits, "bitmap", "size").mapInArrow(run(bounded), "a long, b long").distinct(), "join-near", WIDE)
+    tidy(pairs.sparkSession)
+    items = stash(features(texts_of(near), spec, True), "join-items", WIDE)
+    tidy(pairs.sparkSession)
+    out = stash(joined(near, items, "items").mapInArrow(run(lambda x, y: linked(x.as_buffer(), y.as_buffer(), spec)), "a long, b long").distinct(), "join-edges", WIDE)
+    release(near, items)
+    tidy(pairs.sparkSession)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -238,12 +249,15 @@ def join(df: DataFrame, spec: Spec | None = None, id_col: str = "doc_id", text_c
     tiles = stash(shared.select("tile", "set", "least"), "join-tiles")
     tidy(df.sparkSession)
     pairs = stash(tiles.where("set != least").select(F.col("least").alias("a"), F.col("set").alias("b")).distinct(), "join-pairs")
-    needed = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-    wanted = nodes.join(needed, "set").select("set", F.col("_rep").alias(id_col))
-    found = stash(features(df.select(id_col, text_col).join(wanted, id_col), spec, text_col), "join-features", WIDE)
-    tidy(df.sparkSession)
-    edges = [stash(verified(pairs, found, spec).distinct(), "join-edges", WIDE)]
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        """(set, text) of one row of each set named in pairs."""
+        wanted = nodes.join(some.select(F.col("a").alias("set")).union(some.select("b")).distinct(), "set").select("set", F.col("_rep").alias(id_col))
+        return df.select(id_col, text_col).join(wanted, id_col).select("set", F.col(text_col).alias("text"))
+
+    found = stash(features(texts_of(pairs), spec, False), "join-bits", WIDE)
     tidy(df.sparkSession)
+    edges = [verified(pairs, found, texts_of, spec)]
     labels = components(edges[0])
     opened = open_tiles(tiles, labels)
     tested, forests, used = [pairs], 2, []
@@ -254,9 +268,8 @@ def join(df: DataFrame, spec: Spec | None = None, id_col: str = "doc_id", text_c
         tested.append(fresh)
         used += [named, opened]
         if fresh.limit(1).count():
-            edges.append(stash(verified(fresh, found, spec).distinct(), "join-edges", WIDE))
+            edges.append(verified(fresh, found, texts_of, spec))
             used.append(labels)
-            tidy(df.sparkSession)
             labels = components(reduce(DataFrame.union, edges))
         # only tiles that left pairs out go on
         opened = stash(opened.join(named.where("a = b").select(F.col("a").alias("tile")), "tile", "left_semi"), "join-open")
