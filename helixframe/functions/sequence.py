@@ -114,10 +114,14 @@ def max_mismatches(length: Column, similarity: float) -> Column:
     return (length - F.bround(F.lit(similarity) * length)).cast("int")
 
 
-# Nearest-neighbour enthalpy (kcal/mol) and entropy (cal/mol K) of DNA duplexes.
+# Nearest-neighbour enthalpy (kcal/mol) and entropy (cal/mol K) of DNA and RNA duplexes.
 NEAREST_NEIGHBOUR = {
-    "AA": (-7.9, -22.2), "AT": (-7.2, -20.4), "TA": (-7.2, -21.3), "CA": (-8.5, -22.7), "GT": (-8.4, -22.4),
-    "CT": (-7.8, -21.0), "GA": (-8.2, -22.2), "CG": (-10.6, -27.2), "GC": (-9.8, -24.4), "GG": (-8.0, -19.9),
+    "AA": (-9.1, -24.0), "AT": (-8.6, -23.9), "TA": (-6.0, -16.9), "CA": (-5.8, -12.9), "GT": (-6.5, -17.3),
+    "CT": (-7.8, -20.8), "GA": (-5.6, -13.5), "CG": (-11.9, -27.8), "GC": (-11.1, -26.7), "GG": (-11.0, -26.6),
+}
+NEAREST_NEIGHBOUR_RNA = {
+    "TT": (-6.6, -18.4), "TA": (-5.7, -15.5), "AT": (-8.1, -22.6), "GT": (-10.5, -27.8), "CA": (-10.2, -26.2),
+    "GA": (-7.6, -19.2), "CT": (-13.3, -35.5), "GC": (-8.0, -19.4), "CG": (-14.2, -34.9), "CC": (-12.2, -29.7),
 }
 
 

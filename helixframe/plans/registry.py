@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.functions import coding as C
 from helixframe.functions import sequence as S
-from helixframe.operators import alignment, dedup, kmers, mapping, stats, tables
+from helixframe.operators import alignment, dedup, gapped, kmers, mapping, search, stats, tables
+from helixframe.sources import responses
 
 Query = Callable[[SparkSession, str], DataFrame]
 HEX, PLAIN, CODED = "0123456789abcdef", "ACGTACGTACGTACGT", "ACGTRYSWKMBDHVNA"
@@ -304,6 +306,109 @@ def local_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.fold(_dna(spark, sf_dir))
 
+_PROTEIN = "MLKSRAWFGVITPHQC"
+
+
+def _proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.translate(F.substring(F.md5(F.col("s_suppkey").cast("string")), 1, 8), HEX, _PROTEIN).alias("protein"))
+
+
+_P8 = f"SELECT s_suppkey AS id, translate(substr(md5(s_suppkey::VARCHAR), 1, 8), '{HEX}', '{_PROTEIN}') AS protein FROM supplier"
+_FORMS = ", ".join(f"('{a}', '{c}')" for a, forms in C.DEGENERATE.items() for c in forms)
+_ONE_FORM = "MAP {" + ", ".join(f"'{a}': '{c}'" for a, c in ({a: f[0] for a, f in C.DEGENERATE.items()} | C.MERGED).items()) + "}"
+
+
+@_register(f"""WITH RECURSIVE m(a, c) AS (VALUES {_FORMS}), d AS ({_P8}),
+r AS (SELECT id, protein, 0 AS k, '' AS dna FROM d UNION ALL SELECT id, protein, k + 1, dna || c FROM r JOIN m ON a = substr(protein, k + 1, 1) WHERE k < 8)
+SELECT id, dna FROM r WHERE k = 8""")
+def reverse_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _proteins(spark, sf_dir).select("id", F.explode(C.reverse_translations(F.col("protein"))).alias("dna"))
+
+
+@_register(f"SELECT id, array_to_string(list_transform(range(1, 9), lambda i: ({_ONE_FORM})[substr(protein, i, 1)]), '') AS dna FROM ({_P8})")
+def reverse_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _proteins(spark, sf_dir).select("id", C.reverse_translation(F.col("protein")).alias("dna"))
+
+
+@_register(f"""WITH d AS (SELECT s_suppkey AS id, translate(substr(md5(s_suppkey::VARCHAR), 1, 5), '{HEX}', 'ACGTRYACGTRYACRY') AS s FROM supplier)
+SELECT DISTINCT id, replace(replace(s, 'R', r), 'Y', y) AS variant FROM d, (VALUES ('A'), ('G')) a(r), (VALUES ('C'), ('T')) b(y)""")
+def code_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = F.translate(F.substring(F.md5(F.col("s_suppkey").cast("string")), 1, 5), HEX, "ACGTRYACGTRYACRY")
+    return _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.explode(C.expand_per_code(coded)).alias("variant"))
+
+
+@_register(f"""WITH d AS (SELECT id, list_distinct({_KMERS.format(s='substr(sequence, 1, 16)', k=3)}) AS x, list_distinct({_KMERS.format(s='substr(sequence, 17)', k=3)}) AS y FROM ({_dna_sql()}))
+SELECT id, len(list_intersect(x, y))::DOUBLE / greatest(len(x), len(y)) AS similarity FROM d""")
+def half_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("sequence")
+    return _dna(spark, sf_dir).select("id", C.kmer_similarity(F.substring(s, 1, 16), F.substring(s, 17, 16), 3).alias("similarity"))
+
+
+@_register(f"""WITH q AS (SELECT id, q, '+' AS strand FROM ({_Q12}) UNION ALL SELECT id, {_RC.format('q')}, '-' FROM ({_Q12})), r AS ({_dna_sql('nation', 'n_nationkey')}),
+m AS (SELECT q.id AS short_id, r.id AS long_id, strand, i AS start, i + 11 AS "end", hamming(q, substr(sequence, i::INT, 12)) AS mismatch FROM q, r, range(1, 22) x(i)),
+k AS (SELECT *, min(mismatch) FILTER (WHERE strand = '+') OVER (PARTITION BY short_id, long_id) AS best FROM m WHERE mismatch <= 12 - round_even(0.7 * 12, 0))
+SELECT short_id, long_id, start, CASE WHEN "end" > 32 THEN "end" - 32 ELSE "end" END AS "end", mismatch, (12 - mismatch) / 12.0::DOUBLE AS similarity, 12 / 32.0::DOUBLE AS coverage, strand
+FROM k WHERE strand = '+' OR best IS NULL OR mismatch < best""")
+def mapped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.translate(F.substring(F.md5(F.col("s_suppkey").cast("string")), 1, 12), HEX, PLAIN).alias("sequence"))
+    out = search.map_pairs(queries, _dna(spark, sf_dir, "nation", "n_nationkey"), 0.7)
+    return out.withColumns({c: F.col(c).cast("long") for c in ("start", "end", "mismatch")})
+
+
+@_register(f"""WITH d AS ({_dna_sql()}), w AS (SELECT id, sequence, i AS start, substr(sequence, i::INT, 8) AS primer FROM d, range(1, 26) x(i) WHERE i + 7 < 12 OR i > 20),
+t AS (SELECT *, 1000.0 * list_sum(list_transform(k, lambda p: coalesce(({_NN})[p][1], 0)))::DOUBLE / (list_sum(list_transform(k, lambda p: coalesce(({_NN})[p][2], 0)))::DOUBLE - 10.8 + 1.99 * ln(0.5e-6 / 4))
+- 273.15 + 16.6 * log10(0.05::DOUBLE) AS tm FROM (SELECT *, {_KMERS.format(s='primer', k=2)} AS k FROM w))
+SELECT id, primer, CASE WHEN start > 20 THEN 'downstream' ELSE 'upstream' END AS position, start, start + 7 AS "end", tm FROM t
+WHERE tm BETWEEN -20 AND 20 AND length(sequence) - length(replace(sequence, primer, '')) = 8""")
+def flanking_primers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 8 can't hold two stems of 4 under half their length, so the SQL needs no hairpin test."""
+    out = search.flanking_primers(_dna(spark, sf_dir), 12, 20, 8, -20.0, 20.0)
+    return out.withColumns({c: F.col(c).cast("long") for c in ("start", "end")})
+
+
+_SPANS = "SELECT user_id AS id, CASE WHEN event_id % 2 = 0 THEN '+' ELSE '-' END AS strand, event_id * 7 % 5000 AS start, event_id * 7 % 5000 + event_id % 11 AS \"end\" FROM events"
+
+
+@_register(f"""WITH s AS (SELECT DISTINCT * FROM ({_SPANS})), f AS (SELECT a.*, min(CASE WHEN b.id IS NOT NULL THEN {{'s': b.start, 'e': b."end"}} END) AS o
+FROM s a LEFT JOIN s b ON a.id = b.id AND a.strand = b.strand AND a.start <= b."end" AND a."end" >= b.start AND NOT (a.start = b.start AND a."end" = b."end") GROUP BY ALL)
+SELECT DISTINCT id, strand, CASE WHEN o IS NULL OR "end" - start > o.e - o.s THEN start ELSE o.s END AS start, CASE WHEN o IS NULL OR "end" - start > o.e - o.s THEN "end" ELSE o.e END AS "end" FROM f""")
+def longer_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    strand = F.when(F.col("event_id") % 2 == 0, "+").otherwise("-")
+    start = F.col("event_id") * 7 % 5000
+    spans = _table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), strand.alias("strand"), start.alias("start"), (start + F.col("event_id") % 11).alias("end"))
+    return search.keep_longer_overlaps(spans)
+
+
+@_register("SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS text FROM pages")
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", responses.page_title(F.col("html")).alias("title"), C.plain_text(F.col("html")).alias("text"))
+
+
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _dna(spark, sf_dir)
+    return a.select("id", F.col("sequence").alias("seq1")).join(a.select((F.col("id") - 1).alias("id"), F.col("sequence").alias("seq2")), "id")
+
+
+@_register()
+def free_end_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gapped.align_with(_neighbours(spark, sf_dir), gapped.FREE_ENDS)
+
+
+@_register()
+def merged_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gapped.merge_reads(_neighbours(spark, sf_dir))
+
+
+@_register()
+def aligned_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gapped.align_families(_dna(spark, sf_dir, "nation", "n_nationkey").withColumn("family", F.col("id") % 5), "family")
+
+
+@_register()
+def folded_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gapped.fold_strands(_dna(spark, sf_dir))
+
+
 
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)

@@ -56,3 +56,30 @@ def write_records(df: DataFrame, path: str, width: int = 0, compression: str = "
 def last_per_id(df: DataFrame) -> DataFrame:
     order = Window.partitionBy("id").orderBy(F.desc("rec_idx"))
     return df.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+
+
+def read_sequences(spark: SparkSession, path: str) -> DataFrame:
+    """FASTA or FASTQ by each file's first letter: id, sequence, quality, file.
+
+    Files are told apart first, then each reader keeps its own.
+    """
+    first = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("i")).where("trim(value) <> ''")
+    kinds = first.groupBy("file").agg(F.substring(F.min_by("value", "i"), 1, 1).alias("kind"))
+    fastq = read_fastq(spark, path).join(kinds.where("kind = '@'"), "file", "left_semi")
+    fasta = read_fasta(spark, path).join(kinds.where("kind = '>'"), "file", "left_semi")
+    columns = ["id", "sequence", "quality", "file"]
+    return fasta.select(columns).unionByName(fastq.select(columns))
+
+
+def read_proteins(spark: SparkSession, path: str) -> DataFrame:
+    """FASTA of amino acids; raises on the ambiguous B and on anything but letters."""
+    rows = read_fasta(spark, path)
+    broken = F.col("sequence").rlike("[^A-Z]|B")
+    return rows.withColumn("sequence", F.when(broken, F.raise_error(F.concat(F.lit("not a protein: "), "id"))).otherwise(F.col("sequence")))
+
+
+def read_dedup(spark: SparkSession, path: str) -> DataFrame:
+    """First record of each sequence, shortest first."""
+    from helixframe.operators.dedup import first_per_sequence
+
+    return first_per_sequence(read_fasta(spark, path), "rec_idx").orderBy(F.length("sequence"), "rec_idx")
