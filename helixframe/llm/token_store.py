@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.byte_bpe import IdTable, spread
+from helixframe.llm.byte_bpe import IdTable, flattened, spread
 from helixframe.llm.store import release, stash
 from helixframe.llm.textops import Hasher, chunks, words
 
@@ -105,24 +105,29 @@ class WordTokenizer:
 
         def make(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             texts = [raw[a[i] : b[i]].decode() for i in new.tolist()]
-            counts, parts = np.zeros(len(texts), np.int64), [np.zeros(0, np.uint32)] * len(texts)
+            counts, at, flat, used = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [np.zeros(0, np.uint32)], 0
+
+            def take(some: list[int], ids: np.ndarray, n: np.ndarray) -> None:
+                nonlocal used
+                counts[some] = n
+                at[some] = used + np.cumsum(n) - n
+                flat.append(ids)
+                used += len(ids)
+
             # Latin letters only: one pre-token, so one word end
-            plain = [k for k, t in enumerate(texts) if t.isalpha() and (t.isascii() or (max(t) < "\u0250" and "\u0130" not in t))]
+            simple = [t.isalpha() and (t.isascii() or (max(t) < "\u0250" and "\u0130" not in t)) for t in texts]
+            plain = [k for k, x in enumerate(simple) if x]
             for lo in range(0, len(plain), _BATCH):
                 some = plain[lo : lo + _BATCH]
                 ids = np.array(self.tokenizer.encode(" ".join([texts[k] for k in some]), add_special_tokens=False).ids, np.uint32)
-                end = np.flatnonzero(self.ends[ids]) + 1
-                counts[some] = np.diff(end, prepend=0)
-                for k, x in zip(some, np.split(ids, end[:-1]), strict=True):
-                    parts[k] = x
-            held = set(plain)
-            rest = [k for k in range(len(texts)) if k not in held]
+                take(some, ids, np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0))
+            rest = [k for k, x in enumerate(simple) if not x]
             for lo in range(0, len(rest), _BATCH):
                 some = rest[lo : lo + _BATCH]
-                for k, x in zip(some, self.tokenizer.encode_batch_fast([texts[k] for k in some], add_special_tokens=False), strict=True):
-                    parts[k] = np.array(x.ids, np.uint32)
-                    counts[k] = len(x.ids)
-            return counts, np.concatenate(parts)
+                found = [x.ids for x in self.tokenizer.encode_batch_fast([texts[k] for k in some], add_special_tokens=False)]
+                n, ids = flattened(found)
+                take(some, ids, n)
+            return counts, np.concatenate(flat)[spread(counts, at)]
 
         held = self.table.slots(keys, make)[back]
         count = self.table.count[held]
