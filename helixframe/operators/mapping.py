@@ -29,29 +29,75 @@ def amplicons(df: DataFrame, forward: str, reverse: str) -> DataFrame:
     return out
 
 
+#: Letters of a seed; shorter pieces take the nested loop, longer ones are cut.
+SEEDS = (4, 8, 16, 32)
+
+
+def seed_size(piece: Column) -> Column:
+    """The largest seed that a piece holds; null where it holds none."""
+    out = F.lit(None).cast("int")
+    for size in SEEDS:
+        out = F.when(piece >= size, size).otherwise(out)
+    return out
+
+
+def windows(text: Column, size: int) -> Column:
+    """All strings of ``size`` letters, by start; none if the text is shorter."""
+    last = F.length(text) - size + 1
+    return F.transform(F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>")), lambda i: F.substring(text, i, F.lit(size)))
+
+
+def seed_candidates(shorts: DataFrame, longs: DataFrame, circular: bool = False) -> DataFrame:
+    """Distinct (s_key, l_key) of texts that share a seed.
+
+    ``shorts``: s_key, s, most, and the seed's size; ``longs``: l_key, l. Of
+    most + 1 pieces of a text one is free of mismatches, so every pair within
+    ``most`` shares the first letters of that piece. A circular text is read
+    around its end.
+    """
+    sizes = [r[0] for r in shorts.select("size").distinct().collect()]  # at most one for each of SEEDS
+    piece = F.floor(F.length("s") / (F.col("most") + 1)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.col("most")), lambda i: F.substring("s", i * piece + 1, F.col("size")))
+    seeds = shorts.select("s_key", F.explode(F.array_distinct(cut)).alias("seed"))
+    around = lambda k: F.concat("l", F.substring("l", 1, k - 1)) if circular else F.col("l")
+    found = longs.select("l_key", F.explode(F.array_distinct(F.flatten(F.array(*[windows(around(k), k) for k in sizes or SEEDS[:1]])))).alias("seed"))
+    return seeds.join(found, "seed").select("s_key", "l_key").distinct()
+
+
 def map_queries(queries: DataFrame, references: DataFrame, most: int, strands: bool = True) -> DataFrame:
-    """(query_id, ref_id, strand, start, end, mismatch) of plain ACGT queries within ``most`` mismatches.
+    """(query_id, ref_id, strand, start, end, mismatch) of queries within ``most`` mismatches; codes match where their base sets meet.
 
-    Of most + 1 pieces of a query one matches exactly, so seeds join on pieces;
-    candidates are distinct before they are verified.
+    Of most + 1 pieces of a plain query one matches a plain reference exactly, so
+    seeds join on pieces; a window carries the letters around it, no more than
+    twice the longest seeded query, never its whole reference. Candidates are
+    distinct before they are verified. Ambiguous texts, and queries whose pieces
+    are shorter than a seed, are searched pair by pair.
     """
-    q = queries.select(F.col("id").alias("query_id"), F.col("sequence").alias("q"), F.lit("+").alias("strand"))
+    q = queries.select(F.col("id").alias("query_id"), F.upper("sequence").alias("q"), F.lit("+").alias("strand"))
     if strands:
-        q = q.union(queries.select("id", reverse_complement(F.col("sequence")), F.lit("-")))
-    n = F.floor(F.length("q") / (most + 1)).cast("int")
-    q = q.withColumn("piece", n).where("piece > 0")
-    seeds = q.select("query_id", "q", "strand", F.explode(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.struct((i * F.col("piece") + 1).alias("at"), F.substring("q", i * F.col("piece") + 1, F.col("piece")).alias("seed")))).alias("s"))
-    sizes = [r[0] for r in q.select("piece").distinct().collect()]  # distinct lengths of short queries
-    r = references.select(F.col("id").alias("ref_id"), F.col("sequence").alias("r"))
-
-    def windows(k: int) -> Column:
-        last = F.greatest(F.length("r") - k + 1, F.lit(1))
-        return F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(i.alias("pos"), F.substring("r", i, F.lit(k)).alias("seed")))
-
-    places = r.select("ref_id", "r", F.explode(F.flatten(F.array(*[windows(k) for k in sizes or [1]]))).alias("x")).select("ref_id", "r", "x.pos", "x.seed")
-    found = seeds.join(places, F.col("s.seed") == F.col("seed")).select("query_id", "q", "strand", "ref_id", "r", (F.col("pos") - F.col("s.at") + 1).alias("start")).where("start >= 1 AND start + length(q) - 1 <= length(r)").distinct()
-    bad = mismatches(masks(F.col("q")), masks(F.substring("r", F.col("start"), F.length("q"))))
-    return found.withColumn("mismatch", bad).where(F.col("mismatch") <= most).select("query_id", "ref_id", "strand", "start", (F.col("start") + F.length("q") - 1).alias("end"), "mismatch")
+        q = q.union(queries.select("id", reverse_complement(F.upper("sequence")), F.lit("-")))
+    plain = lambda c: F.coalesce(~F.col(c).rlike("[^ACGT]"), F.lit(False))
+    q = q.where("length(q) > 0").withColumn("piece", F.floor(F.length("q") / (most + 1)).cast("int"))
+    q = q.withColumn("size", F.when(plain("q"), seed_size(F.col("piece"))))
+    r = references.select(F.col("id").alias("ref_id"), F.upper("sequence").alias("r"))
+
+    held = {x["size"]: x["n"] for x in q.where("size IS NOT NULL").groupBy("size").agg(F.max(F.length("q")).alias("n")).collect()}  # at most one row for each of SEEDS
+    seeds = q.where("size IS NOT NULL").select("query_id", "q", "strand", "size", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.substring("q", i * F.col("piece") + 1, F.col("size")))).alias("part", "seed"), "piece")
+    reach = max(held.values(), default=1)
+    places = r.where(plain("r")).select("ref_id", "r", F.explode(F.array(*[F.lit(k) for k in held or SEEDS[:1]])).alias("k"))
+    places = places.withColumn("last", F.length("r") - F.col("k") + 1).where("last >= 1").select("ref_id", "r", "k", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("pos"))
+    from_ = F.greatest(F.col("pos") - reach, F.lit(1))
+    places = places.select("ref_id", "pos", from_.alias("from"), F.substring("r", F.col("pos"), F.col("k")).alias("seed"), F.substring("r", from_, F.col("pos") - from_ + reach).alias("near"))
+    start, n = F.col("start"), F.length("q")
+    hit = F.substring("near", start - F.col("from") + 1, n)
+    found = seeds.join(places, "seed").withColumn("start", F.col("pos") - F.col("part") * F.col("piece")).where("start >= 1")
+    found = found.select("query_id", "q", "strand", "ref_id", "start", hit.alias("hit")).where("length(hit) = length(q)").distinct()
+    found = found.withColumn("mismatch", mismatches(masks(F.col("q")), masks(F.col("hit")))).where(F.col("mismatch") <= most)
+    found = found.select("query_id", "ref_id", "strand", "start", (start + n - 1).alias("end"), "mismatch")
+
+    rest = q.join(r, (F.col("size").isNull() | ~plain("r")) & (n <= F.length("r")))
+    rest = rest.withColumn("start", F.explode(hamming_hits(F.col("r"), F.col("q"), most))).withColumn("mismatch", mismatches(masks(F.substring("r", start, n)), masks(F.col("q"))))
+    return found.unionByName(rest.select("query_id", "ref_id", "strand", "start", (start + n - 1).alias("end"), "mismatch"))
 
 
 def map_one(text: DataFrame, pattern: str, most: int) -> DataFrame:

@@ -6,8 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.functions.coding import circular_end, kmer_similarity, mutual_match, occurs_once
+from helixframe.functions.coding import circular_end, kmer_similarity, mutual_match, occurs_once, plain
 from helixframe.functions.sequence import hairpin, hamming_hits, masks, max_mismatches, melting_temperature, mismatches, reverse_complement
+from helixframe.operators.mapping import seed_candidates, seed_size
 
 
 def _windows(long: Column, size: Column) -> Column:
@@ -16,30 +17,46 @@ def _windows(long: Column, size: Column) -> Column:
     return F.when((size > 0) & (last >= 1), F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
 
 
-def _oriented(queries: DataFrame, references: DataFrame, circular: bool, coverage: float) -> DataFrame:
-    """Pairs by coverage with the shorter one first; a circular reference turns around beyond half its length."""
-    q = queries.select(F.col("id").alias("q_id"), F.col("sequence").alias("q"))
-    r = references.select(F.col("id").alias("r_id"), F.col("sequence").alias("r"))
-    n, m = F.length("q"), F.length("r")
-    ratio = F.least(n, m) / F.greatest(n, m)
-    turned = (n * 2 > m) & (n > m) if circular else n > m
-    pairs = q.join(r, (ratio >= coverage) & (F.least(n, m) > 0))
-    side = lambda a, b: F.when(turned, F.col(b)).otherwise(F.col(a))
-    return pairs.select(side("q_id", "r_id").alias("short_id"), side("r_id", "q_id").alias("long_id"), side("q", "r").alias("s"), side("r", "q").alias("l"))
+def _within(short: DataFrame, long: DataFrame, similarity: float, circular: bool, coverage: float, nucleotide: bool, equal: bool) -> DataFrame:
+    """(s_id, s, l_id, l) of pairs that may lie within the mismatches, the first no longer than the second (shorter, unless ``equal``).
+
+    Pairs of plain texts meet through shared seeds; a pair with an ambiguous text,
+    or with pieces shorter than a seed, meets in a nested loop. Rows are told by
+    id and digest, so rows that repeat keep their number.
+    """
+    letters = (lambda c: F.coalesce(plain(F.col(c)), F.lit(False))) if nucleotide else (lambda c: F.lit(True))
+    n = F.length("s")
+    fits = (n <= F.length("l") if equal else n < F.length("l")) & (n / F.length("l") >= coverage) & (n > 0)
+    key = lambda i, t: F.struct(F.col(i).alias("id"), F.xxhash64(t).alias("h"), F.length(t).alias("n"))
+    bound = max_mismatches(n, similarity)
+    a = short.select(F.col("id").alias("s_id"), F.col("sequence").alias("s")).where("length(s) > 0")
+    a = a.withColumn("s_key", key("s_id", "s")).withColumn("most", bound).withColumn("size", F.when(letters("s"), seed_size(F.floor(n / (bound + 1)))))
+    b = long.select(F.col("id").alias("l_id"), F.col("sequence").alias("l")).where("length(l) > 0").withColumn("l_key", key("l_id", "l")).withColumn("seeded", letters("l"))
+    quick, whole = a.where("size IS NOT NULL"), b.where("seeded")
+    forms = quick.select("s_key", "s", "most", "size")
+    if nucleotide:
+        forms = forms.union(quick.select("s_key", reverse_complement(F.col("s")), "most", "size"))
+    # row keys may hold a null id, which a plain equality would lose
+    near = seed_candidates(forms, whole.select("l_key", "l"), circular).select(F.col("s_key").alias("_s"), F.col("l_key").alias("_l"))
+    near = near.join(quick, F.col("_s").eqNullSafe(F.col("s_key"))).join(whole, F.col("_l").eqNullSafe(F.col("l_key"))).where(fits)
+    columns = ["s_id", "s", "l_id", "l"]
+    loop = a.join(b, (F.col("size").isNull() | ~F.col("seeded")) & fits)
+    return near.select(columns).unionByName(loop.select(columns))
 
 
 def map_pairs(queries: DataFrame, references: DataFrame, similarity: float = 0.85, coverage: float = 0.0, nucleotide: bool = True, circular: bool = False) -> DataFrame:
     """(short_id, long_id, start, end, mismatch, similarity, coverage, strand), ambiguity codes on either side.
 
-    General form for few or ambiguous references: pairs within the coverage meet
-    in a nested loop over which Spark chooses the side, and each pair is searched
-    inside one expression. ``mapping.map_queries`` is the seeded form for many
-    plain sequences. Reverse-strand places count where the forward strand has none
-    in the pair, and where they are strictly better than every forward place.
+    The shorter text of a pair is searched in the longer one (the query in the
+    reference if they tie), for pairs within the coverage. Pairs meet as in
+    ``_within``, and each is searched inside one expression. Reverse-strand places
+    count where the forward strand has none in the pair, and where they are
+    strictly better than every forward place. Null and empty texts match nothing.
     """
     if circular and not nucleotide:
         raise ValueError("only nucleotide references are circular")
-    pairs = _oriented(queries, references, circular, coverage)
+    pairs = _within(queries, references, similarity, circular, coverage, nucleotide, True).union(_within(references, queries, similarity, circular, coverage, nucleotide, False))
+    pairs = pairs.select(F.col("s_id").alias("short_id"), F.col("l_id").alias("long_id"), "s", "l")
     n, m = F.length("s"), F.length("l")
     most = max_mismatches(n, similarity)
     text = F.concat("l", F.substring("l", F.lit(1), n - 1)) if circular else F.col("l")
@@ -78,9 +95,8 @@ def map_windows(df: DataFrame, long: str, short: str, similarity: float = 0.0, c
 
 
 def mutual_windows(queries: DataFrame, references: DataFrame) -> DataFrame:
-    """(query_id, ref_id, start, end) where query and window match by ``mutual_match``; for small or ambiguous inputs, like ``map_pairs``."""
-    q = queries.select(F.col("id").alias("query_id"), F.col("sequence").alias("q"))
-    pairs = q.join(references.select(F.col("id").alias("ref_id"), F.col("sequence").alias("r")), F.length("q") <= F.length("r"))
+    """(query_id, ref_id, start, end) where query and window match by ``mutual_match``; pairs meet as in ``_within`` without mismatches."""
+    pairs = _within(queries, references, 1.0, False, 0.0, True, True).select(F.col("s_id").alias("query_id"), F.col("l_id").alias("ref_id"), F.col("s").alias("q"), F.col("l").alias("r"))
     n = F.length("q")
     rows = pairs.select("query_id", "ref_id", "q", "r", F.explode(_windows(F.col("r"), n)).alias("start"))
     hits = rows.where(mutual_match(F.col("q"), F.substring("r", F.col("start"), n)))

@@ -3,11 +3,12 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import coding as C
 from helixframe.functions import sequence as S
-from helixframe.operators import search
+from helixframe.operators import mapping, search
 
 
 def one(spark, column, **values):
@@ -39,10 +40,16 @@ def meet(x, y):
     return bool(set(S.IUPAC[x]) & set(S.IUPAC[y]))
 
 
-def test_map_pairs(spark):
+@pytest.mark.parametrize("low", [4, 13])
+def test_map_pairs(spark, low):
+    """Short pieces take the nested loop; from 13 letters on, plain pairs meet through seeds."""
     rng = random.Random(9)
-    q = [(k, "".join(rng.choices("ACGTN", [9, 9, 9, 9, 1], k=rng.randint(4, 7)))) for k in range(6)]
-    r = [(k + 100, "".join(rng.choices("ACGTR", [9, 9, 9, 9, 1], k=rng.randint(5, 20)))) for k in range(6)]
+    q = [(k, "".join(rng.choices("ACGTN", [9, 9, 9, 9, low == 4], k=rng.randint(low, low + 3)))) for k in range(6)]
+    r = [(k + 100, "".join(rng.choices("ACGTR", [9, 9, 9, 9, 1], k=rng.randint(low + 1, low + 16)))) for k in range(6)]
+    for k, (_, s) in enumerate(q[:4]):
+        t = s if k % 2 else S.reverse_complement_text(s)
+        r.append((200 + k, t[5:] + "GATTACA" + t[:5] if k < 2 else "CC" + t[:1] + "T" + t[2:] + "A" * k))
+    q.append((50, r[-1][1] + "GG"))
     frames = [spark.createDataFrame(x, "id int, sequence string") for x in (q, r)]
     for circular in (False, True):
         got = {(x.short_id, x.long_id, x.start, x.end, x.mismatch, x.strand) for x in search.map_pairs(*frames, 0.7, 0.2, circular=circular).collect()}
@@ -65,6 +72,22 @@ def test_map_pairs(spark):
     assert [(x.start, x.strand) for x in search.map_pairs(*protein, 1.0, nucleotide=False).collect()] == [(2, ".")]
 
 
+def test_repeated_and_null_rows(spark):
+    q = spark.createDataFrame([(1, "ACGTACGTACGTAC"), (1, "ACGTACGTACGTAC"), (None, "ACGTACGTACGTAC"), (2, None), (3, "")], "id int, sequence string")
+    r = spark.createDataFrame([(7, "TTACGTACGTACGTACTT"), (8, None)], "id int, sequence string")
+    assert sorted(((x.short_id, x.start) for x in search.map_pairs(q, r, 1.0).collect()), key=str) == [(1, 3), (1, 3), (None, 3)]
+    assert search.map_pairs(q.limit(0), r).count() == 0 and search.mutual_windows(q, r.limit(0)).count() == 0
+    assert sorted(((x.query_id, x.start) for x in mapping.map_queries(q, r, 0, strands=False).collect()), key=str) == [(1, 3), (None, 3)]
+
+
+def test_map_queries_short_and_ambiguous(spark):
+    q = [(1, "A"), (2, "ACGTACGT"), (3, "ACRTNCGT"), (4, "GGGTTTGGGTTTGGG"), (5, "AC")]
+    r = [(10, "TTACGTACGATTGGGTTTGGATTTGGG"), (11, "ACGTNCGT"), (12, "A")]
+    got = {(x.query_id, x.ref_id, x.start, x.mismatch) for x in mapping.map_queries(*[spark.createDataFrame(x, "id int, sequence string") for x in (q, r)], 1, strands=False).collect()}
+    want = {(a, b, i + 1, d) for (a, s), (b, t) in itertools.product(q, r) for i in range(len(t) - len(s) + 1) if (d := sum(not meet(*p) for p in zip(s, t[i : i + len(s)], strict=True))) <= 1}
+    assert got == want and {x[0] for x in got} == {1, 2, 3, 4, 5}
+
+
 def test_windows(spark):
     df = spark.createDataFrame([("AACGTAA", "ACGT")], "a string, b string")
     assert [(x.start, x.end, x.similarity) for x in search.map_windows(df, "a", "b", 0.9).collect()] == [(2, 5, 1.0)]
