@@ -38,3 +38,8 @@ def codon_bias(df: DataFrame, sequence: str = "sequence") -> DataFrame:
     """Count of each codon in frame 1 and its count over 64."""
     rows = df.select(F.explode(codons(F.col(sequence))).alias("codon"))
     return rows.groupBy("codon").agg(F.count("*").alias("n")).withColumn("bias", F.col("n") / F.lit(64.0))
+
+
+def column_widths(df: DataFrame) -> DataFrame:
+    """One row: each column's longest value in letters, 0 without values."""
+    return df.agg(*[F.coalesce(F.max(F.length(F.col(f"`{c}`").cast("string"))), F.lit(0)).alias(c) for c in df.columns])

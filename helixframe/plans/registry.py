@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions import coding as C
 from helixframe.functions import sequence as S
 from helixframe.operators import alignment, dedup, gapped, kmers, mapping, search, stats, tables
-from helixframe.sources import responses
+from helixframe.sources import fasta, flatfiles, responses
+from helixframe.sources import tables as source_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 HEX, PLAIN, CODED = "0123456789abcdef", "ACGTACGTACGTACGT", "ACGTRYSWKMBDHVNA"
@@ -306,6 +307,7 @@ def local_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.fold(_dna(spark, sf_dir))
 
+
 _PROTEIN = "MLKSRAWFGVITPHQC"
 
 
@@ -409,6 +411,221 @@ def folded_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gapped.fold_strands(_dna(spark, sf_dir))
 
 
+@_register(f"SELECT id::VARCHAR || ' x' AS id, sequence, length(sequence)::INT AS length FROM ({_dna_sql()})")
+def parsed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wrapped, lower-case record texts read back."""
+    text = F.concat(F.lit(">"), F.col("id").cast("string"), F.lit(" x\r\n"), S.wrap(F.lower("sequence"), 20), F.lit("\n"))
+    return _dna(spark, sf_dir).select(fasta.fasta_record(text).alias("r")).select("r.id", "r.sequence", F.length("r.sequence").alias("length"))
+
+
+@_register(f"""SELECT id, regexp_matches(sequence, '^[ATGCN]+$') AND id % 7 > 0 AND length(sequence) = 4 + id % 9 AS valid FROM ({_dna_sql(letters=CODED.replace('R', 'A'), mixed=True)})""")
+def valid_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some reads have no marker and none has a quality of another length."""
+    head = F.concat(F.when(F.col("id") % 7 > 0, "@").otherwise(""), F.col("id").cast("string"))
+    quality = F.repeat(F.lit("I"), (F.col("id") % 9 + 4).cast("int"))
+    return _dna(spark, sf_dir, letters=CODED.replace("R", "A"), mixed=True).select("id", fasta.valid_read(head, F.col("sequence"), F.lit("+"), quality).alias("valid"))
+
+
+@_register(f"SELECT id, sequence FROM ({_dna_sql(letters='ACGTACGTACGTACGR')}) WHERE NOT contains(sequence, 'R')")
+def plain_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dna(spark, sf_dir, letters="ACGTACGTACGTACGR").where(C.plain(F.col("sequence")))
+
+
+@_register(f"""SELECT p_brand, count(*) FILTER (WHERE regexp_matches(s, '{_F}') AND regexp_matches(s, '{_R}')) AS n_matches, count(*) AS n
+FROM (SELECT p_brand, translate(md5(p_partkey::VARCHAR), '{HEX}', '{PLAIN}') AS s FROM part) GROUP BY 1""")
+def matching_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seqs = _table(spark, sf_dir, "part").select("p_brand", F.translate(F.md5(F.col("p_partkey").cast("string")), HEX, PLAIN).alias("sequence"))
+    return seqs.groupBy("p_brand").agg(F.count_if(mapping.primer_pair(F.col("sequence"), FORWARD, REVERSE)).alias("n_matches"), F.count("*").alias("n"))
+
+
+@_register("""WITH f AS (SELECT l_partkey AS sample, l_linestatus AS file, count(*) FILTER (WHERE l_quantity > 25) AS n_matches, count(*) AS n_reads FROM lineitem GROUP BY 1, 2)
+SELECT sample, count(DISTINCT file) AS n_files, sum(n_matches)::BIGINT AS n_matches, sum(n_reads)::BIGINT AS n_reads,
+    CASE WHEN count(DISTINCT file) = 1 THEN 'SE' WHEN count(DISTINCT file) = 2 AND min(n_reads) = max(n_reads) THEN 'PE' ELSE 'UNEQUAL' END AS layout FROM f GROUP BY 1""")
+def sample_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("sample"), F.col("l_linestatus").alias("file"))
+    return search.sample_layout(files.agg(F.count_if(F.col("l_quantity") > 25).alias("n_matches"), F.count("*").alias("n_reads")))
+
+
+@_register("SELECT vec_id, 0.7::DOUBLE * list_max(list_transform(embedding, lambda x: abs(x)))::DOUBLE AS threshold FROM embeddings")
+def trace_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as traces: one channel as given, one turned over."""
+    up, down = (F.transform("embedding", lambda x: (sign * x).cast("double")) for sign in (F.lit(1.0), F.lit(-1.0)))
+    return _table(spark, sf_dir, "embeddings").select("vec_id", flatfiles.trace_threshold(F.create_map(F.lit("A"), up, F.lit("C"), down)).alias("threshold"))
+
+
+_SETS = "MAP {" + ", ".join(f"'{c}': '{b}'" for c, b in S.IUPAC.items()) + "}"
+_Q6 = f"SELECT s_suppkey AS id, translate(substr(md5(s_suppkey::VARCHAR), 1, 6), '{HEX}', '{CODED}') AS q FROM supplier"
+
+
+@_register(f"""WITH w AS (SELECT q.id AS query_id, r.id AS ref_id, i AS start, i + 5 AS "end", q, substr(sequence, i::INT, 6) AS s FROM ({_Q6}) q, ({_dna_sql('nation', 'n_nationkey', CODED)}) r, range(1, 28) x(i))
+SELECT query_id, ref_id, start, "end" FROM w WHERE q = s OR len(list_filter(range(1, 7), lambda k: NOT contains(({_SETS})[substr(q, k::INT, 1)], substr(s, k::INT, 1)) OR NOT contains('ACGT', substr(s, k::INT, 1)))) = 0
+OR len(list_filter(range(1, 7), lambda k: NOT contains(({_SETS})[substr(s, k::INT, 1)], substr(q, k::INT, 1)) OR NOT contains('ACGT', substr(q, k::INT, 1)))) = 0""")
+def mutual_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = F.translate(F.substring(F.md5(F.col("s_suppkey").cast("string")), 1, 6), HEX, CODED)
+    queries = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), coded.alias("sequence"))
+    out = search.mutual_windows(queries, _dna(spark, sf_dir, "nation", "n_nationkey", CODED))
+    return out.withColumns({c: F.col(c).cast("long") for c in ("start", "end")})
+
+
+@_register(f"""WITH d AS (SELECT id, sequence, reverse(substr(sequence, 9, 8)) AS s FROM ({_dna_sql()})),
+w AS (SELECT id, i AS start, list_distinct({_KMERS.format(s='s', k=3)}) AS x, list_distinct(list_transform(range(1, 7), lambda j: substr(sequence, (i + j - 1)::INT, 3))) AS y FROM d, range(1, 26) z(i))
+SELECT id, start, start + 7 AS "end", len(list_intersect(x, y))::DOUBLE / greatest(len(x), len(y)) AS similarity FROM w WHERE 2 * len(list_intersect(x, y)) > greatest(len(x), len(y))""")
+def similar_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _dna(spark, sf_dir).withColumn("part", F.reverse(F.substring("sequence", 9, 8)))
+    out = search.map_windows(rows, "sequence", "part", 0.5)
+    return out.select("id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "similarity")
+
+
+@_register(f"""WITH q AS (SELECT id, q, '+' AS strand FROM ({_Q12}) UNION ALL SELECT id, {_RC.format('q')}, '-' FROM ({_Q12})), r AS ({_dna_sql('nation', 'n_nationkey')}),
+m AS (SELECT q.id AS short_id, r.id AS long_id, strand, i AS start, i + 11 AS "end", hamming(q, substr(sequence || sequence, i::INT, 12)) AS mismatch FROM q, r, range(1, 33) x(i)),
+k AS (SELECT *, min(mismatch) FILTER (WHERE strand = '+') OVER (PARTITION BY short_id, long_id) AS best FROM m WHERE mismatch <= 12 - round_even(0.8 * 12, 0))
+SELECT short_id, long_id, start, CASE WHEN "end" > 32 THEN "end" - 32 ELSE "end" END AS "end", mismatch, (12 - mismatch) / 12.0::DOUBLE AS similarity, 12 / 32.0::DOUBLE AS coverage, strand
+FROM k WHERE strand = '+' OR best IS NULL OR mismatch < best""")
+def circular_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.translate(F.substring(F.md5(F.col("s_suppkey").cast("string")), 1, 12), HEX, PLAIN).alias("sequence"))
+    out = search.map_pairs(queries, _dna(spark, sf_dir, "nation", "n_nationkey"), 0.8, circular=True)
+    return out.withColumns({c: F.col(c).cast("long") for c in ("start", "end", "mismatch")})
+
+
+@_register(f"""WITH d AS (SELECT min(id) AS id, sequence FROM ({_dna_sql(mixed=True)}) GROUP BY sequence)
+SELECT id, sequence FROM d a WHERE NOT EXISTS (SELECT 1 FROM d b WHERE length(b.sequence) > length(a.sequence) AND contains(b.sequence, a.sequence))""")
+def distinct_uncontained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.drop_contained(dedup.first_per_sequence(_dna(spark, sf_dir, mixed=True), "id"), 4)
+
+
+_IUPAC_PLACES = ", ".join(f"('{c}', '{b}', {k}, {len(bases)})" for c, bases in S.IUPAC.items() for k, b in enumerate(bases))
+
+
+@_register(f"""WITH RECURSIVE m(c, b, k, n) AS (VALUES {_IUPAC_PLACES}), d AS (SELECT s_suppkey AS id, translate(substr(md5(s_suppkey::VARCHAR), 1, 5), '{HEX}', '{CODED}') AS sequence FROM supplier),
+r AS (SELECT id, sequence, 0 AS p, '' AS variant, 0 AS number, 1 AS stride FROM d UNION ALL SELECT id, sequence, p + 1, variant || b, number + k * stride, stride * n FROM r JOIN m ON c = substr(sequence, p + 1, 1) WHERE p < 5)
+SELECT id || '_' || (number + 1) AS id, variant FROM r WHERE p = 5""")
+def numbered_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids carry the variant's number; the first position varies fastest."""
+    key = F.col("s_suppkey")
+    coded = F.translate(F.substring(F.md5(key.cast("string")), 1, 5), HEX, CODED)
+    rows = _table(spark, sf_dir, "supplier").select(key.alias("id"), F.posexplode(S.expand(coded, first_fastest=True)).alias("k", "variant"))
+    return rows.select(F.concat(F.col("id").cast("string"), F.lit("_"), (F.col("k") + 1).cast("string")).alias("id"), "variant")
+
+
+@_register(f"SELECT DISTINCT id, substr(protein, 1, 3) || substr(protein, k, 1) || substr(protein, 6, 1) || substr(protein, k, 1) AS variant FROM ({_P8}), (VALUES (4), (5)) x(k)")
+def bracket_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("protein")
+    box = F.concat(F.lit("["), F.substring(p, 4, 2), F.lit("]"))
+    return _proteins(spark, sf_dir).select("id", F.explode(C.expand_brackets(F.concat(F.substring(p, 1, 3), box, F.substring(p, 6, 1), box))).alias("variant"))
+
+
+_MASKS = "MAP {" + ", ".join(f"'{c}': {m}" for c, m in S.MASK.items()) + "}"
+
+
+@_register(f"SELECT id, replace(sequence, 'T', 'U') AS rna, array_to_string(list_transform(range(1, 33), lambda i: ({_MASKS})[substr(sequence, i::INT, 1)]), ',') AS masks FROM ({_dna_sql(letters=CODED)})")
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("sequence")
+    return _dna(spark, sf_dir, letters=CODED).select("id", C.transcribe(s).alias("rna"), F.array_join(S.masks(s).cast("array<string>"), ",").alias("masks"))
+
+
+@_register("SELECT o_orderkey, format('{:,}', (o_orderkey * 7919)::BIGINT) AS number FROM orders")
+def grouped_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "orders").select("o_orderkey", C.thousands(F.col("o_orderkey") * 7919).alias("number"))
+
+
+@_register("SELECT c_custkey, CASE WHEN regexp_matches(v, '^[0-9]+$') THEN TRY_CAST(v AS BIGINT) ELSE 0 END AS n FROM (SELECT c_custkey, substr(md5(c_custkey::VARCHAR), 1, 2) AS v FROM customer)")
+def read_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "customer").select("c_custkey", source_tables.count_value(F.substring(F.md5(F.col("c_custkey").cast("string")), 1, 2)).alias("n"))
+
+
+@_register("""SELECT 'q' || s_suppkey AS query, k::INT AS hit_no, 'ACC' || k AS accession, 'title ' || k AS title, (k * 0.5)::DOUBLE AS e_value, (s_suppkey + k)::DOUBLE AS bit_score,
+100.0::DOUBLE * (s_suppkey * k % 50) / (50 + k) AS identity FROM supplier, range(1, 6) x(k)""")
+def report_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five of seven hits of a report per supplier."""
+    tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
+    text = lambda c: c.cast("string")
+    key = F.col("s_suppkey")
+
+    def hit(k: Column) -> Column:
+        hsp = F.concat(tag("Hsp_bit-score", text(key + k)), tag("Hsp_evalue", text(k * F.lit(0.5))), tag("Hsp_identity", text(key * k % 50)), tag("Hsp_align-len", text(k + 50)))
+        return tag("Hit", F.concat(tag("Hit_def", F.concat(F.lit("title "), text(k))), tag("Hit_accession", F.concat(F.lit("ACC"), text(k))), tag("Hsp", hsp), tag("Hsp", tag("Hsp_evalue", F.lit("9")))))
+
+    hits = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(7)), hit), "\n")
+    xml = F.concat(F.lit("<!DOCTYPE x>\n<BlastOutput>"), tag("Iteration", F.concat(tag("Iteration_query-def", F.concat(F.lit("q"), text(key))), hits)), F.lit("</BlastOutput>"))
+    return responses.top_hits(responses.search_hits(_table(spark, sf_dir, "supplier").select(xml.alias("xml"))))
+
+
+@_register("SELECT s_suppkey, 'R' || s_suppkey AS rid, (s_suppkey % 60)::INT AS wait, CASE WHEN s_suppkey % 2 = 0 THEN 'READY' END AS status FROM supplier")
+def job_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    status = F.when(key % 2 == 0, "\n Status=READY\n").otherwise("")
+    page = F.concat(F.lit("<!--\n RID = R"), key.cast("string"), F.lit("\n RTOE = "), (key % 60).cast("string"), status, F.lit("\n-->"))
+    return _table(spark, sf_dir, "supplier").select("s_suppkey", responses.job_ticket(page).alias("t")).select("s_suppkey", "t.rid", "t.wait", "t.status")
+
+
+@_register("""WITH e AS (SELECT c_custkey AS k, i, i * 100 + c_custkey % 7 AS s, i * 100 + c_custkey % 7 + 20 + i AS e FROM customer, range(1, 6) x(i) WHERE i <= c_custkey % 5 + 1)
+SELECT 'g' || a.k AS gene, 'human' AS species, 't' || a.k AS transcript, CASE WHEN a.k % 2 = 0 THEN '+' ELSE '-' END AS strand, a.e + 1 AS start, b.s - 1 AS "end" FROM e a JOIN e b ON a.k = b.k AND b.i = a.i + 1""")
+def gene_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exons come last first, as on a reverse strand."""
+    key = F.col("c_custkey")
+    exons = F.transform(F.reverse(F.sequence(F.lit(1), (key % 5 + 1).cast("int"))), lambda i: F.struct((i * 100 + key % 7).alias("start"), (i * 100 + key % 7 + 20 + i).alias("end")))
+    one = F.struct(F.concat(F.lit("t"), key.cast("string")).alias("id"), F.when(key % 2 == 0, 1).otherwise(-1).alias("strand"), exons.alias("Exon"))
+    gene = F.to_json(F.struct(F.concat(F.lit("g"), key.cast("string")).alias("display_name"), F.lit("human").alias("species"), F.array(one).alias("Transcript")))
+    return responses.gene_introns(_table(spark, sf_dir, "customer").select(gene.alias("json")))
+
+
+@_register("""WITH p AS (SELECT c_custkey AS id, c_custkey % 10 > 0 AS found, CASE WHEN c_custkey % 4 = 0 THEN 'NA' ELSE c_nationkey::VARCHAR END AS code, c_name AS title, c_mktsegment AS drug FROM customer)
+SELECT id, code, title AS disease, coalesce(n_name, 'NA') AS usa, coalesce(n_regionkey::VARCHAR, 'NA') AS world, (id % 3)::VARCHAR AS n_drugs, drug, 'NA' AS synonyms, 'c' || id AS chemical
+FROM p LEFT JOIN nation ON n_nationkey::VARCHAR = code AND n_nationkey < 20 WHERE found AND id % 3 > 0
+UNION ALL SELECT id, 'NA', 'NA', 'NA', 'NA', 'NA', 'NA', 'NA', 'NA' FROM p WHERE NOT found""")
+def disease_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages built from customers: some failed, some without drugs, some without a code."""
+    key, text = F.col("c_custkey"), lambda c: F.col(c).cast("string")
+    code = lambda system, value: F.concat(F.lit(f'{{"codingSystem": "{system}", "codeValue": "'), value, F.lit('"}'))
+    codes = F.concat(code("OMIM", F.lit("1")), F.when(key % 4 == 0, "").otherwise(F.concat(F.lit(", "), code("GARD", text("c_nationkey")))))
+    html = F.concat(
+        F.lit("<title>Disease: "), "c_name", F.lit('</title>\n<script type="application/ld+json">\n{"code": ['), codes, F.lit("]}\n</script><a>orphan drug(s) ("), (key % 3).cast("string"), F.lit(")</a>")
+    )
+    customers = _table(spark, sf_dir, "customer")
+    pages = customers.select(key.alias("id"), F.when(key % 10 > 0, html).alias("html"))
+    estimates = _table(spark, sf_dir, "nation").where("n_nationkey < 20").select(text("n_nationkey").alias("code"), F.col("n_name").alias("usa"), text("n_regionkey").alias("world"))
+    drugs = customers.where(key % 3 > 0).select(key.alias("id"), F.col("c_mktsegment").alias("drug"), F.lit(None).cast("string").alias("synonyms"), F.concat(F.lit("c"), key.cast("string")).alias("chemical"))
+    return responses.disease_rows(pages, estimates, drugs, "Disease: ")
+
+
+@_register(f"""SELECT 'gene|g' || id || '|+|3..9' AS id, substr(sequence, 3, 7) AS sequence, NULL::VARCHAR AS quality FROM ({_dna_sql()})
+UNION ALL SELECT 'CDS|c' || id || '|-|5..12', {_RC.format('substr(sequence, 5, 8)')}, NULL FROM ({_dna_sql()})""")
+def feature_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three features a record, one of them without a name."""
+    name = lambda c: F.concat(F.lit(c), F.col("id").cast("string"))
+    feature = lambda *v: F.struct(*[(x if isinstance(x, Column) else F.lit(x)).alias(n) for n, x in zip(("type", "name", "strand", "start", "end"), v, strict=True)])
+    features = F.array(feature("gene", name("g"), "+", 3, 9), feature("CDS", name("c"), "-", 5, 12), feature("CDS", F.lit(None).cast("string"), "-", 1, 2))
+    return flatfiles.feature_records(_dna(spark, sf_dir).select("sequence", features.alias("features")))
+
+
+@_register("SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
+def unvisited_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).join(_table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("id")), "id", "left_anti")
+
+
+@_register("SELECT DISTINCT source, lang FROM documents")
+def distinct_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("source", "lang").distinct()
+
+
+@_register("SELECT max(length(c_name))::INT AS c_name, max(length(c_mktsegment))::INT AS c_mktsegment FROM customer")
+def column_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.column_widths(_table(spark, sf_dir, "customer").select("c_name", "c_mktsegment"))
+
+
+@_register()
+def pair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gapped.pair_scores(_dna(spark, sf_dir, "nation", "n_nationkey").withColumn("family", F.col("id") % 5), "family")
+
+
+@_register()
+def covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy by length within a brand; tests compare with brute force."""
+    key = F.col("p_partkey")
+    cut = F.substring(F.md5(key.cast("string")), F.lit(1), (key % 9 + 4).cast("int"))
+    return search.cover_dedup(_table(spark, sf_dir, "part").select("p_brand", key.alias("id"), F.translate(cut, HEX, PLAIN).alias("sequence")), "p_brand")
+
+
 
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)

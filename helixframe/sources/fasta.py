@@ -28,14 +28,18 @@ def read_fasta(spark: SparkSession, path: str, drop_empty: bool = True) -> DataF
     return out.where("sequence <> ''") if drop_empty else out
 
 
+def valid_read(head: Column, seq: Column, plus: Column, quality: Column) -> Column:
+    """Whether four lines are one record: both markers, known bases, a quality as long as the sequence. Nulls are not."""
+    return F.coalesce(head.startswith("@") & seq.rlike("^[ATGCN]+$") & plus.startswith("+") & (F.length(quality) > 0) & (F.length(quality) == F.length(seq)), F.lit(False))
+
+
 def read_fastq(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
     """id, sequence, quality, file, rec_idx, valid; DROPMALFORMED leaves out broken records, FAILFAST raises."""
     whole = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n").alias("l"), F.col("_metadata.file_path").alias("file"))
     groups = F.sequence(F.lit(0), F.greatest(F.floor((F.size("l") - 1) / 4).cast("int"), F.lit(0)))
     rows = whole.select("file", F.posexplode(F.transform(groups, lambda i: F.slice("l", i * 4 + 1, 4))).alias("rec_idx", "r"))
     head, seq, plus, quality = (F.get("r", k) for k in range(4))
-    valid = F.coalesce(head.startswith("@") & seq.rlike("^[ATGCN]+$") & plus.startswith("+") & (F.length(quality) > 0) & (F.length(quality) == F.length(seq)), F.lit(False))
-    out = rows.select(F.trim(F.substring(head, F.lit(2), F.length(head))).alias("id"), F.upper(seq).alias("sequence"), quality.alias("quality"), "file", "rec_idx", valid.alias("valid"))
+    out = rows.select(F.trim(F.substring(head, F.lit(2), F.length(head))).alias("id"), F.upper(seq).alias("sequence"), quality.alias("quality"), "file", "rec_idx", valid_read(head, seq, plus, quality).alias("valid"))
     if mode == "DROPMALFORMED":
         return out.where("valid")
     return out.where(F.when(F.col("valid"), True).otherwise(F.raise_error(F.lit("malformed FASTQ record")).cast("boolean"))) if mode == "FAILFAST" else out
