@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from helixframe.functions.sequence import IUPAC, kmers, masks
+from helixframe.functions.sequence import IUPAC, bind, kmers, masks
 
 # Degenerate codons of each amino acid; the families with two codon boxes are listed whole and merged.
 DEGENERATE = {
@@ -81,8 +81,12 @@ def kmer_similarity(a: Column, b: Column, k: Column | int) -> Column:
     """Distinct k-mers of ``a`` that some k-mer of ``b`` is compatible with (base sets meet), over the larger set's size; 0 without k-mers."""
     x, y = (F.array_distinct(F.transform(kmers(s, k), masks)) for s in (a, b))
     meet = lambda p, q: ~F.exists(F.zip_with(p, q, lambda u, v: F.coalesce(u.bitwiseAND(v), F.lit(0))), lambda z: z == 0)
-    matched = F.size(F.filter(x, lambda p: F.exists(y, lambda q: meet(p, q))))
-    return F.coalesce(F.try_divide(matched.cast("double"), F.greatest(F.size(x), F.size(y))), F.lit(0.0))
+
+    def share(v: Column) -> Column:
+        matched = F.size(F.filter(v["x"], lambda p: F.exists(v["y"], lambda q: meet(p, q))))
+        return F.try_divide(matched.cast("double"), F.greatest(F.size(v["x"]), F.size(v["y"])))
+
+    return F.coalesce(bind(F.struct(x.alias("x"), y.alias("y")), share), F.lit(0.0))
 
 
 def mutual_match(a: Column, b: Column) -> Column:

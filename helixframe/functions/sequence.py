@@ -6,6 +6,8 @@ Spark SQL, so it stays inside code generation and pushes down.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,10 +78,17 @@ def reverse_complement_text(primer: str) -> str:
     return primer.translate(str.maketrans(*COMPLEMENT))[::-1]
 
 
+_CONTROLS = "".join(map(chr, range(1, 16)))
+
+
 def masks(s: Column) -> Column:
-    """Four-bit base sets of each letter; null for letters outside the code."""
-    table = _map(MASK)
-    return F.transform(F.split(s, ""), lambda c: F.try_element_at(table, c))
+    """Four-bit base sets of each letter; null for letters outside the code.
+
+    Letters become the characters numbered by their sets, which is faster than a
+    map's lookup; such characters in the text itself stand for no base.
+    """
+    coded = F.translate(s, "".join(MASK) + _CONTROLS, "".join(map(chr, MASK.values())) + "?" * len(_CONTROLS))
+    return F.transform(F.split(coded, ""), lambda c: F.when(F.ascii(c).between(1, 15), F.ascii(c)))
 
 
 def mismatches(a: Column, b: Column) -> Column:
@@ -87,13 +96,18 @@ def mismatches(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: F.coalesce(x.bitwiseAND(y), F.lit(0))), lambda z: z == 0))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once: a lambda evaluates what it refers to at every step."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def hamming_hits(text: Column, pattern: Column, most: Column | int) -> Column:
     """1-based starts where the pattern's masks match the text's with at most ``most`` mismatches."""
-    t, p = masks(text), masks(pattern)
     n, m = F.length(text), F.length(pattern)
     starts = F.when(n >= m, F.sequence(F.lit(1), F.greatest(n - m + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
     bound = F.lit(most) if isinstance(most, int) else most
-    return F.filter(starts, lambda i: mismatches(F.slice(t, i, F.greatest(m, F.lit(1))), p) <= bound)
+    both = F.struct(masks(text).alias("t"), masks(pattern).alias("p"))
+    return bind(both, lambda v: F.filter(starts, lambda i: mismatches(F.slice(v["t"], i, F.greatest(m, F.lit(1))), v["p"]) <= bound))
 
 
 def expand(s: Column, first_fastest: bool = False, limit: int = 100_000) -> Column:

@@ -69,9 +69,10 @@ def map_queries(queries: DataFrame, references: DataFrame, most: int, strands: b
 
     Of most + 1 pieces of a plain query one matches a plain reference exactly, so
     seeds join on pieces; a window carries the letters around it, no more than
-    twice the longest seeded query, never its whole reference. Candidates are
-    distinct before they are verified. Ambiguous texts, and queries whose pieces
-    are shorter than a seed, are searched pair by pair.
+    twice the longest seeded query, never its whole reference. A place counts by
+    the first of its pieces that matches, so none is found twice and rows that
+    repeat keep their number. Ambiguous texts, and queries whose pieces are
+    shorter than a seed, are searched pair by pair.
     """
     q = queries.select(F.col("id").alias("query_id"), F.upper("sequence").alias("q"), F.lit("+").alias("strand"))
     if strands:
@@ -91,8 +92,14 @@ def map_queries(queries: DataFrame, references: DataFrame, most: int, strands: b
     start, n = F.col("start"), F.length("q")
     hit = F.substring("near", start - F.col("from") + 1, n)
     found = seeds.join(places, "seed").withColumn("start", F.col("pos") - F.col("part") * F.col("piece")).where("start >= 1")
-    found = found.select("query_id", "q", "strand", "ref_id", "start", hit.alias("hit")).where("length(hit) = length(q)").distinct()
-    found = found.withColumn("mismatch", mismatches(masks(F.col("q")), masks(F.col("hit")))).where(F.col("mismatch") <= most)
+    # a place counts once: by the first of its pieces that matches
+    earlier = lambda k: F.substring("q", k * F.col("piece") + 1, F.col("size")) == F.substring(hit, k * F.col("piece") + 1, F.col("size"))
+    for k in range(most):
+        found = found.where((F.col("part") <= k) | ~earlier(F.lit(k)))
+    found = found.select("query_id", "q", "strand", "ref_id", "start", hit.alias("hit")).where("length(hit) = length(q)")
+    letters = lambda c: F.split(c, "")
+    differ = F.size(F.filter(F.zip_with(letters("q"), letters("hit"), lambda x, y: x != y), lambda z: z))
+    found = found.withColumn("mismatch", differ).where(F.col("mismatch") <= most)
     found = found.select("query_id", "ref_id", "strand", "start", (start + n - 1).alias("end"), "mismatch")
 
     rest = q.join(r, (F.col("size").isNull() | ~plain("r")) & (n <= F.length("r")))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.coding import circular_end, kmer_similarity, mutual_match, occurs_once, plain
-from helixframe.functions.sequence import hairpin, hamming_hits, masks, max_mismatches, melting_temperature, mismatches, reverse_complement
+from helixframe.functions.sequence import bind, hairpin, masks, max_mismatches, melting_temperature, mismatches, reverse_complement
 from helixframe.operators.mapping import seed_candidates, seed_size
 
 
@@ -63,13 +63,11 @@ def map_pairs(queries: DataFrame, references: DataFrame, similarity: float = 0.8
     strands = (("+", F.col("s")), ("-", reverse_complement(F.col("s")))) if nucleotide else ((".", F.col("s")),)
 
     def places(strand: str, short: Column) -> Column:
-        if nucleotide:
-            starts = hamming_hits(text, short, most)
-            bad = lambda i: mismatches(F.slice(masks(text), i, n), masks(short))
-        else:
-            differ = lambda i: F.size(F.filter(F.zip_with(F.split(F.substring(text, i, n), ""), F.split(short, ""), lambda x, y: x != y), lambda z: z))
-            starts, bad = F.filter(_windows(text, n), lambda i: differ(i) <= most), differ
-        return F.transform(starts, lambda i: F.struct(i.alias("start"), bad(i).cast("int").alias("mismatch"), F.lit(strand).alias("strand")))
+        letters = masks if nucleotide else lambda c: F.split(c, "")
+        both = F.struct(letters(text).alias("t"), letters(short).alias("s"))
+        differ = mismatches if nucleotide else lambda x, y: F.size(F.filter(F.zip_with(x, y, lambda u, v: u != v), lambda z: z))
+        one = lambda v, i: F.struct(i.alias("start"), differ(F.slice(v["t"], i, n), v["s"]).cast("int").alias("mismatch"), F.lit(strand).alias("strand"))
+        return bind(both, lambda v: F.filter(F.transform(_windows(text, n), lambda i: one(v, i)), lambda p: p.mismatch <= most))
 
     found = pairs.withColumn("_f", places(*strands[0]))
     if nucleotide:
