@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.operators.layout import spread
+
 
 def align_pair(a: str, b: str, match: int = 2, mismatch: int = -1, gap: int = -2, local: bool = False) -> tuple[int, str, str, int, int]:
     """(score, aligned a, aligned b, 1-based starts in a and b); ties prefer diagonal, then up, then left."""
@@ -51,7 +53,7 @@ def align(df: DataFrame, a: str = "seq1", b: str = "seq2", local: bool = False,
         for left, right in batches:
             yield pd.DataFrame([align_pair(x or "", y or "", match, mismatch, gap, local) for x, y in zip(left, right, strict=True)], columns=["score", "aligned1", "aligned2", "start1", "start2"])
 
-    return df.withColumn("_r", run(F.col(a), F.col(b))).select(*df.columns, "_r.*")
+    return spread(df).withColumn("_r", run(F.col(a), F.col(b))).select(*df.columns, "_r.*")
 
 
 def fold_rna(s: str) -> tuple[int, str]:
@@ -90,4 +92,4 @@ def fold(df: DataFrame, sequence: str = "sequence") -> DataFrame:
         for s in batches:
             yield pd.DataFrame([fold_rna((x or "").replace("T", "U")) for x in s], columns=["pairs", "structure"])
 
-    return df.withColumn("_r", run(F.col(sequence))).select(*df.columns, "_r.*")
+    return spread(df).withColumn("_r", run(F.col(sequence))).select(*df.columns, "_r.*")

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.operators.layout import spread
 from helixframe.operators.alignment import fold_rna
 
 
@@ -155,7 +156,7 @@ def align_with(df: DataFrame, scheme: Scheme = GLOBAL, a: str = "seq1", b: str =
             rows = [align_one(x or "", y or "", scheme) for x, y in zip(left, right, strict=True)]
             yield pd.DataFrame([tuple(vars(r).values()) for r in rows], columns=[c.split()[0] for c in _SCHEMA.split(", ")])
 
-    return df.withColumn("_r", run(F.col(a), F.col(b))).select(*df.columns, "_r.*")
+    return spread(df).withColumn("_r", run(F.col(a), F.col(b))).select(*df.columns, "_r.*")
 
 
 def merge_two(a: str, b: str, scheme: Scheme = MERGING) -> str | None:
@@ -174,7 +175,7 @@ def merge_reads(df: DataFrame, a: str = "seq1", b: str = "seq2", scheme: Scheme
     def run(left: pd.Series, right: pd.Series) -> pd.Series:
         return pd.Series([merge_two(x or "", y or "", scheme) for x, y in zip(left, right, strict=True)], dtype=object)
 
-    return df.withColumn("merged", run(F.col(a), F.col(b)))
+    return spread(df).withColumn("merged", run(F.col(a), F.col(b)))
 
 
 def pair_scores(df: DataFrame, group: str, id_col: str = "id", sequence: str = "sequence", scheme: Scheme = FAMILY) -> DataFrame:
@@ -221,7 +222,7 @@ def fold_strands(df: DataFrame, sequence: str = "sequence") -> DataFrame:
 
     s = F.upper(F.coalesce(F.col(sequence), F.lit("")))
     both = F.array(F.struct(F.lit("FW").alias("direction"), transcribe(s).alias("transcript")), F.struct(F.lit("RV").alias("direction"), transcribe(reverse_complement(s, "acgt")).alias("transcript")))
-    rows = df.select("*", F.inline(both))
+    rows = spread(df).select("*", F.inline(both))
 
     @F.pandas_udf("pairs bigint, structure string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.sequence import hamming_hits, iupac_regex, mismatches, masks, reverse_complement, reverse_complement_text
+from helixframe.operators.layout import spread
 
 
 def primer_pair(s: Column, forward: str, reverse: str) -> Column:
@@ -80,7 +81,7 @@ def map_queries(queries: DataFrame, references: DataFrame, most: int, strands: b
     plain = lambda c: F.coalesce(~F.col(c).rlike("[^ACGT]"), F.lit(False))
     q = q.where("length(q) > 0").withColumn("piece", F.floor(F.length("q") / (most + 1)).cast("int"))
     q = q.withColumn("size", F.when(plain("q"), seed_size(F.col("piece"))))
-    r = references.select(F.col("id").alias("ref_id"), F.upper("sequence").alias("r"))
+    r = spread(references.select(F.col("id").alias("ref_id"), F.upper("sequence").alias("r")))
 
     held = {x["size"]: x["n"] for x in q.where("size IS NOT NULL").groupBy("size").agg(F.max(F.length("q")).alias("n")).collect()}  # at most one row for each of SEEDS
     seeds = q.where("size IS NOT NULL").select("query_id", "q", "strand", "size", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.substring("q", i * F.col("piece") + 1, F.col("size")))).alias("part", "seed"), "piece")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.coding import circular_end, kmer_similarity, mutual_match, occurs_once, plain
 from helixframe.functions.sequence import bind, hairpin, masks, max_mismatches, melting_temperature, mismatches, reverse_complement
+from helixframe.operators.layout import spread
 from helixframe.operators.mapping import seed_candidates, seed_size
 
 
@@ -85,7 +86,7 @@ def map_windows(df: DataFrame, long: str, short: str, similarity: float = 0.0, c
     """Adds start, end and similarity of each window of the longer string whose k-mers match over the threshold (k at least a fifth of the shorter)."""
     a, b = F.col(long), F.col(short)
     big, small = (F.when(F.length(a) >= F.length(b), x).otherwise(y) for x, y in ((a, b), (b, a)))
-    rows = df.withColumns({"_l": big, "_s": small}).where(F.length("_s") / F.length("_l") > coverage)
+    rows = spread(df).withColumns({"_l": big, "_s": small}).where(F.length("_s") / F.length("_l") > coverage)
     rows = rows.withColumn("start", F.explode(_windows(F.col("_l"), F.length("_s"))))
     size = F.greatest(F.floor(F.length("_s") / 5).cast("int"), F.lit(k))
     score = kmer_similarity(F.col("_s"), F.substring(F.col("_l"), F.col("start"), F.length("_s")), size)
