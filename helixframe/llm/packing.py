@@ -31,8 +31,7 @@ from helixframe.llm.textops import chunks
 
 WINDOW = 2048
 SHARD_TOKENS = 4 << 20
-QUERY_TERMS = 16
-NEIGHBOURS = 24
+NEIGHBOURS = 24  #: asked for at a time
 K1, B = 1.2, 0.75
 _LONG_PIECE = 24
 
@@ -214,17 +213,14 @@ class Index:
         term, doc, weight = np.concatenate(terms), np.concatenate(docs), np.concatenate(counts)
         weight = weight * idf[term]
         self.of_doc = np.concatenate(([0], np.cumsum([len(t) for t in terms])))
-        self.doc_terms, self.doc_weights = term, weight
+        self.doc_terms = term
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order].astype(np.float32)
         self.at = np.searchsorted(term[order], np.arange(len(idf) + 1))
 
     def neighbours(self, k: int, free: np.ndarray, n: int) -> list[int]:
-        """Up to ``n`` free documents by falling score for the seed's weightiest terms; ties by index."""
-        lo, hi = self.of_doc[k], self.of_doc[k + 1]
-        terms = self.doc_terms[lo:hi]
-        if hi - lo > QUERY_TERMS:
-            terms = terms[np.argpartition(-self.doc_weights[lo:hi], QUERY_TERMS)[:QUERY_TERMS]]
+        """Up to ``n`` free documents by falling score for all the seed's terms; ties by index."""
+        terms = self.doc_terms[self.of_doc[k] : self.of_doc[k + 1]]
         if not len(terms):
             return []
         cuts = [slice(self.at[t], self.at[t + 1]) for t in terms.tolist()]
@@ -253,7 +249,7 @@ def pack_shard(parts: list[np.ndarray], idf: np.ndarray, mean: float, window: in
             following += 1
             continue
         seed = following
-        room, row, ranked, spare = window, [], None, following
+        room, row, ranked, spare = window, [], iter(()), following
         take = seed
         while take is not None:
             k = pool[take]
@@ -263,10 +259,12 @@ def pack_shard(parts: list[np.ndarray], idf: np.ndarray, mean: float, window: in
             free[take] = left[k] > 0
             if not room:
                 break
-            if ranked is None:
-                ranked = iter(index.neighbours(seed, free, NEIGHBOURS))
-            take = next((x for x in ranked if free[x]), None)
-            if take is None:  # no neighbour shares a term: the next unused document
+            take = next((x for x in ranked or () if free[x]), None)
+            if take is None and ranked is not None:  # all of these are used: the next best
+                found = index.neighbours(seed, free, NEIGHBOURS)
+                ranked = iter(found) if found else None
+                take = next(ranked, None) if found else None
+            if take is None:  # no free document shares a term: the next unused document
                 while spare < len(pool) and not free[spare]:
                     spare += 1
                 take = spare if spare < len(pool) else None

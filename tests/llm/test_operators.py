@@ -338,6 +338,29 @@ def test_packing(docs, none):
     assert packing.pack(none, path).count() == 0
 
 
+def topics(n, words, seed=1):
+    """Texts of two topics by turns: even ids share no word with odd ones."""
+    rng = random.Random(seed)
+    vocab = [["red", "blue", "green", "black", "white", "house", "water", "tree", "stone", "bread"], ["seven", "eight", "three", "four", "night", "music", "paper", "glass", "horse", "river"]]
+    vocab = [[f" {a} {b}" for a in v for b in v] for v in vocab]
+    return ["".join(rng.choice(vocab[k % 2]) for _ in range(words)) for k in range(n)]
+
+
+def by_sequence(got):
+    out = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        out[r.sequence_id].append(r.doc_id)
+    return list(out.values())
+
+
+def test_packing_fills_windows_with_neighbours(spark):
+    """Windows of more than 24 documents: all are of the seed's topic while any is free."""
+    df = spark.createDataFrame(list(enumerate(topics(240, 5))), "doc_id long, text string")
+    windows = by_sequence(packing.pack(df, public_tokenizers.path("byte_bpe_50k.json"), window=400).collect())
+    assert max(map(len, windows)) > 24
+    assert sum(len({k % 2 for k in w}) > 1 for w in windows) <= 1
+
+
 def brute_repeats(texts, length):
     seen, out = set(), []
     for t in texts:
