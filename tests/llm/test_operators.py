@@ -361,6 +361,48 @@ def test_packing_fills_windows_with_neighbours(spark):
     assert sum(len({k % 2 for k in w}) > 1 for w in windows) <= 1
 
 
+def test_packing_searches_the_whole_corpus(spark, monkeypatch):
+    """Neighbours are found wherever they lie, however few tokens an index holds; every token is packed once."""
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 1000)
+    texts = [*topics(600, 8), *(" long" * 900 + str(k) for k in range(3)), None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    got = packing.pack(df, public_tokenizers.path("byte_bpe_50k.json"), window=400).collect()
+    assert sum(len({k % 2 for k in w if k < 600}) > 1 for w in by_sequence(got)) <= 2
+    pieces, sizes = defaultdict(list), Counter()
+    for r in got:
+        pieces[r.doc_id].append((r.start, r.length, r.doc_tokens))
+        sizes[r.sequence_id] += r.length
+    assert max(sizes.values()) <= 400 and sum(n < 400 for n in sizes.values()) <= 1 and len(pieces) == len(texts)
+    for found in pieces.values():
+        at = 0
+        for start, length, total in sorted(found):
+            assert start == at
+            at += length
+        assert at == total
+
+
+def test_packing_scores():
+    """Scores by matrix product and postings, merged over any chunks, rank as one index does."""
+    rng = np.random.default_rng(3)
+    parts = [rng.zipf(1.3, rng.integers(1, 60)) % 300 for _ in range(400)]
+    seen = np.bincount(np.concatenate([np.unique(p) for p in parts]), minlength=300)
+    idf = np.where(seen > 0, np.log((400 - seen + 0.5) / (seen + 0.5)), 0.0)
+    given = [packing._counts(p, idf) for p in parts]
+    texts = packing.Texts(np.arange(400), np.array([len(p) for p in parts]), np.array([len(t) for t, _ in given]), np.concatenate([t for t, _ in given]), np.concatenate([c for _, c in given]))
+    column = np.full(300, -1)
+    column[np.argsort(np.where(idf > 0, -seen, 1))[:20]] = np.arange(20)
+    index, asked, best = packing.Index(texts, idf, 30.0), packing.Seeds(texts, column), packing.Best(400, 8)
+    for lo in range(0, 400, 90):
+        part = texts.take(np.arange(lo, min(lo + 90, 400)))
+        for at, _, score in asked.score(part, idf, 30.0, column):
+            best.add(at, score, part.number)
+    for k in range(400):
+        want = index.neighbours(k, np.ones(400, bool), 8)
+        weight = lambda d: sum(float(w) for t in texts.term[texts.at[k] : texts.at[k + 1]] for x, w in zip(index.doc[index.at[t] : index.at[t + 1]], index.weight[index.at[t] : index.at[t + 1]]) if x == d)  # noqa: E731, B023, B905
+        got = [d for d in best.number[k].tolist() if d >= 0]
+        assert len(got) == len(want) and np.allclose([weight(d) for d in got], [weight(d) for d in want], rtol=1e-4)
+
+
 def brute_repeats(texts, length):
     seen, out = set(), []
     for t in texts:
