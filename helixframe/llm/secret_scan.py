@@ -4,12 +4,15 @@ Patterns (code points, leftmost non-overlapping per kind): ``assign`` is a
 named credential with a value of 6 or more characters, ``access`` an access key
 id of 20 or more, ``hex`` a lower-case hexadecimal run of 24 or more.
 
-Battery: every maximal run of 20 or more characters of ``[A-Za-z0-9+/_=-]`` is
-a test. Its encoding is inferred from the characters used; it must be
+Battery: every maximal run of 20 or more characters of ``[A-Za-z0-9+/_-]``, with
+the ``=`` that end it, is a test (an ``=`` inside divides). Where it shows no
+randomness as a whole, its parts between ``+/``, between ``-_`` and between all
+four are tested, p-values times the number of these tests. The encoding is inferred from the characters used; it must be
 consistent with uniform draws from that alphabet by a chi-squared test, a runs
 test about the median and a lag-one serial correlation (Bonferroni over the
 three). Its p-value against ordinary text is the likelihood ratio of text to
-uniform draws (valid by Markov's inequality, and smaller for longer runs). Runs
+uniform draws (valid by Markov's inequality, and smaller for longer runs); text
+is letters by frequency, or pairs of letters for lower-case runs. Runs
 are discoveries by the Benjamini-Hochberg rule within each length class over
 the whole corpus, on p-values binned to a quarter of a decade; the histogram is
 of bounded size.
@@ -69,6 +72,15 @@ _TEXT = np.full(256, math.log(0.02 / 5))
 _TEXT[list(b"0123456789")] = math.log(0.04 / 10)
 _TEXT[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")] = math.log(0.04 / 26)
 _TEXT[list(b"abcdefghijklmnopqrstuvwxyz")] = np.log(0.90 * np.array(_ENGLISH) / sum(_ENGLISH))
+#: Letters that follow a to z in English text, the most frequent first; weighted by 1 / rank, a fifth by frequency alone.
+_FOLLOW = "ntlrscdimbgpyvukwfz elouayrisjt oehatkilury eiaousrdyg rsndatlcmevpxifywgq oieraftul ehriaoulgsn eaiotruy ntsocleradgmvfpzkbqx uoaei eisnly eialyoduts eaoipubms dtgesciaoyknu nrufmtwlsopvdcikgx erolapiuths u eioastydmnukc teisohuapcm heioarstuy rsntlcpmidegba eiao ahieonsr ptiac soet eaizyo".split()
+_FIRST = np.array(_ENGLISH) / sum(_ENGLISH)
+_PAIRS = np.tile(0.2 * _FIRST, (26, 1))
+for _a, _letters in enumerate(_FOLLOW):
+    _PAIRS[_a, [ord(c) - 97 for c in _letters]] += 0.8 / np.arange(1, len(_letters) + 1) / sum(1 / k for k in range(1, len(_letters) + 1))
+_FIRST, _PAIRS = np.log(_FIRST), np.log(_PAIRS)
+_INNER = re.compile(rb"[^=]+(?:=+\Z)?")
+_DIVIDED = [re.compile(x) for x in (rb"[^+/]+", rb"[^_-]+", rb"[^+/_-]+")]
 
 
 def _upper_tail(z: float) -> float:
@@ -87,7 +99,7 @@ def battery(run: bytes) -> tuple[str, float, float]:
     codes = np.frombuffer(body, np.uint8)
     x = index[codes]
     n = len(x)
-    if name == "digits" or n < MIN_RUN - 2 or (name in ("lower", "base62", "base64", "base64url") and not used & _DIGIT and not (used & _UPPER and used & _LOWER)):
+    if n < MIN_RUN - 2 or (name in ("base62", "base64", "base64url") and not used & _DIGIT and not (used & _UPPER and used & _LOWER)):
         return name, 0.0, 0.0
     expected = n / size
     chi = float(((np.bincount(x, minlength=size) - expected) ** 2).sum() / expected)
@@ -104,14 +116,31 @@ def battery(run: bytes) -> tuple[str, float, float]:
     d = x - x.mean()
     spread = float((d * d).sum())
     p_serial = 2 * _upper_tail(abs(float((d[1:] * d[:-1]).sum()) / spread) * math.sqrt(n)) if spread else 0.0
-    return name, min(1.0, 3 * min(p_chi, p_runs, p_serial)), min(0.0, float(_TEXT[codes].sum()) + n * math.log(size))
+    text = float(_FIRST[x[0]] + _PAIRS[x[:-1], x[1:]].sum()) if name == "lower" else float(_TEXT[codes].sum())
+    return name, min(1.0, 3 * min(p_chi, p_runs, p_serial)), min(0.0, text + n * math.log(size))
 
 
-def _tests(run: bytes) -> tuple[int, int]:
-    """(length class, bin of the p-value) of a run; bin 0 where it isn't consistent with uniform draws."""
+def _level(run: bytes, tests: int = 1) -> int:
+    """Bin of the p-value, times ``tests``, of a run; bin 0 where it isn't consistent with uniform draws."""
     _, uniform, log_p = battery(run)
-    kind = sum(len(run) >= c for c in CLASSES) - 1
-    return kind, min(_BINS, int(-log_p / math.log(10) * 4)) if uniform >= _ALPHA else 0
+    return max(0, min(_BINS, int(-(log_p + math.log(tests)) / math.log(10) * 4))) if uniform >= _ALPHA else 0
+
+
+def _tests(run: bytes) -> list[tuple[int, int, int, int]]:
+    """(start, end, length class, bin of the p-value) of the tests of a run of ``[A-Za-z0-9+/_=-]``."""
+    out = []
+    for m in _INNER.finditer(run):
+        lo, hi = m.span()
+        if hi - lo < MIN_RUN:
+            continue
+        level, found = _level(m[0]), []
+        if not level:
+            parts = sorted({x.span() for divided in _DIVIDED for x in divided.finditer(m[0]) if x.end() - x.start() >= MIN_RUN} - {(0, hi - lo)})
+            for level_of, a, b in sorted(((-_level(m[0][a:b], len(parts)), a, b) for a, b in parts)):
+                if level_of and all(b <= x or y <= a for x, y, _ in found):
+                    found.append((a, b, -level_of))
+        out += [(lo + a, lo + b, sum(b - a >= c for c in CLASSES) - 1, n) for a, b, n in sorted(found) or [(0, hi - lo, level)]]
+    return out
 
 
 def scan_chunk(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[list, list]]:
@@ -139,8 +168,8 @@ def scan_chunk(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[list, li
         tested = []
         for i in range(run_at[k], run_at[k + 1]):
             a, b = int(run_a[i]), int(run_b[i])
-            kind, level = _tests(raw[a:b])
-            tested.append((int(wide[a] - wide[lo]), int(wide[b] - wide[lo]), kind, level))
+            first = int(wide[a] - wide[lo])  # a run is of single bytes
+            tested += [(first + x, first + y, kind, level) for x, y, kind, level in _tests(raw[a:b])]
         yield sorted((int(wide[a] - wide[lo]), kind, int(wide[b] - wide[lo])) for a, kind, b in found), tested
 
 

@@ -247,6 +247,26 @@ def test_random_battery():
     assert secret_scan.battery(b"thequickbrownfoxjumpsoverthelazydog")[2] == 0
 
 
+def test_random_parts_of_runs(spark):
+    """Random values beside a name, behind a path, and of digits or lower-case letters alone."""
+    rng = random.Random(21)
+    draw = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    b62 = lower + lower.upper() + digits
+    cases = [
+        ("DB_AUTH=", draw(b62, 40), ""), ("go ?sig=", draw(b62, 44) + "==", "&x"), ("--auth=", draw(b62, 40), " end"), ("src/app/conf/", draw(b62, 20) + "-" + draw(b62, 20) + "_" + draw(b62, 8), ""),
+        ("the-own-name-of-", draw(b62, 20) + "+" + draw(b62, 24), ""), ("x ", draw(lower, 64), ""), ("key-", draw(lower, 64), ""), ("x ", draw(digits, 23), ""), ("é ID=", draw(digits, 22), ""),
+    ]
+    plain = ["the/quick/way/to/the/other/side/of/town=and/back/again/home", "somewhatlongerordinarywordsfollowoneanother", "with-many-hyphens-in-one-long-name", "1" * 22, "x = " + "=" * 40, "a=b=c=d=e=f=g=h=i=j=k=l=m=n"]
+    df = spark.createDataFrame(list(enumerate([*("".join(c) for c in cases), *plain])), "doc_id long, text string")
+    got, clean = rows(secret_scan.find(df)), rows(secret_scan.redact(df))
+    for k, (before, value, after) in enumerate(cases):
+        assert got[k]["spans"] == f"random:{len(before)}:{len(before + value)}", (before, value)
+        assert clean[k]["text"] == before + "[SECRET]" + after
+    for k, text in enumerate(plain, len(cases)):
+        assert got[k]["spans"] == "" and clean[k]["text"] == text
+
+
 def test_token_store(docs, none, monkeypatch):
     from tokenizers import Tokenizer
 
