@@ -85,6 +85,8 @@ def test_tables(spark):
     assert {r.key: (r.f1, r.f2) for r in tables.merge_counts(df, ["f1", "f2"]).collect()} == {"a": (1, 2), "b": (0, 3)}
     df = spark.createDataFrame([("AC", 1), ("ACG", 2), ("TT", 5)], "id string, n int")
     assert {(r.id, r.n) for r in tables.merge_related(df, k=2).collect()} == {("ACG", 3), ("TT", 5)}
+    df = spark.createDataFrame([("A1", 1), ("A12", 2), ("1", 4), ("xA12y", 8), ("B", 16)], "id string, n int")
+    assert {(r.id, r.n) for r in tables.merge_related(df).collect()} == {("xA12y", 15), ("B", 16)}
 
 
 def test_readers(spark, tmp_path):
