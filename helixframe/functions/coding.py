@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from helixframe.functions.sequence import IUPAC, bind, kmers, masks
+from helixframe.functions.sequence import IUPAC, bind, bounded, kmers, masks
 
 # Degenerate codons of each amino acid; the families with two codon boxes are listed whole and merged.
 DEGENERATE = {
@@ -18,18 +18,18 @@ DEGENERATE = {
 MERGED = {"L": "YTN", "R": "MGN", "S": "WSN", "*": "TRR", "X": "NNN"}
 
 
-def _product(choices: Column, limit: int) -> Column:
-    """Every way to take one string from each array, joined; the last array varies fastest. Null beyond ``limit``."""
+def _product(choices: Column, limit: int | None) -> Column:
+    """Every way to take one string from each array, joined; the last array varies fastest."""
     ways = F.aggregate(choices, F.lit(1.0), lambda n, c: n * F.size(c))
     grown = F.aggregate(choices, F.array(F.lit("")), lambda acc, c: F.flatten(F.transform(acc, lambda v: F.transform(c, lambda x: F.concat(v, x)))))
-    return F.when(ways <= limit, grown)
+    return bounded(grown, ways, limit)
 
 
 def _letters(s: Column) -> Column:
     return F.filter(F.split(s, ""), lambda c: c != "")
 
 
-def reverse_translations(protein: Column, limit: int = 100_000) -> Column:
+def reverse_translations(protein: Column, limit: int | None = None) -> Column:
     """All degenerate DNA forms of a protein (two for each L, R or S); other letters stand for themselves."""
     table = F.create_map(*[x for a, codons in DEGENERATE.items() for x in (F.lit(a), F.array(*[F.lit(c) for c in codons]))])
     return _product(F.transform(_letters(protein), lambda a: F.coalesce(F.try_element_at(table, a), F.array(a))), limit)
@@ -47,7 +47,7 @@ def _replaced(code: str, bases: str) -> Callable[[Column], Column]:
     return lambda v: F.array(*[F.replace(v, F.lit(code), F.lit(b)) for b in bases])
 
 
-def expand_per_code(s: Column, limit: int = 100_000) -> Column:
+def expand_per_code(s: Column, limit: int | None = None) -> Column:
     """Variants where every occurrence of one ambiguity code takes the same base: RR gives AA and GG."""
     out = F.array(s)
     ways = F.lit(1.0)
@@ -56,16 +56,16 @@ def expand_per_code(s: Column, limit: int = 100_000) -> Column:
             here = F.contains(s, F.lit(code))
             ways = ways * F.when(here, float(len(bases))).otherwise(1.0)
             out = F.when(here, F.flatten(F.transform(out, _replaced(code, bases)))).otherwise(out)
-    return F.when(ways <= limit, out)
+    return bounded(out, ways, limit)
 
 
-def expand_brackets(s: Column, limit: int = 100_000) -> Column:
+def expand_brackets(s: Column, limit: int | None = None) -> Column:
     """Variants of A[BC]D: one letter of each bracket; equal brackets move together. Unclosed brackets stay as text."""
     found = F.array_distinct(F.regexp_extract_all(s, F.lit(r"\[[^\]]+\]"), F.lit(0)))
     choices = lambda b: _letters(F.substring(b, F.lit(2), F.length(b) - 2))
     ways = F.aggregate(found, F.lit(1.0), lambda n, b: n * F.size(choices(b)))
     grown = F.aggregate(found, F.array(s), lambda acc, b: F.flatten(F.transform(acc, lambda v: F.transform(choices(b), lambda x: F.replace(v, b, x)))))
-    return F.when(ways <= limit, F.array_distinct(grown))
+    return bounded(F.array_distinct(grown), ways, limit)
 
 
 def transcribe(s: Column) -> Column:

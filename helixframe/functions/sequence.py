@@ -110,8 +110,19 @@ def hamming_hits(text: Column, pattern: Column, most: Column | int) -> Column:
     return bind(both, lambda v: F.filter(starts, lambda i: mismatches(F.slice(v["t"], i, F.greatest(m, F.lit(1))), v["p"]) <= bound))
 
 
-def expand(s: Column, first_fastest: bool = False, limit: int = 100_000) -> Column:
-    """All plain variants of an ambiguous sequence; null beyond ``limit`` variants. Unknown letters stand for themselves."""
+MOST_VARIANTS = 100_000
+
+
+def bounded(variants: Column, ways: Column, limit: int | None) -> Column:
+    """``variants``; null beyond a given ``limit`` of ways, without one an error beyond ``MOST_VARIANTS``."""
+    if limit is not None:
+        return F.when(ways <= limit, variants)
+    refused = F.raise_error(F.concat(F.lit(f"more than {MOST_VARIANTS} variants: "), ways.cast("string")))
+    return F.when(ways > MOST_VARIANTS, refused).otherwise(variants)
+
+
+def expand(s: Column, first_fastest: bool = False, limit: int | None = None) -> Column:
+    """All plain variants of an ambiguous sequence; see ``bounded`` for ``limit``. Unknown letters stand for themselves."""
     table = F.create_map(*[x for c, b in IUPAC.items() for x in (F.lit(c), F.array(*[F.lit(y) for y in b]))])
     choices = F.transform(F.split(s, ""), lambda c: F.coalesce(F.try_element_at(table, c), F.array(c)))
     count = F.aggregate(choices, F.lit(1.0), lambda n, c: n * F.size(c))
@@ -120,7 +131,7 @@ def expand(s: Column, first_fastest: bool = False, limit: int = 100_000) -> Colu
         grow = F.aggregate(choices, seed, lambda acc, c: F.flatten(F.transform(c, lambda b: F.transform(acc, lambda v: F.concat(v, b)))))
     else:
         grow = F.aggregate(choices, seed, lambda acc, c: F.flatten(F.transform(acc, lambda v: F.transform(c, lambda b: F.concat(v, b)))))
-    return F.when(count <= limit, grow)
+    return bounded(grow, count, limit)
 
 
 def max_mismatches(length: Column, similarity: float) -> Column:

@@ -25,6 +25,14 @@ def test_variants(spark):
     assert one(spark, C.expand_brackets(s), s="A[BC]D[BC]") == ["ABDB", "ACDC"] and one(spark, C.expand_brackets(s), s="A[B") == ["A[B"]
 
 
+@pytest.mark.parametrize(("made", "text"), [(S.expand, "N" * 9), (C.reverse_translations, "L" * 17), (C.expand_brackets, "[ABCDEFGHIJ][BCDEFGHIJK][CDEFGHIJKL][DEFGHIJKLM][EFGHIJKLMN][FGHIJKLMNO]")])
+def test_too_many_variants(spark, made, text):
+    """Refused, not left out; null stays null."""
+    with pytest.raises(Exception, match="more than 100000 variants"):
+        spark.createDataFrame([(text,)], "s string").select(F.explode(made(F.col("s")))).collect()
+    assert spark.createDataFrame([(None,)], "s string").select(F.explode(made(F.col("s")))).collect() == []
+
+
 def test_small_functions(spark):
     a, b = F.col("a"), F.col("b")
     assert one(spark, C.kmer_similarity(a, b, 3), a="ACGT", b="ACGA") == 0.5 and one(spark, C.kmer_similarity(a, b, 9), a="A", b="A") == 0.0
