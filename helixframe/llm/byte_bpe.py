@@ -26,9 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from helixframe.llm.textops import Hasher, chunks, mix
+from helixframe.llm.textops import Hasher, blocks, chunks, mix, same_slices
 
 KEEP_MISSES = 1_000_000
+KEEP_BYTES = 1 << 26
 _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 
@@ -39,7 +40,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class PerfectHash:
-    """Minimal perfect hash by displacement; slots hold the full 64-bit hash, so foreign keys are told apart."""
+    """Minimal perfect hash by displacement; slots hold the full 64-bit hash; who looks up compares the bytes."""
 
     def __init__(self, hashes: np.ndarray):
         n = len(hashes)
@@ -130,9 +131,11 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class IdTable:
-    """Growing table hash -> id list, emptied when it holds more than ``limit`` entries.
+    """Growing table byte string -> id list, emptied when it holds more than ``limit`` entries.
 
-    Hashes are kept in two sorted arrays, the smaller one merged into the larger as it grows.
+    Hashes are kept in two sorted arrays, the smaller one merged into the larger
+    as it grows; strings are held too, and compared with what is looked up. A
+    string that shares its hash with another one is made anew each time.
     """
 
     def __init__(self, limit: int = KEEP_MISSES):
@@ -142,22 +145,33 @@ class IdTable:
     def clear(self) -> None:
         none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.levels = [none, none]
-        self.n = self.used = 0
-        self.start = np.zeros(1 << 12, np.int64)
-        self.count = np.zeros(1 << 12, np.int64)
+        self.n = self.used = self.n_bytes = 0
+        self.start, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.text_at, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.flat = np.zeros(1 << 14, np.uint32)
+        self.text = np.zeros(1 << 16, np.uint8)
 
-    def add(self, keys: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> np.ndarray:
-        slots = np.arange(self.n, self.n + len(keys))
-        self.n += len(keys)
+    def add(self, keys: np.ndarray | None, data: np.ndarray, start: np.ndarray, size: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        """New slots for slices of ``data``; without ``keys`` no later look-up finds them."""
+        slots = np.arange(self.n, self.n + len(start))
+        self.n += len(slots)
         while self.n > len(self.start):
-            self.start, self.count = np.resize(self.start, 2 * len(self.start)), np.resize(self.count, 2 * len(self.count))
+            self.start, self.count, self.text_at, self.size = (np.resize(x, 2 * len(x)) for x in (self.start, self.count, self.text_at, self.size))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.count[slots] = counts
         self.start[slots] = self.used + np.cumsum(counts) - counts
         self.flat[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
+        if keys is None:
+            return slots
+        held = data[spread(size, start)]
+        while self.n_bytes + len(held) + 8 > len(self.text):
+            self.text = np.resize(self.text, 2 * len(self.text))
+        self.text[self.n_bytes : self.n_bytes + len(held)] = held
+        self.text_at[slots] = self.n_bytes + np.cumsum(size) - size
+        self.size[slots] = size
+        self.n_bytes += len(held)
         large, small = self.levels
         small = _merged(small, (keys, slots))
         if len(small[0]) > 1 << 14 and 8 * len(small[0]) > len(large[0]):
@@ -165,19 +179,39 @@ class IdTable:
         self.levels = [large, small]
         return slots
 
-    def slots(self, keys: np.ndarray, make) -> np.ndarray:
-        """Slots of sorted distinct keys; ``make(positions)`` gives (counts, ids) of those not yet held."""
-        if self.n > self.limit:
+    def slots(self, hasher: Hasher, h: np.ndarray, start: np.ndarray, size: np.ndarray, make) -> np.ndarray:
+        """Slot of each slice of the hasher's data; ``make(positions)`` gives (counts, ids) of those not held."""
+        if self.n > self.limit or self.n_bytes > KEEP_BYTES:
             self.clear()
+        keys, at, back = np.unique(h, return_index=True, return_inverse=True)
         found = np.full(len(keys), -1)
         for have, slot in self.levels:
             if len(have):
-                at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-                found = np.where(have[at] == keys, slot[at], found)
+                near = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                found = np.where(have[near] == keys, slot[near], found)
+        held = np.flatnonzero(found >= 0)
         new = np.flatnonzero(found < 0)
+        other = np.zeros(len(h), bool)  # slices that differ from the one that has their hash
+        if len(held):
+            view, slot, own = np.ndarray((len(self.text) - 7,), "<u8", self.text, 0, (1,)), found[held], at[held]
+            same = self.size[slot] == size[own]
+            same[same] = same_slices(view, self.text_at[slot[same]], hasher.at, start[own[same]], size[own[same]])
+            if not same.all():
+                foreign = np.zeros(len(keys), bool)
+                foreign[held[~same]] = True
+                other |= foreign[back]
+        lead = at[back]
+        repeat = np.flatnonzero(lead != np.arange(len(h)))
+        same = size[repeat] == size[lead[repeat]]
+        same[same] = same_slices(hasher.at, start[repeat[same]], hasher.at, start[lead[repeat[same]]], size[repeat[same]])
+        other[repeat[~same]] = True
         if len(new):
-            found[new] = self.add(keys[new], *make(new))
-        return found
+            found[new] = self.add(keys[new], hasher.data, start[at[new]], size[at[new]], *make(at[new]))
+        out = found[back]
+        if other.any():
+            rows = np.flatnonzero(other)
+            out[rows] = self.add(None, hasher.data, start[rows], size[rows], *make(rows))
+        return out
 
 
 def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -270,7 +304,7 @@ class ByteBPE:
         self.size[ids] = size
         self.first = np.zeros(len(self.size), np.int64)
         self.first[ids] = end - size
-        self.data = data
+        self.data, self.view = data, blocks(data)
         self.misses = IdTable()
 
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
@@ -279,15 +313,20 @@ class ByteBPE:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents in a row, and where each document's ids begin (plus the end)."""
         start = pre_tokens(data, offsets)
-        end = np.append(start[1:], len(data))
-        h = Hasher(data).of(start, end)
+        size = np.diff(np.append(start, len(data)))
+        hasher = Hasher(data)
+        h = hasher.of(start, start + size)
         slot = self.hash.find(h)
+        found = np.flatnonzero(slot >= 0)
+        token = self.id_at[slot[found]]
+        same = self.size[token] == size[found]
+        same[same] = same_slices(self.view, self.first[token[same]], hasher.at, start[found[same]], size[found[same]])
+        slot[found[~same]] = -1
         miss = np.flatnonzero(slot < 0)
         count = np.ones(len(start), np.int64)
         if len(miss):
-            keys, at, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            raw, a, b = data.tobytes(), start[miss[at]], end[miss[at]]
-            held = self.misses.slots(keys, lambda new: flattened(self.merge([raw[a[i] : b[i]] for i in new.tolist()])))[back]
+            raw, a, b = data.tobytes(), start[miss], (start + size)[miss]
+            held = self.misses.slots(hasher, h[miss], a, size[miss], lambda new: flattened(self.merge([raw[a[i] : b[i]] for i in new.tolist()])))
             count[miss] = self.misses.count[held]
         to = np.concatenate(([0], np.cumsum(count)))
         out = np.empty(int(to[-1]), np.uint32)

@@ -13,6 +13,7 @@ length are read whole.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.textops import Hasher, chunks, edges, mix, windows, words
+from helixframe.llm.textops import Hasher, chunks, edges, mix, same_slices, windows, words
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_alpha_words")
 #: Name of each rule, in bit order, and its failure condition over the measurements.
@@ -51,6 +52,12 @@ def _sums(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate(([0], np.cumsum(flags)))[at])
 
 
+def _later(keys: list) -> np.ndarray:
+    """Positions of keys that are in the list before."""
+    seen: set = set()
+    return np.array([k for k, x in enumerate(keys) if x in seen or seen.add(x)], np.int64)
+
+
 def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """Measurements of each document of a chunk."""
     start, end, at = words(data, offsets)
@@ -71,9 +78,12 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     line_doc = np.searchsorted(offsets, a, "right") - 1
     line = mix(hasher.of(a, b) + line_doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     out["n_lines"] = np.bincount(line_doc, minlength=len(n_words))
-    fresh = np.zeros(len(line), bool)
-    fresh[np.unique(line, return_index=True)[1]] = True
-    out["n_dup_lines"] = np.bincount(line_doc[~fresh], minlength=len(n_words))
+    _, first, back = np.unique(line, return_index=True, return_inverse=True)
+    again = np.flatnonzero(first[back] != np.arange(len(line)))
+    lead = first[back][again]
+    if ((line_doc[again] != line_doc[lead]) | (b[again] - a[again] != b[lead] - a[lead])).any() or not same_slices(hasher.at, a[again], hasher.at, a[lead], b[again] - a[again]).all():
+        again = _later([(d, data[x:y].tobytes()) for d, x, y in zip(line_doc.tolist(), a.tolist(), b.tolist(), strict=True)])  # lines that share a hash
+    out["n_dup_lines"] = np.bincount(line_doc[again], minlength=len(n_words))
     # words in three-word windows that occur twice or more
     covered = np.zeros(len(start), bool)
     if len(start) >= 3:
@@ -86,9 +96,18 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         equal = np.zeros(len(h), bool)
         if len(h) > 1:
             pair = sorted_h[1:] == sorted_h[:-1]
-            equal[1:] |= pair
-            equal[:-1] |= pair
-        hit = where[order[equal]]
+            x, y = where[order[1:][pair]], where[order[:-1][pair]]
+            alike = [same_slices(hasher.at, start[x + k], hasher.at, start[y + k], (end - start)[x + k]) & ((end - start)[x + k] == (end - start)[y + k]) for k in range(3)]
+            if not np.logical_and.reduce([doc[x] == doc[y], *alike]).all():  # windows that share a hash
+                texts = [(doc[i], *(data[start[i + k] : end[i + k]].tobytes() for k in range(3))) for i in where.tolist()]
+                often = Counter(texts)
+                hit = where[[often[t] > 1 for t in texts]]
+            else:
+                equal[1:] |= pair
+                equal[:-1] |= pair
+                hit = where[order[equal]]
+        else:
+            hit = where[:0]
         for k in range(3):
             covered[hit + k] = True
     out["n_repeat_words"] = _sums(covered, at)

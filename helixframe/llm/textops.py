@@ -2,8 +2,10 @@
 
 Texts are handled as the concatenated UTF-8 bytes of a few documents at a
 time (about ``CHUNK_BYTES``), so memory stays bounded whatever the batch size.
-Hashes are 64-bit polynomial sums over a fixed random byte table followed by a
-finaliser; a word's hash is the difference of two prefix sums.
+The hash of a byte slice is the sum over its 8-byte blocks of a finaliser of
+the block and its number, so it has no algebra that structured texts could
+meet; slices of up to 8 bytes of one length never share a hash. Where a hash
+stands for the bytes in a table, ``same_slices`` compares the bytes.
 """
 
 from __future__ import annotations
@@ -16,15 +18,14 @@ import pyarrow as pa
 CHUNK_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
 _ODD = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_R = int(_rng.integers(1, 1 << 62)) * 4 + 3 & (1 << 64) - 1
-_R_INV = pow(_R, -1, 1 << 64)
+_STEP, _SIZE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Bits of a block's first 0 to 8 bytes.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers: dict[str, np.ndarray] = {}
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -37,32 +38,64 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _power(base: int, n: int, name: str) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 64)
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        with np.errstate(over="ignore"):
-            have = np.multiply.accumulate(have)
-        _powers[name] = have
-    return have
+def blocks(data: np.ndarray) -> np.ndarray:
+    """View of the 8 bytes from each position on (zeros behind the end)."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
+def _pieces(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks of slices beyond the first: (slice, number of the block, bytes in it)."""
+    more = np.flatnonzero(size > 8)
+    count = (size[more] - 1) // 8
+    row = np.repeat(more, count)
+    k = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + 1
+    return row, k, np.minimum(size[row] - 8 * k, 8)
 
 
 class Hasher:
-    """Hash of any byte slice of ``data`` from prefix sums."""
+    """Hash of any byte slice of ``data``; the work grows with the slices' lengths."""
 
     def __init__(self, data: np.ndarray, lower: bool = False):
-        table = _BYTE_LOWER if lower else _BYTE
-        self.prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(table[data] * _power(_R, len(data), "r")[: len(data)], out=self.prefix[1:])
-        self.inverse = _power(_R_INV, len(data) + 1, "i")
-
-    def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.prefix[end] - self.prefix[start]) * self.inverse[start]
+        self.data = _LOWER[data] if lower else data
+        self.at = blocks(self.data)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix(self.raw(start, end))
+        size = end - start
+        out = mix((self.at[start] & _KEEP[np.minimum(size, 8)]) + size.astype(np.uint64) * _SIZE)
+        row, k, n = _pieces(size)
+        if len(row):
+            first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+            part = mix((self.at[start[row] + 8 * k] & _KEEP[n]) ^ mix(k.astype(np.uint64) * _STEP))
+            some = row[first]
+            out[some] = mix(out[some] + np.add.reduceat(part, first))
+        return out
+
+
+def grams(data: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` bytes from each position on."""
+    n, at = len(data) - size + 1, blocks(data)
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    whole, rest = size // 8, size % 8
+    mixed = mix(at[: n + 8 * max(0, whole - 1)]) if whole else None
+    out = np.full(n, _ODD[size % 64], np.uint64)
+    for k in range(whole):
+        out += mixed[8 * k : 8 * k + n] * _ODD[k % 64]
+    if rest:
+        out += mix((at[8 * whole : 8 * whole + n] & _KEEP[rest]) + _SIZE)
+    return mix(out)
+
+
+def same_slices(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ``size`` bytes of ``a`` and ``b`` (views by ``blocks``) are equal, slice by slice."""
+    out = ((a[a_start] ^ b[b_start]) & _KEEP[np.minimum(size, 8)]) == 0
+    row, k, n = _pieces(size)
+    if len(row):
+        other = ((a[a_start[row] + 8 * k] ^ b[b_start[row] + 8 * k]) & _KEEP[n]) != 0
+        out[row[other]] = False
+    return out
 
 
 def chunks(column: pa.Array, max_bytes: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

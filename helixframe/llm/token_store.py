@@ -100,11 +100,11 @@ class WordTokenizer:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start, end, at = self.units(data, offsets)
         special = b"<|" in data.tobytes()  # such strings may be special tokens, in lower case only
-        keys, first, back = np.unique(Hasher(data, lower=not special).of(start, end), return_index=True, return_inverse=True)
-        raw, a, b = data.tobytes(), start[first], end[first]
+        hasher = Hasher(data, lower=not special)
+        raw = data.tobytes()
 
         def make(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            texts = [raw[a[i] : b[i]].decode() for i in new.tolist()]
+            texts = [raw[start[i] : end[i]].decode() for i in new.tolist()]
             counts, at, flat, used = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [np.zeros(0, np.uint32)], 0
 
             def take(some: list[int], ids: np.ndarray, n: np.ndarray) -> None:
@@ -129,7 +129,7 @@ class WordTokenizer:
                 take(some, ids, n)
             return counts, np.concatenate(flat)[spread(counts, at)]
 
-        held = self.table.slots(keys, make)[back]
+        held = self.table.slots(hasher, hasher.of(start, end), start, end - start, make)
         count = self.table.count[held]
         return self.table.flat[spread(count, self.table.start[held])], np.concatenate(([0], np.cumsum(count)))[at]
 
