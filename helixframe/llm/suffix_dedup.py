@@ -18,9 +18,11 @@ never cross documents.
    told apart by their hash. Of each class the earliest window stays.
 4. Runs are merged per document.
 
-Null and empty texts have no bytes. Null ids count as the smallest. Rows that
-share an id share their removals. An empty table gives an empty result; extra
-columns are ignored; long texts are read whole, in one piece.
+Null and empty texts have no bytes. Null ids count as the smallest. Of rows
+that share an id, those with other texts are documents of their own, in the
+order of their texts' hashes; of wholly equal rows all but one count as later
+(the text stays once). An empty table gives an empty result; extra columns are
+ignored; long texts are read whole, in one piece.
 """
 
 from __future__ import annotations
@@ -35,12 +37,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm.store import release, stash
-from helixframe.llm.textops import Hasher, chunks, mix, signed
+from helixframe.llm.textops import Hasher, chunks, grams, mix, signed
 
 LENGTH = 100
 GRAM = 20
 BLOCK = 8
 _OWNED = 20_000
+_PLACE = 31  #: bits of a position in a chunk; the other bits of an anchor's rank are its hash's, in chunks of any length
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -134,10 +137,9 @@ def contexts(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
     if n < length:
         return none, none, none, none, none, none
     hasher = Hasher(data)
-    starts = np.arange(n - gram + 1)
-    h = hasher.of(starts, starts + gram)
-    bits = np.uint64(int(n).bit_length())
-    key = (h >> bits << bits) | starts.astype(np.uint64)  # the leftmost wins ties
+    h = grams(data, gram)
+    bits = np.uint64(_PLACE)
+    key = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)  # the leftmost wins ties
     padded = np.full(-(-len(key) // w) * w + w, ~np.uint64(0))
     padded[: len(key)] = key
     table = padded.reshape(-1, w)
@@ -160,6 +162,22 @@ def contexts(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
     return doc[lo], signed(h[a]), signed(whole), p[lo] - base, p[hi] - base, a - base
 
 
+def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text, row (hash of the text) and k (hash of id and row): a document is known by (k, row), in the order of (id, row)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("row", F.xxhash64("text"))
+    return rows.withColumn("k", F.xxhash64("id", "row"))
+
+
+def _dense(ids: pa.Array, row: np.ndarray) -> np.ndarray:
+    """Rank of each document of a batch by (id, row); equal for repeated rows."""
+    rank = np.asarray(pc.rank(ids, tiebreaker="dense", null_placement="at_start"), np.int64)
+    order = np.lexsort((row, rank))
+    out = np.zeros(len(order), np.int64)
+    out[order[1:]] = np.cumsum((rank[order[1:]] != rank[order[:-1]]) | (row[order[1:]] != row[order[:-1]]))
+    return out
+
+
 def context_rows(df: DataFrame, length: int, gram: int, id_col: str, text_col: str) -> DataFrame:
     key = df.schema[id_col].dataType.simpleString()
 
@@ -168,11 +186,12 @@ def context_rows(df: DataFrame, length: int, gram: int, id_col: str, text_col: s
             for lo, hi, data, offsets in chunks(batch.column(1)):
                 doc, anchor, whole, first, last, at = contexts(data, offsets, length, gram)
                 ids = batch.column(0).slice(lo, hi - lo)
-                copy = _later(np.asarray(pc.rank(ids, tiebreaker="dense", null_placement="at_start"), np.int64)[doc], whole, anchor, first)
+                row = batch.column(2).slice(lo, hi - lo).to_numpy()
+                copy = _later(_dense(ids, row)[doc], whole, anchor, first)
                 spread = signed(mix(whole.view(np.uint64) + mix((doc << 32 | first).astype(np.uint64) + np.uint64(lo))))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(np.where(copy, spread, anchor)), pa.array(whole), *(pa.array(x.astype(np.int32)) for x in (first, last, at)), pa.array(copy)], ["id", "anchor", "whole", "first", "last", "at", "copy"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(row[doc]), pa.array(np.where(copy, spread, anchor)), pa.array(whole), *(pa.array(x.astype(np.int32)) for x in (first, last, at)), pa.array(copy)], ["id", "row", "anchor", "whole", "first", "last", "at", "copy"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"id {key}, anchor long, whole long, first int, last int, at int, copy boolean")
+    return keyed(df, id_col, text_col).select("id", "text", "row").mapInArrow(run, f"id {key}, row long, anchor long, whole long, first int, last int, at int, copy boolean")
 
 
 def _later(rank: np.ndarray, whole: np.ndarray, anchor: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -189,20 +208,22 @@ def with_bytes(rows: DataFrame, df: DataFrame, length: int, id_col: str, text_co
     """Adds each row's context bytes."""
     key = df.schema[id_col].dataType.simpleString()
     one = F.struct("anchor", "first", "last", "at")
-    lists = rows.groupBy("id").agg(F.collect_list(one).alias("rows"))  # a document's own contexts
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    joined = texts.join(lists, texts["id"].eqNullSafe(lists["id"])).select(texts["id"], "text", "rows")
+    lists = rows.groupBy(F.xxhash64("id", "row").alias("k"), "row").agg(F.collect_set(one).alias("rows"))  # a document's own contexts
+    turn = F.row_number().over(Window.partitionBy("k", "row").orderBy("k"))
+    texts = keyed(df, id_col, text_col).withColumn("turn", turn).where("turn = 1")
+    joined = texts.join(lists, ["k", "row"]).select("id", "text", "rows", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                text = (batch.column(1)[k].as_py() or "").encode()
+                text = batch.column(1)[k].as_py().encode()
                 held = batch.column(2)[k].values
                 anchor, first, last, at = (held.field(c) for c in range(4))
                 cut = [text[a : b + length] for a, b in zip(first.to_pylist(), last.to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(cut), k))), anchor, first, last, at, pa.array(cut, pa.binary())], ["id", "anchor", "first", "last", "at", "bytes"])
+                own = pa.array(np.full(len(cut), k))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(3).take(own), anchor, first, last, at, pa.array(cut, pa.binary())], ["id", "row", "anchor", "first", "last", "at", "bytes"])
 
-    return joined.mapInArrow(run, f"id {key}, anchor long, first int, last int, at int, bytes binary")
+    return joined.mapInArrow(run, f"id {key}, row long, anchor long, first int, last int, at int, bytes binary")
 
 
 def repeated(group: np.ndarray, rank: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarray, texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -229,17 +250,19 @@ def repeated(group: np.ndarray, rank: np.ndarray, first: np.ndarray, last: np.nd
     shared = np.concatenate(([-1], shared))
     joined = np.frombuffer(b"".join(texts), np.uint8)
     begin = np.cumsum([0, *map(len, texts)])[:-1]
-    hasher = Hasher(joined)
     middle = begin + at - first
     reach, least = at - first, at - last  # offsets of the windows before the anchor
-    for delta in range(int(least.min(initial=0)), int(reach.max(initial=-1)) + 1):
+    left = np.zeros(m, np.uint64)  # hash of the delta bytes before the anchor
+    every = np.arange(256, dtype=np.uint64)
+    for delta in range(int(reach.max(initial=-1)) + 1):
+        if delta:
+            left += mix(every + np.uint64(delta << 8))[joined[np.maximum(middle - delta, 0)]]
         cls = np.cumsum(shared < length - delta)
         here = np.flatnonzero((reach[order] >= delta) & (least[order] <= delta))
         if len(here) < 2:
             continue
         rows = order[here]
-        left = hasher.of(middle[rows] - delta, middle[rows])
-        key = mix(left + cls[here].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        key = mix(left[rows] + cls[here].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         by = np.lexsort((rank[rows], key))
         again = np.concatenate(([False], key[by][1:] == key[by][:-1]))
         found = rows[by[again]]
@@ -247,23 +270,23 @@ def repeated(group: np.ndarray, rank: np.ndarray, first: np.ndarray, last: np.nd
 
 
 def resolve(rows: DataFrame, length: int) -> DataFrame:
-    """(id, start, end) runs to remove among contexts of the same anchor."""
+    """(id, row, start, end) runs to remove among contexts of the same anchor."""
     key = rows.schema["id"].dataType.simpleString()
     size = F.col("anchor")
-    ordered = rows.repartition(size).sortWithinPartitions("anchor", F.col("id").asc_nulls_first(), "first")
+    ordered = rows.repartition(size).sortWithinPartitions("anchor", F.col("id").asc_nulls_first(), "row", "first")
 
     def solve(part: pa.Table, kind: pa.DataType) -> pa.RecordBatch:
         group, first, last, at = (part.column(c).to_numpy().astype(np.int64) for c in ("anchor", "first", "last", "at"))
         texts = part.column("bytes").to_pylist()
         found = list(repeated(group, np.arange(len(group)), first, last, at, texts, length))  # rows come in order
-        row, start = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in found)]) for k in (0, 1))
-        by = np.lexsort((start, row))
-        row, start = row[by], start[by]
-        new = np.concatenate(([True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)))[: len(row)]
+        at_row, start = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in found)]) for k in (0, 1))
+        by = np.lexsort((start, at_row))
+        at_row, start = at_row[by], start[by]
+        new = np.concatenate(([True], (at_row[1:] != at_row[:-1]) | (start[1:] != start[:-1] + 1)))[: len(at_row)]
         lo = np.flatnonzero(new)
-        hi = np.append(lo[1:], len(row))[: len(lo)] - 1
-        ids = part.column("id").combine_chunks().take(pa.array(row[lo]))
-        return pa.RecordBatch.from_arrays([ids.cast(kind), pa.array(start[lo].astype(np.int32)), pa.array((start[hi] + length).astype(np.int32))], ["id", "start", "end"])
+        hi = np.append(lo[1:], len(at_row))[: len(lo)] - 1
+        ids, rows_ = (part.column(c).combine_chunks().take(pa.array(at_row[lo])) for c in ("id", "row"))
+        return pa.RecordBatch.from_arrays([ids.cast(kind), rows_, pa.array(start[lo].astype(np.int32)), pa.array((start[hi] + length).astype(np.int32))], ["id", "row", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -284,26 +307,26 @@ def resolve(rows: DataFrame, length: int) -> DataFrame:
         if waiting:
             yield solve(pa.Table.from_batches(held), kind)
 
-    return ordered.select("id", "anchor", "first", "last", "at", "bytes").mapInArrow(run, f"id {key}, start int, end int")
+    return ordered.select("id", "row", "anchor", "first", "last", "at", "bytes").mapInArrow(run, f"id {key}, row long, start int, end int")
 
 
 def removals(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(id, start, end) byte runs that are removed (they may overlap), and the written table they come from.
+    """(id, row, start, end) byte runs that are removed (they may overlap), and the written table they come from.
 
     A context with an equal one earlier in its chunk is a copy already: it goes
     on under a key of its own, so that text repeated in a document is not hot.
     """
     rows = context_rows(df, length, gram, id_col, text_col)
     same = Window.partitionBy("anchor")
-    order = Window.partitionBy("anchor", "whole").orderBy(F.col("id").asc_nulls_first(), "first")
+    order = Window.partitionBy("anchor", "whole").orderBy(F.col("id").asc_nulls_first(), "row", "first")
     ranked = (
-        rows.withColumn("turn", F.row_number().over(order)).withColumn("lo", F.min("whole").over(same)).withColumn("hi", F.max("whole").over(same))
+        rows.withColumn("turn", F.dense_rank().over(order)).withColumn("lo", F.min("whole").over(same)).withColumn("hi", F.max("whole").over(same))
         .where("copy OR turn > 1 OR lo != hi")
-        .select("id", "anchor", "first", "last", "at", (F.col("copy") | (F.col("turn") > 1)).alias("copy"))
+        .select("id", "row", "anchor", "first", "last", "at", (F.col("copy") | (F.col("turn") > 1)).alias("copy"))
     )
     ranked = stash(ranked, "repeat-contexts")
-    copies = ranked.where("copy").select("id", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-    mixed = ranked.where("NOT copy").select("id", "anchor", "first", "last", "at")
+    copies = ranked.where("copy").select("id", "row", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
+    mixed = ranked.where("NOT copy").select("id", "row", "anchor", "first", "last", "at")
     return copies.union(resolve(with_bytes(mixed, df, length, id_col, text_col), length)), ranked
 
 
@@ -312,17 +335,21 @@ def dedup(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "
     found, ranked = removals(df, length, gram, id_col, text_col)
     runs = stash(found, "repeat-runs")
     release(ranked)
-    lists = runs.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("start", "end")).alias("runs"))  # a document's own runs
-    joined = df.select(id_col, text_col).join(lists, F.col(id_col).eqNullSafe(F.col("_id")), "left").select(id_col, text_col, "runs")
+    lists = runs.groupBy(F.xxhash64("id", "row").alias("k"), "row").agg(F.collect_list(F.struct("start", "end")).alias("runs"))  # a document's own runs
+    turn = F.row_number().over(Window.partitionBy("k", "row").orderBy("k"))
+    joined = keyed(df, id_col, text_col).withColumn("turn", turn).join(lists, ["k", "row"], "left").select("id", "text", "runs", (F.col("turn") > 1).alias("again"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for k in range(batch.num_rows):
-                text = (batch.column(1)[k].as_py() or "").encode()
+                text = batch.column(1)[k].as_py().encode()
                 removed = spans = 0
                 kept = text
-                if batch.column(2)[k].is_valid:
+                if batch.column(3)[k].as_py():  # the same row again
+                    if len(text) >= length:
+                        removed, spans, kept = len(text), 1, b""
+                elif batch.column(2)[k].is_valid:
                     held = batch.column(2)[k].values
                     start, end = (held.field(c).to_numpy().astype(np.int64) for c in (0, 1))
                     by = np.argsort(start, kind="stable")

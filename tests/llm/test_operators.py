@@ -446,9 +446,31 @@ def test_suffix_dedup(spark, docs, none, length, gram):
     assert [tuple(got[k][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for k in range(len(TEXTS))] == want
     assert sum(w[1] for w in want) > 1000
     assert suffix_dedup.dedup(none, length, gram).count() == 0
-    # rows that share an id, and a null id
-    df = spark.createDataFrame([(None, "z" * 150), (1, "ab" * 100), (1, "ab" * 100)], "doc_id long, text string")
-    assert suffix_dedup.dedup(df, length, gram).count() == 3
+
+
+def test_suffix_dedup_repeated_rows_and_null_ids(spark):
+    """Of wholly equal rows one stays; rows that share an id with other texts are documents of their own; null ids come first."""
+    rng = random.Random(3)
+    make = lambda k: "".join(rng.choice("abcdefgh") for _ in range(k))
+    a, b, c = make(300), make(300), make(300)
+    given = [(None, a), (None, a), (None, b), (1, c), (1, c), (1, c), (2, a[50:] + c[:150]), (2, "short"), (2, "short"), (3, b + b), (3, None)]
+    df = spark.createDataFrame(given, "doc_id long, text string").repartition(4)
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(df).collect()), key=repr)
+    order = [a, a, b] if spark.range(1).select(F.xxhash64(F.lit(a)) < F.xxhash64(F.lit(b))).first()[0] else [b, a, a]
+    texts = [*order, c, c, c, *[t for _, t in given[6:]]]
+    want = sorted(((k, *x) for k, x in zip([None] * 3 + [1] * 3 + [2, 2, 2, 3, 3], brute_repeats(texts, 100), strict=True)), key=repr)
+    assert got == want
+    assert sum(x[2] for x in got) == 300 + 600 + 250 + 150 + 600
+
+
+def test_anchors_do_not_depend_on_the_chunk():
+    rng = random.Random(1)
+    text = np.frombuffer("".join(rng.choice("ab") for _ in range(400)).encode(), np.uint8)
+    alone = suffix_dedup.contexts(text, np.array([0, 400]), 100, 20)
+    more = np.frombuffer("".join(rng.choice("ab") for _ in range(300_000)).encode(), np.uint8)
+    within = suffix_dedup.contexts(np.concatenate((text, more)), np.array([0, 400, 300_400]), 100, 20)
+    for x, y in zip(alone[1:], within[1:], strict=True):
+        assert x.tolist() == y[within[0] == 0].tolist()
 
 
 def test_suffix_dedup_random(spark):
