@@ -8,12 +8,14 @@ part, content of the part). Parts that are empty are tiles only for sets with
 more than E empty parts: of two linked sets with at most E, one common part has
 content. Tiles link their members to the smallest one; those pairs are checked
 by bitmaps, whose bit counts bound the overlap from above, and then by
-intersection of the sorted arrays. Members of a tile that end in different
-components then meet in blocks, again bitmap first, so that no link is lost: a
-task names spanning forests of the pairs that pass, two at first and sixteen
-times as many each round, until no pair between components is left unnamed; pairs
-within a component are never named. Components come from label propagation with pointer jumping over written
-tables.
+intersection of the sorted arrays. In tiles that then hold several components,
+the members outside the tile's largest component meet all others in blocks:
+members of the largest are placed once for each block of others. A block tests
+pairs between components only, bitmaps first, and joins components as it finds
+links, so no link between components is lost and none within one is looked for.
+Components come from label propagation with pointer jumping over written tables.
+The work on a tile grows with the square of its members outside its largest
+component: texts that share nearly enough and don't link.
 
 Null, empty and white-space texts have the empty set and link with nothing. A
 text with fewer words than a shingle is one shingle. Repeated rows share a
@@ -25,21 +27,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.store import release, stash, tidy
+from helixframe.llm.store import release, small_batches, stash, tidy
 from helixframe.llm.textops import Hasher, chunks, mix, sequence_hash, signed, windows, words
 
 
-#: Rows of an Arrow batch where rows hold whole texts or sets.
-WIDE = 500
-#: Tiles of so many members are paired by a join, larger ones in blocks.
-FEW = 16
+#: Sets that a task remembers to have named tiles for.
+_SEEN = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -108,15 +107,15 @@ def set_id(u: np.ndarray) -> int:
 
 
 def sets(df: DataFrame, spec: Spec, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, set (null for the empty set)."""
+    """id, n_shingles, set (null for the empty set), row (hash of the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(1)):
                 found = [(len(u), set_id(u) if len(u) else None) for u in shingle_sets(data, offsets, spec.size)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.int64())], [id_col, "n_shingles", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.int64()), batch.column(2).slice(lo, hi - lo)], ["id", "n_shingles", "set", "row"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_shingles long, set long")
+    return df.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, n_shingles long, set long, row long")
 
 
 def tile_rows(df: DataFrame, spec: Spec, text_col: str) -> DataFrame:
@@ -129,6 +128,8 @@ def tile_rows(df: DataFrame, spec: Spec, text_col: str) -> DataFrame:
                 tiles, owners, counts = [], [], []
                 for u in shingle_sets(data, offsets, spec.size):
                     if len(u) and (s := set_id(u)) not in seen:
+                        if len(seen) >= _SEEN:
+                            seen.clear()  # a set may be named again
                         seen.add(s)
                         tiles.append(bands.keys(u))
                         owners.append(s)
@@ -139,21 +140,20 @@ def tile_rows(df: DataFrame, spec: Spec, text_col: str) -> DataFrame:
     return df.select(text_col).mapInArrow(run, "tile long, set long")
 
 
-def features(df: DataFrame, spec: Spec, items: bool, text_col: str = "text") -> DataFrame:
-    """(set, bitmap, size), or (set, items) with the sorted hashes, of rows (set, text)."""
+def features(df: DataFrame, spec: Spec, text_col: str = "text") -> DataFrame:
+    """(set, size, bitmap, items: the sorted hashes) of rows (set, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(1)):
                 wanted = batch.column(0).slice(lo, hi - lo).to_pylist()
                 us = [(s, u) for s, u in zip(wanted, shingle_sets(data, offsets, spec.size), strict=True) if len(u) and set_id(u) == s]  # an id's other texts are left out
-                sets_ = pa.array([s for s, _ in us], pa.int64())
-                if items:
-                    yield pa.RecordBatch.from_arrays([sets_, pa.array([u.tobytes() for _, u in us], pa.binary())], ["set", "items"])
-                else:
-                    yield pa.RecordBatch.from_arrays([sets_, pa.array([bitmap(u).tobytes() for _, u in us], pa.binary()), pa.array([len(u) for _, u in us], pa.int32())], ["set", "bitmap", "size"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([s for s, _ in us], pa.int64()), pa.array([len(u) for _, u in us], pa.int32()), pa.array([bitmap(u).tobytes() for _, u in us], pa.binary()), pa.array([u.tobytes() for _, u in us], pa.binary())],
+                    ["set", "size", "bitmap", "items"],
+                )
 
-    return df.select("set", text_col).mapInArrow(run, "set long, items binary" if items else "set long, bitmap binary, size int")
+    return df.select("set", text_col).mapInArrow(run, "set long, size int, bitmap binary, items binary")
 
 
 def bitmap(u: np.ndarray) -> np.ndarray:
@@ -172,19 +172,14 @@ def overlap_bound(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> int:
     return min(na - int(np.bitwise_count(a & ~b).sum()), nb - int(np.bitwise_count(b & ~a).sum()))
 
 
-def linked(a: bytes, b: bytes, spec: Spec) -> bool:
-    u, v = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+def linked(u: np.ndarray, v: np.ndarray, spec: Spec) -> bool:
     at = np.minimum(np.searchsorted(v, u), len(v) - 1)
     both = int((v[at] == u).sum())
     return spec.den * both >= spec.num * (len(u) + len(v) - both)
 
 
-def verified(pairs: DataFrame, bits: DataFrame, texts_of, spec: Spec) -> DataFrame:
-    """The pairs (a, b) that link, written.
-
-    Bitmaps are joined first; sorted sets are made only for sets of pairs that
-    they let through (``texts_of`` gives their texts).
-    """
+def verified(pairs: DataFrame, found: DataFrame, spec: Spec) -> DataFrame:
+    """The pairs (a, b) that link, written: bitmaps are joined first, sorted sets only to pairs that they let through."""
 
     def run(test):
         def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,16 +195,16 @@ def verified(pairs: DataFrame, bits: DataFrame, texts_of, spec: Spec) -> DataFra
         need = lambda both: spec.den * both >= spec.num * (n + m - both)
         return need(min(n, m)) and need(overlap_bound(np.frombuffer(bits_a.as_buffer(), np.uint8), n, np.frombuffer(bits_b.as_buffer(), np.uint8), m))
 
-    def joined(rows: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
+    def exact(a: pa.Scalar, b: pa.Scalar) -> bool:
+        return linked(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), spec)
+
+    def joined(rows: DataFrame, *columns: str) -> DataFrame:
         side = lambda s: found.select(F.col("set").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns])
         return rows.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{c}_{s}" for s in "ab" for c in columns])
 
-    near = stash(joined(pairs, bits, "bitmap", "size").mapInArrow(run(bounded), "a long, b long").distinct(), "join-near", WIDE)
-    tidy(pairs.sparkSession)
-    items = stash(features(texts_of(near), spec, True), "join-items", WIDE)
-    tidy(pairs.sparkSession)
-    out = stash(joined(near, items, "items").mapInArrow(run(lambda x, y: linked(x.as_buffer(), y.as_buffer(), spec)), "a long, b long").distinct(), "join-edges", WIDE)
-    release(near, items)
+    near = stash(joined(pairs, "bitmap", "size").mapInArrow(run(bounded), "a long, b long"), "join-near", narrow=True)
+    out = stash(joined(near, "items").mapInArrow(run(exact), "a long, b long"), "join-edges", narrow=True)
+    release(near)
     tidy(pairs.sparkSession)
     return out
 
@@ -217,7 +212,7 @@ def verified(pairs: DataFrame, bits: DataFrame, texts_of, spec: Spec) -> DataFra
 def components(edges: DataFrame) -> DataFrame:
     """(set, comp) of every node of ``edges`` (a, b): smallest reachable node, by hooking to the least neighbour label and jumping."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    links = stash(both, "links")
+    links = stash(both, "links", narrow=True)
     labels = links.groupBy(F.col("a").alias("set")).agg(F.least(F.min("b"), F.first("a")).alias("comp"))
 
     def step(labels: DataFrame) -> DataFrame:
@@ -228,7 +223,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     last = None
     while True:  # two steps a written table; at rest when the second changes nothing
-        moved = stash(step(step(labels).select("set", "comp")), "labels")
+        moved = stash(step(step(labels).select("set", "comp")), "labels", narrow=True)
         if last is not None:
             release(last)
         last, labels = moved, moved.select("set", "comp")
@@ -241,116 +236,98 @@ def components(edges: DataFrame) -> DataFrame:
 def join(df: DataFrame, spec: Spec | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id, set of every row."""
     spec = spec or Spec()
+    small_batches(df.sparkSession)
     members = stash(sets(df, spec, id_col, text_col), "join-sets")
-    nodes = members.where(F.col("set").isNotNull() & F.col(id_col).isNotNull()).groupBy("set").agg(F.min(id_col).alias("_rep"))
+    nodes = members.where(F.col("set").isNotNull() & F.col("id").isNotNull()).groupBy("set").agg(F.min(F.struct("id", "row")).alias("_rep"))
     least = F.min("set").over(Window.partitionBy("tile"))
     most = F.max("set").over(Window.partitionBy("tile"))
     shared = tile_rows(df, spec, text_col).withColumn("least", least).withColumn("most", most).where("least != most")
-    tiles = stash(shared.select("tile", "set", "least"), "join-tiles")
+    tiles = stash(shared.select("tile", "set", "least").distinct(), "join-tiles")
     tidy(df.sparkSession)
-    pairs = stash(tiles.where("set != least").select(F.col("least").alias("a"), F.col("set").alias("b")).distinct(), "join-pairs")
-
-    def texts_of(some: DataFrame) -> DataFrame:
-        """(set, text) of one row of each set named in pairs."""
-        wanted = nodes.join(some.select(F.col("a").alias("set")).union(some.select("b")).distinct(), "set").select("set", F.col("_rep").alias(id_col))
-        return df.select(id_col, text_col).join(wanted, id_col).select("set", F.col(text_col).alias("text"))
-
-    found = stash(features(texts_of(pairs), spec, False), "join-bits", WIDE)
+    pairs = stash(tiles.where("set != least").select(F.col("least").alias("a"), F.col("set").alias("b")).distinct(), "join-pairs", narrow=True)
+    named = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+    wanted = nodes.join(named, "set").select("set", "_rep.id", "_rep.row")
+    turn = F.row_number().over(Window.partitionBy("id", "row").orderBy("id"))  # one of repeated rows
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row")).withColumn("turn", turn).where("turn = 1")
+    found = stash(features(texts.join(wanted, ["id", "row"]), spec), "join-features")
     tidy(df.sparkSession)
-    edges = [verified(pairs, found, texts_of, spec)]
-    labels = components(edges[0])
+    edges = verified(pairs, found, spec)
+    labels = components(edges)
     opened = open_tiles(tiles, labels)
-    tested, forests, used = [pairs], 2, []
-    while opened.limit(1).count():
-        named = stash(cross_pairs(opened, labels, found, spec, forests).distinct(), "join-cross", WIDE)
-        known = reduce(DataFrame.union, tested)
-        fresh = stash(named.where("a != b").join(known, ["a", "b"], "left_anti"), "join-pairs")
-        tested.append(fresh)
-        used += [named, opened]
-        if fresh.limit(1).count():
-            edges.append(verified(fresh, found, texts_of, spec))
-            used.append(labels)
-            labels = components(reduce(DataFrame.union, edges))
-        # only tiles that left pairs out go on
-        opened = stash(opened.join(named.where("a = b").select(F.col("a").alias("tile")), "tile", "left_semi"), "join-open")
-        forests *= 16
-    release(opened, tiles, found, *used, *tested, *edges)
+    between = stash(block_links(opened, found, spec).distinct(), "join-between", narrow=True)
+    release(edges, pairs, tiles, opened, found)
     tidy(df.sparkSession)
-    grouped = nodes.join(labels, "set", "left").select("set", "_rep", F.coalesce("comp", "set").alias("comp"))
-    smallest = grouped.groupBy("comp").agg(F.min("_rep").alias("component"))
+    merged = components(between).select(F.col("set").alias("comp"), F.col("comp").alias("whole"))
+    release(between)
+    own = nodes.join(labels, "set", "left").select("set", "_rep", F.coalesce("comp", "set").alias("comp"))
+    grouped = own.join(merged, "comp", "left").select("set", "_rep", F.coalesce("whole", "comp").alias("comp"))
+    smallest = grouped.groupBy("comp").agg(F.min("_rep.id").alias("component"))
     classes = grouped.join(smallest, "comp").select("set", "component")
     out = members.join(classes, "set", "left")
-    return out.select(id_col, "n_shingles", F.coalesce("component", F.col(id_col)).alias("component_id"), "set")
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"), "set")
 
 
 def open_tiles(tiles: DataFrame, labels: DataFrame) -> DataFrame:
-    """(tile, set, n): members of tiles that hold several components and more than two sets; one tile of those with the same members."""
-    comp = F.coalesce("comp", "set")
-    labelled = tiles.join(labels, "set", "left").select("tile", "set", comp.alias("comp"))
+    """(tile, set, comp, most, others): members of tiles with several components and more than two sets.
+
+    ``most`` marks members of the tile's largest component; ``others`` counts the rest, ``mine`` the largest. Of tiles
+    with the same members one stays.
+    """
+    labelled = tiles.join(labels, "set", "left").select("tile", "set", F.coalesce("comp", "set").alias("comp"))
     who = F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("who")
-    several = labelled.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), who).where("lo != hi AND n > 2")
-    chosen = several.groupBy("who", "n").agg(F.min("tile").alias("tile"))
-    return stash(tiles.select("tile", "set").join(chosen.select("tile", "n"), "tile"), "join-open")
+    sizes = labelled.groupBy("tile", "comp").agg(F.count("*").alias("c"), who)
+    largest = F.max(F.struct("c", "comp")).alias("top")
+    several = sizes.groupBy("tile").agg(F.count("*").alias("comps"), F.sum("c").alias("n"), F.sum("who").alias("who"), largest).where("comps > 1 AND n > 2")
+    chosen = several.groupBy("who", "n").agg(F.min(F.struct("tile", "top")).alias("t")).select("t.tile", "t.top", "n")
+    rows = labelled.join(chosen, "tile")
+    return stash(rows.select("tile", "set", "comp", (F.col("comp") == F.col("top.comp")).alias("most"), F.col("top.c").alias("mine"), (F.col("n") - F.col("top.c")).alias("others")), "join-open")
 
 
-def cross_pairs(opened: DataFrame, labels: DataFrame, found: DataFrame, spec: Spec, forests: int) -> DataFrame:
-    """Pairs (a, b) of tile members in different components that the bitmaps let through.
+def block_links(opened: DataFrame, found: DataFrame, spec: Spec) -> DataFrame:
+    """Pairs (a, b) of components with a link between them, from blocks of open tiles.
 
-    A tile of ``FEW`` members or less is joined with itself. Members of others are cut into blocks; every two blocks of a tile meet in one
-    task, which names at most ``forests`` spanning forests over components, and
-    the tile, as a pair with itself, if that leaves some out.
+    Block (x, y): slice x of a tile's other members with slice y of its largest
+    component, or, for y above those, with a later slice of the others.
     """
-    own = opened.join(labels, "set", "left").select("tile", "set", "n", F.coalesce("comp", "set").alias("comp"))
-    few = own.where(F.col("n") <= FEW)
-    other = few.select("tile", F.col("set").alias("b"), F.col("comp").alias("comp_b"))
-    direct = few.select("tile", F.col("set").alias("a"), "comp").join(other, "tile").where("a < b AND comp != comp_b").select("a", "b")
-    many = own.where(F.col("n") > FEW)
-    blocks = F.ceil(F.col("n") / F.lit(spec.block)).cast("int")
-    mine = F.pmod(F.xxhash64("set"), blocks).cast("int")
-    labelled = many.select("tile", "set", "comp", blocks.alias("blocks"), mine.alias("mine"))
-    meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("x"), F.greatest("mine", o).alias("y"))))
-    placed = labelled.select("tile", "set", "comp", "mine", meet.alias("m")).select("tile", "set", "comp", "mine", "m.x", "m.y")
-    bits = found.select("set", "bitmap", "size")
-    ready = placed.join(bits, "set").select("tile", "x", "y", "set", "comp", "mine", "bitmap", "size")
+    slices = lambda c: F.ceil(F.col(c) / F.lit(spec.block)).cast("int")
+    cut = opened.withColumn("g", slices("mine")).withColumn("r", slices("others"))
+    own = F.when(F.col("most"), F.pmod(F.xxhash64("set"), F.col("g"))).otherwise(F.pmod(F.xxhash64("set"), F.col("r"))).cast("int")
+    at = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    for_most = F.transform(upto("r"), lambda x: at(x, F.col("own")))
+    with_most = F.transform(upto("g"), lambda y: at(F.col("own"), y))
+    with_others = F.transform(F.filter(upto("r"), lambda o: o != F.col("own")), lambda o: at(F.least(o, F.col("own")), F.col("g") + F.greatest(o, F.col("own"))))
+    meet = F.when(F.col("most"), for_most).otherwise(F.concat(with_most, with_others))
+    placed = cut.withColumn("own", own).select("tile", "set", "comp", "most", "own", F.explode(meet).alias("m")).select("tile", "set", "comp", "most", "own", "m.x", "m.y")
+    ready = placed.join(found, "set")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        s, mine_ = table.column("set").to_numpy(), table.column("mine").to_numpy()
-        label = np.unique(table.column("comp").to_numpy(), return_inverse=True)[1]
+        own, most = table.column("own").to_numpy(), table.column("most").to_numpy()
+        names, label = np.unique(table.column("comp").to_numpy(), return_inverse=True)
         size = table.column("size").to_numpy().astype(np.int64)
         maps = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bitmap")]
+        items = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("items")]
         width = min(map(len, maps))
         folded = np.stack([_fold(m, width) for m in maps])
-        allowed = label[:, None] != label[None, :]
-        if key[1].as_py() != key[2].as_py():
-            allowed &= mine_[:, None] != mine_[None, :]
-        allowed = np.triu(allowed, 1)
-        for i in np.flatnonzero(allowed.any(1)).tolist():
-            j = np.flatnonzero(allowed[i])
-            bound = np.minimum(size[i] - np.bitwise_count(folded[i] & ~folded[j]).sum(1, dtype=np.int64), size[j] - np.bitwise_count(folded[j] & ~folded[i]).sum(1, dtype=np.int64))
-            allowed[i, j] = spec.den * bound >= spec.num * (size[i] + size[j] - bound)
+        x, first = key[1].as_py(), key[2].as_py() == 0
+        place = np.arange(len(own))
         a, b = [], []
-        for _ in range(forests):
-            own = label.copy()
-            some = np.flatnonzero(allowed.any(1)).tolist()
-            if not some:
-                break
-            for i in some:
-                j = np.flatnonzero(allowed[i])
-                j = j[own[j] != own[i]]
-                if len(j):
-                    kinds, at = np.unique(own[j], return_index=True)
-                    j = j[at]
-                    allowed[i, j] = False
-                    own[np.isin(own, kinds)] = own[i]
-                    a.append(np.minimum(s[i], s[j]))
-                    b.append(np.maximum(s[i], s[j]))
-        if allowed.any():
-            a.append(np.array([key[0].as_py()]))
-            b.append(a[-1])
-        empty = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
-
-    return ready.groupBy("tile", "x", "y").applyInArrow(run, "a long, b long").union(direct.distinct())
+        for i in np.flatnonzero(~most & (own == x)).tolist():
+            # members of one slice meet each other in its first block only
+            meets = (label != label[i]) & (most | (own != x) | (first & (place > i)))
+            j = np.flatnonzero(meets & (size[i] * spec.num <= size * spec.den) & (size * spec.num <= size[i] * spec.den))
+            if not len(j):
+                continue
+            bound = np.minimum(size[i] - np.bitwise_count(folded[i] & ~folded[j]).sum(1, dtype=np.int64), size[j] - np.bitwise_count(folded[j] & ~folded[i]).sum(1, dtype=np.int64))
+            j = j[spec.den * bound >= spec.num * (size[i] + size[j] - bound)]
+            for k in j.tolist():
+                if label[k] != label[i] and linked(items[i], items[k], spec):
+                    a.append(names[min(label[i], label[k])])
+                    b.append(names[max(label[i], label[k])])
+                    label[label == label[k]] = label[i]
+        return pa.table({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return ready.groupBy("tile", "x", "y").applyInArrow(run, "a long, b long")
 
 
 def _fold(bits: np.ndarray, width: int) -> np.ndarray:

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; sets a local one only where none is configured (tests, local mode)."""
+    """The session's checkpoint folder; a local one only where none is set and the master is local."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = "file://" + os.path.join(tempfile.gettempdir(), "helixframe-shared")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
@@ -24,24 +26,30 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 #: Bytes of a row group, which a writer holds in memory for each task.
 ROW_GROUP = 16 << 20
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of an Arrow batch, held on both sides of a Python worker.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def stash(df: DataFrame, label: str, batch_rows: int = 0) -> DataFrame:
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, for this session from now on (a lower bound that is set already stays)."""
+    now = spark.conf.get(_BATCH, None)
+    if not (now and now.rstrip("b").isdigit() and 0 < int(now.rstrip("b")) <= BATCH_BYTES):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def stash(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    ``batch_rows`` bounds the rows of an Arrow batch while it is written, for wide rows.
+    ``narrow`` is for tables of a few numbers a row: no more files than cores.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = new_path(spark, label)
     schema = df.schema
-    before = spark.conf.get(BATCH)
-    try:
-        if batch_rows:
-            spark.conf.set(BATCH, batch_rows)
-        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
-    finally:
-        spark.conf.set(BATCH, before)
+    if narrow:
+        df = df.coalesce(spark.sparkContext.defaultParallelism)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._stashed_at = path
     return out

@@ -496,3 +496,50 @@ def test_suffix_array():
     for _ in range(300):
         a = rng.integers(0, rng.integers(1, 5), rng.integers(0, 40))
         assert suffix_dedup.suffix_array(a).tolist() == sorted(range(len(a)), key=lambda i: a[i:].tolist())
+
+
+def test_ngram_join_one_large_group(spark):
+    """A group of near copies far larger than a block, with stragglers that link to a few only, and many texts that share most of a template."""
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for k in range(3000):  # chains away from the base
+        w = list(base)
+        for p in rng.sample(range(60), rng.choice([1, 1, 2, 2, 3])):
+            w[p] = f"e{rng.randrange(400)}"
+        texts.append(" ".join(w))
+    template = [f"t{k}" for k in range(40)]
+    texts += [" ".join(template + [f"u{k}x{j}" for j in range(6)]) for k in range(700)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = rows(ngram_join.join(df, ngram_join.Spec(size=1, num=93, den=100, block=64)))
+    # brute force over words' bit masks
+    number = {}
+    masks = [sum(1 << number.setdefault(w, len(number)) for w in set(t.split())) for t in texts]
+    sizes = np.array([m.bit_count() for m in masks])
+    parent = list(range(len(texts)))
+
+    def root(k):
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    grid = np.zeros((len(texts), len(number)), np.float32)
+    for k, t in enumerate(texts):
+        grid[k, [number[w] for w in set(t.split())]] = 1
+    both = grid @ grid.T
+    hit = 100 * both >= 93 * (sizes[:, None] + sizes[None, :] - both)
+    for a, b in zip(*np.nonzero(np.triu(hit, 1)), strict=True):
+        x, y = sorted((root(int(a)), root(int(b))))
+        parent[y] = x
+    want = [root(k) for k in range(len(texts))]
+    assert len(set(want)) > 800
+    assert [got[k]["component_id"] for k in range(len(texts))] == want
+
+
+def test_ngram_join_hot_id(spark):
+    """Many different texts under one id, and many copies of one row."""
+    given = [(7, f"a{k} b{k} c{k} d{k} e{k}") for k in range(300)] + [(8, "x y z u v w")] * 300 + [(9, "x y z u v w")]
+    df = spark.createDataFrame(given, "doc_id long, text string").repartition(4)
+    got = Counter((r.doc_id, r.component_id) for r in ngram_join.join(df).collect())
+    assert got == {(7, 7): 300, (8, 8): 300, (9, 8): 1}
