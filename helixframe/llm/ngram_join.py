@@ -9,10 +9,12 @@ more than E empty parts: of two linked sets with at most E, one common part has
 content. Tiles link their members to the smallest one; those pairs are checked
 by bitmaps, whose bit counts bound the overlap from above, and then by
 intersection of the sorted arrays. In tiles that then hold several components,
-the members outside the tile's largest component meet all others in blocks:
-members of the largest are placed once for each block of others. A block tests
-pairs between components only, bitmaps first, and joins components as it finds
-links, so no link between components is lost and none within one is looked for.
+the members outside the tile's largest component meet all others. Where these
+are few pairs, the pairs between components are named and checked like the first
+ones. Otherwise they meet in blocks: members of the largest are placed once for
+each block of others. A block tests pairs between components only, bitmaps
+first, and joins components as it finds links, so no link between components is
+lost and none within one is looked for.
 Components come from label propagation with pointer jumping over written tables.
 The work on a tile grows with the square of its members outside its largest
 component: texts that share nearly enough and don't link.
@@ -37,6 +39,8 @@ from helixframe.llm.store import release, small_batches, stash, tidy
 from helixframe.llm.textops import Hasher, chunks, mix, sequence_hash, signed, windows, words
 
 
+#: Tiles with so many pairs of an outside member name them (a pair is tested once, whatever tiles it shares); others go in blocks.
+FEW = 2048
 #: Sets that a task remembers to have named tiles for.
 _SEEN = 1 << 20
 
@@ -254,8 +258,12 @@ def join(df: DataFrame, spec: Spec | None = None, id_col: str = "doc_id", text_c
     edges = verified(pairs, found, spec)
     labels = components(edges)
     opened = open_tiles(tiles, labels)
-    between = stash(block_links(opened, found, spec).distinct(), "join-between", narrow=True)
-    release(edges, pairs, tiles, opened, found)
+    fresh = stash(few_pairs(opened).join(pairs, ["a", "b"], "left_anti"), "join-pairs", narrow=True)
+    more = verified(fresh, found, spec)
+    side = lambda s: labels.select(F.col("set").alias(s), F.col("comp").alias(f"comp_{s}"))
+    known = more.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
+    between = stash(block_links(opened, found, spec).union(known).distinct(), "join-between", narrow=True)
+    release(edges, pairs, tiles, opened, found, fresh, more)
     tidy(df.sparkSession)
     merged = components(between).select(F.col("set").alias("comp"), F.col("comp").alias("whole"))
     release(between)
@@ -283,6 +291,18 @@ def open_tiles(tiles: DataFrame, labels: DataFrame) -> DataFrame:
     return stash(rows.select("tile", "set", "comp", (F.col("comp") == F.col("top.comp")).alias("most"), F.col("top.c").alias("mine"), (F.col("n") - F.col("top.c")).alias("others")), "join-open")
 
 
+def few_pairs(opened: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of different components of open tiles with ``FEW`` such pairs or less."""
+    few = opened.where(_crossing() <= FEW)
+    other = few.select("tile", F.col("set").alias("other"), F.col("comp").alias("other_comp"), F.col("most").alias("other_most"))
+    met = few.where("NOT most").join(other, "tile").where("comp != other_comp AND (other_most OR set < other)")
+    return met.select(F.least("set", "other").alias("a"), F.greatest("set", "other").alias("b")).distinct()
+
+
+def _crossing() -> F.Column:
+    return F.col("others") * F.col("mine") + F.col("others") * (F.col("others") - 1) / 2
+
+
 def block_links(opened: DataFrame, found: DataFrame, spec: Spec) -> DataFrame:
     """Pairs (a, b) of components with a link between them, from blocks of open tiles.
 
@@ -290,7 +310,7 @@ def block_links(opened: DataFrame, found: DataFrame, spec: Spec) -> DataFrame:
     component, or, for y above those, with a later slice of the others.
     """
     slices = lambda c: F.ceil(F.col(c) / F.lit(spec.block)).cast("int")
-    cut = opened.withColumn("g", slices("mine")).withColumn("r", slices("others"))
+    cut = opened.where(_crossing() > FEW).withColumn("g", slices("mine")).withColumn("r", slices("others"))
     own = F.when(F.col("most"), F.pmod(F.xxhash64("set"), F.col("g"))).otherwise(F.pmod(F.xxhash64("set"), F.col("r"))).cast("int")
     at = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)

@@ -87,9 +87,11 @@ def jaccard_classes(texts, size, num, den):
     return [len(s) for s in sets], [root(k) for k in range(len(texts))]
 
 
+@pytest.mark.parametrize("few", [0, 2048])
 @pytest.mark.parametrize(("size", "num", "den"), [(3, 90, 100), (5, 80, 100), (1, 60, 100)])
-def test_ngram_join(docs, none, size, num, den):
+def test_ngram_join(docs, none, size, num, den, few, monkeypatch):
     spec = ngram_join.Spec(size=size, num=num, den=den, block=4)
+    monkeypatch.setattr(ngram_join, "FEW", few)
     got = rows(ngram_join.join(docs, spec))
     sizes, comps = jaccard_classes(TEXTS, size, num, den)
     assert [got[k]["n_shingles"] for k in range(len(TEXTS))] == sizes
@@ -97,8 +99,10 @@ def test_ngram_join(docs, none, size, num, den):
     assert ngram_join.join(none, spec).count() == 0
 
 
-def test_ngram_join_chains(spark):
+@pytest.mark.parametrize("few", [0, 2048])
+def test_ngram_join_chains(spark, few, monkeypatch):
     """Neighbours link, ends don't: members of a tile meet only through the cross pairs."""
+    monkeypatch.setattr(ngram_join, "FEW", few)
     w = [f"w{k}" for k in range(40)]
     texts = [" ".join(w[:k] + [f"z{k}"] + w[k + 1 :]) for k in range(30)] + [" ".join(w)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
