@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.sequence import kmers
 
 
 def first_per_sequence(df: DataFrame, order: str, sequence: str = "sequence") -> DataFrame:
-    """The first row (by ``order``) of each distinct sequence; aggregated before the shuffle."""
-    first = df.groupBy(sequence).agg(F.min(order).alias(order))
-    return df.join(first, [sequence, order], "left_semi")
+    """The first row (by ``order``; of ties any one) of each distinct sequence, null being one; all but a task's first are dropped before the shuffle."""
+    turn = F.row_number().over(Window.partitionBy(sequence).orderBy(order))
+    return df.withColumn("_turn", turn).where("_turn = 1").drop("_turn")
 
 
 def drop_contained(df: DataFrame, k: int, id_col: str = "id", sequence: str = "sequence") -> DataFrame:

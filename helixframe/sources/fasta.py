@@ -1,31 +1,88 @@
 """FASTA and FASTQ readers and writers.
 
 A FASTA record is one text row split at ``\\n>``, so files need not fit a task
-(gzip files aren't splittable). Empty records and text before the first header
-are dropped, sequences upper-cased. FASTQ needs four-line framing, which a
+(gzip files aren't splittable). Empty records and text before a file's first
+header are dropped, sequences upper-cased. FASTQ needs four-line framing, which a
 separator can't express: lines are numbered within a file.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def fasta_record(value: Column) -> Column:
+def fasta_record(value: Column, keep_case: bool = False) -> Column:
     """(id, sequence) of one record's text, with or without its ``>``."""
     text = F.regexp_replace(value, r"^>", "")
     head = F.trim(F.regexp_replace(F.substring_index(text, "\n", 1), r"\r", ""))
     body = F.when(F.instr(text, "\n") > 0, F.substring(text, F.instr(text, "\n") + 1, F.length(text))).otherwise("")
-    return F.struct(head.alias("id"), F.upper(F.regexp_replace(body, r"\s", "")).alias("sequence"))
+    letters = F.regexp_replace(body, r"\s", "")
+    return F.struct(head.alias("id"), (letters if keep_case else F.upper(letters)).alias("sequence"))
+
+
+def line_records(value: Column, keep_case: bool = False) -> Column:
+    """(id, sequence) of each sequence line of one record's text; the id stops at the first blank."""
+    lines = F.split(F.regexp_replace(value, r"^>", ""), r"\r?\n")
+    head = F.regexp_extract(F.get(lines, 0), r"^\s*(\S*)", 1)
+    held = F.filter(F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.regexp_replace(x, r"\s", "")), lambda x: x != "")
+    return F.transform(held, lambda x: F.struct(head.alias("id"), (x if keep_case else F.upper(x)).alias("sequence")))
+
+
+def _first_of_part(part: Column) -> Column:
+    """Whether a row is the first of its file part; rows of a part follow each other in a task.
+
+    Only the parts' hashes go through Python, the texts stay behind.
+    """
+
+    @F.pandas_udf("boolean")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        last = None
+        for keys in batches:
+            held = keys.to_numpy()
+            first = np.ones(len(held), bool)
+            first[1:] = held[1:] != held[:-1]
+            if len(held):
+                first[0], last = last is None or held[0] != last, held[-1]
+            yield pd.Series(first)
+
+    return run.asNondeterministic()(part)  # so that no filter moves below it
+
 
+def record_texts(rows: DataFrame) -> DataFrame:
+    """(value, file, block) of the records among texts that the reader split at ``\\n>``.
 
-def read_fasta(spark: SparkSession, path: str, drop_empty: bool = True) -> DataFrame:
-    """id, sequence, quality (null), file, rec_idx."""
-    rows = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("rec_idx"))
-    parsed = rows.where(F.col("value").startswith(">") | (F.col("rec_idx").bitwiseAND((1 << 33) - 1) > 0)).select(fasta_record(F.col("value")).alias("r"), "file", "rec_idx")
+    A file's text before its first header is left out: the first row of its first
+    part, unless it starts with the marker. Other parts start behind a separator.
+    """
+    given = rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    marked = given.withColumn("_first", _first_of_part(F.xxhash64("file", "block")))
+    return marked.where(F.col("value").startswith(">") | (F.col("block") > 0) | ~F.col("_first")).drop("_first")
+
+
+def read_fasta(spark: SparkSession, path: str, drop_empty: bool = True, keep_case: bool = False, one_line_per_record: bool = False, mode: str = "PERMISSIVE") -> DataFrame:
+    """id, sequence, quality (null), file, rec_idx (rises within a file).
+
+    ``one_line_per_record`` makes every sequence line a record of its own. A
+    record is malformed without an id, or with other marks than letters, ``*``, ``-`` and
+    ``.``: DROPMALFORMED leaves it out, FAILFAST raises, PERMISSIVE keeps it.
+    """
+    texts = record_texts(spark.read.option("lineSep", "\n>").text(path)).withColumn("rec_idx", F.monotonically_increasing_id())
+    if one_line_per_record:
+        parsed = texts.select("file", (F.col("rec_idx")).alias("_at"), F.posexplode(line_records(F.col("value"), keep_case)).alias("_line", "r"))
+        parsed = parsed.withColumn("rec_idx", F.monotonically_increasing_id())
+    else:
+        parsed = texts.select(fasta_record(F.col("value"), keep_case).alias("r"), "file", "rec_idx")
     out = parsed.select("r.id", "r.sequence", F.lit(None).cast("string").alias("quality"), "file", "rec_idx")
-    return out.where("sequence <> ''") if drop_empty else out
+    out = out.where("sequence <> ''") if drop_empty else out
+    good = (F.col("id") != "") & F.col("sequence").rlike(r"^[A-Za-z*.\-]*$")
+    if mode == "DROPMALFORMED":
+        return out.where(good)
+    return out.where(F.when(good, True).otherwise(F.raise_error(F.concat(F.lit("malformed FASTA record: "), "id")).cast("boolean"))) if mode == "FAILFAST" else out
 
 
 def valid_read(head: Column, seq: Column, plus: Column, quality: Column) -> Column:
@@ -53,8 +110,9 @@ def record_text(width: int = 0) -> Column:
     return F.when(F.coalesce(F.col("quality"), F.lit("")) == "", F.concat(F.lit(">"), "id", F.lit("\n"), seq)).otherwise(F.concat(F.lit("@"), "id", F.lit("\n"), "sequence", F.lit("\n+\n"), "quality"))
 
 
-def write_records(df: DataFrame, path: str, width: int = 0, compression: str = "none") -> None:
-    df.select(record_text(width).alias("value")).write.option("compression", compression).text(path)
+def write_records(df: DataFrame, path: str, width: int = 0, compression: str = "none", mode: str = "errorifexists") -> None:
+    """FASTA or FASTQ text; an existing target is refused before anything is read, unless ``mode`` allows it."""
+    df.select(record_text(width).alias("value")).write.mode(mode).option("compression", compression).text(path)
 
 
 def last_per_id(df: DataFrame) -> DataFrame:
@@ -62,6 +120,18 @@ def last_per_id(df: DataFrame) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
+def file_kind(path: Column) -> Column:
+    """fasta, fastq, genbank or unknown, by a path's suffix (before ``.gz``)."""
+    name = F.regexp_replace(F.lower(path), r"\.gz$", "")
+    return F.when(name.rlike(r"\.(fa|fas|fasta|fna|faa)$"), "fasta").when(name.rlike(r"\.(fq|fastq)$"), "fastq").when(name.rlike(r"\.(gb|gbk|genbank)$"), "genbank").otherwise("unknown")
+
+
+def sample_name(file: Column) -> Column:
+    """A read file's sample: its name without folder, suffixes and the mark of the pair's side (``_R1``, ``_1``)."""
+    stem = F.regexp_replace(F.regexp_replace(file, r"^.*/", ""), r"\.(fq|fastq|fa|fasta)(\.gz)?$", "")
+    return F.regexp_replace(stem, r"[._](R?[12])$", "")
+
+
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
     """FASTA or FASTQ by each file's first letter: id, sequence, quality, file.
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.sources.fasta import fasta_record
+from helixframe.sources.fasta import fasta_record, record_texts
 
 
 def stream_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """id, sequence and arrival time of the records of files as they come."""
-    rows = spark.readStream.option("lineSep", "\n>").text(path)
+    """id, sequence and arrival time of the records of files as they come; text before a file's first header is left out."""
+    rows = record_texts(spark.readStream.option("lineSep", "\n>").text(path))
     return rows.select(fasta_record(F.col("value")).alias("r"), F.current_timestamp().alias("seen_at")).select("r.id", "r.sequence", "seen_at").where("sequence <> ''")
 
 
