@@ -144,6 +144,20 @@ def test_sharding_hot_group(spark):
     assert max(load.values()) < 1.1 * min(load.values())
 
 
+@pytest.mark.parametrize(("groups", "copies", "ids"), [(9, 100, "own"), (9, 100, "null"), (3, 400, "one"), (13, 50, "own")])
+def test_sharding_equal_groups(spark, groups, copies, ids):
+    """Groups of equal texts that fill no whole number of shards are split; null and repeated ids too."""
+    key = {"own": F.col("id"), "null": F.lit(None).cast("long"), "one": F.lit(7).cast("long")}[ids]
+    df = spark.range(groups * copies).select(key.alias("doc_id"), F.concat(F.lit("text " * 50), (F.col("id") % groups).cast("string")).alias("text"))
+    load, slots = Counter(), defaultdict(list)
+    for r in sharding.shard(df).collect():
+        load[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    row = 5 * 50 + 2
+    assert len(load) == 8 and max(load.values()) - min(load.values()) <= sum(load.values()) / 512 + 2 * row
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and sum(map(len, slots.values())) == groups * copies
+
+
 def test_exact_dedup(docs, none):
     got = rows(exact_dedup.classes(docs, capacity=8))
     norm = [(t or "").translate({c: c + 32 for c in range(65, 91)}) for t in TEXTS]
