@@ -167,12 +167,47 @@ def test_exact_dedup(docs, none):
     assert exact_dedup.classes(none).count() == 0
 
 
-def test_directory_doubles():
-    depth, table = exact_dedup.directory({k: 10 for k in range(64)}, 40, 6)
-    assert depth == 4 and len(table) == 16 and len(set(table)) == 16
-    depth, table = exact_dedup.directory({0: 100, 63: 1}, 40, 6)
-    assert depth == 6 and table[63] == table[32]
-    assert exact_dedup.directory({}, 40) == (0, [0])
+def byte_key(text):
+    return F.pmod(F.xxhash64(text), F.lit(256))
+
+
+@pytest.mark.parametrize("capacity", [2, 1000])
+def test_exact_dedup_collisions(spark, capacity):
+    """Texts of one 8-bit key share a chain and stay apart; hot keys are dealt to several entries."""
+    texts = [f"Text {k % 700}" if k % 3 else "hot" for k in range(3000)] + [None, "", None]
+    df = spark.createDataFrame([(k if k % 50 else None, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = Counter(tuple(r) for r in exact_dedup.classes(df, capacity=capacity, key=byte_key, hot_rows=100).collect())
+    norm = [(t or "").lower() for t in texts]
+    last, size = {}, Counter(norm)
+    for k, t in enumerate(norm):
+        if k % 50:
+            last[t] = k
+    want = Counter((k if k % 50 else None, last.get(t), size[t], (k if k % 50 else None) == last.get(t), hashlib.sha256(t.encode()).hexdigest()) for k, t in enumerate(norm))
+    assert got == want
+
+
+def test_directory(spark):
+    top = exact_dedup.KEY_BITS
+    keys = lambda values: spark.createDataFrame([(v,) for v in values], "_key long")
+    even = exact_dedup.directory(keys([k << top - 6 for k in range(64) for _ in range(10)]), 40)
+    assert even == [(k << top - 4, 4) for k in range(16)]
+    deep = exact_dedup.directory(keys([5] * 100 + [1 << top - 1]), 40)
+    assert (5, top) in deep and (1 << top - 1, 1) in deep and len(deep) == top + 1
+    assert exact_dedup.directory(keys([]), 40) == [(0, 0)]
+
+
+def test_the_index_decides(docs, monkeypatch):
+    """Without the right directory no row finds its entry."""
+    given = exact_dedup.bucket
+    calls = []
+
+    def wrong(key, buckets):
+        calls.append(1)
+        return given(key, buckets) + int(len(calls) > 1)
+
+    monkeypatch.setattr(exact_dedup, "bucket", wrong)
+    with pytest.raises(Exception, match="missing from the index"):
+        exact_dedup.classes(docs, capacity=8).collect()
 
 
 def test_quality_rules(docs, none):
