@@ -48,8 +48,8 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks, by_rank = token_store.write(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), vocabulary=49_408, end_id=END_ID)
-    return token_store.read(blocks, by_rank, ids=False)
+    target = token_store.write(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), vocabulary=49_408, end_id=END_ID)
+    return token_store.read(spark, target, ids=False)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,18 @@
 """Token ids in a compact file format: frequency-ranked ids, byte-aligned variable length, separate control bytes.
 
 Texts are encoded once; the corpus-wide id counts (a table bounded by the
-vocabulary) give each id its rank, so frequent ids take one byte. A block holds
-the 2-bit byte lengths of its ids in control bytes (four ids each), apart from
-the data bytes; it is decoded by table lookups over control bytes. Blocks are
-rows of a Parquet table in the shared folder, in ascending id order within
-ascending shards, so Spark commits them atomically and any store Spark reads
-will do.
-
-Null or empty texts give the end id alone. Null ids sort first. Repeated rows
-are kept. An empty table gives an empty result. Extra columns are ignored.
+vocabulary) give each id its rank, so frequent ids take one byte. A store is a
+folder that describes itself: ``ranks`` holds the id of each rank, ``blocks`` the
+documents, in ascending id order within ascending shards. A block has a header
+(mark, version, numbers of documents and of ids), the documents' keys, and a
+payload: the documents' lengths, then their ranks, both as 2-bit byte lengths
+in control bytes (four numbers each) apart from the data bytes, decoded by
+table lookups over control bytes. Both parts are Parquet tables, so Spark
+commits them atomically and any store Spark reads will do.
+
+Null or empty texts give the end id alone. Null ids sort first; rows of one id
+come in the order of their ids' hash. Repeated rows are kept. An empty table
+gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,14 +23,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm.byte_bpe import IdTable, flattened, spread
-from helixframe.llm.store import release, stash
+from helixframe.llm.store import ROW_GROUP, new_path, release, small_batches, stash
 from helixframe.llm.textops import Hasher, chunks, words
 
-MAGIC = 0x31425648
+MAGIC, VERSION = 0x31425648, 2
 BLOCK_TOKENS = 1 << 19
 SHARD_TOKENS = 1 << 24
 KEEP_WORDS = 500_000
@@ -41,34 +44,45 @@ _MARK[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{}~")] = True  # without |, which end
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 
 
-def pack(ranks: np.ndarray) -> bytes:
-    """Header, control bytes, data bytes of a run of ranks below 2**32."""
-    ranks = ranks.astype(np.uint32)
-    n = len(ranks)
-    code = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+def pack(values: np.ndarray) -> bytes:
+    """Control bytes and data bytes of numbers below 2**32."""
+    values = values.astype(np.uint32)
+    n = len(values)
+    code = (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
     padded = np.zeros(-(-n // 4) * 4, np.uint8)
     padded[:n] = code
     quads = padded.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    raw = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    data = raw[np.arange(4) <= code[:, None]]
-    return np.array([MAGIC, n], "<u4").tobytes() + control.astype(np.uint8).tobytes() + data.tobytes()
+    raw = values.astype("<u4").view(np.uint8).reshape(-1, 4)
+    return control.astype(np.uint8).tobytes() + raw[np.arange(4) <= code[:, None]].tobytes()
 
 
-def unpack(payload: bytes) -> np.ndarray:
-    """Ranks of a block."""
-    magic, n = np.frombuffer(payload, "<u4", 2).tolist()
-    if magic != MAGIC:
-        raise ValueError("not a token block")
+def unpack(payload: bytes, n: int, at: int = 0) -> tuple[np.ndarray, int]:
+    """``n`` numbers from ``at`` on, and where they end."""
     n_control = -(-n // 4)
-    size = _LENGTHS[np.frombuffer(payload, np.uint8, n_control, 8)].reshape(-1)[:n]
-    data = np.frombuffer(payload, np.uint8, offset=8 + n_control)
-    at = np.cumsum(size) - size
-    out = data[at].astype(np.uint32)
+    size = _LENGTHS[np.frombuffer(payload, np.uint8, n_control, at)].reshape(-1)[:n]
+    data = np.frombuffer(payload, np.uint8, offset=at + n_control)
+    end = np.cumsum(size)
+    from_ = end - size
+    out = data[from_].astype(np.uint32)
     for k in range(1, 4):
         more = np.flatnonzero(size > k)
-        out[more] |= data[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
-    return out
+        out[more] |= data[from_[more] + k].astype(np.uint32) << np.uint32(8 * k)
+    return out, at + n_control + int(end[-1] if n else 0)
+
+
+def block(sizes: list[int], ranks: np.ndarray) -> tuple[bytes, bytes]:
+    """(header, payload) of documents of these lengths."""
+    return np.array([MAGIC, VERSION, len(sizes), len(ranks)], "<u4").tobytes(), pack(np.array(sizes)) + pack(ranks)
+
+
+def unblock(header: bytes, payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, ranks) of a block."""
+    magic, version, n_documents, n_ids = np.frombuffer(header, "<u4").tolist()
+    if magic != MAGIC or version != VERSION:
+        raise ValueError(f"not a token block of version {VERSION}")
+    sizes, at = unpack(payload, n_documents)
+    return sizes.astype(np.int64), unpack(payload, n_ids, at)[0]
 
 
 class WordTokenizer:
@@ -191,65 +205,71 @@ def count_ids(encoded: DataFrame, vocabulary: int) -> np.ndarray:
     return counts
 
 
-def write(df: DataFrame, path: str, vocabulary: int, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """Encode and write blocks; returns the table of blocks and the id of each rank."""
+def write(df: DataFrame, path: str, vocabulary: int, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", target: str | None = None) -> str:
+    """Encode and write a store; returns its folder."""
+    spark = df.sparkSession
+    target = target or new_path(spark, "token-store")
     encoded = stash(encode(df, path, end_id, id_col, text_col), "token-ids")
     counts = count_ids(encoded, vocabulary)
-    by_rank = np.argsort(-counts, kind="stable").astype(np.uint32)
+    by_rank = np.argsort(-counts, kind="stable").astype("<u4")
     rank = np.empty(vocabulary, np.uint32)
     rank[by_rank] = np.arange(vocabulary, dtype=np.uint32)
+    spark.createDataFrame([(VERSION, vocabulary, by_rank.tobytes())], "version int, vocabulary int, ids binary").coalesce(1).write.parquet(f"{target}/ranks")
     kind = id_type(vocabulary)
     shards = max(1, -(-int(counts.sum()) // SHARD_TOKENS))
-    table = df.sparkSession.sparkContext.broadcast(rank)  # vocabulary-bounded
+    table = spark.sparkContext.broadcast(rank)  # vocabulary-bounded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, block = TaskContext.get().partitionId(), 0
+        shard, number, waiting = TaskContext.get().partitionId(), 0, 0
         held: list[np.ndarray] = []
-        ids: list = []
+        keys: list = []
 
         def flush() -> pa.RecordBatch:
-            sizes = [len(x) for x in held]
-            payload = pack(table.value[np.concatenate(held)])
-            return pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([ids], pa.list_(key_type)), pa.array([sizes], pa.list_(pa.int64())), pa.array([sum(sizes)], pa.int64()), pa.array([payload], pa.binary())],
-                ["shard", "block", "ids", "sizes", "n_tokens", "payload"],
-            )
-
-        waiting = 0
+            header, payload = block([len(x) for x in held], table.value[np.concatenate(held)])
+            columns = [pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([keys], pa.list_(key_type)), pa.array([header], pa.binary()), pa.array([payload], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["shard", "block", "keys", "header", "payload"])
+
         for batch in batches:
             key_type = batch.column(0).type
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 held.append(np.frombuffer(raw.as_buffer(), kind).copy())
-                ids.append(key)
+                keys.append(key)
                 waiting += len(held[-1])
                 if waiting >= BLOCK_TOKENS:
                     yield flush()
-                    held, ids, waiting, block = [], [], 0, block + 1
+                    held, keys, waiting, number = [], [], 0, number + 1
         if held:
             yield flush()
 
     key = df.schema[id_col].dataType.simpleString()
-    ordered = encoded.select(id_col, "ids").repartitionByRange(shards, F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first())
-    blocks = ordered.mapInArrow(run, f"shard int, block int, ids array<{key}>, sizes array<long>, n_tokens long, payload binary")
-    written = stash(blocks, "token-blocks")
+    order = [F.col(id_col).asc_nulls_first(), F.col("_tie")]  # equal ids needn't meet in one task
+    ordered = encoded.select(id_col, "ids", F.xxhash64("ids").alias("_tie")).repartitionByRange(shards, *order).sortWithinPartitions(*order).select(id_col, "ids")
+    small_batches(spark)
+    ordered.mapInArrow(run, f"shard int, block int, keys array<{key}>, header binary, payload binary").write.option("parquet.block.size", ROW_GROUP).parquet(f"{target}/blocks")
     release(encoded)
-    return written, by_rank
-
-
-def read(blocks: DataFrame, by_rank: np.ndarray, id_col: str = "doc_id", ids: bool = True) -> DataFrame:
-    """Per document, from the blocks: id, start, n_tokens, ids_crc32, and with ``ids`` the token ids (array<int>)."""
-    table = blocks.sparkSession.sparkContext.broadcast(by_rank)
-    inside = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("shard_tokens"))
-    before = shards.select("shard", F.coalesce(F.sum("shard_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    placed = blocks.select("shard", "block", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("inside")).join(F.broadcast(before), "shard")  # a row a shard
-    starts = placed.select("shard", "block", (F.col("before") + F.col("inside")).alias("start"))
+    return target
+
+
+def read(spark: SparkSession, target: str, id_col: str = "doc_id", ids: bool = True) -> DataFrame:
+    """Per document, from a store's files alone: id, start, n_tokens, ids_crc32, and with ``ids`` the token ids (array<int>)."""
+    ranks = spark.read.parquet(f"{target}/ranks").first()
+    if ranks["version"] != VERSION:
+        raise ValueError(f"not a token store of version {VERSION}")
+    table = spark.sparkContext.broadcast(np.frombuffer(bytes(ranks["ids"]), "<u4"))  # vocabulary-bounded
+    blocks = spark.read.parquet(f"{target}/blocks")
+    digits = F.hex(F.substring("header", 13, 4))  # the number of ids, its lowest byte first
+    n = F.conv(F.concat(*[F.substring(digits, k, 2) for k in (7, 5, 3, 1)]), 16, 10).cast("long")
+    counted = blocks.select("shard", "block", n.alias("n"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shards = counted.groupBy("shard").agg(F.sum("n").alias("n")).select("shard", before(Window.orderBy("shard")).alias("before"))  # a row a shard
+    inside = counted.select("shard", "block", before(Window.partitionBy("shard").orderBy("block")).alias("inside"))
+    starts = inside.join(shards, "shard").select("shard", "block", (F.col("before") + F.col("inside")).alias("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                found = table.value[unpack(batch.column(3)[k].as_buffer())].astype("<u4")
-                sizes = np.asarray(batch.column(2)[k].values, np.int64)
+                sizes, found = unblock(batch.column(2)[k].as_buffer(), batch.column(3)[k].as_buffer())
+                found = table.value[found]
                 end = np.cumsum(sizes)
                 raw, cut = memoryview(found.tobytes()), np.concatenate(([0], end * 4)).tolist()
                 columns = [batch.column(1)[k].values, pa.array(batch.column(0)[k].as_py() + end - sizes), pa.array(sizes), pa.array([zlib.crc32(raw[a:b]) for a, b in zip(cut, cut[1:], strict=False)], pa.int64())]
@@ -257,5 +277,5 @@ def read(blocks: DataFrame, by_rank: np.ndarray, id_col: str = "doc_id", ids: bo
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], end)), pa.int32()), pa.array(found.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, [id_col, "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
-    key = blocks.schema["ids"].dataType.elementType.simpleString()
-    return blocks.join(starts, ["shard", "block"]).select("start", "ids", "sizes", "payload").mapInArrow(run, f"`{id_col}` {key}, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if ids else ""))
+    key = blocks.schema["keys"].dataType.elementType.simpleString()
+    return blocks.join(starts, ["shard", "block"]).select("start", "keys", "header", "payload").mapInArrow(run, f"`{id_col}` {key}, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if ids else ""))

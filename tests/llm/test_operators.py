@@ -320,27 +320,43 @@ def test_random_parts_of_runs(spark):
         assert got[k]["spans"] == "" and clean[k]["text"] == text
 
 
-def test_token_store(docs, none, monkeypatch):
+def test_token_store(spark, docs, none, monkeypatch):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
     monkeypatch.setattr(token_store, "SHARD_TOKENS", 4000)
     monkeypatch.setattr(token_store, "BLOCK_TOKENS", 500)
-    got = rows(token_store.read(*token_store.write(docs, path, 49_408)))
+    got = rows(token_store.read(spark, token_store.write(docs, path, 49_408)))
     start = 0
     for k, x in enumerate(Tokenizer.from_file(path).encode_batch([t or "" for t in TEXTS], add_special_tokens=False)):
         ids = [*x.ids, 1]
         raw = np.array(ids, "<u4").tobytes()
         assert got[k] == {"doc_id": k, "start": start, "n_tokens": len(ids), "ids_crc32": zlib.crc32(raw), "ids": ids}
         start += len(ids)
-    assert token_store.read(*token_store.write(none, path, 49_408)).count() == 0
+    assert token_store.read(spark, token_store.write(none, path, 49_408)).count() == 0
 
 
-def test_pack_unpack():
+def test_token_store_repeated_rows_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "SHARD_TOKENS", 100)
+    texts = [(3, "a b"), (3, "a b"), (None, "c d e"), (None, None), (1, "f"), (3, "g h")] * 20
+    target = token_store.write(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), public_tokenizers.path("word_bpe_49k.json"), 49_408)
+    got = sorted(token_store.read(spark, target).collect(), key=lambda r: r.start)
+    assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter((k, len((t or "").split()) + 1) for k, t in texts)
+    assert [r.doc_id for r in got] == sorted((k for k, _ in texts), key=lambda k: (k is not None, k))
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))
+    again = token_store.read(spark.newSession(), target)
+    assert Counter(tuple(r)[:4] for r in again.collect()) == Counter(tuple(r)[:4] for r in got)
+
+
+def test_blocks():
     rng = np.random.default_rng(0)
     for n in (0, 1, 3, 4, 1001):
         x = rng.integers(0, 1 << 32, n, dtype=np.uint32) >> rng.integers(0, 32, n, dtype=np.uint32)
-        assert (token_store.unpack(token_store.pack(x)) == x).all()
+        assert (token_store.unpack(token_store.pack(x), n)[0] == x).all()
+        sizes, ranks = token_store.unblock(*token_store.block([n, 0, 70_000], x))
+        assert sizes.tolist() == [n, 0, 70_000] and (ranks == x).all()
+    with pytest.raises(ValueError, match="version"):
+        token_store.unblock(b"\0" * 16, b"")
 
 
 def test_byte_bpe(docs, none):
