@@ -1,4 +1,4 @@
-"""Dynamic programs over sequence pairs, in Arrow batches: global and local alignment, RNA folding, family alignment."""
+"""RNA folding in Arrow batches, and alignment by plain scores."""
 
 from __future__ import annotations
 
@@ -11,77 +11,53 @@ from pyspark.sql import functions as F
 
 from helixframe.operators.layout import spread
 
+_PARTNER = {"A": "U", "U": "A", "G": "C", "C": "G"}
+
 
 def align_pair(a: str, b: str, match: int = 2, mismatch: int = -1, gap: int = -2, local: bool = False) -> tuple[int, str, str, int, int]:
     """(score, aligned a, aligned b, 1-based starts in a and b); ties prefer diagonal, then up, then left."""
-    n, m = len(a), len(b)
-    x, y = np.frombuffer(a.encode("utf-32-le"), np.uint32), np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    h = np.zeros((n + 1, m + 1), np.int64)
-    if not local:
-        h[:, 0], h[0] = gap * np.arange(n + 1), gap * np.arange(m + 1)
-    step = gap * np.arange(m + 1)
-    for i in range(1, n + 1):
-        best = np.maximum(h[i - 1, :-1] + np.where(y == x[i - 1], match, mismatch), h[i - 1, 1:] + gap)
-        if local:
-            best = np.maximum(best, 0)
-        row = np.concatenate(([h[i, 0]], best))
-        h[i] = np.maximum.accumulate(row - step) + step  # gaps along the row
-    i, j = np.unravel_index(int(np.argmax(h)), h.shape) if local else (n, m)
-    score, out_a, out_b = int(h[i, j]), [], []
-    while (i or j) and not (local and h[i, j] == 0):
-        if i and j and h[i, j] == h[i - 1, j - 1] + (match if a[i - 1] == b[j - 1] else mismatch):
-            i, j = i - 1, j - 1
-            out_a.append(a[i])
-            out_b.append(b[j])
-        elif i and h[i, j] == h[i - 1, j] + gap:
-            i -= 1
-            out_a.append(a[i])
-            out_b.append("-")
-        else:
-            j -= 1
-            out_a.append("-")
-            out_b.append(b[j])
-    return score, "".join(out_a[::-1]), "".join(out_b[::-1]), int(i) + 1, int(j) + 1
+    from helixframe.operators.gapped import Scheme, align_one
 
+    r = align_one(a, b, Scheme(match, mismatch, gap, local=local, ties="dul"))
+    return r.score, r.first, r.second, r.start1, r.start2
 
-def align(df: DataFrame, a: str = "seq1", b: str = "seq2", local: bool = False, match: int = 2, mismatch: int = -1, gap: int = -2) -> DataFrame:
-    """Adds score, aligned1, aligned2, start1, start2."""
-    schema = "score bigint, aligned1 string, aligned2 string, start1 bigint, start2 bigint"
 
-    @F.pandas_udf(schema)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for left, right in batches:
-            yield pd.DataFrame([align_pair(x or "", y or "", match, mismatch, gap, local) for x, y in zip(left, right, strict=True)], columns=["score", "aligned1", "aligned2", "start1", "start2"])
+def align(df: DataFrame, a: str = "seq1", b: str = "seq2", local: bool = False, match: int = 2, mismatch: int = -1, gap: int = -2) -> DataFrame:
+    """Adds score, aligned1, aligned2, start1, start2; nulls align as empty."""
+    from helixframe.operators.gapped import Scheme, align_with
 
-    return spread(df).withColumn("_r", run(F.col(a), F.col(b))).select(*df.columns, "_r.*")
+    out = align_with(df, Scheme(match, mismatch, gap, local=local, ties="dul"), a, b)
+    return out.select(*df.columns, "score", "aligned1", "aligned2", "start1", "start2")
 
 
 def fold_rna(s: str) -> tuple[int, str]:
-    """Most A-U and G-C pairs, and a balanced dot-bracket structure with that many."""
+    """Most A-U and G-C pairs, and a balanced dot-bracket structure with that many.
+
+    ``best[i, j]`` counts for the letters i to j; a partner k of i settles all j from k on at once.
+    """
     n = len(s)
-    good = {("A", "U"), ("U", "A"), ("G", "C"), ("C", "G")}
-    best = [[0] * (n + 1) for _ in range(n + 2)]
-    for i in range(n - 1, -1, -1):
-        for j in range(i + 1, n):
-            v = best[i + 1][j]
-            for k in range(i + 1, j + 1):
-                if (s[i], s[k]) in good:
-                    v = max(v, 1 + (best[i + 1][k - 1] if k > i + 1 else 0) + (best[k + 1][j] if k < j else 0))
-            best[i][j] = v
+    if not n:
+        return 0, ""
+    at = {c: [k for k, x in enumerate(s) if x == c] for c in "ACGU"}
+    best = np.zeros((n + 2, n + 1), np.int32)
+    for i in range(n - 2, -1, -1):
+        row, below = best[i], best[i + 1]
+        row[:] = below
+        for k in at.get(_PARTNER.get(s[i], ""), []):
+            if k > i:
+                np.maximum(row[k:], best[k + 1, k:] + (1 + int(below[k - 1])), out=row[k:])
     out, todo = ["."] * n, [(0, n - 1)]
     while todo:
         i, j = todo.pop()
-        if i >= j or not best[i][j]:
+        if i >= j or not best[i, j]:
             continue
-        if best[i][j] == best[i + 1][j]:
+        if best[i, j] == best[i + 1, j]:
             todo.append((i + 1, j))
             continue
-        for k in range(i + 1, j + 1):
-            if (s[i], s[k]) in good and best[i][j] == 1 + (best[i + 1][k - 1] if k > i + 1 else 0) + (best[k + 1][j] if k < j else 0):
-                out[i], out[k] = "(", ")"
-                todo += [(i + 1, k - 1), (k + 1, j)]
-                break
-    return (best[0][n - 1] if n else 0), "".join(out)
+        k = next(k for k in at[_PARTNER[s[i]]] if i < k <= j and best[i, j] == 1 + best[i + 1, k - 1] + best[k + 1, j])
+        out[i], out[k] = "(", ")"
+        todo += [(i + 1, k - 1), (k + 1, j)]
+    return int(best[0, n - 1]), "".join(out)
 
 
 def fold(df: DataFrame, sequence: str = "sequence") -> DataFrame:

@@ -7,6 +7,7 @@ memory for about two roots of rows whatever its length.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -187,19 +188,26 @@ def pair_scores(df: DataFrame, group: str, id_col: str = "id", sequence: str = "
 
 
 def align_family_texts(texts: list[str], scheme: Scheme = FAMILY, again: Scheme = GLOBAL) -> list[str]:
-    """Progressive alignment: the closest pair is aligned and its second leaves, distances to it scored by ``again``.
+    """Progressive alignment by a heap of pairs, the best scored on top (ties: least members).
 
-    Members that left are not gapped anew, and all are padded to one length.
+    The top pair is aligned; its second member is settled, and the first one's new
+    form makes new pairs with the members not yet settled, scored by ``again``. A
+    pair counts only while both forms are those it was scored with. Settled
+    members are not gapped anew; all are padded to one length.
     """
-    out, open_ = list(texts), set(range(len(texts)))
-    apart = {(i, j): -align_one(out[i], out[j], scheme).score for i in open_ for j in open_ if i < j}
-    while len(open_) > 1:
-        i, j = min((p for p in apart if p[0] in open_ and p[1] in open_), key=lambda p: (apart[p], p))
-        pair = align_one(out[i], out[j], scheme)
-        out[i], out[j] = pair.first, pair.second
-        open_.discard(j)
-        for k in open_ - {i}:
-            apart[min(i, k), max(i, k)] = -align_one(out[i], out[k], again).score
+    out, form = list(texts), [0] * len(texts)
+    pair = lambda i, j, s: (-align_one(out[i], out[j], s).score, i, j, form[i], form[j])
+    heap = [pair(i, j, scheme) for j in range(len(out)) for i in range(j)]
+    heapq.heapify(heap)
+    while heap:
+        _, i, j, *scored = heapq.heappop(heap)
+        if scored != [form[i], form[j]]:
+            continue
+        r = align_one(out[i], out[j], scheme)
+        out[i], out[j], form[i], form[j] = r.first, r.second, form[i] + 1, -1
+        for k in range(len(out)):
+            if k != i and form[k] >= 0:
+                heapq.heappush(heap, pair(min(i, k), max(i, k), again))
     width = max(map(len, out), default=0)
     return [s.ljust(width, "-") for s in out]
 

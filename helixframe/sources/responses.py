@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.coding import percent_identity
+from helixframe.functions.coding import percent_identity, plain_text
 from helixframe.functions.sequence import truncated
 
 
@@ -43,11 +43,19 @@ def gene_introns(df: DataFrame, json: str = "json") -> DataFrame:
     return g.select("gene", "species", "transcript", "strand", F.inline(gaps))
 
 
+_LD_SCRIPT = r"""(?is)<script\b[^>]*\btype\s*=\s*["']?application/ld\+json\b[^>]*>(.*?)</script>"""
+
+
+def json_blocks(html: Column) -> Column:
+    """The JSON-LD texts of a page, whatever else their tags hold."""
+    return F.filter(F.transform(F.regexp_extract_all(html, F.lit(_LD_SCRIPT), F.lit(1)), F.trim), lambda x: x.rlike(r"^\s*[\[{]"))
+
+
 def embedded_code(html: Column, system: str) -> Column:
-    """First code of a coding system in the page's JSON-LD, or NA."""
-    block = F.regexp_extract(html, r'(?s)<script type="application/ld\+json">\s*(\{.*?\})\s*</script>', 1)
-    codes = F.from_json(block, "struct<code: array<struct<codingSystem: string, codeValue: string>>>").getField("code")
-    return F.coalesce(F.get(F.filter(codes, lambda c: c.codingSystem == system), 0).codeValue, F.lit("NA"))
+    """First code of a coding system in the page's JSON-LD blocks, or NA."""
+    kind = "struct<code: array<struct<codingSystem: string, codeValue: string>>>"
+    each = F.transform(json_blocks(html), lambda x: F.coalesce(F.from_json(x, kind).getField("code"), F.array().cast("array<struct<codingSystem: string, codeValue: string>>")))
+    return F.coalesce(F.get(F.filter(F.flatten(each), lambda c: c.codingSystem == system), 0).codeValue, F.lit("NA"))
 
 
 def page_title(html: Column, prefix: str = "") -> Column:
@@ -58,6 +66,46 @@ def links(html: Column, pattern: str = '[^"]*') -> Column:
     return F.regexp_extract_all(html, F.lit(f'href="({pattern})"'), F.lit(1))
 
 
+def _blocks(html: Column, tag: str, mark: str) -> Column:
+    """Inner texts of the tags of a class, up to the next tag of it: blocks that stand side by side."""
+    parts = F.split(html, rf"""(?i)<{tag}\b[^>]*\bclass\s*=\s*["'][^"'>]*\b{mark}\b[^>]*>""")
+    return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+
+
+def card_links(html: Column, mark: str = "drug-card", pattern: str = "/en/drug/substance/", base: str = "") -> Column:
+    """The first link of each card that holds ``pattern``; cards without one give nothing."""
+    found = F.transform(_blocks(html, "div", mark), lambda x: F.regexp_extract(x, rf"""(?i)<a\b[^>]*\bhref\s*=\s*["']([^"']*{pattern}[^"']*)["']""", 1))
+    return F.transform(F.filter(found, lambda x: x != ""), lambda x: F.concat(F.lit(base), x))
+
+
+def card_fields(html: Column, labels: dict[str, str], heading: str = "result-detail", column: str = "col-6", value: str = "fw-bold") -> Column:
+    """Struct of ``name`` (the heading's h2) and, for each label, the marked value of the first paragraph that holds it; NA where absent."""
+    or_na = lambda c: F.coalesce(F.nullif(F.trim(plain_text(c)), F.lit("")), F.lit("NA"))
+    name = F.regexp_extract(F.get(_blocks(html, "div", heading), 0), r"(?is)<h2\b[^>]*>(.*?)</h2>", 1)
+    lines = F.flatten(F.transform(_blocks(html, "div", column), lambda x: F.regexp_extract_all(x, F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1))))
+    marked = rf"""(?is)<span\b[^>]*\bclass\s*=\s*["'][^"'>]*\b{value}\b[^>]*>(.*?)</span>"""
+    pick = lambda label: F.regexp_extract(F.get(F.filter(lines, lambda x: F.contains(plain_text(x), F.lit(label))), 0), marked, 1)
+    return F.struct(or_na(name).alias("name"), *[or_na(pick(label)).alias(field) for field, label in labels.items()])
+
+
+def annotation(json: Column) -> Column:
+    """The first result of a protein search response: id, genes, protein, ec numbers; null without results."""
+    name = "struct<value: string>"
+    kind = f"struct<results: array<struct<primaryAccession: string, genes: array<struct<geneName: {name}>>, proteinDescription: struct<recommendedName: struct<fullName: {name}, ecNumbers: array<{name}>>>>>>"
+    first = F.get(F.from_json(json, kind).getField("results"), 0)
+    best = first["proteinDescription"]["recommendedName"]
+    out = F.struct(first["primaryAccession"].alias("id"), F.transform(first["genes"], lambda g: g["geneName"]["value"]).alias("genes"), best["fullName"]["value"].alias("protein"), F.transform(best["ecNumbers"], lambda e: e["value"]).alias("ec"))
+    return F.when(first.isNotNull(), out)
+
+
+def lines_after(text: Column, mark: str, n: int) -> Column:
+    """Of the ``n`` lines behind the first line that holds ``mark``, those that are neither empty nor comments."""
+    lines = F.split(text, r"\r?\n")
+    at = F.get(F.filter(F.transform(lines, lambda x, i: F.when(F.contains(x, F.lit(mark)), i)), lambda i: i.isNotNull()), 0)
+    following = F.when(at.isNotNull(), F.slice(lines, F.coalesce(at, F.lit(0)) + 2, F.lit(n))).otherwise(F.array().cast("array<string>"))
+    return F.filter(following, lambda x: ~x.rlike("^(#.*)?$"))
+
+
 def disease_rows(pages: DataFrame, estimates: DataFrame, drugs: DataFrame, prefix: str = "", system: str = "GARD") -> DataFrame:
     """Diseases with estimates and drugs.
 
@@ -66,7 +114,7 @@ def disease_rows(pages: DataFrame, estimates: DataFrame, drugs: DataFrame, prefi
     gives no row; a failed page, or one without JSON-LD, gives one of NA.
     """
     html = F.col("html")
-    found = F.coalesce(html.rlike(r'(?s)<script type="application/ld\+json">\s*\{'), F.lit(False))
+    found = F.coalesce(F.size(json_blocks(html)) > 0, F.lit(False))
     count = F.nullif(F.regexp_extract(html, r"orphan drug\(s\) \((\d+)\)", 1), F.lit(""))
     base = pages.select("id", found.alias("found"), embedded_code(html, system).alias("code"), page_title(html, prefix).alias("title"), count.alias("n"))
     full = base.where("found").join(estimates, "code", "left").join(drugs, "id")

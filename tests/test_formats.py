@@ -65,6 +65,14 @@ def test_snapgene(spark, tmp_path):
     assert [(r.id, r.sequence) for r in flatfiles.feature_records(rows.where("error IS NULL")).collect()] == [("CDS|f|-|2..4", "CGT")]
 
 
+def test_broken_features():
+    xml = b'<Features><Feature name="f" type="CDS"><Segment range="2-4"/><Segment range="7-x"/><Q name="n"><V>a<b>c</b></V><V int="3"/></Q></Feature></Features>'
+    head = b"\t" + struct.pack(">I", 14) + b"SnapGene" + struct.pack(">HHH", 1, 2, 3)
+    f = flatfiles.parse_snapgene(head + block(10, xml))["features"][0]
+    assert (f["start"], f["end"], f["strand"], f["location"], f["qualifiers"]) == (2, 4, ".", "2..4", {"n": ["ac", "3"], "label": ["f"]})
+    assert flatfiles.parse_snapgene(head + block(10, xml[:-9]))["error"] == "features"
+
+
 def test_trace(spark, tmp_path):
     body = [(b"PBAS", 2, 2, b"ACGTA"), (b"PCON", 2, 2, bytes([9, 8, 7, 6, 5])), (b"FWO_", 1, 2, b"GATC"), (b"SMPL", 1, 18, b"\x02s1"), (b"DATA", 9, 4, struct.pack(">3h", 1, 5, 10)), (b"DATA", 10, 4, struct.pack(">3h", 2, 20, 3))]
     data, entries = b"", b""
@@ -86,7 +94,9 @@ def test_functions(spark, tmp_path):
     (tmp_path / "a.py").write_text("import os\ndef f(a, b) -> int:\n    return os.getpid() + json.x()\nimport json\n")
     (tmp_path / "b.py").write_text("def (")
     got = {r.file[-4]: r for r in flatfiles.read_functions(spark, str(tmp_path)).collect()}
-    assert (got["a"].function, got["a"].args, got["a"].dependencies) == ("f", "a, b", "os") and got["b"].error == "SyntaxError"
+    assert (got["a"].function, got["a"].args, got["a"].returns, got["a"].dependencies) == ("f", "a, b", "int", "json, os") and got["b"].error == "SyntaxError"
+    nested = "import a.b as c\ndef f(x, *, y):\n    from m.n import g\n    def h():\n        import os\n        return g(c.d.e())\n    os.x()\n    return h\nasync def k() -> list[int]:\n    return g()\n"
+    assert [(r["function"], r["args"], r["returns"], r["dependencies"]) for r in flatfiles.parse_functions(nested)] == [("f", "x, y", "None", "a, m"), ("h", "", "None", "a, m"), ("k", "", "list[int]", "")]
 
 
 def test_responses(spark):
@@ -110,6 +120,21 @@ def test_diseases(spark):
     assert pages.select(responses.links(F.col("html")).alias("l")).first().l == ["/d"]
 
 
+def test_pages(spark):
+    one = lambda c, html: spark.createDataFrame([(html,)], "html string").select(c.alias("x")).first().x
+    html = F.col("html")
+    page = "<SCRIPT id='a' type='application/ld+json' nonce=x>{\"code\":[]}</SCRIPT><script type=\"application/ld+json\">[1]</script><script type=application/ld+json>\n {\"code\":[{\"codingSystem\":\"G\",\"codeValue\":\"7\"}]}</script>"
+    assert len(one(responses.json_blocks(html), page)) == 3 and one(responses.embedded_code(html, "G"), page) == "7"
+    assert one(responses.embedded_code(html, "G"), None) == "NA" == one(responses.embedded_code(html, "G"), "<p>")
+    cards = '<div class="x drug-card y"><a href="/o">o</a><a class="z" href="/en/drug/substance/1?q">d</a></div><div class="drug-card"><b>none</b></div><div class="drug-card"><a href="/en/drug/substance/2">e</a></div>'
+    assert one(responses.card_links(html, base="https://h"), cards) == ["https://h/en/drug/substance/1?q", "https://h/en/drug/substance/2"]
+    detail = '<div class="result-detail"><h2> A &amp; B </h2></div><div class="col-6"><p>Code/Synonyms: <span class="fw-bold">s1</span></p></div><div class="col-6"><p>Other: <span class="fw-bold">no</span></p></div>'
+    assert tuple(one(responses.card_fields(html, {"synonyms": "Code/Synonyms:", "chemical": "Chemical name or description:"}), detail)) == ("A & B", "s1", "NA")
+    assert one(responses.lines_after(html, "QueryID", 3), "x\nQueryID a\n# c\nr1\n\nr2") == ["r1"] and one(responses.lines_after(html, "QueryID", 3), "x") == []
+    answer = '{"results":[{"primaryAccession":"P1","genes":[{"geneName":{"value":"g"}}],"proteinDescription":{"recommendedName":{"fullName":{"value":"p"},"ecNumbers":[{"value":"1.1"}]}}},{"primaryAccession":"P2"}]}'
+    assert tuple(one(responses.annotation(html), answer)) == ("P1", ["g"], "p", ["1.1"]) and one(responses.annotation(html), '{"results":[]}') is None
+
+
 def test_fetch(spark):
     def send(records):
         if any("bad" in r for r in records):
