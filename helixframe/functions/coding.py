@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,20 +41,13 @@ def reverse_translation(protein: Column) -> Column:
     return F.when(~F.exists(codons, lambda c: c.isNull()), F.array_join(codons, ""))
 
 
-def _replaced(code: str, bases: str) -> Callable[[Column], Column]:
-    return lambda v: F.array(*[F.replace(v, F.lit(code), F.lit(b)) for b in bases])
-
-
 def expand_per_code(s: Column, limit: int | None = None) -> Column:
     """Variants where every occurrence of one ambiguity code takes the same base: RR gives AA and GG."""
-    out = F.array(s)
-    ways = F.lit(1.0)
-    for code, bases in IUPAC.items():
-        if len(bases) > 1:
-            here = F.contains(s, F.lit(code))
-            ways = ways * F.when(here, float(len(bases))).otherwise(1.0)
-            out = F.when(here, F.flatten(F.transform(out, _replaced(code, bases)))).otherwise(out)
-    return bounded(out, ways, limit)
+    kind = F.array(*[F.struct(F.lit(c).alias("code"), F.array(*[F.lit(b) for b in bases]).alias("bases")) for c, bases in IUPAC.items() if len(bases) > 1])
+    here = F.filter(kind, lambda k: F.contains(s, k["code"]))
+    ways = F.aggregate(here, F.lit(1.0), lambda n, k: n * F.size(k["bases"]))
+    grown = F.aggregate(here, F.array(s), lambda acc, k: F.flatten(F.transform(acc, lambda v: F.transform(k["bases"], lambda b: F.replace(v, k["code"], b)))))
+    return bounded(grown, ways, limit)
 
 
 def expand_brackets(s: Column, limit: int | None = None) -> Column:
@@ -110,10 +101,30 @@ def percent_identity(identical: Column, aligned: Column) -> Column:
     return F.try_divide(100.0 * identical, aligned)
 
 
-def plain_text(html: Column) -> Column:
-    """Tags removed, the five named entities and &nbsp; decoded."""
+# The named entities that are decoded (``&amp;`` last, so that nothing is decoded twice).
+ENTITIES = {
+    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": " ", "&copy;": "\u00a9", "&reg;": "\u00ae", "&deg;": "\u00b0", "&micro;": "\u00b5",
+    "&middot;": "\u00b7", "&ndash;": "\u2013", "&mdash;": "\u2014", "&hellip;": "\u2026", "&amp;": "&",
+}
+
+
+def plain_text(html: Column, numeric: bool = True) -> Column:
+    """Tags removed, the named entities of ``ENTITIES`` and (unless told otherwise) numeric ones decoded."""
     out = F.regexp_replace(html, "<[^>]*>", "")
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    if numeric:
+        number = lambda p: F.when(p.startswith("x") | p.startswith("X"), F.conv(F.substring(p, 2, 8), 16, 10)).otherwise(p).try_cast("int")
+        letter = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        parts = F.split(out, "&#")
+
+        def decoded(p: Column) -> Column:
+            digits = F.regexp_extract(p, "^([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});", 1)
+            n = number(digits)
+            good = (digits != "") & n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+            return F.when(F.coalesce(good, F.lit(False)), F.concat(letter(n), F.substring(p, F.length(digits) + 2, F.length(p)))).otherwise(F.concat(F.lit("&#"), p))
+
+        rest = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), decoded)
+        out = F.when(F.contains(out, F.lit("&#")), F.concat(F.get(parts, 0), F.array_join(rest, ""))).otherwise(out)
+    for name, char in ENTITIES.items():
         out = F.replace(out, F.lit(name), F.lit(char))
     return out
 

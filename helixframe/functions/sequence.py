@@ -70,8 +70,8 @@ def open_frame(protein: Column) -> Column:
 
 
 def iupac_regex(primer: str) -> str:
-    """Character classes for a constant primer."""
-    return "".join(c if len(IUPAC.get(c, c)) == 1 else f"[{IUPAC[c]}]" for c in primer)
+    """Character classes for a constant primer; letters outside the code stand for themselves."""
+    return "".join(f"[{IUPAC[c]}]" if len(IUPAC.get(c, "")) > 1 else c if c.isalnum() else "\\" + c for c in primer)
 
 
 def reverse_complement_text(primer: str) -> str:
@@ -121,10 +121,14 @@ def bounded(variants: Column, ways: Column, limit: int | None) -> Column:
     return F.when(ways > MOST_VARIANTS, refused).otherwise(variants)
 
 
-def expand(s: Column, first_fastest: bool = False, limit: int | None = None) -> Column:
-    """All plain variants of an ambiguous sequence; see ``bounded`` for ``limit``. Unknown letters stand for themselves."""
+def expand(s: Column, first_fastest: bool = False, limit: int | None = None, strict: bool = False) -> Column:
+    """All plain variants of an ambiguous sequence; see ``bounded`` for ``limit``.
+
+    Unknown letters stand for themselves, or leave no variant if ``strict``. For more
+    variants than fit an array, ``operators.variants.variant_rows`` makes rows.
+    """
     table = F.create_map(*[x for c, b in IUPAC.items() for x in (F.lit(c), F.array(*[F.lit(y) for y in b]))])
-    choices = F.transform(F.split(s, ""), lambda c: F.coalesce(F.try_element_at(table, c), F.array(c)))
+    choices = F.transform(F.split(s, ""), lambda c: F.coalesce(F.try_element_at(table, c), F.array() if strict else F.array(c)))
     count = F.aggregate(choices, F.lit(1.0), lambda n, c: n * F.size(c))
     seed = F.array(F.lit(""))
     if first_fastest:
@@ -172,3 +176,27 @@ def wrap(s: Column, width: int = 80) -> Column:
 
 def truncated(s: Column, width: int) -> Column:
     return F.when(F.length(s) > width, F.concat(F.left(s, F.lit(width - 3)), F.lit("..."))).otherwise(s)
+
+
+def base_frequencies(s: Column) -> Column:
+    """Struct of the shares of A, T, G and C among all letters; null for an empty text."""
+    return F.struct(*[F.try_divide((F.length(s) - F.length(F.replace(s, F.lit(b), F.lit("")))).cast("double"), F.length(s)).alias(b.lower()) for b in "ATGC"])
+
+
+def numbered_id(key: Column, number: Column, width: int = 0) -> Column:
+    """``key_number``, the number padded with zeros to ``width`` digits."""
+    text = number.cast("string")
+    return F.concat(key.cast("string"), F.lit("_"), F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text) if width else text)
+
+
+def percent_text(share: Column) -> Column:
+    """A share as percent with two digits."""
+    return F.format_string("%.2f", 100.0 * share)
+
+
+def has_keyword(text: Column, keywords: list[str]) -> Column:
+    """Whether any of the patterns is found; null for a null text."""
+    out = F.lit(False)
+    for k in keywords:
+        out = out | text.rlike(k)
+    return F.when(text.isNotNull(), out)

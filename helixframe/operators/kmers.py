@@ -26,8 +26,10 @@ def sharing_kmer(df: DataFrame, k: int = 11, id_col: str = "id", sequence: str =
     return df.join(ids, F.col(id_col) == F.col("_id"), "left_semi")
 
 
-def repeated_kmer(df: DataFrame, k: int, id_col: str = "id", sequence: str = "sequence") -> DataFrame:
-    """Records with a k-mer whose total count is over one (self repeats count)."""
+def repeated_kmer(df: DataFrame, k: int | None = None, id_col: str = "id", sequence: str = "sequence") -> DataFrame:
+    """Records with a k-mer whose total count is over one (self repeats count); k is the least length unless given. Empty texts have no k-mers and don't count for it."""
+    if k is None:
+        k = df.where(F.length(sequence) > 0).agg(F.min(F.length(sequence))).first()[0] or 1
     rows = kmer_rows(df, k, id_col, sequence)
     often = rows.groupBy("kmer").agg(F.count("*").alias("n")).where("n > 1").select("kmer")
     ids = rows.join(often, "kmer", "left_semi").select("_id").distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from helixframe.functions.coding import circular_end, kmer_similarity, mutual_match, occurs_once, plain
 from helixframe.functions.sequence import bind, hairpin, masks, max_mismatches, melting_temperature, mismatches, reverse_complement
 from helixframe.operators.layout import spread
-from helixframe.operators.mapping import seed_candidates, seed_size
+from helixframe.operators.mapping import open_reading_frames, seed_candidates, seed_size
 
 
 def _windows(long: Column, size: Column) -> Column:
@@ -114,23 +114,54 @@ def flanking_primers(df: DataFrame, target_start: int, target_end: int, size: in
     return kept.select("id", "primer", "position", "start", (F.col("start") + size - 1).alias("end"), "tm")
 
 
+def overlaps(spans: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs of different overlapping intervals: ``by``, start, end, and the other one's s and e, each pair both ways.
+
+    ``spans``: ``by``, start, end (inclusive), distinct. An interval belongs to the class of lengths up to a power of
+    two and to one block as long as that, and looks for others in the classes of its own length or longer, in three
+    blocks each: what overlaps it there starts in them. So one long interval costs each other one three rows.
+    """
+    level = F.ceil(F.log2(F.greatest(F.col("end") - F.col("start") + 1, F.lit(1)).cast("double"))).cast("int")
+    spans = spans.withColumn("_c", level)
+    wide = sorted(r[0] for r in spans.select("_c").distinct().collect())  # 64 at most
+    held = spans.select(*by, F.col("start").alias("s"), F.col("end").alias("e"), "_c", F.floor(F.col("start") / F.pow(F.lit(2.0), F.col("_c"))).alias("_b"))
+    classes = F.filter(F.array(*[F.lit(c) for c in wide or [0]]), lambda c: c >= F.col("_c"))
+    asked = spans.select(*by, "start", "end", F.explode(classes).alias("_c"))
+    own = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_c")))
+    asked = asked.withColumn("_b", F.explode(F.sequence(own("start") - 1, own("end"))))
+    pairs = asked.join(held, [*by, "_c", "_b"]).where("start <= e AND end >= s AND NOT (start = s AND end = e)").select(*by, "start", "end", "s", "e")
+    return pairs.union(pairs.select(*by, F.col("s"), F.col("e"), F.col("start"), F.col("end"))).distinct()
+
+
 def keep_longer_overlaps(orfs: DataFrame, key: str = "id") -> DataFrame:
     """Of each interval and the first other one on its strand that overlaps it, the longer (ties: the other); intervals alone stay.
 
     ``orfs``: key, strand, start, end (inclusive). "First" is by start, then end.
-    An equi-join on blocks as long as the longest interval of the strand replaces
-    the range join: overlapping intervals share a block or touch neighbouring ones.
     """
-    spans = orfs.select(key, "strand", "start", "end").distinct()
-    longest = spans.groupBy(key, "strand").agg(F.max(F.col("end") - F.col("start") + 1).alias("_w"))
-    spans = spans.join(longest, [key, "strand"]).withColumn("_b", F.floor(F.col("start") / F.col("_w")))
-    near = spans.select(F.col(key).alias("_k"), F.col("strand").alias("_d"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1)).alias("_n"))
-    same = (F.col(key) == F.col("_k")) & (F.col("strand") == F.col("_d")) & (F.col("_b") == F.col("_n"))
-    meets = same & (F.col("start") <= F.col("_e")) & (F.col("end") >= F.col("_s")) & ~((F.col("start") == F.col("_s")) & (F.col("end") == F.col("_e")))
-    first = spans.join(near, meets, "left").groupBy(key, "strand", "start", "end").agg(F.min(F.when(F.col("_k").isNotNull(), F.struct("_s", "_e"))).alias("o"))
-    own = F.col("o").isNull() | (F.col("end") - F.col("start") > F.col("o._e") - F.col("o._s"))
-    pick = F.when(own, F.struct("start", "end")).otherwise(F.struct(F.col("o._s").alias("start"), F.col("o._e").alias("end")))
-    return first.select(key, "strand", pick.alias("p")).select(key, "strand", "p.start", "p.end").distinct()
+    by = [key, "strand"]
+    spans = orfs.select(*by, "start", "end").distinct()
+    other = overlaps(spans, by).groupBy(*by, "start", "end").agg(F.min(F.struct("s", "e")).alias("o"))
+    first = spans.join(other, [*by, "start", "end"], "left")
+    own = F.col("o").isNull() | (F.col("end") - F.col("start") > F.col("o.e") - F.col("o.s"))
+    pick = F.when(own, F.struct("start", "end")).otherwise(F.struct(F.col("o.s").alias("start"), F.col("o.e").alias("end")))
+    return first.select(*by, pick.alias("p")).select(*by, "p.start", "p.end").distinct()
+
+
+def find_orfs(df: DataFrame, starts: tuple[str, ...] = ("ATG", "TTG", "CTG", "GTG"), longer_only: bool = True) -> DataFrame:
+    """(id, strand, start, end, n, sequence) of open reading frames on both strands, in forward coordinates (1-based, inclusive).
+
+    Frames run from a start codon to the first stop in frame. Those of the reverse strand are mirrored: they end
+    where they start there. With ``longer_only`` each frame and the first that overlaps it on its strand give the longer.
+    """
+    texts = df.select("id", F.col("sequence").alias("_s"))
+    found = open_reading_frames(df, starts).join(texts.select("id", F.length("_s").alias("_n")), "id")
+    back = F.col("strand") == "-"
+    mirror = lambda c: F.col("_n") - F.col(c) + 1
+    found = found.select("id", "strand", F.when(back, mirror("end")).otherwise(F.col("start")).alias("start"), F.when(back, mirror("start")).otherwise(F.col("end")).alias("end"))
+    kept = keep_longer_overlaps(found) if longer_only else found.distinct()
+    n = F.col("end") - F.col("start") + 1
+    piece = F.substring("_s", F.col("start"), n)
+    return kept.join(texts, "id").select("id", "strand", "start", "end", n.alias("n"), F.when(back, reverse_complement(piece, "acgt")).otherwise(piece).alias("sequence"))
 
 
 def cover_dedup(df: DataFrame, group: str, id_col: str = "id", sequence: str = "sequence") -> DataFrame:

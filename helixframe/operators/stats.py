@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.sequence import codons, gc_percent
@@ -43,3 +43,24 @@ def codon_bias(df: DataFrame, sequence: str = "sequence") -> DataFrame:
 def column_widths(df: DataFrame) -> DataFrame:
     """One row: each column's longest value in letters, 0 without values."""
     return df.agg(*[F.coalesce(F.max(F.length(F.col(f"`{c}`").cast("string"))), F.lit(0)).alias(c) for c in df.columns])
+
+
+def record_lengths(df: DataFrame, sequence: str = "sequence") -> DataFrame:
+    """Total length of the records of each (file, id)."""
+    return df.groupBy("file", "id").agg(F.sum(F.length(sequence)).cast("long").alias("length"))
+
+
+def matching_counts(df: DataFrame, group: str, matches: Column) -> DataFrame:
+    """Per group: rows that match, and all rows."""
+    return df.groupBy(group).agg(F.count_if(matches).alias("n_matches"), F.count("*").alias("n"))
+
+
+def longest(df: DataFrame, group: str, length: str, n: int, order: str) -> DataFrame:
+    """The ``n`` longest rows of each group, ties by ``order``."""
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(length), order))
+    return df.withColumn("_r", rank).where(F.col("_r") <= n).drop("_r")
+
+
+def unseen(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
+    """Rows whose key isn't among ``seen``; null keys stay."""
+    return df.join(seen.select(key), key, "left_anti")

@@ -18,14 +18,11 @@ def append_column(left: DataFrame, right: DataFrame, key: str = "key") -> DataFr
     return left.join(right, key, "full").na.fill(0)
 
 
-def merge_related(df: DataFrame, count: str = "n", id_col: str = "id", k: int = 4) -> DataFrame:
-    """Counts of ids added to the longest id that contains them (ties: least); by k-mer blocking, for shorter ids on their own length."""
-    from helixframe.functions.sequence import kmers
-
-    left = df.select(F.col(id_col).alias("_a"), F.substring(id_col, 1, k).alias("_k"))
-    small = [r[0] for r in df.where(F.length(id_col) < k).select(F.length(id_col)).distinct().collect()]  # fewer than k lengths
-    parts = F.array_distinct(F.concat(*[kmers(F.col(id_col), n) for n in (k, *sorted(small)) if n > 0]))
-    right = df.select(F.col(id_col).alias("_b"), F.explode(parts).alias("_k"))
-    best = left.join(right, "_k").where("length(_b) > length(_a) AND contains(_b, _a)").groupBy("_a").agg(F.min(F.struct((-F.length("_b")).alias("l"), F.col("_b").alias("b"))).alias("m"))
-    joined = df.join(best, F.col(id_col) == F.col("_a"), "left")
-    return joined.groupBy(F.coalesce("m.b", F.col(id_col)).alias(id_col)).agg(F.sum(count).alias(count))
+def merge_related(df: DataFrame, count: str = "n", id_col: str = "id") -> DataFrame:
+    """Counts of ids added to the longest id that contains them (ties: least); candidates as in ``dedup.containers``. Null and empty ids stay."""
+    from helixframe.operators.dedup import containers
+
+    ids = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("s")).distinct()
+    best = containers(ids, ids.withColumnRenamed("s", "l")).groupBy(F.col("s").alias("a")).agg(F.min(F.struct((-F.length("l")).alias("n"), F.col("l").alias("l"))).alias("m"))
+    joined = df.join(best, F.col(id_col) == F.col("a"), "left")
+    return joined.groupBy(F.coalesce("m.l", F.col(id_col)).alias(id_col)).agg(F.sum(count).alias(count))

@@ -106,7 +106,7 @@ def first_per_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(f"WITH d AS ({_dna_sql(mixed=True)}) SELECT id, sequence FROM d a WHERE NOT EXISTS (SELECT 1 FROM d b WHERE length(b.sequence) > length(a.sequence) AND contains(b.sequence, a.sequence))")
 def not_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.drop_contained(_dna(spark, sf_dir, mixed=True), 4)
+    return dedup.drop_contained(_dna(spark, sf_dir, mixed=True))
 
 
 @_register("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
@@ -490,7 +490,7 @@ def circular_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register(f"""WITH d AS (SELECT min(id) AS id, sequence FROM ({_dna_sql(mixed=True)}) GROUP BY sequence)
 SELECT id, sequence FROM d a WHERE NOT EXISTS (SELECT 1 FROM d b WHERE length(b.sequence) > length(a.sequence) AND contains(b.sequence, a.sequence))""")
 def distinct_uncontained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.drop_contained(dedup.first_per_sequence(_dna(spark, sf_dir, mixed=True), "id"), 4)
+    return dedup.drop_contained(dedup.first_per_sequence(_dna(spark, sf_dir, mixed=True), "id"))
 
 
 _IUPAC_PLACES = ", ".join(f"('{c}', '{b}', {k}, {len(bases)})" for c, bases in S.IUPAC.items() for k, b in enumerate(bases))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import coding as C
 from helixframe.functions import sequence as S
-from helixframe.operators import mapping, search
+from helixframe.operators import mapping, search, variants
 
 
 def one(spark, column, **values):
@@ -123,6 +123,52 @@ def test_overlaps(spark):
     assert got == want
 
 
+def test_variant_rows(spark):
+    rows = lambda texts, choices, **k: [(r.id, r.number, r.variant) for r in variants.variant_rows(spark.createDataFrame(list(enumerate(texts)), "id int, s string"), choices, **k).orderBy("id", "number").collect()]
+    s = F.col("s")
+    assert rows(["RY", "", None, "A-"], variants.iupac_choices(s)) == [(0, 0, "AC"), (0, 1, "AT"), (0, 2, "GC"), (0, 3, "GT"), (1, 0, ""), (3, 0, "A-")]
+    assert rows(["RY", "A-"], variants.iupac_choices(s, strict=True), first_fastest=True) == [(0, 0, "AC"), (0, 1, "GC"), (0, 2, "AT"), (0, 3, "GT")]
+    assert rows(["L"], variants.codon_choices(s)) == [(0, 0, "YTR"), (0, 1, "CTN")]
+    many = variants.variant_rows(spark.createDataFrame([("N" * 9,)], "s string"), variants.iupac_choices(s))
+    assert many.select("variant").distinct().count() == 4**9 == many.agg(F.max("number")).first()[0] + 1
+    got = variants.bracket_rows(spark.createDataFrame([("A[BC]D[EF][BC]",), (None,), ("x",)], "s string"), "s").collect()
+    assert [(r.s, r.variant) for r in sorted(got, key=lambda r: (r.s, r.number))] == [("A[BC]D[EF][BC]", v) for v in ("ABDEB", "ABDFB", "ACDEC", "ACDFC")] + [("x", "x")]
+    with pytest.raises(Exception, match="more than 2"):
+        variants.variant_rows(spark.createDataFrame([("N" * 40,)], "s string"), variants.iupac_choices(s)).collect()
+    assert one(spark, S.expand(F.col("s"), strict=True), s="R-") == [] and one(spark, S.expand(F.col("s")), s="R-") == ["A-", "G-"]
+
+
+def test_overlaps_of_mixed_lengths(spark):
+    rng = random.Random(9)
+    spans = [("x", rng.choice("+-"), a := rng.randint(1, 400), a + rng.choice([0, 1, 3, 8, 40, 300])) for _ in range(150)] + [("x", "+", 1, 5000)]
+    df = spark.createDataFrame(spans, "id string, strand string, start long, end long")
+    got = {tuple(r) for r in search.keep_longer_overlaps(df).collect()}
+    want = set()
+    for i, d, a, b in set(spans):
+        other = sorted((x, y) for _, e, x, y in set(spans) if e == d and (x, y) != (a, b) and x <= b and y >= a)
+        want.add((i, d, a, b) if not other or b - a > other[0][1] - other[0][0] else (i, d, *other[0]))
+    assert got == want
+
+
+@pytest.mark.parametrize("longer", [True, False])
+def test_find_orfs(spark, longer):
+    rng = random.Random(2)
+    texts = [(k, "".join(rng.choices("ACGT", k=rng.randint(0, 120)))) for k in range(25)]
+    got = sorted(tuple(r) for r in search.find_orfs(spark.createDataFrame(texts, "id long, sequence string"), longer_only=longer).collect())
+    want = set()
+    for k, t in texts:
+        frames = set()
+        for d, s in (("+", t), ("-", t[::-1].translate(str.maketrans("ACGT", "TGCA")))):
+            for i in range(len(s) - 2):
+                stop = next((j for j in range(i, len(s) - 2, 3) if s[j : j + 3] in ("TAA", "TAG", "TGA")), None)
+                if s[i : i + 3] in ("ATG", "TTG", "CTG", "GTG") and stop is not None:
+                    frames.add((d, i + 1, stop + 3, s[i : stop + 3]) if d == "+" else (d, len(s) - stop - 2, len(s) - i, s[i : stop + 3]))
+        for f in frames:
+            other = min(((x, y, g) for g in frames if g[0] == f[0] and g != f and (x := g[1]) <= f[2] and (y := g[2]) >= f[1]), default=None) if longer else None
+            want.add((k, *(f if other is None or len(f[3]) > len(other[2][3]) else other[2])))
+    assert got == sorted((k, d, a, b, b - a + 1, s) for k, d, a, b, s in want)
+
+
 def test_cover_and_layout(spark):
     df = spark.createDataFrame([("g", "a", "ACGTA"), ("g", "b", "CGT"), ("g", "c", "TTT")], "grp string, id string, sequence string")
     assert sorted(r.id for r in search.cover_dedup(df, "grp").collect()) == ["a", "c"]

@@ -51,10 +51,10 @@ def test_kmer_filters(spark):
 def test_containment(spark):
     df = spark.createDataFrame([("x", "ACGT", 0), ("y", "CG", 1), ("z", "ACGT", 2)], "id string, sequence string, rec_idx int")
     first = dedup.first_per_sequence(df, "rec_idx")
-    assert sorted(r.id for r in dedup.drop_contained(first, 3).collect()) == ["x"]
+    assert sorted(r.id for r in dedup.drop_contained(first).collect()) == ["x"]
     rng = random.Random(1)
     seqs = ["".join(rng.choices("AC", k=rng.randint(1, 9))) for _ in range(80)]
-    got = {r.id for r in dedup.drop_contained(spark.createDataFrame(list(enumerate(seqs)), "id long, sequence string").repartition(7), 4).collect()}
+    got = {r.id for r in dedup.drop_contained(spark.createDataFrame(list(enumerate(seqs)), "id long, sequence string").repartition(7)).collect()}
     assert got == {k for k, s in enumerate(seqs) if not any(len(t) > len(s) and s in t for t in seqs)}
 
 
@@ -84,7 +84,7 @@ def test_tables(spark):
     df = spark.createDataFrame([("a", "f1", 1), ("a", "f2", 2), ("b", "f2", 3)], "key string, sample string, n int")
     assert {r.key: (r.f1, r.f2) for r in tables.merge_counts(df, ["f1", "f2"]).collect()} == {"a": (1, 2), "b": (0, 3)}
     df = spark.createDataFrame([("AC", 1), ("ACG", 2), ("TT", 5)], "id string, n int")
-    assert {(r.id, r.n) for r in tables.merge_related(df, k=2).collect()} == {("ACG", 3), ("TT", 5)}
+    assert {(r.id, r.n) for r in tables.merge_related(df).collect()} == {("ACG", 3), ("TT", 5)}
     df = spark.createDataFrame([("A1", 1), ("A12", 2), ("1", 4), ("xA12y", 8), ("B", 16)], "id string, n int")
     assert {(r.id, r.n) for r in tables.merge_related(df).collect()} == {("xA12y", 15), ("B", 16)}
 
@@ -135,3 +135,45 @@ def test_alignment_and_folding():
         while "()" in (structure := re.sub(r"\.", "", structure)):
             structure = structure.replace("()", "")
         assert structure == ""
+
+
+def test_added_functions(spark):
+    s = F.col("s")
+    assert tuple(one(spark, S.base_frequencies(s), s="AATG")) == (0.5, 0.25, 0.25, 0.0) and one(spark, S.base_frequencies(s).a, s="") is None
+    assert one(spark, S.numbered_id(s, F.lit(7), 3), s="x") == "x_007" and one(spark, S.numbered_id(s, F.lit(1234), 3), s="x") == "x_1234"
+    assert one(spark, S.percent_text(F.lit(0.98765)), s="") == "98.77" and one(spark, S.has_keyword(s, ["b.d", "q"]), s="abcd") is True
+    assert one(spark, S.has_keyword(s, []), s="a") is False
+    assert S.iupac_regex("AR.") == "A[AG]\\." and one(spark, s.rlike(S.iupac_regex("R.")), s="AC") is False
+    from helixframe.functions import coding as C
+
+    assert one(spark, C.plain_text(s), s="<p>a&amp;lt; &#65;&#x2014;&copy;&#; &#99999999;</p>") == "a&lt; A\u2014\u00a9&#; &#99999999;"
+    assert one(spark, C.expand_per_code(s), s="RRY") == ["AAC", "AAT", "GGC", "GGT"]
+
+
+def test_long_containment(spark):
+    rng = random.Random(8)
+    long = ["".join(rng.choices("ACGT", k=200)) for _ in range(20)]
+    cut = [t[a : a + n] for t in long for a, n in ((0, 3), (5, 40), (60, 31), (150, 50), (20, 9))] + ["".join(rng.choices("ACGT", k=35)) for _ in range(20)] + ["", long[0][:-1] + "N"]
+    texts = long + cut + long[:2] + [None]
+    got = sorted((r.sequence or "-") for r in dedup.drop_contained(spark.createDataFrame([(t,) for t in texts], "sequence string")).collect())
+    assert got == sorted((t or "-") for t in texts if t is None or not any(x and len(x) > len(t) and t in x for x in texts))
+
+
+def test_sinks(spark, tmp_path):
+    from helixframe.sources import sinks
+
+    df = spark.createDataFrame([("b", 2, None), ("a", 1, "x|y"), ("c", 3, "z" * 60)], "id string, n int, note string")
+    sinks.write_table(df, str(tmp_path / "t"), order=["id"])
+    lines = [x for f in sorted((tmp_path / "t").glob("part*")) for x in f.read_text().splitlines()]
+    assert [x for x in lines if not x.startswith("id\t")] == ["a\t1\tx|y", "b\t2\t", "c\t3\t" + "z" * 60] and lines[0] == "id\tn\tnote"
+    with pytest.raises(Exception, match="(?i)already exists"):
+        sinks.write_table(df, str(tmp_path / "t"))
+    sinks.write_json(df.where("n < 3"), str(tmp_path / "j"))
+    assert sorted(spark.read.json(str(tmp_path / "j")).select("id", "n").collect()) == [("a", 1), ("b", 2)]
+    sinks.write_markdown(df, str(tmp_path / "m"), most=10)
+    text = spark.read.text(str(tmp_path / "m")).collect()
+    assert {r.value for r in text} == {"| id  | n   | note       |", "|-----|-----|------------|", "| a   | 1   | x\\|y       |", "| b   | 2   |            |", "| c   | 3   | zzzzzzz... |"}
+    assert one(spark, sinks.aligned_text(F.col("a"), F.col("b"), 4), a="AC-GT", b="ATCGT") == "   1 AC-G\n     |. |\n   1 ATCG\n\n   5 T\n     |\n   5 T\n"
+    assert one(spark, sinks.family_text(F.array("a", "b"), 2), a="ACG", b="A-G") == "AC\nA-\n\nG\nG"
+    places = spark.createDataFrame([(1, 0.5), (2, 0.9), (3, 0.5)], "q int, similarity double")
+    assert [r.q for r in sinks.by_similarity(places).collect()] == [2, 1, 3]
