@@ -6,9 +6,10 @@ d elements, d known per band. Cutting the hash space into d + 1 + E parts leaves
 at least E + 1 parts equal in both, so every linked pair shares a tile (band,
 part, content of the part). Parts that are empty are tiles only for sets with
 more than E empty parts: of two linked sets with at most E, one common part has
-content. Tiles link their members to the smallest one; those pairs are checked
-by bitmaps, whose bit counts bound the overlap from above, and then by
-intersection of the sorted arrays. In tiles that then hold several components,
+content. Tiles link their members to the smallest one; of these pairs, first the
+one of each set with the most common tiles and then those between different
+components are checked by bitmaps, whose bit counts bound the overlap from
+above, and by intersection of the sorted arrays. In tiles that then hold several components,
 the members outside the tile's largest component meet all others. Where these
 are few pairs, the pairs between components are named and checked like the first
 ones. Otherwise they meet in blocks: members of the largest are placed once for
@@ -206,7 +207,8 @@ def verified(pairs: DataFrame, found: DataFrame, spec: Spec) -> DataFrame:
         side = lambda s: found.select(F.col("set").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns])
         return rows.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{c}_{s}" for s in "ab" for c in columns])
 
-    near = stash(joined(pairs, "bitmap", "size").mapInArrow(run(bounded), "a long, b long"), "join-near", narrow=True)
+    near = stash(joined(pairs.select("a", "b"), "bitmap", "size").mapInArrow(run(bounded), "a long, b long"), "join-near", narrow=True)
+    tidy(pairs.sparkSession)
     out = stash(joined(near, "items").mapInArrow(run(exact), "a long, b long"), "join-edges", narrow=True)
     release(near)
     tidy(pairs.sparkSession)
@@ -237,6 +239,25 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Adds comp_a and comp_b, a set without a label being a component of its own."""
+    side = lambda s: labels.select(F.col("set").alias(s), F.col("comp").alias(f"comp_{s}"))
+    return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").withColumns({f"comp_{s}": F.coalesce(f"comp_{s}", s) for s in "ab"})
+
+
+def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels once components with a link between them are one; ``labels`` and its table go."""
+    joined = stash(between(links, labels).where("comp_a != comp_b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct(), "join-between", narrow=True)
+    if joined.isEmpty():
+        release(joined)
+        return labels
+    whole = components(joined).select(F.col("set").alias("comp"), F.col("comp").alias("whole"))
+    rows = labels.join(whole, "comp", "full").select(F.coalesce("set", "comp").alias("set"), F.coalesce("whole", "comp").alias("comp"))
+    out = stash(rows, "join-labels", narrow=True)
+    release(joined, labels)
+    return out
+
+
 def join(df: DataFrame, spec: Spec | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id, set of every row."""
     spec = spec or Spec()
@@ -248,27 +269,28 @@ def join(df: DataFrame, spec: Spec | None = None, id_col: str = "doc_id", text_c
     shared = tile_rows(df, spec, text_col).withColumn("least", least).withColumn("most", most).where("least != most")
     tiles = stash(shared.select("tile", "set", "least").distinct(), "join-tiles")
     tidy(df.sparkSession)
-    pairs = stash(tiles.where("set != least").select(F.col("least").alias("a"), F.col("set").alias("b")).distinct(), "join-pairs", narrow=True)
+    shared_tiles = tiles.where("set != least").groupBy(F.col("least").alias("a"), F.col("set").alias("b")).agg(F.count("*").alias("n"))
+    pairs = stash(shared_tiles, "join-pairs", narrow=True)
     named = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
     wanted = nodes.join(named, "set").select("set", "_rep.id", "_rep.row")
     turn = F.row_number().over(Window.partitionBy("id", "row").orderBy("id"))  # one of repeated rows
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row")).withColumn("turn", turn).where("turn = 1")
     found = stash(features(texts.join(wanted, ["id", "row"]), spec), "join-features")
     tidy(df.sparkSession)
-    edges = verified(pairs, found, spec)
+    # each set first meets the one it shares most tiles with; of its other pairs only those between components are left
+    first = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
+    edges = verified(first, found, spec)
     labels = components(edges)
+    rest = between(pairs.select("a", "b"), labels).where("comp_a != comp_b").select("a", "b")
+    some = verified(rest, found, spec)
+    labels = merge(labels, some)
     opened = open_tiles(tiles, labels)
     fresh = stash(few_pairs(opened).join(pairs, ["a", "b"], "left_anti"), "join-pairs", narrow=True)
     more = verified(fresh, found, spec)
-    side = lambda s: labels.select(F.col("set").alias(s), F.col("comp").alias(f"comp_{s}"))
-    known = more.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
-    between = stash(block_links(opened, found, spec).union(known).distinct(), "join-between", narrow=True)
-    release(edges, pairs, tiles, opened, found, fresh, more)
+    labels = merge(labels, block_links(opened, found, spec).union(more))
+    release(edges, some, pairs, tiles, opened, found, fresh, more)
     tidy(df.sparkSession)
-    merged = components(between).select(F.col("set").alias("comp"), F.col("comp").alias("whole"))
-    release(between)
-    own = nodes.join(labels, "set", "left").select("set", "_rep", F.coalesce("comp", "set").alias("comp"))
-    grouped = own.join(merged, "comp", "left").select("set", "_rep", F.coalesce("whole", "comp").alias("comp"))
+    grouped = nodes.join(labels, "set", "left").select("set", "_rep", F.coalesce("comp", "set").alias("comp"))
     smallest = grouped.groupBy("comp").agg(F.min("_rep.id").alias("component"))
     classes = grouped.join(smallest, "comp").select("set", "component")
     out = members.join(classes, "set", "left")
