@@ -1,19 +1,24 @@
 """Lexical retrieval packing into fixed windows.
 
-Documents are tokenised once. Full windows are cut from long documents first;
-what remains is packed by BM25 over token ids, with document frequencies and
-the mean length of the whole corpus (tables bounded by the vocabulary). Each
-seed document's window is filled with its best unused neighbours; the last one
-is cut to fit and its rest goes back to the pool, so only the last window is
-padded.
-
-Every seed is scored against every free document of the corpus. While more
-than ``SHARD_TOKENS`` tokens are free, this goes in rounds: a batch of seeds is
-sent to all tasks, each scores it against its documents, the best are merged
-per seed, and the driver gives documents out in the seeds' order. A window whose
-neighbours went to earlier seeds asks again in the next round. The rest is
-packed by one in-memory index. The driver holds 16 bytes a document; the work
-grows with the square of the number of documents.
+Documents are tokenised once. Full windows are cut from long documents; the
+rests are packed by BM25 over token ids, with document frequencies and the mean
+length of the whole corpus (tables bounded by the vocabulary).
+
+The inverted index is sharded by content, so that related rests lie in one
+shard whatever the size of the corpus. A rest has ``KEYS`` keys, each the least
+hash of its runs of ``GRAM`` ids under another function, so two rests share a
+key with a probability that is the share of runs they have in common.
+Of its keys a rest goes by the rarest that another rest has too, counted over
+the corpus (else by its first), and rests are range-partitioned by key and row into shards of
+about ``SHARD_DOCS``, so groups of copies of any size are split.
+
+In a shard each seed is scored against all documents (a matrix product for
+frequent terms, postings for the others). Its window is filled with its best
+unused neighbours, as far as any shares a term with it, and then with the next
+unused documents; the last one is cut to fit and its rest goes back to the pool, so
+only the last window of a shard is padded. The work is in proportion to the corpus:
+documents outside a seed's shard are not its neighbours (tests measure how many
+near copies meet; README has figures).
 
 Null or empty texts give the end id alone. Repeated rows are packed as separate
 documents. Null ids are packed like others. An empty table gives an empty
@@ -25,6 +30,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +39,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.byte_bpe import ByteBPE
-from helixframe.llm.store import new_path, release, stash
-from helixframe.llm.textops import chunks
+from helixframe.llm.store import release, small_batches, stash
+from helixframe.llm.textops import chunks, mix
+from helixframe.llm.token_store import id_type
 
 WINDOW = 2048
-SHARD_TOKENS = 4 << 20  #: free tokens that one index holds
-SEEDS = 1 << 14  #: of a round
-LISTED = 32  #: neighbours of a seed in a round
+SHARD_DOCS = 2048  #: rests of an index, about
+KEYS, GRAM = 6, 4
 DENSE_TERMS = 1024
-_TILE, _CHUNK = 512, 4096
-NEIGHBOURS = 24  #: asked for at a time
+_TILE = 32  #: seeds scored at a time
+_NEAR = 64  #: neighbours sorted first; the others follow where these leave room
 K1, B = 1.2, 0.75
 _LONG_PIECE = 24
 
@@ -161,38 +167,81 @@ def model_of(path: str) -> MergeBPE:
     return _made[path]
 
 
-def tokenize(df: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids binary of little-endian 16-bit ids, n_tokens, _at: task and position in it), end id last."""
+def vocabulary(path: str) -> int:
+    """Ids of a tokenizers file: one more than the largest."""
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+    return max([*held["model"]["vocab"].values(), *(x["id"] for x in held["added_tokens"])]) + 1
+
+
+def content_keys(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """``KEYS`` rows: the least hash of the runs of ``GRAM`` ids of each slice, of that length or more, that starts at ``first``."""
+    ids = ids.astype(np.uint64)
+    h = mix((ids[:-1] << np.uint64(32)) + ids[1:] + np.uint64(1))
+    h = mix(h[: 1 - GRAM + 1] + h[GRAM - 2 :] * np.uint64(0x9E3779B97F4A7C15))
+    h[(first[1:, None] - np.arange(1, GRAM)).ravel()] = ~np.uint64(0)  # runs across slices
+    return np.stack([mix(np.minimum.reduceat(_turned(h, j), first) + np.uint64(j)) for j in range(KEYS)]).view(np.int64)
+
+
+def _turned(h: np.ndarray, j: int) -> np.ndarray:
+    """Another order of the same hashes; the last one stays last."""
+    return h if not j else np.where(h == ~np.uint64(0), h, (h ^ (h >> np.uint64(7 + 5 * j))) * np.uint64(0x9E3779B97F4A7C15 + 2 * j))
+
+
+def tokenize(df: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """(id, ids binary of little-endian ids, end id last; _at: task and position in it; keys: of what full windows leave, none if that is less than ``GRAM`` ids)."""
+    size = max(vocabulary(path), end_id + 1)
+    kind = id_type(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, at_row = model_of(path), TaskContext.get().partitionId() << 32
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(1)):
                 ids, at = model.encode(data, offsets)
-                ids = np.insert(ids, at[1:], end_id).astype("<u2")
-                cut = ((at + np.arange(len(at))) * 2).tolist()
-                raw = memoryview(ids.tobytes())
+                ids = np.insert(ids, at[1:], end_id)
+                at = at + np.arange(len(at))
+                left = np.diff(at) % window
+                some = np.flatnonzero(left >= GRAM)
+                keys = np.zeros((0, KEYS), np.int64)
+                if len(some):
+                    keys = content_keys(ids[_flat(at[1:][some] - left[some], left[some])], np.cumsum(left[some]) - left[some]).T
+                raw, cut = memoryview(ids.astype(kind).tobytes()), (at * np.dtype(kind).itemsize).tolist()
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(left >= GRAM))) * KEYS, pa.int32()), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array([raw[a:b] for a, b in zip(cut, cut[1:], strict=False)], pa.binary()), pa.array((np.diff(cut) // 2).astype(np.int64)), pa.array(np.arange(at_row, at_row + hi - lo))],
-                    [id_col, "ids", "n_tokens", "_at"],
+                    [batch.column(0).slice(lo, hi - lo), pa.array([raw[a:b] for a, b in zip(cut, cut[1:], strict=False)], pa.binary()), pa.array(np.arange(at_row, at_row + hi - lo)), lists],
+                    [id_col, "ids", "_at", "keys"],
                 )
                 at_row += hi - lo
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, ids binary, n_tokens long, _at long")
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, ids binary, _at long, keys array<long>")
+
+
+def chosen_keys(tokens: DataFrame, n: int) -> DataFrame:
+    """(_at, key) of rests that go by another key than their first: the rarest that two to ``SHARD_DOCS`` rests have; ties by place."""
+    rows = tokens.select("_at", F.posexplode("keys").alias("j", "key"))
+    counts = stash(rows.groupBy("j", "key").agg(F.count("*").alias("n")).where("n > 1"), "packing-keys", narrow=True)
+    hot = [r["key"] for r in counts.where(F.col("n") > max(SHARD_DOCS, n * KEYS // 4096)).select("key").collect()]  # 4096 at most
+    if hot:
+        rows = rows.where(~F.col("key").isin(hot))  # no task gathers the rests of a key that divides nothing
+    best = rows.join(counts.where(F.col("n") <= SHARD_DOCS), ["j", "key"]).groupBy("_at").agg(F.min(F.struct("n", "j", "key")).alias("b"))
+    out = stash(best.where("b.j > 0").select("_at", "b.key"), "packing-chosen", narrow=True)
+    release(counts)
+    return out
 
 
-def _ids(x: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(x.as_buffer(), "<u2")
+def _ids(x: pa.Scalar, kind: str) -> np.ndarray:
+    return np.frombuffer(x.as_buffer(), kind)
 
 
-def document_frequencies(tokens: DataFrame, size: int = 1 << 16) -> tuple[int, float, np.ndarray]:
+def document_frequencies(tokens: DataFrame, size: int) -> tuple[int, float, np.ndarray]:
     """Documents, mean length, and in how many documents each id occurs, over the whole corpus."""
+    kind = id_type(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n, total = np.zeros(size, np.int64), 0, 0
         for batch in batches:
             for x in batch.column(0):
-                ids = _ids(x)
+                ids = _ids(x, kind)
                 seen[np.unique(ids)] += 1
                 n, total = n + 1, total + len(ids)
         used = np.flatnonzero(seen)
@@ -209,145 +258,54 @@ def document_frequencies(tokens: DataFrame, size: int = 1 << 16) -> tuple[int, f
     return n, total / max(n, 1), df
 
 
-def _counts(ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    t, c = np.unique(ids, return_counts=True)
-    good = idf[t] > 0
-    return t[good].astype("<u2"), np.minimum(c[good], 65535).astype("<u2")
-
-
-def _flat(at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The positions of all slices ``at[k] : at[k] + size[k]``, one after the other."""
-    return np.repeat(at - np.cumsum(size) + size, size) + np.arange(size.sum())
-
-
-class Texts:
-    """Terms and counts of documents, in rows: numbers, tokens left, ends of each row's terms."""
+@dataclass(frozen=True)
+class Corpus:
+    """Statistics of the whole corpus; ``column`` numbers the frequent terms that count, -1 for others."""
 
-    def __init__(self, number: np.ndarray, left: np.ndarray, size: np.ndarray, term: np.ndarray, count: np.ndarray):
-        self.number, self.left, self.size, self.term, self.count = number, left, size, term.astype(np.int64), count
-        self.at = np.concatenate(([0], np.cumsum(size)))
+    idf: np.ndarray
+    mean: float
+    column: np.ndarray
 
     @classmethod
-    def of(cls, rows: list) -> Texts:
-        read = lambda k, kind: np.concatenate([np.frombuffer(r[k], kind) for r in rows]) if rows else np.zeros(0, kind)
-        return cls(read("number", "<i8"), read("left", "<i8"), read("size", "<i8"), read("term", "<u2"), read("count", "<u2"))
+    def of(cls, n: int, mean: float, seen: np.ndarray) -> Corpus:
+        idf = np.where(seen > 0, np.log((n - seen + 0.5) / (seen + 0.5)), 0.0)  # 0 or less for terms of half the documents
+        often = np.argsort(np.where(idf > 0, -seen, 1), kind="stable")[:DENSE_TERMS]
+        often = often[idf[often] > 0]
+        column = np.full(len(idf), -1, np.int64)
+        column[often] = np.arange(len(often))
+        return cls(idf, mean, column)
 
-    def take(self, keep: np.ndarray) -> Texts:
-        rows = np.flatnonzero(keep) if keep.dtype == bool else keep
-        cut = _flat(self.at[rows], self.size[rows])
-        return Texts(self.number[rows], self.left[rows], self.size[rows], self.term[cut], self.count[cut])
 
-    def weights(self, idf: np.ndarray, mean: float) -> np.ndarray:
-        row = np.repeat(np.arange(len(self.size)), self.size)
-        return (idf[self.term] * self.count * (K1 + 1) / (self.count + K1 * (1 - B + B * self.left[row] / mean))).astype(np.float32)
-
-    def row(self) -> dict:
-        return {"number": self.number.astype("<i8").tobytes(), "left": self.left.astype("<i8").tobytes(), "size": self.size.astype("<i8").tobytes(), "term": self.term.astype("<u2").tobytes(), "count": self.count.astype("<u2").tobytes()}
-
-
-_TEXTS = "number binary, left binary, size binary, term binary, count binary"
-_NAMES = ["number", "left", "size", "term", "count"]
-
-
-def _batch_of(texts: Texts) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in texts.row().values()], _NAMES)
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[Texts]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            yield Texts.of([row])
+def _flat(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions of all slices ``at[k] : at[k] + size[k]``, one after the other."""
+    return np.repeat(at - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
 class Index:
-    """BM25 inverted index."""
-
-    def __init__(self, texts: Texts, idf: np.ndarray, mean: float):
-        self.n, self.texts = len(texts.size), texts
-        order = np.argsort(texts.term, kind="stable")
-        self.doc, self.weight = np.repeat(np.arange(self.n), texts.size)[order], texts.weights(idf, mean)[order]
-        self.at = np.searchsorted(texts.term[order], np.arange(len(idf) + 1))
-
-    def neighbours(self, k: int, free: np.ndarray, n: int) -> list[int]:
-        """Up to ``n`` free documents by falling score for all the seed's terms; ties by index."""
-        terms = self.texts.term[self.texts.at[k] : self.texts.at[k + 1]]
-        if not len(terms):
-            return []
-        cuts = [slice(self.at[t], self.at[t + 1]) for t in terms.tolist()]
-        score = np.bincount(np.concatenate([self.doc[c] for c in cuts]), np.concatenate([self.weight[c] for c in cuts]), self.n)
-        score[~free] = 0
-        best = np.argpartition(-score, n)[:n] if len(score) > n else np.arange(len(score))
-        best = best[score[best] > 0]
-        return best[np.lexsort((best, -score[best]))].tolist()
-
-
-def like(texts: Texts, idf: np.ndarray, column: np.ndarray) -> np.ndarray:
-    """An order that brings texts with the same weightiest frequent term together."""
-    row = np.repeat(np.arange(len(texts.size)), texts.size)
-    heavy = np.lexsort((texts.count * np.sqrt(idf[texts.term]), row))
-    heavy = heavy[column[texts.term[heavy]] >= 0]
-    lead = np.full(len(texts.size), -1)
-    lead[row[heavy]] = column[texts.term[heavy]]  # the weightiest comes last
-    return np.argsort(lead, kind="stable")
-
-
-class Seeds:
-    """Seeds in tiles, to be scored against any documents: a matrix product for frequent terms, postings for the others."""
-
-    def __init__(self, texts: Texts, column: np.ndarray):
-        self.n, self.tiles = len(texts.size), []
-        for lo in range(0, self.n, _TILE):
-            n = min(_TILE, self.n - lo)
-            term = texts.term[texts.at[lo] : texts.at[lo + n]]
-            row, col = np.repeat(np.arange(n), texts.size[lo : lo + n]), column[term]
-            dense = col >= 0
-            seen = np.zeros(DENSE_TERMS, bool)
-            seen[col[dense]] = True
-            grid = np.zeros((n, int(seen.sum())), np.float32)
-            grid[row[dense], (np.cumsum(seen) - 1)[col[dense]]] = 1
-            self.tiles.append((lo, n, np.flatnonzero(seen), grid, row[~dense], term[~dense]))
-
-    def score(self, docs: Texts, idf: np.ndarray, mean: float, column: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(first, number, scores of these seeds for ``docs``) of each tile."""
-        m, weight, col = len(docs.size), docs.weights(idf, mean), column[docs.term]
-        doc = np.repeat(np.arange(m), docs.size)
-        held = np.zeros((DENSE_TERMS, m), np.float32)
-        held[col[col >= 0], doc[col >= 0]] = weight[col >= 0]
-        rare = np.flatnonzero(col < 0)
-        rare = rare[np.argsort(docs.term[rare], kind="stable")]
-        at = np.searchsorted(docs.term[rare], np.arange(len(idf) + 1))
-        for lo, n, used, grid, row, term in self.tiles:
-            score = grid @ held[used]
-            size = at[term + 1] - at[term]
-            cut = rare[_flat(at[term], size)]
-            np.add.at(score.reshape(-1), np.repeat(row, size) * m + doc[cut], weight[cut])
-            yield lo, n, score
-
-
-class Best:
-    """The best ``k`` documents of each seed so far; ties by number."""
-
-    def __init__(self, n: int, k: int):
-        self.k, self.score, self.number = k, np.zeros((n, k), np.float32), np.full((n, k), -1, np.int64)
-
-    def add(self, lo: int, score: np.ndarray, number: np.ndarray) -> None:
-        """More documents for the seeds from ``lo`` on: scores per seed, with one list of numbers or one a seed."""
-        n, m, k = *score.shape, self.k
-        if number.ndim == 1:
-            least = np.maximum(self.score[lo : lo + n, -1], np.finfo(np.float32).tiny)
-            if m >= 2 * k:  # the least of k groups' maxima: k documents reach it
-                least = np.maximum(least, score[:, : m // k * k].reshape(n, k, m // k).max(2).min(1))
-            row, at = np.nonzero(score >= least[:, None])
-            count = np.bincount(row, minlength=n)
-            place = np.arange(len(row)) - (np.cumsum(count) - count)[row]
-            given, score = score, np.zeros((n, int(count.max())), np.float32)
-            score[row, place] = given[row, at]
-            number, listed = np.full(score.shape, -1, np.int64), number
-            number[row, place] = listed[at]
-        both, numbers = np.concatenate([self.score[lo : lo + n], score], 1), np.concatenate([self.number[lo : lo + n], number], 1)
-        numbers = np.where(both > 0, numbers, -1)
-        order = np.lexsort((numbers, -both))[:, : self.k]
-        self.score[lo : lo + n], self.number[lo : lo + n] = np.take_along_axis(both, order, 1), np.take_along_axis(numbers, order, 1)
+    """BM25 index of a shard: a matrix over frequent terms, postings of the others."""
+
+    def __init__(self, parts: list[np.ndarray], corpus: Corpus):
+        found = [np.unique(x, return_counts=True) for x in parts]
+        size = np.array([len(t) for t, _ in found])
+        term, count = np.concatenate([t for t, _ in found]).astype(np.int64), np.concatenate([c for _, c in found])
+        row, length = np.repeat(np.arange(len(parts)), size), np.array([len(x) for x in parts])
+        weight = (corpus.idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length[row] / corpus.mean))).astype(np.float32)
+        self.n, col = len(parts), corpus.column[term]
+        self.held = np.zeros((int(corpus.column.max(initial=-1)) + 1, self.n), np.float32)
+        self.held[col[col >= 0], row[col >= 0]] = weight[col >= 0]
+        rare = np.flatnonzero((col < 0) & (corpus.idf[term] > 0))
+        self.terms, self.of_row = term[rare], np.searchsorted(row[rare], np.arange(self.n + 1))
+        rare = rare[np.argsort(term[rare], kind="stable")]
+        self.doc, self.weight, self.at = row[rare], weight[rare], np.searchsorted(term[rare], np.arange(len(corpus.idf) + 1))
+
+    def scores(self, rows: np.ndarray) -> np.ndarray:
+        """Scores of all documents for each of some seeds."""
+        out = (self.held[:, rows] > 0).astype(np.float32).T @ self.held
+        for i, k in enumerate(rows.tolist()):
+            terms = self.terms[self.of_row[k] : self.of_row[k + 1]]
+            cut = _flat(self.at[terms], self.at[terms + 1] - self.at[terms])
+            out[i] += np.bincount(self.doc[cut], self.weight[cut], self.n).astype(np.float32)
+        return out
 
 
 class Pool:
@@ -401,229 +359,100 @@ class Pool:
             self.made.append(row)
 
 
-def finish(pool: Pool, texts: Texts, waiting: list[tuple[list, int]], idf: np.ndarray, mean: float) -> None:
-    """Pack all that is free by one index of it; ``texts`` holds the free documents and the waiting windows' seeds."""
-    index = Index(texts, idf, mean)
-    at = {k: i for i, k in enumerate(texts.number.tolist())}
-    number = texts.number
-    free = pool.left[number] > 0
-    short = []
-    for given in [*waiting, *([None] * len(number))]:
-        if given is None:
-            seed = pool.upcoming(1)
-            if not len(seed):
-                break
-            row, room = [], pool.window
-            room = pool.put(row, room, int(seed[0]))
-            free[at[int(seed[0])]] = False
-        else:
-            row, room = given
-        while room and (found := index.neighbours(at[row[0][0]], free, NEIGHBOURS)):
-            for i in found:
-                room = pool.put(row, room, int(number[i]))
-                free[i] = pool.left[number[i]] > 0
+def ranked(score: np.ndarray, free: np.ndarray) -> Iterator[int]:
+    """Free documents that share a term with the seed, by falling score; ties by place."""
+    found = np.flatnonzero((score > 0) & free)
+    if len(found) > _NEAR:
+        least = np.partition(score[found], len(found) - _NEAR)[len(found) - _NEAR]
+        near = found[score[found] >= least]
+        yield from near[np.argsort(-score[near], kind="stable")].tolist()
+        found = found[score[found] < least]
+    yield from found[np.argsort(-score[found], kind="stable")].tolist()
+
+
+def windows_of(parts: list[np.ndarray], corpus: Corpus, window: int) -> list[list[tuple[int, int, int]]]:
+    """Windows of (document, start, length) that hold every token of a shard's rests once."""
+    pool, index, short, scored = Pool(np.array([len(x) for x in parts], np.int64), window), Index(parts, corpus), [], {}
+    while len(free := pool.upcoming(1)):
+        seed = int(free[0])
+        if seed not in scored:
+            rows = pool.upcoming(_TILE)
+            scored = dict(zip(rows.tolist(), index.scores(rows), strict=True))
+        row: list = []
+        room = pool.put(row, window, seed)
+        if room:
+            for k in ranked(scored[seed], pool.left > 0):
+                room = pool.put(row, room, k)
                 if not room:
                     break
         if room:
             room = pool.fill(row, room)
-            free = pool.left[number] > 0
         if room:
             short.append((row, room))
         else:
             pool.made.append(row)
     pool.close(short)
+    return pool.made
 
 
-def texts_of(tokens: DataFrame, base: dict[int, int], window: int, idf: object) -> DataFrame:
-    """``Texts`` of the documents' rests, some thousand a row."""
+def pack(df: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """One row per piece; see the module's head."""
+    spark = df.sparkSession
+    small_batches(spark)
+    tokens = stash(tokenize(df, path, end_id, id_col, text_col, window), "packing-ids")
+    size = max(vocabulary(path), end_id + 1)
+    kind = id_type(size)
+    n, mean, seen = document_frequencies(tokens, size)
+    held = spark.sparkContext.broadcast(Corpus.of(n, mean, seen))  # vocabulary-bounded
+    # joined by broadcast or shuffle as its size demands; rests of one key, copies above all, are dealt by row
+    keyed = tokens.join(chosen_keys(tokens, n), "_at", "left").select(id_col, "ids", "_at", F.coalesce("key", F.get("keys", 0), F.lit(0)).alias("key"))
+    order = [F.col("key"), F.xxhash64("_at")]
+    dealt = keyed.repartitionByRange(max(1, -(-n // SHARD_DOCS)), *order).sortWithinPartitions(*order).select(id_col, "ids")
+    names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, left, terms, counts = [], [], [], []
+        own = TaskContext.get().partitionId() + 1 << 36
+        parts: list[np.ndarray] = []
+        of: list[tuple] = []
+        rows: list[tuple] = []
+
+        def add(k: object, ids: np.ndarray, start: int, total: int, sequence: int, at: int) -> None:
+            rows.append((k, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, sequence, at))
+
+        def packed() -> None:
+            nonlocal own
+            for made in windows_of(parts, held.value, window) if parts else []:
+                at = 0
+                for i, start, length in made:
+                    k, whole, total = of[i]
+                    add(k, parts[i][start : start + length], whole + start, total, own, at)
+                    at += length
+                own += 1
+            parts.clear()
+            of.clear()
 
         def out() -> pa.RecordBatch:
-            size = np.array([len(t) for t in terms], np.int64)
-            return _batch_of(Texts(np.array(number, np.int64), np.array(left, np.int64), size, np.concatenate(terms), np.concatenate(counts)))
+            columns = list(zip(*rows, strict=True))
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, key_type if i == 0 else pa.int64()) for i, c in enumerate(columns)], names)
 
         for batch in batches:
-            for at, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = _ids(x)
-                n = len(ids) % window
-                t, c = _counts(ids[len(ids) - n :], idf.value)
-                number.append(base[at >> 32] + (at & 0xFFFFFFFF))
-                left.append(n)
-                terms.append(t)
-                counts.append(c)
-                if len(number) == _CHUNK:
+            key_type = batch.column(0).type
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = _ids(x, kind)
+                whole = len(ids) - len(ids) % window
+                for at in range(0, whole, window):
+                    add(k, ids[at : at + window], at, len(ids), own, 0)
+                    own += 1
+                if whole < len(ids):
+                    parts.append(ids[whole:].copy())
+                    of.append((k, whole, len(ids)))
+                if len(parts) == 2 * SHARD_DOCS:  # the ranges are of sampled, not of equal sizes
+                    packed()
+                if len(rows) >= 8192:
                     yield out()
-                    number, left, terms, counts = [], [], [], []
-        if number:
+        packed()
+        if rows:
             yield out()
 
-    return tokens.select("_at", "ids").mapInArrow(run, _TEXTS)
-
-
-def _bits(mask: np.ndarray) -> bytes:
-    return np.packbits(mask).tobytes()
-
-
-def chosen(texts: DataFrame, mask: np.ndarray) -> Texts:
-    """The documents of ``mask``, which must be few, in order."""
-    held = texts.sparkSession.sparkContext.broadcast((_bits(mask), len(mask)))  # a bit a document
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = np.unpackbits(np.frombuffer(held.value[0], np.uint8), count=held.value[1]).astype(bool)
-        for t in _texts(batches):
-            if keep[t.number].any():
-                yield _batch_of(t.take(keep[t.number]))
-
-    out = Texts.of(texts.mapInArrow(run, _TEXTS).collect())
-    held.unpersist()
-    return out.take(np.argsort(out.number))
-
-
-def search(texts: DataFrame, seeds: Texts, free: np.ndarray, idf: object, mean: float, column: object) -> np.ndarray:
-    """Numbers of the best free documents of the corpus for each seed, -1 where no more share a term."""
-    context = texts.sparkSession.sparkContext
-    order = like(seeds, idf.value, column.value)
-    held = context.broadcast((seeds.take(order).row(), _bits(free), len(free)))  # a round's seeds and a bit a document
-    n, k = len(seeds.size), LISTED
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, bits, count = held.value
-        keep = np.unpackbits(np.frombuffer(bits, np.uint8), count=count).astype(bool)
-        asked, best = None, None
-        for t in _texts(batches):
-            t = t.take(keep[t.number])
-            if not len(t.size):
-                continue
-            if asked is None:
-                asked = Seeds(Texts.of([row]), column.value)
-                best = Best(asked.n, k)
-            for lo, _, score in asked.score(t, idf.value, mean, column.value):
-                best.add(lo, score, t.number)
-        if best is not None:
-            for lo in range(0, asked.n, _TILE):
-                cut = slice(lo, lo + _TILE)
-                yield pa.RecordBatch.from_arrays([pa.array([lo]), pa.array([best.score[cut].tobytes()]), pa.array([best.number[cut].tobytes()])], ["tile", "score", "number"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, Best] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                score = np.frombuffer(row["score"], np.float32).reshape(-1, k)
-                made.setdefault(row["tile"], Best(len(score), k)).add(0, score, np.frombuffer(row["number"], np.int64).reshape(-1, k))
-        for lo, best in made.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lo]), pa.array([best.number.tobytes()])], ["tile", "number"])
-
-    found = texts.mapInArrow(run, "tile long, score binary, number binary").repartition(6, "tile").mapInArrow(merge, "tile long, number binary")
-    out = np.full((n, k), -1, np.int64)
-    for row in found.collect():  # a few numbers for each of a round's seeds
-        part = np.frombuffer(row.number, np.int64).reshape(-1, k)
-        out[order[row.tile : row.tile + len(part)]] = part
-    held.unpersist()
-    return out
-
-
-def windows_of(texts: DataFrame, left: np.ndarray, idf: object, mean: float, column: object, window: int) -> Iterator[list[list[tuple[int, int, int]]]]:
-    """Windows of (document, start in its rest, length), some at a time, that hold every token of the rests once."""
-    pool, waiting = Pool(left, window), []
-    while (total := int(pool.left.sum())) > SHARD_TOKENS:
-        fresh = pool.upcoming(max(1, min(SEEDS - len(waiting), total // window // 4)))
-        numbers = np.concatenate((np.array([row[0][0] for row, _ in waiting], np.int64), fresh))
-        mask = np.zeros(len(left), bool)
-        mask[numbers] = True
-        seeds = chosen(texts, mask)
-        best = search(texts, seeds, pool.left > 0, idf, mean, column)
-        place = {k: i for i, k in enumerate(seeds.number.tolist())}
-        again = []
-        for row, room in [*waiting, *(([], window) for _ in fresh)]:
-            seed = row[0][0] if row else int(fresh[0])
-            if not row:
-                fresh = fresh[1:]
-                if not pool.left[seed]:
-                    continue
-                room = pool.put(row, room, seed)
-            ranked = best[place[seed]].tolist()
-            for k in ranked:
-                if not room or k < 0:
-                    break
-                if pool.left[k]:
-                    room = pool.put(row, room, k)
-            if room and ranked[-1] < 0:
-                room = pool.fill(row, room)
-            if room:
-                again.append((row, room))
-            else:
-                pool.made.append(row)
-        waiting = again
-        yield pool.made
-        pool.made = []
-    mask = pool.left > 0
-    mask[[row[0][0] for row, _ in waiting]] = True
-    finish(pool, chosen(texts, mask), waiting, idf.value, mean)
-    yield pool.made
-
-
-def pack(df: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row per piece; see the module's head."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    tokens = stash(tokenize(df, path, end_id, id_col, text_col), "packing-ids")
-    n, mean, seen = document_frequencies(tokens)
-    weights = np.where(seen > 0, np.log((n - seen + 0.5) / (seen + 0.5)), 0.0)  # 0 or less for terms of half the documents
-    idf = context.broadcast(weights)  # vocabulary-bounded
-    often = np.argsort(np.where(weights > 0, -seen, 1), kind="stable")[:DENSE_TERMS]
-    often = often[weights[often] > 0]
-    table = np.full(len(weights), -1, np.int64)
-    table[often] = np.arange(len(often))
-    column = context.broadcast(table)
-    counts = sorted((r.p, r.n) for r in tokens.groupBy(F.shiftright("_at", 32).alias("p")).agg(F.count("*").alias("n")).collect())  # one a task
-    firsts = np.concatenate(([0], np.cumsum([c for _, c in counts]))).astype(np.int64)
-    base = {p: int(b) for (p, _), b in zip(counts, firsts, strict=False)}
-    texts = stash(texts_of(tokens, base, window, idf), "packing-terms")
-    left = np.zeros(int(firsts[-1]), np.int64)
-    for row in texts.select("number", "left").toLocalIterator():
-        left[np.frombuffer(row.number, "<i8")] = np.frombuffer(row.left, "<i8")
-
-    parts = np.array([p for p, _ in counts], np.int64)
-    placed, sequence, target = [], 0, new_path(spark, "packing-windows")
-    schema = "_at long, start long, length long, sequence_id long, offset long"
-
-    def write() -> None:
-        number, *rest = (np.array(c, np.int64) for c in zip(*placed, strict=True)) if placed else [np.zeros(0, np.int64)] * 5
-        task = np.searchsorted(firsts, number, "right") - 1
-        at = (parts[task] << 32) + number - firsts[task] if len(number) else number
-        spark.createDataFrame(pa.table([pa.array(c) for c in (at, *rest)], names=["_at", "start", "length", "sequence_id", "offset"]), schema).write.mode("append").parquet(target)
-        placed.clear()
-
-    for made in windows_of(texts, left, idf, mean, column, window):
-        for row in made:
-            at = 0
-            for k, start, length in row:
-                placed.append((k, start, length, sequence, at))
-                at += length
-            sequence += 1
-            if len(placed) >= 1 << 18:
-                write()
-    write()
-    release(texts)
-    key = df.schema[id_col].dataType.simpleString()
-    names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = TaskContext.get().partitionId() + 1 << 36  # windows of one document
-        for batch in batches:
-            kind, rows = batch.column(0).type, []
-            for k, x, pieces in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                ids = _ids(x)
-                whole = len(ids) - len(ids) % window
-                cut = [(at, window, own + i, 0) for i, at in enumerate(range(0, whole, window))]
-                own += len(cut)
-                cut += [(whole + p["start"], p["length"], p["sequence_id"], p["offset"]) for p in pieces or ()]
-                rows += [(k, start, length, zlib.crc32(ids[start : start + length].astype("<u4").tobytes()), len(ids), s, at) for start, length, s, at in cut]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind if i == 0 else pa.int64()) for i, c in enumerate(zip(*rows, strict=True))], names)
-
-    pieces = spark.read.schema(schema).parquet(target).groupBy("_at").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
-    joined = tokens.select(id_col, "ids", "_at").join(pieces.hint("shuffle_hash"), "_at", "left").select(id_col, "ids", "pieces")
-    return joined.mapInArrow(run, f"`{id_col}` {key}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return dealt.mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

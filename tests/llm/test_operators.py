@@ -427,6 +427,18 @@ def test_packing(docs, none):
     assert packing.pack(none, path).count() == 0
 
 
+def test_packing_repeated_rows(spark):
+    """Repeated and null rows are packed each, twice alike."""
+    texts = [(1, "red house " * 40)] * 30 + [(None, "blue water " * 30)] * 5 + [(None, None)] * 3
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    a, b = (sorted((tuple(r) for r in packing.pack(df, public_tokenizers.path("byte_bpe_50k.json"), window=64).collect()), key=repr) for _ in range(2))
+    assert a == b
+    whole = Counter()
+    for k, start, length, _, total, _, _ in a:
+        whole[k, total] += length
+    assert all(n % total == 0 for (_, total), n in whole.items()) and sum(n // total for (_, total), n in whole.items()) == len(texts)
+
+
 def topics(n, words, seed=1):
     """Texts of two topics by turns: even ids share no word with odd ones."""
     rng = random.Random(seed)
@@ -450,18 +462,32 @@ def test_packing_fills_windows_with_neighbours(spark):
     assert sum(len({k % 2 for k in w}) > 1 for w in windows) <= 1
 
 
-def test_packing_searches_the_whole_corpus(spark, monkeypatch):
-    """Neighbours are found wherever they lie, however few tokens an index holds; every token is packed once."""
-    monkeypatch.setattr(packing, "SHARD_TOKENS", 1000)
-    texts = [*topics(600, 8), *(" long" * 900 + str(k) for k in range(3)), None]
+def test_packing_brings_near_copies_together(spark, monkeypatch):
+    """Many shards: texts with a tenth of their words changed mostly lie in the shard of their copy, and meet it in a window as often as in one index of all; every token is packed once."""
+    monkeypatch.setattr(packing, "SHARD_DOCS", 40)
+    rng = random.Random(4)
+    vocab = ["".join(rng.choices("abcdefghijklmnoprstuvw", k=rng.randint(3, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(vocab, k=rng.randint(60, 200))) for _ in range(500)]
+    pairs = []
+    for k in range(0, 500, 2):
+        near = [rng.choice(vocab) if rng.random() < 0.1 else w for w in texts[k].split()]
+        pairs.append((k, len(texts)))
+        texts.append(" ".join(near))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
-    got = packing.pack(df, public_tokenizers.path("byte_bpe_50k.json"), window=400).collect()
-    assert sum(len({k % 2 for k in w if k < 600}) > 1 for w in by_sequence(got)) <= 2
-    pieces, sizes = defaultdict(list), Counter()
+    got = packing.pack(df, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    held, pieces, sizes = defaultdict(set), defaultdict(list), Counter()
+    monkeypatch.setattr(packing, "SHARD_DOCS", 1 << 20)
+    one = defaultdict(set)
+    for r in packing.pack(df, public_tokenizers.path("byte_bpe_50k.json")).collect():
+        one[r.doc_id].add(r.sequence_id)
     for r in got:
+        held[r.doc_id].add(r.sequence_id)
         pieces[r.doc_id].append((r.start, r.length, r.doc_tokens))
         sizes[r.sequence_id] += r.length
-    assert max(sizes.values()) <= 400 and sum(n < 400 for n in sizes.values()) <= 1 and len(pieces) == len(texts)
+    assert len({x >> 36 for v in held.values() for x in v}) > 15 and len({x >> 36 for v in one.values() for x in v}) == 1
+    assert sum(bool({x >> 36 for x in held[a]} & {x >> 36 for x in held[b]}) for a, b in pairs) >= 0.9 * len(pairs)
+    assert sum(bool(held[a] & held[b]) for a, b in pairs) >= sum(bool(one[a] & one[b]) for a, b in pairs)
+    assert max(sizes.values()) <= 2048 and len(pieces) == len(texts)
     for found in pieces.values():
         at = 0
         for start, length, total in sorted(found):
@@ -471,25 +497,21 @@ def test_packing_searches_the_whole_corpus(spark, monkeypatch):
 
 
 def test_packing_scores():
-    """Scores by matrix product and postings, merged over any chunks, rank as one index does."""
+    """Scores by matrix product and postings are BM25's."""
     rng = np.random.default_rng(3)
-    parts = [rng.zipf(1.3, rng.integers(1, 60)) % 300 for _ in range(400)]
+    parts = [rng.zipf(1.3, rng.integers(1, 60)) % 300 for _ in range(200)]
     seen = np.bincount(np.concatenate([np.unique(p) for p in parts]), minlength=300)
-    idf = np.where(seen > 0, np.log((400 - seen + 0.5) / (seen + 0.5)), 0.0)
-    given = [packing._counts(p, idf) for p in parts]
-    texts = packing.Texts(np.arange(400), np.array([len(p) for p in parts]), np.array([len(t) for t, _ in given]), np.concatenate([t for t, _ in given]), np.concatenate([c for _, c in given]))
+    corpus = packing.Corpus.of(200, 30.0, seen)
     column = np.full(300, -1)
-    column[np.argsort(np.where(idf > 0, -seen, 1))[:20]] = np.arange(20)
-    index, asked, best = packing.Index(texts, idf, 30.0), packing.Seeds(texts, column), packing.Best(400, 8)
-    for lo in range(0, 400, 90):
-        part = texts.take(np.arange(lo, min(lo + 90, 400)))
-        for at, _, score in asked.score(part, idf, 30.0, column):
-            best.add(at, score, part.number)
-    for k in range(400):
-        want = index.neighbours(k, np.ones(400, bool), 8)
-        weight = lambda d: sum(float(w) for t in texts.term[texts.at[k] : texts.at[k + 1]] for x, w in zip(index.doc[index.at[t] : index.at[t + 1]], index.weight[index.at[t] : index.at[t + 1]]) if x == d)  # noqa: E731, B023, B905
-        got = [d for d in best.number[k].tolist() if d >= 0]
-        assert len(got) == len(want) and np.allclose([weight(d) for d in got], [weight(d) for d in want], rtol=1e-4)
+    column[np.argsort(np.where(corpus.idf > 0, -seen, 1))[:20]] = np.arange(20)
+    score = packing.Index(parts, packing.Corpus(corpus.idf, 30.0, column)).scores(np.arange(200))
+    for a in range(0, 200, 7):
+        for b in range(200):
+            tf = Counter(parts[b].tolist())
+            want = sum(max(0.0, corpus.idf[t]) * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(parts[b]) / 30.0)) for t in set(parts[a].tolist()) if t in tf)
+            assert abs(score[a, b] - want) < 1e-3
+    order = list(packing.ranked(score[5], np.arange(200) % 3 > 0))
+    assert order == sorted((k for k in range(200) if k % 3 and score[5, k] > 0), key=lambda k: (-score[5, k], k))
 
 
 def brute_repeats(texts, length):
