@@ -117,15 +117,18 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 def measurements(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Id, the columns in ``keep`` and all measurements of every row."""
 
+    passed = [id_col, *keep]
+    sent = [text_col, *(c for c in passed if c != text_col)]  # each column once
+    at = [sent.index(c) for c in passed]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(0)):
                 found = measure(data, offsets)
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[1:]), *(pa.array(found[m].astype(np.int64)) for m in MEASURES)], [*passed, *MEASURES])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in at), *(pa.array(found[m].astype(np.int64)) for m in MEASURES)], [*passed, *MEASURES])
 
-    passed = [id_col, *keep]
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in passed] + [f"{m} long" for m in MEASURES])
-    return df.select(F.col(text_col).alias("_measured"), *passed).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in sent]).mapInArrow(run, schema)
 
 
 def ledger(measured: DataFrame) -> DataFrame:
