@@ -160,6 +160,20 @@ def align_with(df: DataFrame, scheme: Scheme = GLOBAL, a: str = "seq1", b: str =
     return spread(df).withColumn("_r", run(F.col(a), F.col(b))).select(*df.columns, "_r.*")
 
 
+def rescored(first: Column, second: Column, scheme: Scheme = GLOBAL) -> Column:
+    """Score of two aligned strings: matches, mismatches and gaps of a scheme without free ends or a floor."""
+    step = lambda x, y: F.when((x == "-") | (y == "-"), scheme.gap).when(x == y, scheme.match).otherwise(scheme.mismatch)
+    letters = lambda s: F.filter(F.split(s, ""), lambda c: c != "")
+    return F.aggregate(F.zip_with(letters(first), letters(second), step), F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+
+def sound(seq1: Column, seq2: Column, whole: bool = True) -> Column:
+    """Whether the rows' aligned strings are equally long and are the two strings (or, without ``whole``, their given ranges) with gaps."""
+    plain = lambda c: F.replace(F.col(c), F.lit("-"), F.lit(""))
+    part = lambda s, k: s if whole else F.substring(s, F.col(f"start{k}"), F.length(plain(f"aligned{k}")))
+    return (F.length("aligned1") == F.length("aligned2")) & (plain("aligned1") == part(seq1, 1)) & (plain("aligned2") == part(seq2, 2))
+
+
 def merge_two(a: str, b: str, scheme: Scheme = MERGING) -> str | None:
     """The longer head, the common stretch and the longer tail where the locally aligned parts are equal; else none."""
     a, b = (a, b) if len(a) >= len(b) else (b, a)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import coding as C
 from helixframe.functions import sequence as S
-from helixframe.operators import alignment, dedup, gapped, kmers, mapping, search, stats, tables
+from helixframe.operators import dedup, kmers, mapping, search, stats, tables
 from helixframe.sources import fasta, flatfiles, responses
 from helixframe.sources import tables as source_tables
 
@@ -252,7 +252,7 @@ def open_reading_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, 'a.e') OR regexp_matches(p_name, 'red')")
 def keyword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "part").select("p_partkey", "p_name").where(F.col("p_name").rlike("a.e") | F.col("p_name").rlike("red"))
+    return _table(spark, sf_dir, "part").select("p_partkey", "p_name").where(S.has_keyword(F.col("p_name"), ["a.e", "red"]))
 
 
 @_register("""SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM pages""")
@@ -277,10 +277,7 @@ def mismatch_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("SELECT source, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) <= 5")
 def longest_five(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
-    return _table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars", rank.alias("_r")).where("_r <= 5").drop("_r")
+    return stats.longest(_table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", "n_chars", 5, "doc_id")
 
 
 @_register("SELECT c_custkey, CASE WHEN length(c_name) > 12 THEN substr(c_name, 1, 9) || '...' ELSE c_name END AS name FROM customer")
@@ -288,26 +285,6 @@ def truncated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "customer").select("c_custkey", S.truncated(F.col("c_name"), 12).alias("name"))
 
 
-@_register()
-def global_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring keys aligned; no SQL form (tests rescore the alignment)."""
-    a = _dna(spark, sf_dir)
-    b = a.select((F.col("id") - 1).alias("id"), F.col("sequence").alias("seq2"))
-    return alignment.align(a.select("id", F.col("sequence").alias("seq1")).join(b, "id"))
-
-
-@_register()
-def local_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _dna(spark, sf_dir)
-    b = a.select((F.col("id") - 1).alias("id"), F.col("sequence").alias("seq2"))
-    return alignment.align(a.select("id", F.col("sequence").alias("seq1")).join(b, "id"), local=True)
-
-
-@_register()
-def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alignment.fold(_dna(spark, sf_dir))
-
-
 _PROTEIN = "MLKSRAWFGVITPHQC"
 
 
@@ -381,7 +358,12 @@ def longer_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.keep_longer_overlaps(spans)
 
 
-@_register("SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS text FROM pages")
+_DECODED = "regexp_replace(html, '<[^>]*>', '', 'g')"
+for _name, _char in C.ENTITIES.items():
+    _DECODED = f"replace({_DECODED}, '{_name}', chr({ord(_char)}))"
+
+
+@_register(f"SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, {_DECODED} AS text FROM pages")
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", responses.page_title(F.col("html")).alias("title"), C.plain_text(F.col("html")).alias("text"))
 
@@ -391,26 +373,6 @@ def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("id", F.col("sequence").alias("seq1")).join(a.select((F.col("id") - 1).alias("id"), F.col("sequence").alias("seq2")), "id")
 
 
-@_register()
-def free_end_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gapped.align_with(_neighbours(spark, sf_dir), gapped.FREE_ENDS)
-
-
-@_register()
-def merged_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gapped.merge_reads(_neighbours(spark, sf_dir))
-
-
-@_register()
-def aligned_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gapped.align_families(_dna(spark, sf_dir, "nation", "n_nationkey").withColumn("family", F.col("id") % 5), "family")
-
-
-@_register()
-def folded_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gapped.fold_strands(_dna(spark, sf_dir))
-
-
 @_register(f"SELECT id::VARCHAR || ' x' AS id, sequence, length(sequence)::INT AS length FROM ({_dna_sql()})")
 def parsed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wrapped, lower-case record texts read back."""
@@ -435,7 +397,7 @@ def plain_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT p_brand, translate(md5(p_partkey::VARCHAR), '{HEX}', '{PLAIN}') AS s FROM part) GROUP BY 1""")
 def matching_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     seqs = _table(spark, sf_dir, "part").select("p_brand", F.translate(F.md5(F.col("p_partkey").cast("string")), HEX, PLAIN).alias("sequence"))
-    return seqs.groupBy("p_brand").agg(F.count_if(mapping.primer_pair(F.col("sequence"), FORWARD, REVERSE)).alias("n_matches"), F.count("*").alias("n"))
+    return stats.matching_counts(seqs, "p_brand", mapping.primer_pair(F.col("sequence"), FORWARD, REVERSE))
 
 
 @_register("""WITH f AS (SELECT l_partkey AS sample, l_linestatus AS file, count(*) FILTER (WHERE l_quantity > 25) AS n_matches, count(*) AS n_reads FROM lineitem GROUP BY 1, 2)
@@ -600,7 +562,8 @@ def feature_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
 def unvisited_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).join(_table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("id")), "id", "left_anti")
+    large = _table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("id"))
+    return stats.unseen(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), large, "id")
 
 
 @_register("SELECT DISTINCT source, lang FROM documents")
@@ -613,23 +576,16 @@ def column_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.column_widths(_table(spark, sf_dir, "customer").select("c_name", "c_mktsegment"))
 
 
-@_register()
-def pair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gapped.pair_scores(_dna(spark, sf_dir, "nation", "n_nationkey").withColumn("family", F.col("id") % 5), "family")
-
-
-@_register()
-def covered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy by length within a brand; tests compare with brute force."""
-    key = F.col("p_partkey")
-    cut = F.substring(F.md5(key.cast("string")), F.lit(1), (key % 9 + 4).cast("int"))
-    return search.cover_dedup(_table(spark, sf_dir, "part").select("p_brand", key.alias("id"), F.translate(cut, HEX, PLAIN).alias("sequence")), "p_brand")
-
+def _load() -> None:
+    """The other modules of queries register theirs when they are imported."""
+    from helixframe.plans import readers, scores  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
