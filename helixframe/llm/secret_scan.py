@@ -7,15 +7,18 @@ id of 20 or more, ``hex`` a lower-case hexadecimal run of 24 or more.
 Battery: every maximal run of 20 or more characters of ``[A-Za-z0-9+/_-]``, with
 the ``=`` that end it, is a test (an ``=`` inside divides). Where it shows no
 randomness as a whole, its parts between ``+/``, between ``-_`` and between all
-four are tested, p-values times the number of these tests. The encoding is inferred from the characters used; it must be
-consistent with uniform draws from that alphabet by a chi-squared test, a runs
-test about the median and a lag-one serial correlation (Bonferroni over the
-three). Its p-value against ordinary text is the likelihood ratio of text to
-uniform draws (valid by Markov's inequality, and smaller for longer runs); text
-is letters by frequency, or pairs of letters for lower-case runs. Runs
-are discoveries by the Benjamini-Hochberg rule within each length class over
-the whole corpus, on p-values binned to a quarter of a decade; the histogram is
-of bounded size.
+four are tested, p-values times the number of these tests. The encoding is
+inferred from the characters used. A run must be consistent with uniform draws
+from that alphabet: a chi-squared test, a runs test about the median and a
+lag-one serial correlation, of which the least p-value counts; how small it gets
+among uniform draws of the same length is simulated (for runs of over 256
+characters Bonferroni over the three is used). Its p-value against ordinary text is the
+likelihood ratio of text to uniform draws (valid by Markov's inequality, and
+smaller for longer runs). Text is what the whole corpus holds: the shares of
+characters behind each other in all runs too short to be tested, in a table of
+bounded size, so no language is assumed. Runs are discoveries by the Benjamini-Hochberg rule
+within each length class over the whole corpus, on p-values binned to a quarter
+of a decade; the histogram is of bounded size.
 
 Null and empty texts have no spans. Repeated rows are scanned separately, extra
 columns are ignored, an empty table gives an empty result, long texts are read
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.store import stash
+from helixframe.llm.store import small_batches, stash
 from helixframe.llm.textops import chunks, edges
 
 KINDS = ("assign", "access", "hex", "random")
@@ -66,28 +69,93 @@ _ALPHABETS = [
     ("base64url", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 ]
 _INDEX = [(name, len(a), set(a), np.array([a.find(bytes([c])) for c in range(256)], np.int64)) for name, a in _ALPHABETS]
-#: Relative frequency of a to z in English text, per thousand.
-_ENGLISH = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
-_TEXT = np.full(256, math.log(0.02 / 5))
-_TEXT[list(b"0123456789")] = math.log(0.04 / 10)
-_TEXT[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")] = math.log(0.04 / 26)
-_TEXT[list(b"abcdefghijklmnopqrstuvwxyz")] = np.log(0.90 * np.array(_ENGLISH) / sum(_ENGLISH))
-#: Letters that follow a to z in English text, the most frequent first; weighted by 1 / rank, a fifth by frequency alone.
-_FOLLOW = "ntlrscdimbgpyvukwfz elouayrisjt oehatkilury eiaousrdyg rsndatlcmevpxifywgq oieraftul ehriaoulgsn eaiotruy ntsocleradgmvfpzkbqx uoaei eisnly eialyoduts eaoipubms dtgesciaoyknu nrufmtwlsopvdcikgx erolapiuths u eioastydmnukc teisohuapcm heioarstuy rsntlcpmidegba eiao ahieonsr ptiac soet eaizyo".split()
-_FIRST = np.array(_ENGLISH) / sum(_ENGLISH)
-_PAIRS = np.tile(0.2 * _FIRST, (26, 1))
-for _a, _letters in enumerate(_FOLLOW):
-    _PAIRS[_a, [ord(c) - 97 for c in _letters]] += 0.8 / np.arange(1, len(_letters) + 1) / sum(1 / k for k in range(1, len(_letters) + 1))
-_FIRST, _PAIRS = np.log(_FIRST), np.log(_PAIRS)
+_SYMBOLS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+_N = len(_SYMBOLS)
+_CODE = np.full(256, _N, np.int64)  # any other character: a border
+_CODE[list(_SYMBOLS)] = np.arange(_N)
+_DRAWS = 4095  #: simulated runs of a length
+_EXACT = 256  #: longest run whose tail is simulated
 _INNER = re.compile(rb"[^=]+(?:=+\Z)?")
 _DIVIDED = [re.compile(x) for x in (rb"[^+/]+", rb"[^_-]+", rb"[^+/_-]+")]
 
 
-def _upper_tail(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
+def pair_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How often each symbol follows each other one or a border, in the runs of a chunk that are too short to be tested."""
+    code = np.append(_CODE[data], _N)
+    start, end = edges(data, offsets, code[:-1] == _N)
+    tested = end - start >= MIN_RUN
+    inside = np.zeros(len(code), np.int64)
+    inside[start[tested]] += 1
+    inside[end[tested]] -= 1
+    code[np.cumsum(inside) > 0] = _N
+    pair = np.append(_N, code[:-1]) * (_N + 1) + code
+    first = offsets[:-1]
+    pair[first] = _N * (_N + 1) + code[first]
+    return np.bincount(pair[:-1], minlength=(_N + 1) ** 2)
 
 
-def battery(run: bytes) -> tuple[str, float, float]:
+def text_model(df: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Log of the share of each symbol behind each other one, or (last row) at the start of a run, over all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((_N + 1) ** 2, np.int64)
+        for batch in batches:
+            for _, _, data, offsets in chunks(batch.column(0)):
+                total += pair_counts(data, offsets)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["pair", "n"])
+
+    counts = np.zeros((_N + 1) ** 2)
+    for row in df.select(text_col).mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # pairs of 67 symbols
+        counts[row["pair"]] = row["n"]
+    return log_shares(counts)
+
+
+def log_shares(counts: np.ndarray) -> np.ndarray:
+    inside = counts.reshape(_N + 1, _N + 1)[:, :_N] + 0.5
+    return np.log(inside / inside.sum(1, keepdims=True))
+
+
+def _p_values(x: np.ndarray, size: int) -> np.ndarray:
+    """Least of three approximate p-values of each row of codes below ``size`` being uniform draws."""
+    m, n = x.shape
+    expected = n / size
+    seen = np.bincount((x + np.arange(m)[:, None] * size).ravel(), minlength=m * size).reshape(m, size)
+    chi = ((seen - expected) ** 2).sum(1) / expected
+    p_chi = _tail((chi - (size - 1)) / np.sqrt(np.maximum(1e-9, 2 * (size - 1) * (n - 1) / n)))
+    high = x >= size / 2
+    n1 = high.sum(1)
+    runs = 1 + (high[:, 1:] != high[:, :-1]).sum(1)
+    mean = 1 + 2.0 * n1 * (n - n1) / n
+    var = (mean - 1) * (mean - 2) / max(n - 1, 1)
+    p_runs = np.where((n1 > 0) & (n1 < n), 2 * _tail(np.abs(runs - mean) / np.sqrt(np.maximum(var, 1e-9))), 0.0)
+    d = x - x.mean(1, keepdims=True)
+    spread = (d * d).sum(1)
+    serial = np.abs((d[:, 1:] * d[:, :-1]).sum(1)) / np.where(spread > 0, spread, 1.0) * math.sqrt(n)
+    p_serial = np.where(spread > 0, 2 * _tail(serial), 0.0)
+    return np.minimum(np.minimum(p_chi, p_runs), p_serial)
+
+
+def _tail(z: np.ndarray) -> np.ndarray:
+    return np.array([0.5 * math.erfc(v / math.sqrt(2)) for v in z.tolist()])
+
+
+_simulated: dict[tuple[int, int], np.ndarray] = {}
+
+
+def uniformity(x: np.ndarray, size: int) -> float:
+    """P-value of codes below ``size`` being uniform draws: how often the least p-value of such draws is as small."""
+    n = len(x)
+    least = float(_p_values(x[None, :], size)[0])
+    if n > _EXACT:
+        return min(1.0, 3 * least)
+    if (size, n) not in _simulated:
+        draws = np.random.default_rng(size * 1000 + n).integers(0, size, (_DRAWS, n))
+        _simulated[size, n] = np.sort(_p_values(draws, size))
+    return (1 + int(np.searchsorted(_simulated[size, n], least, "right"))) / (_DRAWS + 1)
+
+
+def battery(run: bytes, model: np.ndarray) -> tuple[str, float, float]:
     """(encoding, p of being uniform draws, log of the p-value against ordinary text) of a run."""
     body = run.rstrip(b"=")
     used = set(body)
@@ -97,53 +165,40 @@ def battery(run: bytes) -> tuple[str, float, float]:
     else:
         return "other", 0.0, 0.0
     codes = np.frombuffer(body, np.uint8)
-    x = index[codes]
-    n = len(x)
+    n = len(codes)
     if n < MIN_RUN - 2 or (name in ("base62", "base64", "base64url") and not used & _DIGIT and not (used & _UPPER and used & _LOWER)):
         return name, 0.0, 0.0
-    expected = n / size
-    chi = float(((np.bincount(x, minlength=size) - expected) ** 2).sum() / expected)
-    p_chi = _upper_tail((chi - (size - 1)) / math.sqrt(max(1e-9, 2 * (size - 1) * (n - 1) / n)))
-    high = x >= size / 2
-    n1, n2 = int(high.sum()), int(n - high.sum())
-    if n1 and n2:
-        runs = 1 + int((high[1:] != high[:-1]).sum())
-        mean = 1 + 2 * n1 * n2 / n
-        var = (mean - 1) * (mean - 2) / (n - 1)
-        p_runs = 2 * _upper_tail(abs(runs - mean) / math.sqrt(max(var, 1e-9)))
-    else:
-        p_runs = 0.0
-    d = x - x.mean()
-    spread = float((d * d).sum())
-    p_serial = 2 * _upper_tail(abs(float((d[1:] * d[:-1]).sum()) / spread) * math.sqrt(n)) if spread else 0.0
-    text = float(_FIRST[x[0]] + _PAIRS[x[:-1], x[1:]].sum()) if name == "lower" else float(_TEXT[codes].sum())
-    return name, min(1.0, 3 * min(p_chi, p_runs, p_serial)), min(0.0, text + n * math.log(size))
+    symbols = _CODE[codes]
+    log_p = min(0.0, float(model[_N, symbols[0]] + model[symbols[:-1], symbols[1:]].sum()) + n * math.log(size))
+    if not int(-log_p / math.log(10) * 4):
+        return name, 1.0, log_p  # no discovery in any case
+    return name, uniformity(index[codes], size), log_p
 
 
-def _level(run: bytes, tests: int = 1) -> int:
+def _level(run: bytes, model: np.ndarray, tests: int = 1) -> int:
     """Bin of the p-value, times ``tests``, of a run; bin 0 where it isn't consistent with uniform draws."""
-    _, uniform, log_p = battery(run)
+    _, uniform, log_p = battery(run, model)
     return max(0, min(_BINS, int(-(log_p + math.log(tests)) / math.log(10) * 4))) if uniform >= _ALPHA else 0
 
 
-def _tests(run: bytes) -> list[tuple[int, int, int, int]]:
+def _tests(run: bytes, model: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(start, end, length class, bin of the p-value) of the tests of a run of ``[A-Za-z0-9+/_=-]``."""
     out = []
     for m in _INNER.finditer(run):
         lo, hi = m.span()
         if hi - lo < MIN_RUN:
             continue
-        level, found = _level(m[0]), []
+        level, found = _level(m[0], model), []
         if not level:
             parts = sorted({x.span() for divided in _DIVIDED for x in divided.finditer(m[0]) if x.end() - x.start() >= MIN_RUN} - {(0, hi - lo)})
-            for level_of, a, b in sorted(((-_level(m[0][a:b], len(parts)), a, b) for a, b in parts)):
+            for level_of, a, b in sorted(((-_level(m[0][a:b], model, len(parts)), a, b) for a, b in parts)):
                 if level_of and all(b <= x or y <= a for x, y, _ in found):
                     found.append((a, b, -level_of))
         out += [(lo + a, lo + b, sum(b - a >= c for c in CLASSES) - 1, n) for a, b, n in sorted(found) or [(0, hi - lo, level)]]
     return out
 
 
-def scan_chunk(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[list, list]]:
+def scan_chunk(data: np.ndarray, offsets: np.ndarray, model: np.ndarray) -> Iterator[tuple[list, list]]:
     """For each document of a chunk: base spans (start, kind index, end) and candidates (start, end, class, bin)."""
     raw = data.tobytes()
     cuts = offsets.tolist()
@@ -169,7 +224,7 @@ def scan_chunk(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[list, li
         for i in range(run_at[k], run_at[k + 1]):
             a, b = int(run_a[i]), int(run_b[i])
             first = int(wide[a] - wide[lo])  # a run is of single bytes
-            tested += [(first + x, first + y, kind, level) for x, y, kind, level in _tests(raw[a:b])]
+            tested += [(first + x, first + y, kind, level) for x, y, kind, level in _tests(raw[a:b], model)]
         yield sorted((int(wide[a] - wide[lo]), kind, int(wide[b] - wide[lo])) for a, kind, b in found), tested
 
 
@@ -177,15 +232,16 @@ _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 _CAND = "array<struct<start:bigint,end:bigint,class:int,level:int>>"
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(df: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, base spans with their counts and digest, and every tested run, per document."""
+    small_batches(df.sparkSession)
     span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
     cand = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("class", pa.int32()), ("level", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(1)):
-                rows = list(scan_chunk(data, offsets))
+                rows = list(scan_chunk(data, offsets, model))
                 counts = [[sum(k == kind for _, k, _ in base) for base, _ in rows] for kind in range(3)]
                 digest = [hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest() for base, _ in rows]
                 yield pa.RecordBatch.from_arrays(
@@ -230,20 +286,21 @@ def spans(scanned: DataFrame, least: list[int]) -> DataFrame:
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
     """One row per document; see the module's head."""
-    scanned = stash(scan(df, id_col, text_col), "secret-scan")
+    scanned = stash(scan(df, text_model(df, text_col), id_col, text_col), "secret-scan")
     return spans(scanned, thresholds(scanned, rate))
 
 
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", rate: float = RATE) -> DataFrame:
-    """``df`` with every span replaced by ``mark``; other columns pass through. Thresholds come from a first pass over all rows."""
-    least = thresholds(scan(df.select(F.lit(0).alias("_row"), text_col), "_row", text_col).select("tested"), rate)
+    """``df`` with every span replaced by ``mark``; other columns pass through. The text model and the thresholds come from passes over all rows."""
+    model = text_model(df, text_col)
+    least = thresholds(scan(df.select(F.lit(0).alias("_row"), text_col), model, "_row", text_col).select("tested"), rate)
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(at)):
                 raw, out = data.tobytes(), []
-                for k, (base, tested) in enumerate(scan_chunk(data, offsets)):
+                for k, (base, tested) in enumerate(scan_chunk(data, offsets, model)):
                     given = batch.column(at)[lo + k]
                     cut = sorted([(a, b) for a, _, b in base] + [(a, b) for a, b, c, level in tested if level >= least[c]])
                     if not given.is_valid or not cut:

@@ -268,7 +268,7 @@ def test_secret_scan(spark, none):
     draw = lambda a, n: "".join(rng.choice(a) for _ in range(n))
     b62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     texts = [
-        *TEXTS, "é password = abc", "Password: 'abcdef", "API_KEY=x.y-z/1==", "token: token: abcdef", "secreT=sécret1", "AKIA" + draw(b62[:26], 16), "AKIAAKIA" + "A" * 8, "éé " + draw("0123456789abcdef", 24), "Ab" + "f" * 30,
+        *TEXTS, *prose(200), "é password = abc", "Password: 'abcdef", "API_KEY=x.y-z/1==", "token: token: abcdef", "secreT=sécret1", "AKIA" + draw(b62[:26], 16), "AKIAAKIA" + "A" * 8, "éé " + draw("0123456789abcdef", 24), "Ab" + "f" * 30,
         "ſecret: abcdefg", "x " + draw(b62, 40) + " y", "the " + "verylongordinarywordsrunning" + " on", "1" * 40, "passwd:\n", 'api_key"  =  "' + draw(b62, 9), "日本 " + draw(b62, 64),
     ]
     df = spark.createDataFrame([(k, t, 0) for k, t in enumerate(texts)], "doc_id long, text string, spans int")
@@ -290,14 +290,61 @@ def test_secret_scan(spark, none):
     assert secret_scan.find(none).count() == 0 and secret_scan.redact(none).count() == 0
 
 
+ORDINARY = "the quick brown fox jumps over the lazy dog and some what longer ordinary words follow one another while very many people read a few lines of running text with names like Anna or Berlin in it so that pairs of letters are counted on each side of a way home again from town to house 2024 and 17 more".split()
+
+
+def prose(n, seed=1):
+    """Ordinary texts, from which the scan counts what text looks like."""
+    rng = random.Random(seed)
+    return [" ".join(rng.choices(ORDINARY, k=60)) for _ in range(n)]
+
+
+def model_of(texts):
+    counts = np.zeros(67 * 67, np.int64)
+    for t in texts:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        counts += secret_scan.pair_counts(raw, np.array([0, len(raw)]))
+    return secret_scan.log_shares(counts)
+
+
+def test_text_model(spark):
+    df = spark.createDataFrame([("ab b", ), (None,), ("", ), ("b" * 20 + " ba",)], "text string")
+    held = np.exp(secret_scan.text_model(df))
+    a, b = 26, 27
+    assert np.allclose([held[67 - 1, a], held[66, b], held[a, b], held[b, a]], [1.5 / 36, 2.5 / 36, 1.5 / 34, 1.5 / 34])
+
+
+def test_planted_keys(spark):
+    """Keys of every encoding among ordinary texts: nine of ten are found, and few spans are none."""
+    rng = random.Random(31)
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = [low[:6] + digits, (low[:6] + digits).upper(), low.upper() + "234567", low + digits, (low + digits).upper(), low + low.upper() + digits, low + low.upper() + digits + "+/", low + low.upper() + digits + "-_"]
+    texts, planted = prose(300, 5), {}
+    for size in (32, 48, 64, 300):
+        for alphabet in alphabets:
+            for _ in range(6):
+                key = "".join(rng.choice(alphabet) for _ in range(size))
+                planted[len(texts)] = (4, 4 + size)
+                texts.append(f"the {key} ends")
+    texts += ["/".join(rng.choices([w for w in ORDINARY if w.isalpha()], k=9)) for _ in range(200)] + ["".join(rng.choices([w for w in ORDINARY if w.islower()], k=8)) for _ in range(200)]
+    got = rows(secret_scan.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    found = {k: [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith(("random", "hex"))] for k, r in got.items()}
+    hit = sum(any(a < planted[k][1] and planted[k][0] < b for a, b in found[k]) for k in planted)
+    false = sum(len(v) for k, v in found.items() if k not in planted)
+    assert hit >= 0.9 * len(planted) and false <= 0.02 * hit
+
+
 def test_random_battery():
+    model = model_of(prose(100))
     rng = random.Random(11)
     hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(64)) for _ in range(200)]
-    kept = [secret_scan.battery(x.encode()) for x in hexes]
+    kept = [secret_scan.battery(x.encode(), model) for x in hexes]
     assert all(n == "hex" for n, _, _ in kept)
     assert sum(p >= 0.001 for _, p, _ in kept) >= 190 and all(q < -20 for _, _, q in kept)
-    assert secret_scan.battery(b"0123456789abcdef" * 4)[1] < 0.001
-    assert secret_scan.battery(b"thequickbrownfoxjumpsoverthelazydog")[2] == 0
+    assert secret_scan.battery(b"0123456789abcdef" * 4, model)[1] < 0.001
+    assert secret_scan.battery(b"thequickbrownfoxjumpsoverthelazydog", model)[2] == 0
+    x = np.random.default_rng(1).integers(0, 62, (2000, 24))
+    assert 0.02 < np.mean([secret_scan.uniformity(r, 62) <= 0.05 for r in x]) < 0.08  # simulated tails hold their level at short lengths
 
 
 def test_random_parts_of_runs(spark):
@@ -311,7 +358,7 @@ def test_random_parts_of_runs(spark):
         ("the-own-name-of-", draw(b62, 20) + "+" + draw(b62, 24), ""), ("x ", draw(lower, 64), ""), ("key-", draw(lower, 64), ""), ("x ", draw(digits, 23), ""), ("é ID=", draw(digits, 22), ""),
     ]
     plain = ["the/quick/way/to/the/other/side/of/town=and/back/again/home", "somewhatlongerordinarywordsfollowoneanother", "with-many-hyphens-in-one-long-name", "1" * 22, "x = " + "=" * 40, "a=b=c=d=e=f=g=h=i=j=k=l=m=n"]
-    df = spark.createDataFrame(list(enumerate([*("".join(c) for c in cases), *plain])), "doc_id long, text string")
+    df = spark.createDataFrame(list(enumerate([*("".join(c) for c in cases), *plain, *prose(300)])), "doc_id long, text string")
     got, clean = rows(secret_scan.find(df)), rows(secret_scan.redact(df))
     for k, (before, value, after) in enumerate(cases):
         assert got[k]["spans"] == f"random:{len(before)}:{len(before + value)}", (before, value)
