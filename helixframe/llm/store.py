@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +48,7 @@ def stash(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     spark = df.sparkSession
     small_batches(spark)
     path = new_path(spark, label)
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     schema = df.schema
     if narrow:
         df = df.coalesce(spark.sparkContext.defaultParallelism)
@@ -55,6 +58,37 @@ def stash(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     return out
 
 
+_made: dict[str, list[str]] = {}  # tables of each application, oldest first
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    made = _made.get(spark.sparkContext.applicationId, [])
+    if path in made:
+        made.remove(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete all of the application's tables that are still there: once no result is read any more."""
+    for path in list(_made.get(spark.sparkContext.applicationId, [])):
+        _delete(spark, path)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete the tables made inside, but for those passed to what it yields. One driver thread at a time."""
+    before, kept = set(_made.get(spark.sparkContext.applicationId, [])), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._stashed_at)
+        return df
+
+    yield keep
+    for path in [p for p in _made.get(spark.sparkContext.applicationId, []) if p not in before | kept]:
+        _delete(spark, path)
+
+
 def tidy(spark: SparkSession) -> None:
     """Let the driver notice shuffles that nothing reads any more, so that their files go now."""
     spark.sparkContext._jvm.System.gc()
@@ -65,9 +99,7 @@ def release(*tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, "_stashed_at", None)
         if path:
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
+            _delete(df.sparkSession, path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

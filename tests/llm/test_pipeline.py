@@ -42,3 +42,31 @@ def test_stages(spark, tmp_path):
         total[r.doc_id] += r.length
         assert r.doc_tokens >= r.length
     assert set(total) == left
+
+
+def test_odd_rows(spark, tmp_path):
+    """Null ids, repeated rows, ids with two texts, null texts and clashing columns."""
+    long = "some words that go on and on until there are enough of them for the rules to let the text pass " * 4
+    varied = " ".join(f"word{k} and{k % 7}x" for k in range(60))
+    rows = [(None, varied, "x"), (5, varied.upper(), "y"), (5, varied, "y"), (5, varied, "y"), (6, None, None), (7, "", "z"), (5, varied + " other", "y"), (None, varied, "x"), (8, long, "q")]
+    docs = spark.createDataFrame([(k, t, "en", s, len(t or "")) for k, t, s in rows], "doc_id long, text string, lang string, _sha string, n_chars long").withColumnRenamed("_sha", "source")
+    stage = dict(corpus_pipeline.STAGES)
+    good = stage["quality"](spark, docs, "")
+    assert sorted(r.source for r in good.collect()) == ["x", "x", "y", "y", "y", "y"]
+    got = sorted((r.doc_id, r.text) for r in stage["exact_duplicates"](spark, docs, "").collect() if r.text and r.doc_id == 5)
+    assert got == [(5, varied.upper()), (5, varied + " other")]
+    assert {r.doc_id for r in stage["exact_duplicates"](spark, docs, "").collect()} == {5, 7, 8}
+    masked = stage["secrets"](spark, docs, "").collect()
+    assert len(masked) == len(rows) and sum(r.text is None for r in masked) == 1
+    assert stage["exact_duplicates"](spark, docs.limit(0), "").count() == 0 and stage["quality"](spark, docs.limit(0), "").count() == 0
+
+
+def test_tables_go(spark, tmp_path):
+    from helixframe.llm import store
+
+    store.release_all(spark)
+    with store.temporary(spark) as keep:
+        a, b = store.stash(spark.range(3), "a"), keep(store.stash(spark.range(4), "b"))
+    assert b.count() == 4 and store._made[spark.sparkContext.applicationId] == [b._stashed_at]
+    store.release_all(spark)
+    assert not store._made[spark.sparkContext.applicationId] and a._stashed_at != b._stashed_at
