@@ -3,41 +3,44 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm import exact_dedup, ngram_join, packing, quality_rules, secret_scan
-from helixframe.llm.store import documents, stash
+from helixframe.llm.store import documents, release, stash, temporary
 
 END_ID = 1
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass every rule of policy v2."""
+    """Documents that pass every rule of policy v2, repeated rows each; null and empty texts don't pass."""
     passed = tuple(c for c in docs.columns if c != "doc_id")
     rows = quality_rules.ledger(quality_rules.measurements(docs, keep=passed))
     return rows.where(quality_rules.passes("v2")).select(*docs.columns)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of equal texts: the one with the largest id."""
-    kept = exact_dedup.classes(docs).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One row of each class of equal texts: the one with the largest id, null ids last; of rows that repeat with their id, one."""
+    digest = F.sha2(exact_dedup.normalised(F.col("text")), 256)
+    kept = exact_dedup.classes(docs).where("kept").select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_digest")).distinct()
+    rows = docs.withColumn("_sha", digest).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_sha") == F.col("_digest")), "left_semi")
+    turn = F.row_number().over(Window.partitionBy("doc_id", "_sha").orderBy("text"))
+    return rows.withColumn("_turn", turn).where("_turn = 1").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similarity 0.8 or more on five-word shingles: the one with the smallest id."""
+    """One document of each component of similarity 0.8 or more on five-word shingles: the one with the smallest id. Texts without words stay."""
     kept = ngram_join.join(docs, ngram_join.Spec(size=5, num=80, den=100)).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with every secret masked; ``n_chars`` follows."""
+    """Texts with every secret masked; ``n_chars`` follows. Every row stays, null texts as they are."""
     return secret_scan.redact(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the packed sequences."""
+    """Pieces of the packed sequences; null and empty texts are an end id."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=END_ID)
 
 
@@ -47,9 +50,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """All stages in order; a stage's table and those of its operator go once the next one is written."""
+    docs, before = documents(spark, sf_dir), None
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stash(docs, f"pipeline-{name}")
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with temporary(spark) as keep:
+            docs = keep(stash(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        if before is not None:
+            release(before)
+        before = docs
     return docs
