@@ -68,42 +68,48 @@ def seed_candidates(shorts: DataFrame, longs: DataFrame, circular: bool = False)
 def map_queries(queries: DataFrame, references: DataFrame, most: int, strands: bool = True) -> DataFrame:
     """(query_id, ref_id, strand, start, end, mismatch) of queries within ``most`` mismatches; codes match where their base sets meet.
 
-    Of most + 1 pieces of a plain query one matches a plain reference exactly, so
-    seeds join on pieces; a window carries the letters around it, no more than
-    twice the longest seeded query, never its whole reference. A place counts by
-    the first of its pieces that matches, so none is found twice and rows that
-    repeat keep their number. Ambiguous texts, and queries whose pieces are
-    shorter than a seed, are searched pair by pair.
+    Of most + 1 pieces of a plain query one matches a plain reference exactly, and of most + 2 pieces two do. Queries
+    whose pieces hold eight letters or more join on one piece; shorter ones join on two, with the distance between
+    them, so that a seed is twice as long. A window carries the letters around a seed, no more than twice the longest seeded query, never its
+    whole reference. A place counts by the first of its pieces that match, so none is found twice and rows that
+    repeat keep their number. Ambiguous texts, and queries with pieces of one letter, are searched pair by pair.
     """
     q = queries.select(F.col("id").alias("query_id"), F.upper("sequence").alias("q"), F.lit("+").alias("strand"))
     if strands:
         q = q.union(queries.select("id", reverse_complement(F.upper("sequence")), F.lit("-")))
     plain = lambda c: F.coalesce(~F.col(c).rlike("[^ACGT]"), F.lit(False))
-    q = q.where("length(q) > 0").withColumn("piece", F.floor(F.length("q") / (most + 1)).cast("int"))
-    q = q.withColumn("size", F.when(plain("q"), seed_size(F.col("piece"))))
+    n = F.length("q")
+    one, two = F.floor(n / (most + 1)).cast("int"), F.floor(n / (most + 2)).cast("int")
+    q = q.where("length(q) > 0").withColumn("pieces", F.when(plain("q") & (one >= 8), 1).when(plain("q") & (two >= 2), 2))
+    q = q.withColumn("step", F.when(F.col("pieces") == 1, one).when(F.col("pieces") == 2, two)).withColumn("size", F.when(F.col("pieces") == 1, seed_size(one)).otherwise(F.col("step")))
     r = spread(references.select(F.col("id").alias("ref_id"), F.upper("sequence").alias("r")))
 
-    held = {x["size"]: x["n"] for x in q.where("size IS NOT NULL").groupBy("size").agg(F.max(F.length("q")).alias("n")).collect()}  # at most one row for each of SEEDS
-    seeds = q.where("size IS NOT NULL").select("query_id", "q", "strand", "size", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.substring("q", i * F.col("piece") + 1, F.col("size")))).alias("part", "seed"), "piece")
-    reach = max(held.values(), default=1)
-    places = r.where(plain("r")).select("ref_id", "r", F.explode(F.array(*[F.lit(k) for k in held or SEEDS[:1]])).alias("k"))
-    places = places.withColumn("last", F.length("r") - F.col("k") + 1).where("last >= 1").select("ref_id", "r", "k", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("pos"))
+    held = q.where("pieces IS NOT NULL").groupBy("pieces", "size").agg(F.max(n).alias("n")).collect()  # three sizes of one piece, six of two
+    reach = max((x["n"] for x in held), default=1)
+    kinds = sorted({(x["size"], d * x["size"]) for x in held for d in ((0,) if x["pieces"] == 1 else range(1, most + 2))}) or [(1, 0)]
+    pairs = lambda found: F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in found])
+    chosen = F.when(F.col("pieces") == 1, pairs([(i, i) for i in range(most + 1)])).otherwise(pairs([(i, j) for j in range(most + 2) for i in range(j)]))
+    piece = lambda k, text="q": F.substring(text, k * F.col("step") + 1, F.col("size"))
+    seeds = q.where("pieces IS NOT NULL").withColumn("p", F.explode(chosen)).select("query_id", "q", "strand", "step", "size", F.col("p.i").alias("i"), F.col("p.j").alias("j"))
+    seeds = seeds.withColumn("apart", (F.col("j") - F.col("i")) * F.col("step")).withColumn("seed", F.when(F.col("i") == F.col("j"), piece(F.col("i"))).otherwise(F.concat(piece(F.col("i")), piece(F.col("j")))))
+    places = r.where(plain("r")).select("ref_id", "r", F.explode(F.array(*[F.struct(F.lit(k).alias("size"), F.lit(d).alias("apart")) for k, d in kinds])).alias("k")).select("ref_id", "r", "k.size", "k.apart")
+    places = places.withColumn("last", F.length("r") - F.col("size") - F.col("apart") + 1).where("last >= 1").withColumn("pos", F.explode(F.sequence(F.lit(1), F.col("last"))))
     from_ = F.greatest(F.col("pos") - reach, F.lit(1))
-    places = places.select("ref_id", "pos", from_.alias("from"), F.substring("r", F.col("pos"), F.col("k")).alias("seed"), F.substring("r", from_, F.col("pos") - from_ + reach).alias("near"))
-    start, n = F.col("start"), F.length("q")
+    at = lambda p: F.substring("r", p, F.col("size"))
+    seed = F.when(F.col("apart") == 0, at(F.col("pos"))).otherwise(F.concat(at(F.col("pos")), at(F.col("pos") + F.col("apart"))))
+    places = places.select("ref_id", "size", "apart", "pos", from_.alias("from"), seed.alias("seed"), F.substring("r", from_, F.col("pos") - from_ + reach).alias("near"))
+    start = F.col("start")
     hit = F.substring("near", start - F.col("from") + 1, n)
-    found = seeds.join(places, "seed").withColumn("start", F.col("pos") - F.col("part") * F.col("piece")).where("start >= 1")
-    # a place counts once: by the first of its pieces that matches
-    earlier = lambda k: F.substring("q", k * F.col("piece") + 1, F.col("size")) == F.substring(hit, k * F.col("piece") + 1, F.col("size"))
-    for k in range(most):
-        found = found.where((F.col("part") <= k) | ~earlier(F.lit(k)))
-    found = found.select("query_id", "q", "strand", "ref_id", "start", hit.alias("hit")).where("length(hit) = length(q)")
+    found = seeds.join(places, ["size", "apart", "seed"]).withColumn("start", F.col("pos") - F.col("i") * F.col("step")).where("start >= 1")
+    found = found.withColumn("hit", hit).where("length(hit) = length(q)")
+    for k in range(most + 1):  # a place counts once: by the first of its pieces that match
+        found = found.where((F.col("j") <= k) | (F.col("i") == k) | (piece(F.lit(k)) != piece(F.lit(k), "hit")))
     letters = lambda c: F.split(c, "")
     differ = F.size(F.filter(F.zip_with(letters("q"), letters("hit"), lambda x, y: x != y), lambda z: z))
     found = found.withColumn("mismatch", differ).where(F.col("mismatch") <= most)
     found = found.select("query_id", "ref_id", "strand", "start", (start + n - 1).alias("end"), "mismatch")
 
-    rest = q.join(r, (F.col("size").isNull() | ~plain("r")) & (n <= F.length("r")))
+    rest = q.join(r, (F.col("pieces").isNull() | ~plain("r")) & (n <= F.length("r")))
     rest = rest.withColumn("start", F.explode(hamming_hits(F.col("r"), F.col("q"), most))).withColumn("mismatch", mismatches(masks(F.substring("r", start, n)), masks(F.col("q"))))
     return found.unionByName(rest.select("query_id", "ref_id", "strand", "start", (start + n - 1).alias("end"), "mismatch"))
 

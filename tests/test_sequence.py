@@ -70,7 +70,7 @@ def test_primers_and_intervals(spark):
     assert one(spark, mapping.anchored(F.col("s"), "AC"), s="TTAC") == "REVERSE"
 
 
-@pytest.mark.parametrize("sizes", [(9,), (6, 9, 13)])
+@pytest.mark.parametrize("sizes", [(9,), (6, 9, 13), (3, 8, 12, 24, 30)])
 def test_mapping(spark, sizes):
     rng = random.Random(4)
     q = [(k, "".join(rng.choices("ACGT", k=rng.choice(sizes)))) for k in range(12)]
