@@ -5,15 +5,17 @@ Sets that link have sizes in the same or adjacent bands, and differ in at most
 d elements, d known per band. Cutting the hash space into d + 1 + E parts leaves
 at least E + 1 parts equal in both, so every linked pair shares a tile (band,
 part, content of the part). Parts that are empty are tiles only for sets with
-more than E empty parts: of two linked sets with at most E, one common part has
-content. Tiles link their members to the smallest one; of these pairs, first the
+more than E + 1 - ``SHARED`` empty parts, so linked sets share ``SHARED`` tiles or
+more. Tiles link their members to the smallest one; of these pairs, first the
 one of each set with the most common tiles and then those between different
 components are checked by bitmaps, whose bit counts bound the overlap from
-above, and by intersection of the sorted arrays. In tiles that then hold several components,
-the members outside the tile's largest component meet all others. Where these
-are few pairs, the pairs between components are named and checked like the first
-ones. Otherwise they meet in blocks: members of the largest are placed once for
-each block of others. A block tests pairs between components only, bitmaps
+above, and by intersection of the sorted arrays. In tiles that then hold several
+components, the members outside the tile's largest component meet all others.
+Where these are few pairs, the pairs between components that occur in ``SHARED``
+tiles are named and checked like the first ones. Larger tiles are keyed anew by
+each second open tile of their members, which parts sets that share a passage
+only. Of those that stay large, members of the largest component are placed once
+for each block of others. A block tests pairs between components only, bitmaps
 first, and joins components as it finds links, so no link between components is
 lost and none within one is looked for.
 Components come from label propagation with pointer jumping over written tables.
@@ -42,6 +44,8 @@ from helixframe.llm.textops import Hasher, chunks, mix, sequence_hash, signed, w
 
 #: Tiles with so many pairs of an outside member name them (a pair is tested once, whatever tiles it shares); others go in blocks.
 FEW = 2048
+#: Tiles that linked sets share at least: as many spare parts, and no more empty ones than leave these.
+SHARED = 3
 #: Sets that a task remembers to have named tiles for.
 _SEEN = 1 << 20
 
@@ -71,7 +75,7 @@ class Bands:
             self.low.append(max(self.low[-1] + 1, -(-self.low[-1] * den // num)))
             small = self.low[-1] - 1
             differ = (small + small * den // num) * (den - num) // (den + num)
-            spare = 1 + differ // 30 if differ else 0
+            spare = SHARED + differ // 30 if differ else 0
             self.parts.append((differ + 1 + spare, spare))
         own = int(np.searchsorted(self.low, n, "right")) - 1
         return [own, own - 1] if own else [own]
@@ -86,7 +90,7 @@ class Bands:
             first = np.flatnonzero(np.concatenate(([True], index[1:] != index[:-1])))
             sums = np.add.reduceat(content, first)
             at = index[first]
-            if k - len(first) > spare:
+            if k - len(first) > max(0, spare + 1 - SHARED):
                 empty = np.setdiff1d(np.arange(k, dtype=np.uint64), at)
                 at, sums = np.concatenate((at, empty)), np.concatenate((sums, np.zeros(len(empty), np.uint64)))
             out.append(mix(sums + mix(at + np.uint64(level << 32) + np.uint64(1))))
@@ -285,9 +289,11 @@ def join(df: DataFrame, spec: Spec | None = None, id_col: str = "doc_id", text_c
     some = verified(rest, found, spec)
     labels = merge(labels, some)
     opened = open_tiles(tiles, labels)
-    fresh = stash(few_pairs(opened).join(pairs, ["a", "b"], "left_anti"), "join-pairs", narrow=True)
+    twice = tiles_of_two(opened)
+    fresh = stash(few_pairs(opened, SHARED).union(few_pairs(twice)).distinct().join(pairs, ["a", "b"], "left_anti"), "join-pairs", narrow=True)
     more = verified(fresh, found, spec)
-    labels = merge(labels, block_links(opened, found, spec).union(more))
+    labels = merge(labels, block_links(twice, found, spec).union(more))
+    release(twice)
     release(edges, some, pairs, tiles, opened, found, fresh, more)
     tidy(df.sparkSession)
     grouped = nodes.join(labels, "set", "left").select("set", "_rep", F.coalesce("comp", "set").alias("comp"))
@@ -298,27 +304,41 @@ def join(df: DataFrame, spec: Spec | None = None, id_col: str = "doc_id", text_c
 
 
 def open_tiles(tiles: DataFrame, labels: DataFrame) -> DataFrame:
-    """(tile, set, comp, most, others): members of tiles with several components and more than two sets.
+    """``_opened`` members of the tiles that hold several components."""
+    labelled = tiles.join(labels, "set", "left").select("tile", "set", F.coalesce("comp", "set").alias("comp"))
+    return _opened(labelled)
+
+
+def _opened(labelled: DataFrame) -> DataFrame:
+    """(tile, set, comp, most, mine, others, times): members of tiles with several components.
 
-    ``most`` marks members of the tile's largest component; ``others`` counts the rest, ``mine`` the largest. Of tiles
-    with the same members one stays.
+    ``most`` marks members of the tile's largest component; ``others`` counts the rest, ``mine`` the largest. Of
+    tiles with the same members one stays, ``times`` counts them.
     """
-    labelled = tiles.join(labels, "set", "left").select("tile", "set", F.coalesce("comp", "set").alias("comp"))
     who = F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("who")
     sizes = labelled.groupBy("tile", "comp").agg(F.count("*").alias("c"), who)
     largest = F.max(F.struct("c", "comp")).alias("top")
-    several = sizes.groupBy("tile").agg(F.count("*").alias("comps"), F.sum("c").alias("n"), F.sum("who").alias("who"), largest).where("comps > 1 AND n > 2")
-    chosen = several.groupBy("who", "n").agg(F.min(F.struct("tile", "top")).alias("t")).select("t.tile", "t.top", "n")
+    several = sizes.groupBy("tile").agg(F.count("*").alias("comps"), F.sum("c").alias("n"), F.sum("who").alias("who"), largest).where("comps > 1")
+    chosen = several.groupBy("who", "n").agg(F.min(F.struct("tile", "top")).alias("t"), F.count("*").alias("times")).select("t.tile", "t.top", "n", "times")
     rows = labelled.join(chosen, "tile")
-    return stash(rows.select("tile", "set", "comp", (F.col("comp") == F.col("top.comp")).alias("most"), F.col("top.c").alias("mine"), (F.col("n") - F.col("top.c")).alias("others")), "join-open")
+    return stash(rows.select("tile", "set", "comp", (F.col("comp") == F.col("top.comp")).alias("most"), F.col("top.c").alias("mine"), (F.col("n") - F.col("top.c")).alias("others"), "times"), "join-open")
+
+
+def tiles_of_two(opened: DataFrame) -> DataFrame:
+    """``_opened`` members of pairs of open tiles, the first with more than ``FEW`` pairs: linked sets share several tiles, other sets rarely two."""
+    large = opened.where(_crossing() > FEW).select("set", "comp", F.col("tile").alias("t"))
+    other = opened.select("set", F.col("tile").alias("u"), "times", (_crossing() > FEW).alias("large"))
+    both = large.join(other, "set").where("(t != u OR times > 1) AND (NOT large OR t <= u)")
+    return _opened(both.select(F.xxhash64("t", "u").alias("tile"), "set", "comp"))
 
 
-def few_pairs(opened: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of different components of open tiles with ``FEW`` such pairs or less."""
+def few_pairs(opened: DataFrame, least: int = 1) -> DataFrame:
+    """Distinct pairs (a, b) of different components in at least ``least`` of the open tiles with ``FEW`` such pairs or less."""
     few = opened.where(_crossing() <= FEW)
     other = few.select("tile", F.col("set").alias("other"), F.col("comp").alias("other_comp"), F.col("most").alias("other_most"))
     met = few.where("NOT most").join(other, "tile").where("comp != other_comp AND (other_most OR set < other)")
-    return met.select(F.least("set", "other").alias("a"), F.greatest("set", "other").alias("b")).distinct()
+    counted = met.groupBy(F.least("set", "other").alias("a"), F.greatest("set", "other").alias("b")).agg(F.sum("times").alias("times"))
+    return counted.where(F.col("times") >= least).select("a", "b")
 
 
 def _crossing() -> F.Column:
