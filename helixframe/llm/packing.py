@@ -167,6 +167,11 @@ def model_of(path: str) -> MergeBPE:
     return _made[path]
 
 
+def forget() -> None:
+    """A worker that tokenised before needs its tables no more."""
+    _made.clear()
+
+
 def vocabulary(path: str) -> int:
     """Ids of a tokenizers file: one more than the largest."""
     with open(path, encoding="utf-8") as f:
@@ -238,6 +243,7 @@ def document_frequencies(tokens: DataFrame, size: int) -> tuple[int, float, np.n
     kind = id_type(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         seen, n, total = np.zeros(size, np.int64), 0, 0
         for batch in batches:
             for x in batch.column(0):
@@ -399,7 +405,7 @@ def pack(df: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text
     """One row per piece; see the module's head."""
     spark = df.sparkSession
     small_batches(spark)
-    tokens = stash(tokenize(df, path, end_id, id_col, text_col, window), "packing-ids")
+    tokens = stash(tokenize(df, path, end_id, id_col, text_col, window), "packing-ids", codec="zstd")
     size = max(vocabulary(path), end_id + 1)
     kind = id_type(size)
     n, mean, seen = document_frequencies(tokens, size)
@@ -411,6 +417,7 @@ def pack(df: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         own = TaskContext.get().partitionId() + 1 << 36
         parts: list[np.ndarray] = []
         of: list[tuple] = []

@@ -40,10 +40,11 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
-def stash(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
+def stash(df: DataFrame, label: str, narrow: bool = False, codec: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    ``narrow`` is for tables of a few numbers a row: no more files than cores.
+    ``narrow`` is for tables of a few numbers a row: no more files than cores; ``codec`` is the files' compression, the
+    session's if not given.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -52,7 +53,7 @@ def stash(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     schema = df.schema
     if narrow:
         df = df.coalesce(spark.sparkContext.defaultParallelism)
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path, compression=codec)
     out = spark.read.schema(schema).parquet(path)
     out._stashed_at = path
     return out
