@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -131,3 +134,9 @@ def plain_text(html: Column, numeric: bool = True) -> Column:
 
 def thousands(n: Column) -> Column:
     return F.format_number(n, 0)
+
+
+@F.pandas_udf("string")
+def sha3_256(texts: pd.Series) -> pd.Series:
+    """SHA3-256 digest of the UTF-8 bytes as lowercase hex, which Spark has no function for; null for null."""
+    return texts.map(lambda t: None if t is None else hashlib.sha3_256(t.encode()).hexdigest())

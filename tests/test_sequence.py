@@ -147,6 +147,7 @@ def test_added_functions(spark):
     from helixframe.functions import coding as C
 
     assert one(spark, C.plain_text(s), s="<p>a&amp;lt; &#65;&#x2014;&copy;&#; &#99999999;</p>") == "a&lt; A\u2014\u00a9&#; &#99999999;"
+    assert one(spark, C.sha3_256(s), s="abc") == "3a985da74fe225b2045c172d6bd390bd855f086e3e9d525b46bfe24511431532"
     assert one(spark, C.expand_per_code(s), s="RRY") == ["AAC", "AAT", "GGC", "GGT"]
 
 
