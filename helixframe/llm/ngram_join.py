@@ -281,20 +281,8 @@ def join(df: DataFrame, spec: Spec | None = None, id_col: str = "doc_id", text_c
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row")).withColumn("turn", turn).where("turn = 1")
     found = stash(features(texts.join(wanted, ["id", "row"]), spec), "join-features")
     tidy(df.sparkSession)
-    # each set first meets the one it shares most tiles with; of its other pairs only those between components are left
-    first = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
-    edges = verified(first, found, spec)
-    labels = components(edges)
-    rest = between(pairs.select("a", "b"), labels).where("comp_a != comp_b").select("a", "b")
-    some = verified(rest, found, spec)
-    labels = merge(labels, some)
-    opened = open_tiles(tiles, labels)
-    twice = tiles_of_two(opened)
-    fresh = stash(few_pairs(opened, SHARED).union(few_pairs(twice)).distinct().join(pairs, ["a", "b"], "left_anti"), "join-pairs", narrow=True)
-    more = verified(fresh, found, spec)
-    labels = merge(labels, block_links(twice, found, spec).union(more))
-    release(twice)
-    release(edges, some, pairs, tiles, opened, found, fresh, more)
+    labels = linked_sets(tiles, pairs, found, spec)
+    release(pairs, tiles, found)
     tidy(df.sparkSession)
     grouped = nodes.join(labels, "set", "left").select("set", "_rep", F.coalesce("comp", "set").alias("comp"))
     smallest = grouped.groupBy("comp").agg(F.min("_rep.id").alias("component"))
@@ -303,6 +291,38 @@ def join(df: DataFrame, spec: Spec | None = None, id_col: str = "doc_id", text_c
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"), "set")
 
 
+def linked_sets(tiles: DataFrame, pairs: DataFrame, found: DataFrame, spec: Spec) -> DataFrame:
+    """(set, comp) of the sets with links; steps without pairs are left out."""
+    # each set first meets the one it shares most tiles with; of its other pairs only those between components are left
+    edges = verified(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), found, spec)
+    if edges.isEmpty():
+        labels = stash(edges.select(F.col("a").alias("set"), F.col("b").alias("comp")), "labels", narrow=True)
+    else:
+        labels = components(edges)
+    labels = checked(labels, between(pairs.select("a", "b"), labels).where("comp_a != comp_b").select("a", "b"), found, spec)
+    opened = open_tiles(tiles, labels)
+    if not opened.isEmpty():
+        twice = tiles_of_two(opened)
+        fresh = few_pairs(opened, SHARED).union(few_pairs(twice)).distinct().join(pairs, ["a", "b"], "left_anti")
+        labels = checked(labels, fresh, found, spec)
+        if not twice.where(_crossing() > FEW).isEmpty():
+            labels = merge(labels, block_links(twice, found, spec))
+        release(twice)
+    release(edges, opened)
+    return labels
+
+
+def checked(labels: DataFrame, pairs: DataFrame, found: DataFrame, spec: Spec) -> DataFrame:
+    """Labels once those of the pairs (a, b) that link are merged."""
+    named = stash(pairs, "join-pairs", narrow=True)
+    if not named.isEmpty():
+        links = verified(named, found, spec)
+        labels = merge(labels, links)
+        release(links)
+    release(named)
+    return labels
+
+
 def open_tiles(tiles: DataFrame, labels: DataFrame) -> DataFrame:
     """``_opened`` members of the tiles that hold several components."""
     labelled = tiles.join(labels, "set", "left").select("tile", "set", F.coalesce("comp", "set").alias("comp"))
