@@ -4,9 +4,10 @@ A document is the set of hashes of its word shingles; equal sets are one node.
 Sets that link have sizes in the same or adjacent bands, and differ in at most
 d elements, d known per band. Cutting the hash space into d + 1 + E parts leaves
 at least E + 1 parts equal in both, so every linked pair shares a tile (band,
-part, content of the part). Parts that are empty are tiles only for sets with
-more than E + 1 - ``SHARED`` empty parts, so linked sets share ``SHARED`` tiles or
-more. Tiles link their members to the smallest one; of these pairs, first the
+part, content of the part). Parts of one element or none, which unrelated sets
+share easily, are tiles only for sets with more than E + 1 - ``SHARED`` of them,
+empty ones only for sets with more than that many empty ones, so linked sets share
+``SHARED`` tiles or more. Tiles link their members to the smallest one; of these pairs, first the
 one of each set with the most common tiles and then those between different
 components are checked by bitmaps, whose bit counts bound the overlap from
 above, and by intersection of the sorted arrays. In tiles that then hold several
@@ -42,9 +43,9 @@ from helixframe.llm.store import release, small_batches, stash, tidy
 from helixframe.llm.textops import Hasher, chunks, mix, sequence_hash, signed, windows, words
 
 
-#: Tiles with so many pairs of an outside member name them (a pair is tested once, whatever tiles it shares); others go in blocks.
-FEW = 2048
-#: Tiles that linked sets share at least: as many spare parts, and no more empty ones than leave these.
+#: Tiles with so many pairs of components name them (a pair is tested once, whatever tiles it shares); others are keyed by two.
+FEW = 1 << 17
+#: Tiles that linked sets share at least: of the parts equal in both, as many are left when small ones don't count.
 SHARED = 3
 #: Sets that a task remembers to have named tiles for.
 _SEEN = 1 << 20
@@ -75,7 +76,7 @@ class Bands:
             self.low.append(max(self.low[-1] + 1, -(-self.low[-1] * den // num)))
             small = self.low[-1] - 1
             differ = (small + small * den // num) * (den - num) // (den + num)
-            spare = SHARED + differ // 30 if differ else 0
+            spare = SHARED + 2 + differ // 3 if differ else 0
             self.parts.append((differ + 1 + spare, spare))
         own = int(np.searchsorted(self.low, n, "right")) - 1
         return [own, own - 1] if own else [own]
@@ -88,9 +89,11 @@ class Bands:
             k, spare = self.parts[level]
             index = (u >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)
             first = np.flatnonzero(np.concatenate(([True], index[1:] != index[:-1])))
-            sums = np.add.reduceat(content, first)
-            at = index[first]
-            if k - len(first) > max(0, spare + 1 - SHARED):
+            sums, at = np.add.reduceat(content, first), index[first]
+            rich, most = np.diff(np.append(first, len(u))) > 1, max(0, spare + 1 - SHARED)
+            if k - int(rich.sum()) <= most:
+                at, sums = at[rich], sums[rich]
+            elif k - len(first) > most:
                 empty = np.setdiff1d(np.arange(k, dtype=np.uint64), at)
                 at, sums = np.concatenate((at, empty)), np.concatenate((sums, np.zeros(len(empty), np.uint64)))
             out.append(mix(sums + mix(at + np.uint64(level << 32) + np.uint64(1))))
