@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.byte_bpe import ByteBPE
-from helixframe.llm.store import release, small_batches, stash
+from helixframe.llm.store import release, small_batches, stash, tidy
 from helixframe.llm.textops import chunks, mix
 from helixframe.llm.token_store import id_type
 
@@ -231,6 +231,7 @@ def chosen_keys(tokens: DataFrame, n: int) -> DataFrame:
     best = rows.join(counts.where(F.col("n") <= SHARD_DOCS), ["j", "key"]).groupBy("_at").agg(F.min(F.struct("n", "j", "key")).alias("b"))
     out = stash(best.where("b.j > 0").select("_at", "b.key"), "packing-chosen", narrow=True)
     release(counts)
+    tidy(tokens.sparkSession)
     return out
 
 
@@ -409,6 +410,7 @@ def pack(df: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text
     size = max(vocabulary(path), end_id + 1)
     kind = id_type(size)
     n, mean, seen = document_frequencies(tokens, size)
+    tidy(spark)
     held = spark.sparkContext.broadcast(Corpus.of(n, mean, seen))  # vocabulary-bounded
     # joined by broadcast or shuffle as its size demands; rests of one key, copies above all, are dealt by row
     keyed = tokens.join(chosen_keys(tokens, n), "_at", "left").select(id_col, "ids", "_at", F.coalesce("key", F.get("keys", 0), F.lit(0)).alias("key"))
