@@ -136,7 +136,11 @@ def thousands(n: Column) -> Column:
     return F.format_number(n, 0)
 
 
-@F.pandas_udf("string")
-def sha3_256(texts: pd.Series) -> pd.Series:
+def sha3_256(text: Column) -> Column:
     """SHA3-256 digest of the UTF-8 bytes as lowercase hex, which Spark has no function for; null for null."""
-    return texts.map(lambda t: None if t is None else hashlib.sha3_256(t.encode()).hexdigest())
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else hashlib.sha3_256(t.encode()).hexdigest())
+
+    return run(text)
