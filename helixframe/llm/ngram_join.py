@@ -44,7 +44,7 @@ from helixframe.llm.textops import Hasher, chunks, mix, sequence_hash, signed, w
 
 
 #: Tiles with so many pairs of components name them (a pair is tested once, whatever tiles it shares); others are keyed by two.
-FEW = 1 << 17
+FEW = 2048
 #: Tiles that linked sets share at least: of the parts equal in both, as many are left when small ones don't count.
 SHARED = 3
 #: Sets that a task remembers to have named tiles for.
