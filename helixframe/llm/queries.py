@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import byte_bpe, chat_format, exact_dedup, ngram_join, packing, quality_rules, secret_scan, sharding, suffix_dedup, token_store
+from helixframe.llm import byte_bpe, chat_format, exact_dedup, hard_negatives, ngram_join, packing, posting_lists, quality_rules, secret_scan, sharding, suffix_dedup, token_alignment, token_store
 from helixframe.llm.store import documents
+from helixframe.llm.vectors import finite
 
 END_ID = 1
 
@@ -64,6 +65,23 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(finite(F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
+    rows = given.select("vec_id", label.alias("label"), whole.alias("embedding"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0).drop("anchor_row")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = posting_lists.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, k=10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -130,11 +148,27 @@ SELECT conv_id, n_turns, sha256(all_text) AS turns_sha256, length(loss)::BIGINT
     CASE WHEN ordered THEN final ELSE 'error' END AS state, ordered AND final = 'assistant' AS valid FROM c
 """
 
+OP11_SQL = """
+WITH v AS (
+    SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i]))::BIGINT AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+n AS (
+    SELECT p.anchor_id, p.other AS positive_id, s.other AS negative_id, p.score AS positive_score, s.score AS negative_score,
+        row_number() OVER (PARTITION BY p.anchor_id, p.other ORDER BY s.score DESC, s.other) AS rank
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ngram_jaccard, op2_sharding, op3_exact_dedup, op4_quality_rules, op5_chat_format, op6_secret_scan, op7_token_store, op8_byte_bpe, op9_packing, op10_suffix_dedup, pipeline]
+    found = [op1_ngram_jaccard, op2_sharding, op3_exact_dedup, op4_quality_rules, op5_chat_format, op6_secret_scan, op7_token_store, op8_byte_bpe, op9_packing, op10_suffix_dedup, op11_hard_negatives, op12_token_alignment, op13_nearest_neighbours, pipeline]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op4_quality_rules": OP4_SQL, "op5_chat_format": OP5_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op4_quality_rules": OP4_SQL, "op5_chat_format": OP5_SQL, "op11_hard_negatives": OP11_SQL}
