@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.sequence import hamming_hits, iupac_regex, mismatches, masks, reverse_complement, reverse_complement_text
+from helixframe.operators.frames import STARTS, frames
 from helixframe.operators.layout import spread
 
 
@@ -120,9 +121,9 @@ def map_one(text: DataFrame, pattern: str, most: int) -> DataFrame:
 
 
 def extract_intervals(seqs: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Interval sequences, 1-based inclusive; start > end is the reverse complement of the swapped interval."""
-    low, high = F.least("start", "end"), F.greatest("start", "end")
-    piece = F.substring("sequence", low, high - low + 1)
+    """Interval sequences, 1-based inclusive; start > end is the reverse complement of the swapped interval. What lies before the first letter or behind the last is left out."""
+    low, high = F.greatest(F.least("start", "end"), F.lit(1)), F.greatest("start", "end")
+    piece = F.substring("sequence", low, F.greatest(high - low + 1, F.lit(0)))
     joined = seqs.join(intervals, "id")
     return joined.select("id", "start", "end", "annotation", F.when(F.col("start") > F.col("end"), reverse_complement(piece)).otherwise(piece).alias("sequence"))
 
@@ -133,11 +134,6 @@ def introns(exons: DataFrame, transcript: str = "transcript") -> DataFrame:
     return exons.select(transcript, (F.col("end") + 1).alias("start"), (following - 1).alias("end")).where("end IS NOT NULL")
 
 
-def open_reading_frames(df: DataFrame, starts: tuple[str, ...] = ("ATG", "TTG", "CTG", "GTG")) -> DataFrame:
+def open_reading_frames(df: DataFrame, starts: tuple[str, ...] = STARTS) -> DataFrame:
     """(id, strand, start, end) from each start codon to the first stop in its frame, 1-based on the given strand."""
-    both = df.select("id", F.lit("+").alias("strand"), F.col("sequence").alias("s")).union(df.select("id", F.lit("-"), reverse_complement(F.col("sequence"), "acgt")))
-    n = F.length("s")
-    at = both.where("length(s) >= 6").select("id", "strand", "s", F.explode(F.sequence(F.lit(1), n - 2)).alias("start"))
-    at = at.where(F.substring("s", F.col("start"), F.lit(3)).isin(*starts))
-    stops = F.filter(F.sequence(F.col("start"), F.greatest(n - 2, F.col("start")), F.lit(3)), lambda i: F.substring("s", i, F.lit(3)).isin("TAA", "TAG", "TGA"))
-    return at.withColumn("end", F.get(stops, 0) + 2).where("end IS NOT NULL").select("id", "strand", "start", "end")
+    return frames(df, starts).select("id", "strand", "start", "end")

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.coding import circular_end, kmer_similarity, mutual_match, occurs_once, plain
 from helixframe.functions.sequence import bind, hairpin, masks, max_mismatches, melting_temperature, mismatches, reverse_complement
+from helixframe.operators.frames import STARTS, cut_out, frames
 from helixframe.operators.layout import spread
-from helixframe.operators.mapping import open_reading_frames, seed_candidates, seed_size
+from helixframe.operators.mapping import seed_candidates, seed_size
+from helixframe.operators.pieces import record_key
 
 
 def _windows(long: Column, size: Column) -> Column:
@@ -147,21 +149,20 @@ def keep_longer_overlaps(orfs: DataFrame, key: str = "id") -> DataFrame:
     return first.select(*by, pick.alias("p")).select(*by, "p.start", "p.end").distinct()
 
 
-def find_orfs(df: DataFrame, starts: tuple[str, ...] = ("ATG", "TTG", "CTG", "GTG"), longer_only: bool = True) -> DataFrame:
+def find_orfs(df: DataFrame, starts: tuple[str, ...] = STARTS, longer_only: bool = True) -> DataFrame:
     """(id, strand, start, end, n, sequence) of open reading frames on both strands, in forward coordinates (1-based, inclusive).
 
     Frames run from a start codon to the first stop in frame. Those of the reverse strand are mirrored: they end
     where they start there. With ``longer_only`` each frame and the first that overlaps it on its strand give the longer.
+    Records are told by row: repeated rows have their frames each, and ids may be null.
     """
-    texts = df.select("id", F.col("sequence").alias("_s"))
-    found = open_reading_frames(df, starts).join(texts.select("id", F.length("_s").alias("_n")), "id")
     back = F.col("strand") == "-"
-    mirror = lambda c: F.col("_n") - F.col(c) + 1
-    found = found.select("id", "strand", F.when(back, mirror("end")).otherwise(F.col("start")).alias("start"), F.when(back, mirror("start")).otherwise(F.col("end")).alias("end"))
-    kept = keep_longer_overlaps(found) if longer_only else found.distinct()
-    n = F.col("end") - F.col("start") + 1
-    piece = F.substring("_s", F.col("start"), n)
-    return kept.join(texts, "id").select("id", "strand", "start", "end", n.alias("n"), F.when(back, reverse_complement(piece, "acgt")).otherwise(piece).alias("sequence"))
+    mirror = lambda c: F.col("n") - F.col(c) + 1
+    found = frames(df, starts).select("_key", "strand", F.when(back, mirror("end")).otherwise(F.col("start")).alias("start"), F.when(back, mirror("start")).otherwise(F.col("end")).alias("end"))
+    kept = keep_longer_overlaps(found, "_key") if longer_only else found.distinct()
+    records = df.groupBy(record_key("id", "sequence").alias("_key")).agg(F.first("id").alias("id"), F.count("*").alias("times"))
+    cut = cut_out(df, kept).join(records, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return cut.select("id", "strand", "start", "end", (F.col("end") - F.col("start") + 1).alias("n"), "sequence")
 
 
 def cover_dedup(df: DataFrame, group: str, id_col: str = "id", sequence: str = "sequence") -> DataFrame:

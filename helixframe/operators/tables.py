@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def merge_counts(df: DataFrame, samples: list[str], key: str = "key", sample: str = "sample", n: str = "n", order: str | None = None) -> DataFrame:
-    """One row a key, one column a sample; 0 where absent, the last of repeated keys."""
-    value = F.max_by(n, order) if order else F.max(n)
-    wide = df.groupBy(key).pivot(sample, samples).agg(value)
+def merge_counts(df: DataFrame, samples: list[str], key: str = "key", sample: str = "sample", n: str = "n", *, order: str) -> DataFrame:
+    """One row a key, one column a sample; 0 where absent, the last (by ``order``) of keys that a sample repeats."""
+    wide = df.groupBy(key).pivot(sample, samples).agg(F.max_by(n, order))
     return wide.select(key, *[F.coalesce(F.col(f"`{s}`"), F.lit(0)).alias(s) for s in samples])
 
 

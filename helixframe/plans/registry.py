@@ -77,7 +77,7 @@ def reverse_complements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dna(spark, sf_dir, letters=CODED).select("id", S.reverse_complement(s, "acgt").alias("revcomp"), S.reverse_complement(s).alias("revcomp_iupac"))
 
 
-@_register(f"SELECT id, {_RC.format(chr(114) + 'egexp_replace(sequence, ' + chr(39) + '[^ACGT]' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')} AS revcomp FROM ({_dna_sql(letters=CODED)})")
+@_register(f"SELECT id, {_RC.format("regexp_replace(sequence, '[^ACGT]', '', 'g')")} AS revcomp FROM ({_dna_sql(letters=CODED)})")
 def reverse_complement_plain_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dna(spark, sf_dir, letters=CODED).select("id", S.reverse_complement(F.col("sequence"), "acgt", "drop").alias("revcomp"))
 
@@ -207,7 +207,15 @@ def hairpins(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("""SELECT l_partkey AS key, coalesce(sum(1) FILTER (WHERE l_linestatus = 'F'), 0)::BIGINT AS "F", coalesce(sum(1) FILTER (WHERE l_linestatus = 'O'), 0)::BIGINT AS "O" FROM lineitem GROUP BY 1""")
 def merged_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("key"), F.col("l_linestatus").alias("sample")).agg(F.count("*").alias("n"))
-    return tables.merge_counts(long, ["F", "O"])
+    return tables.merge_counts(long, ["F", "O"], order="n")
+
+
+@_register("""SELECT o_custkey AS key, coalesce(max_by(o_totalprice, o_orderkey) FILTER (WHERE o_orderstatus = 'F'), 0) AS "F", coalesce(max_by(o_totalprice, o_orderkey) FILTER (WHERE o_orderstatus = 'O'), 0) AS "O"
+FROM orders GROUP BY 1""")
+def last_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that a sample repeats: the last value stays."""
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderstatus").alias("sample"), F.col("o_totalprice").alias("n"), F.col("o_orderkey").alias("at"))
+    return tables.merge_counts(rows, ["F", "O"], order="at")
 
 
 @_register("""SELECT coalesce(c.k, s.k) AS key, coalesce(c.n, 0) AS customers, coalesce(s.n, 0) AS suppliers

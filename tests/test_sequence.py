@@ -82,7 +82,7 @@ def test_mapping(spark, sizes):
 
 def test_tables(spark):
     df = spark.createDataFrame([("a", "f1", 1), ("a", "f2", 2), ("b", "f2", 3)], "key string, sample string, n int")
-    assert {r.key: (r.f1, r.f2) for r in tables.merge_counts(df, ["f1", "f2"]).collect()} == {"a": (1, 2), "b": (0, 3)}
+    assert {r.key: (r.f1, r.f2) for r in tables.merge_counts(df, ["f1", "f2"], order="n").collect()} == {"a": (1, 2), "b": (0, 3)}
     df = spark.createDataFrame([("AC", 1), ("ACG", 2), ("TT", 5)], "id string, n int")
     assert {(r.id, r.n) for r in tables.merge_related(df).collect()} == {("ACG", 3), ("TT", 5)}
     df = spark.createDataFrame([("A1", 1), ("A12", 2), ("1", 4), ("xA12y", 8), ("B", 16)], "id string, n int")
