@@ -7,21 +7,23 @@ at least E + 1 parts equal in both, so every linked pair shares a tile (band,
 part, content of the part). Parts of one element or none, which unrelated sets
 share easily, are tiles only for sets with more than E + 1 - ``SHARED`` of them,
 empty ones only for sets with more than that many empty ones, so linked sets share
-``SHARED`` tiles or more. Tiles link their members to the smallest one; of these pairs, first the
-one of each set with the most common tiles and then those between different
-components are checked by bitmaps, whose bit counts bound the overlap from
-above, and by intersection of the sorted arrays. In tiles that then hold several
-components, the members outside the tile's largest component meet all others.
-Where these are few pairs, the pairs between components that occur in ``SHARED``
-tiles are named and checked like the first ones. Larger tiles are keyed anew by
-each second open tile of their members, which parts sets that share a passage
-only. Of those that stay large, members of the largest component are placed once
-for each block of others. A block tests pairs between components only, bitmaps
-first, and joins components as it finds links, so no link between components is
-lost and none within one is looked for.
+``SHARED`` tiles or more. Sets in fewer shared tiles are left out. Tiles tie their members to the smallest one;
+of these pairs the one of each set with the most common tiles is checked first by
+bitmaps, whose bit counts bound the overlap from above, and by intersection of the
+sorted arrays. Pairs with ``SHARED`` common tiles make families (their components):
+groups of near copies lie in one each. A family is cut into slices of bounded size,
+and each pair of slices is a cell that tests pairs between components, bitmaps
+first, and joins components as it finds links; so a member is placed once for each
+slice of its family, however many tiles it shares. Tiles that hold several families
+are left: where they have few pairs between families, the pairs that occur in
+``SHARED`` tiles are named and checked like the first ones. Larger tiles are keyed
+anew by each second such tile of their members, which parts sets that share a
+passage only. Of those that stay large, members of the largest family are placed
+once for each block of others. So no link between components is lost and none
+within one is looked for.
 Components come from label propagation with pointer jumping over written tables.
-The work on a tile grows with the square of its members outside its largest
-component: texts that share nearly enough and don't link.
+The bit counts of a family grow with the square of its members, its rows with the
+square over the size of a slice.
 
 Null, empty and white-space texts have the empty set and link with nothing. A
 text with fewer words than a shingle is one shingle. Repeated rows share a
@@ -31,7 +33,7 @@ row's. An empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,6 +49,8 @@ from helixframe.llm.textops import Hasher, chunks, mix, sequence_hash, signed, w
 FEW = 2048
 #: Tiles that linked sets share at least: of the parts equal in both, as many are left when small ones don't count.
 SHARED = 3
+#: Sets and shingles of a slice of a family, about.
+SLICE, SLICE_ITEMS = 1024, 1 << 19
 #: Sets that a task remembers to have named tiles for.
 _SEEN = 1 << 20
 
@@ -271,18 +275,20 @@ def join(df: DataFrame, spec: Spec | None = None, id_col: str = "doc_id", text_c
     small_batches(df.sparkSession)
     members = stash(sets(df, spec, id_col, text_col), "join-sets")
     nodes = members.where(F.col("set").isNotNull() & F.col("id").isNotNull()).groupBy("set").agg(F.min(F.struct("id", "row")).alias("_rep"))
-    least = F.min("set").over(Window.partitionBy("tile"))
-    most = F.max("set").over(Window.partitionBy("tile"))
-    shared = tile_rows(df, spec, text_col).withColumn("least", least).withColumn("most", most).where("least != most")
-    tiles = stash(shared.select("tile", "set", "least").distinct(), "join-tiles")
+    least, most = (f("set").over(Window.partitionBy("tile")) for f in (F.min, F.max))
+    shared = stash(tile_rows(df, spec, text_col).withColumn("least", least).withColumn("most", most).where("least != most").select("tile", "set").distinct(), "join-shared")
     tidy(df.sparkSession)
+    able = shared.groupBy("set").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).select("set")
+    left = shared.join(able, "set").withColumn("least", least).withColumn("most", most).where("least != most")
+    tiles = stash(left.select("tile", "set", "least"), "join-tiles")
+    release(shared)
     shared_tiles = tiles.where("set != least").groupBy(F.col("least").alias("a"), F.col("set").alias("b")).agg(F.count("*").alias("n"))
     pairs = stash(shared_tiles, "join-pairs", narrow=True)
     named = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
     wanted = nodes.join(named, "set").select("set", "_rep.id", "_rep.row")
-    turn = F.row_number().over(Window.partitionBy("id", "row").orderBy("id"))  # one of repeated rows
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row")).withColumn("turn", turn).where("turn = 1")
-    found = stash(features(texts.join(wanted, ["id", "row"]), spec), "join-features")
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row")).join(wanted, ["id", "row"])
+    turn = F.row_number().over(Window.partitionBy("set").orderBy("id"))  # one of repeated rows
+    found = stash(features(texts.withColumn("turn", turn).where("turn = 1"), spec), "join-features")
     tidy(df.sparkSession)
     labels = linked_sets(tiles, pairs, found, spec)
     release(pairs, tiles, found)
@@ -296,25 +302,49 @@ def join(df: DataFrame, spec: Spec | None = None, id_col: str = "doc_id", text_c
 
 def linked_sets(tiles: DataFrame, pairs: DataFrame, found: DataFrame, spec: Spec) -> DataFrame:
     """(set, comp) of the sets with links; steps without pairs are left out."""
-    # each set first meets the one it shares most tiles with; of its other pairs only those between components are left
+    # each set first meets the one it shares most tiles with
     edges = verified(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), found, spec)
-    if edges.isEmpty():
-        labels = stash(edges.select(F.col("a").alias("set"), F.col("b").alias("comp")), "labels", narrow=True)
-    else:
-        labels = components(edges)
-    labels = checked(labels, between(pairs.select("a", "b"), labels).where("comp_a != comp_b").select("a", "b"), found, spec)
-    opened = open_tiles(tiles, labels)
+    labels, families = labels_of(edges), labels_of(pairs.where(F.col("n") >= SHARED).select("a", "b"))
+    links = family_links(families, labels, found, spec)
+    if not links.isEmpty():
+        labels = merge(labels, links)
+    release(links)
+    # linked sets of different families share tiles that hold both
+    opened = open_tiles(tiles, families)
     if not opened.isEmpty():
         twice = tiles_of_two(opened)
-        fresh = few_pairs(opened, SHARED).union(few_pairs(twice)).distinct().join(pairs, ["a", "b"], "left_anti")
+        fresh = few_pairs(opened, SHARED).union(few_pairs(twice)).distinct().join(pairs.where(F.col("n") >= SHARED), ["a", "b"], "left_anti")
         labels = checked(labels, fresh, found, spec)
         if not twice.where(_crossing() > FEW).isEmpty():
             labels = merge(labels, block_links(twice, found, spec))
         release(twice)
-    release(edges, opened)
+    release(edges, opened, families)
     return labels
 
 
+def labels_of(edges: DataFrame) -> DataFrame:
+    """``components`` of edges that may be none."""
+    return stash(edges.select(F.col("a").alias("set"), F.col("b").alias("comp")), "labels", narrow=True) if edges.isEmpty() else components(edges)
+
+
+def family_links(families: DataFrame, labels: DataFrame, found: DataFrame, spec: Spec) -> DataFrame:
+    """Pairs (a, b) of components of one family with a link between them, from cells of two of its slices (or one with itself)."""
+    told = families.select("set", F.col("comp").alias("family")).join(labels, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
+    told = told.join(found.select("set", "size"), "set")
+    several = told.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("items"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least != most")
+    slices = F.greatest(F.ceil(F.col("n") / SLICE), F.ceil(F.col("items") / SLICE_ITEMS)).cast("int")
+    placed = told.drop("size").join(several.select("family", slices.alias("g")), "family").withColumn("own", F.pmod(F.xxhash64("set"), F.col("g")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("x"), F.greatest(o, F.col("own")).alias("y")))
+    placed = placed.select("family", "set", "comp", "own", F.explode(cells).alias("m")).select("family", "set", "comp", "own", "m.x", "m.y")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        own = table.column("own").to_numpy()
+        x, y, place = key[1].as_py(), key[2].as_py(), np.arange(len(own))
+        return _links_within(table, spec, np.flatnonzero(own == x).tolist(), lambda i: place > i if x == y else own == y)
+
+    return stash(placed.join(found, "set").groupBy("family", "x", "y").applyInArrow(run, "a long, b long"), "join-family-links", narrow=True)
+
+
 def checked(labels: DataFrame, pairs: DataFrame, found: DataFrame, spec: Spec) -> DataFrame:
     """Labels once those of the pairs (a, b) that link are merged."""
     named = stash(pairs, "join-pairs", narrow=True)
@@ -388,33 +418,37 @@ def block_links(opened: DataFrame, found: DataFrame, spec: Spec) -> DataFrame:
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         own, most = table.column("own").to_numpy(), table.column("most").to_numpy()
-        names, label = np.unique(table.column("comp").to_numpy(), return_inverse=True)
-        size = table.column("size").to_numpy().astype(np.int64)
-        maps = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bitmap")]
-        items = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("items")]
-        width = min(map(len, maps))
-        folded = np.stack([_fold(m, width) for m in maps])
-        x, first = key[1].as_py(), key[2].as_py() == 0
-        place = np.arange(len(own))
-        a, b = [], []
-        for i in np.flatnonzero(~most & (own == x)).tolist():
-            # members of one slice meet each other in its first block only
-            meets = (label != label[i]) & (most | (own != x) | (first & (place > i)))
-            j = np.flatnonzero(meets & (size[i] * spec.num <= size * spec.den) & (size * spec.num <= size[i] * spec.den))
-            if not len(j):
-                continue
-            bound = np.minimum(size[i] - np.bitwise_count(folded[i] & ~folded[j]).sum(1, dtype=np.int64), size[j] - np.bitwise_count(folded[j] & ~folded[i]).sum(1, dtype=np.int64))
-            j = j[spec.den * bound >= spec.num * (size[i] + size[j] - bound)]
-            for k in j.tolist():
-                if label[k] != label[i] and linked(items[i], items[k], spec):
-                    a.append(names[min(label[i], label[k])])
-                    b.append(names[max(label[i], label[k])])
-                    label[label == label[k]] = label[i]
-        return pa.table({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+        x, first, place = key[1].as_py(), key[2].as_py() == 0, np.arange(len(own))
+        # members of one slice meet each other in its first block only
+        return _links_within(table, spec, np.flatnonzero(~most & (own == x)).tolist(), lambda i: most | (own != x) | (first & (place > i)))
 
     return ready.groupBy("tile", "x", "y").applyInArrow(run, "a long, b long")
 
 
+def _links_within(table: pa.Table, spec: Spec, rows: list[int], meets: Callable[[int], np.ndarray]) -> pa.Table:
+    """Pairs (a, b) of components of a cell (comp, size, bitmap, items) with a link between one of ``rows`` and one that it ``meets``."""
+    names, label = np.unique(table.column("comp").to_numpy(), return_inverse=True)
+    size = table.column("size").to_numpy().astype(np.int64)
+    maps = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bitmap")]
+    items = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("items")]
+    width = min(map(len, maps))
+    folded = np.stack([_fold(m, width) for m in maps]).view(np.uint64)
+    a, b = [], []
+    for i in rows:
+        j = np.flatnonzero(meets(i) & (label != label[i]) & (size[i] * spec.num <= size * spec.den) & (size * spec.num <= size[i] * spec.den))
+        if not len(j):
+            continue
+        both = np.bitwise_count(folded[i] & folded[j]).sum(1, dtype=np.int64)
+        own, other = int(np.bitwise_count(folded[i]).sum()), np.bitwise_count(folded[j]).sum(1, dtype=np.int64)
+        bound = np.minimum(size[i] - own + both, size[j] - other + both)
+        for k in j[spec.den * bound >= spec.num * (size[i] + size[j] - bound)].tolist():
+            if label[k] != label[i] and linked(items[i], items[k], spec):
+                a.append(names[min(label[i], label[k])])
+                b.append(names[max(label[i], label[k])])
+                label[label == label[k]] = label[i]
+    return pa.table({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+
 def _fold(bits: np.ndarray, width: int) -> np.ndarray:
     while len(bits) > width:
         bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]

@@ -92,6 +92,7 @@ def jaccard_classes(texts, size, num, den):
 def test_ngram_join(docs, none, size, num, den, few, monkeypatch):
     spec = ngram_join.Spec(size=size, num=num, den=den, block=4)
     monkeypatch.setattr(ngram_join, "FEW", few)
+    monkeypatch.setattr(ngram_join, "SLICE", 1024 if few else 3)
     got = rows(ngram_join.join(docs, spec))
     sizes, comps = jaccard_classes(TEXTS, size, num, den)
     assert [got[k]["n_shingles"] for k in range(len(TEXTS))] == sizes
@@ -104,6 +105,7 @@ def test_ngram_join(docs, none, size, num, den, few, monkeypatch):
 def test_ngram_join_chains(spark, few, monkeypatch):
     """Neighbours link, ends don't: members of a tile meet only through the cross pairs."""
     monkeypatch.setattr(ngram_join, "FEW", few)
+    monkeypatch.setattr(ngram_join, "SLICE", 4 if few else 1024)
     w = [f"w{k}" for k in range(40)]
     texts = [" ".join(w[:k] + [f"z{k}"] + w[k + 1 :]) for k in range(30)] + [" ".join(w)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
