@@ -50,6 +50,8 @@ COPIES, EDGE = 3, 1.05
 RATIO, LEAST = 1.2, 4
 PART_ROWS, QUERY_ROWS = 2048, 512
 _NEAR, _FAR, _BEAM = 16, 4, 32
+#: Rows that a task holds of its queries before it passes them on.
+_HELD = 1 << 17
 
 
 def halved(points: np.ndarray, parts: int) -> list[np.ndarray]:
@@ -292,6 +294,18 @@ def nearest_rows(q: np.ndarray, own: np.ndarray, c: np.ndarray, ids: np.ndarray,
     return tuple(np.concatenate([x[j] for x in out]) for j in range(4))
 
 
+def first_of_each(found: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    """The ``k`` nearest, once each, of every query among (query's row, its id, row, id, distance)."""
+    query, q_id, row, ids, score = (np.concatenate([x[j] for x in found]) for j in range(5))
+    order = np.lexsort((row, ids, score, query))
+    query, row = query[order], row[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (query[1:] != query[:-1]) | (row[1:] != row[:-1])
+    order, query = order[fresh], query[fresh]
+    keep = order[np.arange(len(query)) - np.searchsorted(query, query) < k]
+    return tuple(np.concatenate([x[j] for x in found])[keep] for j in range(5))
+
+
 def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, id, score, query_row of the ``k`` nearest rows found to each of ``queries`` (id, _row, vector), but for the row itself."""
     width, kind = index.width, index.kind
@@ -303,12 +317,28 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     met = index.parts.join(blocks, ["list", "salt"]).select("ids", "rows", "vectors", "q_ids", "q_rows", "q_vectors")
 
     def run(batches):
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], ["query_row", "query_id", "row", "id", "score"])
+
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, rows, q_ids, q_rows = (array_of(batch.column(j), i, "<i8") for j in (0, 1, 3, 4))
                 c, q = (array_of(batch.column(j), i, kind).reshape(-1, width).astype(np.float64) for j in (2, 5))
                 at, score, found, row = nearest_rows(q, q_rows, c, ids, rows, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_rows[at]), pa.array(q_ids[at]), pa.array(row), pa.array(found), pa.array(score)], ["query_row", "query_id", "row", "id", "score"])
+                held.append((q_rows[at], q_ids[at], row, found, score))
+                size += len(at)
+                if size >= 2 * _HELD:
+                    held[:] = [first_of_each(held, k)]
+                    size = len(held[0][0])
+                    if size >= _HELD:
+                        yield out()
+                        size = 0
+        if size:
+            held[:] = [first_of_each(held, k)]
+            yield out()
 
     hits = met.mapInArrow(run, "query_row long, query_id long, row long, id long, score double")
     once = hits.groupBy("query_row", "query_id", "row", "id").agg(F.min("score").alias("score"))  # a row may lie in several lists

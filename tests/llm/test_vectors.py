@@ -104,11 +104,13 @@ def answers(df):
     return {q: sorted(found.values()) for q, found in out.items()}
 
 
-def test_neighbours_where_all_lists_are_read(spark, monkeypatch):
+@pytest.mark.parametrize("held", [20, 1 << 17])
+def test_neighbours_where_all_lists_are_read(spark, monkeypatch, held):
     monkeypatch.setattr(posting_lists, "LIST_ROWS", 20)
     monkeypatch.setattr(posting_lists, "PART_ROWS", 8)
     monkeypatch.setattr(posting_lists, "QUERY_ROWS", 3)
     monkeypatch.setattr(posting_lists, "RATIO", 1e9)
+    monkeypatch.setattr(posting_lists, "_HELD", held)
     rows = table(4, 300, 5) + [(1000, [float("nan")] * 5, 1), (1100, [float("inf")] + [1.0] * 4, 1)]
     found = answers(posting_lists.neighbours(frame(spark, rows), F.col("vec_id") % 10 == 0, 7))
     want = nearest(rows, 10, 7)
