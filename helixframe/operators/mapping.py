@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.sequence import hamming_hits, iupac_regex, mismatches, masks, reverse_complement, reverse_complement_text
+from helixframe.functions.sequence import hamming_hits, iupac_regex, reverse_complement, reverse_complement_text
 from helixframe.operators.frames import STARTS, frames
 from helixframe.operators.layout import spread
+from helixframe.operators.pieces import record_key
+from helixframe.operators.seeds import fitting, rows_of
 
 
 def primer_pair(s: Column, forward: str, reverse: str) -> Column:
@@ -43,29 +45,6 @@ def seed_size(piece: Column) -> Column:
     return out
 
 
-def windows(text: Column, size: int) -> Column:
-    """All strings of ``size`` letters, by start; none if the text is shorter."""
-    last = F.length(text) - size + 1
-    return F.transform(F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>")), lambda i: F.substring(text, i, F.lit(size)))
-
-
-def seed_candidates(shorts: DataFrame, longs: DataFrame, circular: bool = False) -> DataFrame:
-    """Distinct (s_key, l_key) of texts that share a seed.
-
-    ``shorts``: s_key, s, most, and the seed's size; ``longs``: l_key, l. Of
-    most + 1 pieces of a text one is free of mismatches, so every pair within
-    ``most`` shares the first letters of that piece. A circular text is read
-    around its end.
-    """
-    sizes = [r[0] for r in shorts.select("size").distinct().collect()]  # at most one for each of SEEDS
-    piece = F.floor(F.length("s") / (F.col("most") + 1)).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), F.col("most")), lambda i: F.substring("s", i * piece + 1, F.col("size")))
-    seeds = shorts.select("s_key", F.explode(F.array_distinct(cut)).alias("seed"))
-    around = lambda k: F.concat("l", F.substring("l", 1, k - 1)) if circular else F.col("l")
-    found = longs.select("l_key", F.explode(F.array_distinct(F.flatten(F.array(*[windows(around(k), k) for k in sizes or SEEDS[:1]])))).alias("seed"))
-    return seeds.join(found, "seed").select("s_key", "l_key").distinct()
-
-
 def map_queries(queries: DataFrame, references: DataFrame, most: int, strands: bool = True) -> DataFrame:
     """(query_id, ref_id, strand, start, end, mismatch) of queries within ``most`` mismatches; codes match where their base sets meet.
 
@@ -73,17 +52,18 @@ def map_queries(queries: DataFrame, references: DataFrame, most: int, strands: b
     whose pieces hold eight letters or more join on one piece; shorter ones join on two, with the distance between
     them, so that a seed is twice as long. A window carries the letters around a seed, no more than twice the longest seeded query, never its
     whole reference. A place counts by the first of its pieces that match, so none is found twice and rows that
-    repeat keep their number. Ambiguous texts, and queries with pieces of one letter, are searched pair by pair.
+    repeat keep their number. Ambiguous texts, and queries with pieces of one letter, meet through the seeds of ``seeds``.
     """
-    q = queries.select(F.col("id").alias("query_id"), F.upper("sequence").alias("q"), F.lit("+").alias("strand"))
+    key = record_key("id", "sequence")
+    q = queries.select(F.col("id").alias("query_id"), F.upper("sequence").alias("q"), F.lit("+").alias("strand"), key.alias("s_key"))
     if strands:
-        q = q.union(queries.select("id", reverse_complement(F.upper("sequence")), F.lit("-")))
+        q = q.union(queries.select("id", reverse_complement(F.upper("sequence")), F.lit("-"), key))
     plain = lambda c: F.coalesce(~F.col(c).rlike("[^ACGT]"), F.lit(False))
     n = F.length("q")
     one, two = F.floor(n / (most + 1)).cast("int"), F.floor(n / (most + 2)).cast("int")
     q = q.where("length(q) > 0").withColumn("pieces", F.when(plain("q") & (one >= 8), 1).when(plain("q") & (two >= 2), 2))
     q = q.withColumn("step", F.when(F.col("pieces") == 1, one).when(F.col("pieces") == 2, two)).withColumn("size", F.when(F.col("pieces") == 1, seed_size(one)).otherwise(F.col("step")))
-    r = spread(references.select(F.col("id").alias("ref_id"), F.upper("sequence").alias("r")))
+    r = spread(references.select(F.col("id").alias("ref_id"), F.upper("sequence").alias("r"), key.alias("l_key")))
 
     held = q.where("pieces IS NOT NULL").groupBy("pieces", "size").agg(F.max(n).alias("n")).collect()  # three sizes of one piece, six of two
     reach = max((x["n"] for x in held), default=1)
@@ -110,9 +90,14 @@ def map_queries(queries: DataFrame, references: DataFrame, most: int, strands: b
     found = found.withColumn("mismatch", differ).where(F.col("mismatch") <= most)
     found = found.select("query_id", "ref_id", "strand", "start", (start + n - 1).alias("end"), "mismatch")
 
-    rest = q.join(r, (F.col("pieces").isNull() | ~plain("r")) & (n <= F.length("r")))
-    rest = rest.withColumn("start", F.explode(hamming_hits(F.col("r"), F.col("q"), most))).withColumn("mismatch", mismatches(masks(F.substring("r", start, n)), masks(F.col("q"))))
-    return found.unionByName(rest.select("query_id", "ref_id", "strand", "start", (start + n - 1).alias("end"), "mismatch"))
+    def coded(some: DataFrame, texts: DataFrame) -> DataFrame:
+        short = some.select("s_key", F.col("strand").alias("form"), F.col("q").alias("s"), F.lit(most).alias("most"))
+        places = fitting(short, texts.select("l_key", F.col("r").alias("l")), F.col("n") <= F.col("m"))
+        ids = [rows_of(df, k).select(k, F.col("id").alias(name), F.col("times").alias(k[0])) for df, k, name in ((queries, "s_key", "query_id"), (references, "l_key", "ref_id"))]
+        rows = places.join(ids[0], "s_key").join(ids[1], "l_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("s") * F.col("l"))))
+        return rows.select("query_id", "ref_id", F.col("form").alias("strand"), "start", (F.col("start") + F.col("n") - 1).alias("end"), "mismatch")
+
+    return found.unionByName(coded(q.where("pieces IS NULL"), r)).unionByName(coded(q.where("pieces IS NOT NULL"), r.where(~plain("r"))))
 
 
 def map_one(text: DataFrame, pattern: str, most: int) -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.coding import circular_end, kmer_similarity, mutual_match, occurs_once, plain
-from helixframe.functions.sequence import bind, hairpin, masks, max_mismatches, melting_temperature, mismatches, reverse_complement
+from helixframe.functions.coding import circular_end, kmer_similarity, mutual_match, occurs_once
+from helixframe.functions.sequence import hairpin, max_mismatches, melting_temperature, reverse_complement
 from helixframe.operators.frames import STARTS, cut_out, frames
 from helixframe.operators.layout import spread
-from helixframe.operators.mapping import seed_candidates, seed_size
 from helixframe.operators.pieces import record_key
+from helixframe.operators.seeds import fitting, rows_of
 
 
 def _windows(long: Column, size: Column) -> Column:
@@ -20,67 +22,47 @@ def _windows(long: Column, size: Column) -> Column:
     return F.when((size > 0) & (last >= 1), F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
 
 
-def _within(short: DataFrame, long: DataFrame, similarity: float, circular: bool, coverage: float, nucleotide: bool, equal: bool) -> DataFrame:
-    """(s_id, s, l_id, l) of pairs that may lie within the mismatches, the first no longer than the second (shorter, unless ``equal``).
+def _sides(shorts: DataFrame, longs: DataFrame, most: Callable[[Column], Column], strands: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What ``seeds.fitting`` takes, and (key, id, times) of the rows of both sides."""
+    text = F.col("sequence")
+    forms = [(F.lit("+"), text), (F.lit("-"), reverse_complement(text))] if strands else [(F.lit("."), text)]
+    key = record_key("id", "sequence")
+    short = shorts.select(key.alias("s_key"), F.explode(F.array(*[F.struct(f.alias("form"), s.alias("s")) for f, s in forms])).alias("f"))
+    short = short.select("s_key", "f.form", "f.s", most(F.length("f.s")).alias("most"))
+    return short, longs.select(key.alias("l_key"), text.alias("l")), rows_of(shorts, "s_key").select("s_key", F.col("id").alias("s_id"), F.col("times").alias("s_times")), rows_of(longs, "l_key").select("l_key", F.col("id").alias("l_id"), F.col("times").alias("l_times"))
 
-    Pairs of plain texts meet through shared seeds; a pair with an ambiguous text,
-    or with pieces shorter than a seed, meets in a nested loop. Rows are told by
-    id and digest, so rows that repeat keep their number.
-    """
-    letters = (lambda c: F.coalesce(plain(F.col(c)), F.lit(False))) if nucleotide else (lambda c: F.lit(True))
-    n = F.length("s")
-    fits = (n <= F.length("l") if equal else n < F.length("l")) & (n / F.length("l") >= coverage) & (n > 0)
-    key = lambda i, t: F.struct(F.col(i).alias("id"), F.xxhash64(t).alias("h"), F.length(t).alias("n"))
-    bound = max_mismatches(n, similarity)
-    a = short.select(F.col("id").alias("s_id"), F.col("sequence").alias("s")).where("length(s) > 0")
-    a = a.withColumn("s_key", key("s_id", "s")).withColumn("most", bound).withColumn("size", F.when(letters("s"), seed_size(F.floor(n / (bound + 1)))))
-    b = long.select(F.col("id").alias("l_id"), F.col("sequence").alias("l")).where("length(l) > 0").withColumn("l_key", key("l_id", "l")).withColumn("seeded", letters("l"))
-    quick, whole = a.where("size IS NOT NULL"), b.where("seeded")
-    forms = quick.select("s_key", "s", "most", "size")
-    if nucleotide:
-        forms = forms.union(quick.select("s_key", reverse_complement(F.col("s")), "most", "size"))
-    # row keys may hold a null id, which a plain equality would lose
-    near = seed_candidates(forms, whole.select("l_key", "l"), circular).select(F.col("s_key").alias("_s"), F.col("l_key").alias("_l"))
-    near = near.join(quick, F.col("_s").eqNullSafe(F.col("s_key"))).join(whole, F.col("_l").eqNullSafe(F.col("l_key"))).where(fits)
-    columns = ["s_id", "s", "l_id", "l"]
-    loop = a.join(b, (F.col("size").isNull() | ~F.col("seeded")) & fits)
-    return near.select(columns).unionByName(loop.select(columns))
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """Each row for every copy of its two texts."""
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("s_times") * F.col("l_times")))).drop("_copy")
 
 
 def map_pairs(queries: DataFrame, references: DataFrame, similarity: float = 0.85, coverage: float = 0.0, nucleotide: bool = True, circular: bool = False) -> DataFrame:
     """(short_id, long_id, start, end, mismatch, similarity, coverage, strand), ambiguity codes on either side.
 
     The shorter text of a pair is searched in the longer one (the query in the
-    reference if they tie), for pairs within the coverage. Pairs meet as in
-    ``_within``, and each is searched inside one expression. Reverse-strand places
-    count where the forward strand has none in the pair, and where they are
-    strictly better than every forward place. Null and empty texts match nothing.
+    reference if they tie), for pairs within the coverage. Texts meet through
+    seeds, see ``seeds``, and are compared at the places that these name.
+    Reverse-strand places count where the forward strand has none in the pair, and where they are
+    strictly better than every forward place. Null and empty texts match nothing; rows that repeat keep their number.
     """
     if circular and not nucleotide:
         raise ValueError("only nucleotide references are circular")
-    pairs = _within(queries, references, similarity, circular, coverage, nucleotide, True).union(_within(references, queries, similarity, circular, coverage, nucleotide, False))
-    pairs = pairs.select(F.col("s_id").alias("short_id"), F.col("l_id").alias("long_id"), "s", "l")
-    n, m = F.length("s"), F.length("l")
-    most = max_mismatches(n, similarity)
-    text = F.concat("l", F.substring("l", F.lit(1), n - 1)) if circular else F.col("l")
-    strands = (("+", F.col("s")), ("-", reverse_complement(F.col("s")))) if nucleotide else ((".", F.col("s")),)
-
-    def places(strand: str, short: Column) -> Column:
-        letters = masks if nucleotide else lambda c: F.split(c, "")
-        both = F.struct(letters(text).alias("t"), letters(short).alias("s"))
-        differ = mismatches if nucleotide else lambda x, y: F.size(F.filter(F.zip_with(x, y, lambda u, v: u != v), lambda z: z))
-        one = lambda v, i: F.struct(i.alias("start"), differ(F.slice(v["t"], i, n), v["s"]).cast("int").alias("mismatch"), F.lit(strand).alias("strand"))
-        return bind(both, lambda v: F.filter(F.transform(_windows(text, n), lambda i: one(v, i)), lambda p: p.mismatch <= most))
-
-    found = pairs.withColumn("_f", places(*strands[0]))
-    if nucleotide:
-        best = F.array_min(F.transform("_f", lambda p: p.mismatch))
-        found = found.withColumn("_b", F.filter(places(*strands[1]), lambda p: best.isNull() | (p.mismatch < best))).withColumn("_f", F.concat("_f", "_b"))
-    rows = found.select("short_id", "long_id", n.alias("n"), m.alias("m"), F.explode("_f").alias("p")).where("p.start <= m")
-    end = F.col("p.start") + F.col("n") - 1
+    covered = F.col("n") / F.col("m") >= coverage
+
+    def one_way(a: DataFrame, b: DataFrame, keep: Column) -> DataFrame:
+        short, long, s_rows, l_rows = _sides(a, b, lambda n: max_mismatches(n, similarity), nucleotide)
+        found = fitting(short, long, keep & covered, nucleotide, circular)
+        if nucleotide:
+            best = F.min(F.when(F.col("form") == "+", F.col("mismatch"))).over(Window.partitionBy("s_key", "l_key"))
+            found = found.withColumn("best", best).where("form = '+' OR best IS NULL OR mismatch < best")
+        return _repeated(found.select("s_key", "l_key", "n", "m", "start", "mismatch", "form").join(s_rows, "s_key").join(l_rows, "l_key"))
+
+    rows = one_way(queries, references, F.col("n") <= F.col("m")).unionByName(one_way(references, queries, F.col("n") < F.col("m")))
+    end = F.col("start") + F.col("n") - 1
     return rows.select(
-        "short_id", "long_id", "p.start", (circular_end(end, F.col("m")) if circular else end).alias("end"), "p.mismatch",
-        ((F.col("n") - F.col("p.mismatch")) / F.col("n")).alias("similarity"), (F.col("n") / F.col("m")).alias("coverage"), "p.strand",
+        F.col("s_id").alias("short_id"), F.col("l_id").alias("long_id"), "start", (circular_end(end, F.col("m")) if circular else end).alias("end"), "mismatch",
+        ((F.col("n") - F.col("mismatch")) / F.col("n")).alias("similarity"), (F.col("n") / F.col("m")).alias("coverage"), F.col("form").alias("strand"),
     )
 
 
@@ -96,12 +78,11 @@ def map_windows(df: DataFrame, long: str, short: str, similarity: float = 0.0, c
 
 
 def mutual_windows(queries: DataFrame, references: DataFrame) -> DataFrame:
-    """(query_id, ref_id, start, end) where query and window match by ``mutual_match``; pairs meet as in ``_within`` without mismatches."""
-    pairs = _within(queries, references, 1.0, False, 0.0, True, True).select(F.col("s_id").alias("query_id"), F.col("l_id").alias("ref_id"), F.col("s").alias("q"), F.col("l").alias("r"))
-    n = F.length("q")
-    rows = pairs.select("query_id", "ref_id", "q", "r", F.explode(_windows(F.col("r"), n)).alias("start"))
-    hits = rows.where(mutual_match(F.col("q"), F.substring("r", F.col("start"), n)))
-    return hits.select("query_id", "ref_id", "start", (F.col("start") + n - 1).alias("end"))
+    """(query_id, ref_id, start, end) where query and window match by ``mutual_match``; texts meet through seeds, see ``seeds``."""
+    short, long, s_rows, l_rows = _sides(queries, references, lambda n: F.lit(0), False)
+    hits = fitting(short, long, F.col("n") <= F.col("m"), accept=mutual_match)
+    rows = _repeated(hits.select("s_key", "l_key", "n", "start").join(s_rows, "s_key").join(l_rows, "l_key"))
+    return rows.select(F.col("s_id").alias("query_id"), F.col("l_id").alias("ref_id"), "start", (F.col("start") + F.col("n") - 1).alias("end"))
 
 
 def flanking_primers(df: DataFrame, target_start: int, target_end: int, size: int = 20, low: float = 50.0, high: float = 60.0) -> DataFrame:

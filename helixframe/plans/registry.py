@@ -342,6 +342,36 @@ def mapped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.col(c).cast("long") for c in ("start", "end", "mismatch")})
 
 
+_SETS = "MAP {" + ", ".join(f"'{c}': '{b}'" for c, b in S.IUPAC.items()) + "}"
+#: Few letters of a reference are codes, more of a query.
+_SPARSE, _HALF = "ACGTACGTACGTACGN", "ACGTACGTACGRYSWN"
+_APART = "len(list_filter(range(1, {n}), lambda k: NOT list_has_any(string_split(({sets})[substr(q, k::INT, 1)], ''), string_split(({sets})[substr(s, k::INT, 1)], ''))))"
+
+
+@_register(f"""WITH q AS (SELECT s_suppkey AS id, translate(substr(md5(s_suppkey::VARCHAR), 1, 14), '{HEX}', '{_HALF}') AS q FROM supplier),
+b AS (SELECT id, q, '+' AS strand FROM q UNION ALL SELECT id, {_RC_ALL.format('q')}, '-' FROM q), r AS ({_dna_sql(letters=_SPARSE)}),
+w AS (SELECT b.id AS short_id, r.id AS long_id, strand, i AS start, q, substr(sequence, i::INT, 14) AS s FROM b, r, range(1, 20) x(i)),
+m AS (SELECT short_id, long_id, strand, start, {_APART.format(n=15, sets=_SETS)} AS mismatch FROM w),
+k AS (SELECT *, min(mismatch) FILTER (WHERE strand = '+') OVER (PARTITION BY short_id, long_id) AS best FROM m WHERE mismatch <= 14 - round_even(0.85 * 14, 0))
+SELECT short_id, long_id, start, mismatch::BIGINT AS mismatch, strand FROM k WHERE strand = '+' OR best IS NULL OR mismatch < best""")
+def coded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes in queries and references, which both grow."""
+    digest = F.substring(F.md5(F.col("s_suppkey").cast("string")), 1, 14)
+    queries = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.translate(digest, HEX, _HALF).alias("sequence"))
+    out = search.map_pairs(queries, _dna(spark, sf_dir, letters=_SPARSE), 0.85)
+    return out.select("short_id", "long_id", F.col("start").cast("long").alias("start"), F.col("mismatch").cast("long").alias("mismatch"), "strand")
+
+
+@_register(f"""WITH w AS (SELECT q.id AS query_id, r.id AS ref_id, i AS start, q, substr(sequence, i::INT, 10) AS s
+FROM (SELECT s_suppkey AS id, translate(substr(md5(s_suppkey::VARCHAR), 1, 10), '{HEX}', '{_HALF}') AS q FROM supplier) q, ({_dna_sql(letters=_SPARSE)}) r, range(1, 24) x(i))
+SELECT query_id, ref_id, start FROM w WHERE q = s OR len(list_filter(range(1, 11), lambda k: NOT contains(({_SETS})[substr(q, k::INT, 1)], substr(s, k::INT, 1)) OR NOT contains('ACGT', substr(s, k::INT, 1)))) = 0
+OR len(list_filter(range(1, 11), lambda k: NOT contains(({_SETS})[substr(s, k::INT, 1)], substr(q, k::INT, 1)) OR NOT contains('ACGT', substr(q, k::INT, 1)))) = 0""")
+def coded_mutual_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.substring(F.md5(F.col("s_suppkey").cast("string")), 1, 10)
+    queries = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.translate(digest, HEX, _HALF).alias("sequence"))
+    return search.mutual_windows(queries, _dna(spark, sf_dir, letters=_SPARSE)).select("query_id", "ref_id", F.col("start").cast("long").alias("start"))
+
+
 @_register(f"""WITH d AS ({_dna_sql()}), w AS (SELECT id, sequence, i AS start, substr(sequence, i::INT, 8) AS primer FROM d, range(1, 26) x(i) WHERE i + 7 < 12 OR i > 20),
 t AS (SELECT *, 1000.0 * list_sum(list_transform(k, lambda p: coalesce(({_NN})[p][1], 0)))::DOUBLE / (list_sum(list_transform(k, lambda p: coalesce(({_NN})[p][2], 0)))::DOUBLE - 10.8 + 1.99 * ln(0.5e-6 / 4))
 - 273.15 + 16.6 * log10(0.05::DOUBLE) AS tm FROM (SELECT *, {_KMERS.format(s='primer', k=2)} AS k FROM w))
@@ -423,7 +453,6 @@ def trace_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "embeddings").select("vec_id", flatfiles.trace_threshold(F.create_map(F.lit("A"), up, F.lit("C"), down)).alias("threshold"))
 
 
-_SETS = "MAP {" + ", ".join(f"'{c}': '{b}'" for c, b in S.IUPAC.items()) + "}"
 _Q6 = f"SELECT s_suppkey AS id, translate(substr(md5(s_suppkey::VARCHAR), 1, 6), '{HEX}', '{CODED}') AS q FROM supplier"
 
 
