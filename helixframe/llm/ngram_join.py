@@ -10,7 +10,8 @@ empty ones only for sets with more than that many empty ones, so linked sets sha
 ``SHARED`` tiles or more. Sets in fewer shared tiles are left out. Tiles tie their members to the smallest one;
 of these pairs the one of each set with the most common tiles is checked first by
 bitmaps, whose bit counts bound the overlap from above, and by intersection of the
-sorted arrays. Pairs with ``SHARED`` common tiles make families (their components):
+sorted arrays. Pairs with ``SHARED`` common tiles make families (their components), and so do a
+set and a family that has most members in as many of its tiles:
 groups of near copies lie in one each. A family is cut into slices of bounded size,
 and each pair of slices is a cell that tests pairs between components, bitmaps
 first, and joins components as it finds links; so a member is placed once for each
@@ -305,6 +306,7 @@ def linked_sets(tiles: DataFrame, pairs: DataFrame, found: DataFrame, spec: Spec
     # each set first meets the one it shares most tiles with
     edges = verified(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), found, spec)
     labels, families = labels_of(edges), labels_of(pairs.where(F.col("n") >= SHARED).select("a", "b"))
+    families = widened(families, tiles)
     links = family_links(families, labels, found, spec)
     if not links.isEmpty():
         labels = merge(labels, links)
@@ -327,6 +329,14 @@ def labels_of(edges: DataFrame) -> DataFrame:
     return stash(edges.select(F.col("a").alias("set"), F.col("b").alias("comp")), "labels", narrow=True) if edges.isEmpty() else components(edges)
 
 
+def widened(families: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Families joined with those that share ``SHARED`` tiles with them in which they have the most members: sets that no one set draws in."""
+    sizes = tiles.join(families, "set", "left").groupBy("tile", F.coalesce("comp", "set").alias("comp")).agg(F.count("*").alias("c"))
+    tops = sizes.groupBy("tile").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("n")).where("n > 1").select("tile", F.col("top.comp").alias("a"))
+    near = sizes.join(tops, "tile").where("comp != a").groupBy("a", F.col("comp").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= SHARED)
+    return merge(families, near.select("a", "b"))
+
+
 def family_links(families: DataFrame, labels: DataFrame, found: DataFrame, spec: Spec) -> DataFrame:
     """Pairs (a, b) of components of one family with a link between them, from cells of two of its slices (or one with itself)."""
     told = families.select("set", F.col("comp").alias("family")).join(labels, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
