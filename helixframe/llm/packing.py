@@ -31,6 +31,7 @@ import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.byte_bpe import ByteBPE
+from helixframe.llm.byte_bpe import ByteBPE, IdTable
 from helixframe.llm.store import release, small_batches, stash, tidy
 from helixframe.llm.textops import chunks, mix
 from helixframe.llm.token_store import id_type
@@ -51,6 +52,8 @@ _TILE = 32  #: seeds scored at a time
 _NEAR = 64  #: neighbours sorted first; the others follow where these leave room
 K1, B = 1.2, 0.75
 _LONG_PIECE = 24
+#: Pre-tokens outside the vocabulary that a worker remembers.
+KEEP_MISSES = 1 << 18
 
 
 def byte_letters() -> dict[str, int]:
@@ -64,12 +67,7 @@ class MergeBPE(ByteBPE):
     """A tokenizers byte-level BPE file; distinct misses of a chunk are merged together, a step for all at once."""
 
     def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             held = json.load(f)
         letters = byte_letters()
@@ -84,6 +82,17 @@ class MergeBPE(ByteBPE):
         self.pairs, self.rank = pair[order], order
         self.made = np.array([vocab[a + b] for a, b in merges], np.int64)
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.misses = IdTable(KEEP_MISSES)
+
+    @cached_property
+    def tokenizer(self):
+        """The library's own, for texts that hold the string of a special token."""
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.width + right
