@@ -110,6 +110,49 @@ def hamming_hits(text: Column, pattern: Column, most: Column | int) -> Column:
     return bind(both, lambda v: F.filter(starts, lambda i: mismatches(F.slice(v["t"], i, F.greatest(m, F.lit(1))), v["p"]) <= bound))
 
 
+def tolerant_hits(text: Column, pattern: str, most: int) -> Column:
+    """``hamming_hits`` of a constant pattern by one fold over the text's letters.
+
+    A mismatch counter for each letter of the pattern is kept in the words of a
+    bit vector, as many as fit 63 bits. At each letter of the text the counters move
+    on by one place and those that it doesn't fit are raised, by one shift and one
+    sum a word. A counter's top bit stays set once it has passed ``most``.
+    """
+    wide = most.bit_length() + 1
+    per = 63 // wide
+    sets = [MASK.get(c, 0) for c in pattern]
+    words = [sets[k : k + per] for k in range(0, len(sets), per)]
+    if not words:
+        return F.sequence(F.lit(1), F.length(text) + 1)
+    full = [(1 << wide * len(w)) - 1 for w in words]
+    top = [sum(1 << wide * j + wide - 1 for j in range(len(w))) for w in words]
+    raised = [F.array(*[F.lit(sum(1 << wide * j for j, x in enumerate(w) if not x & v)).cast("long") for v in range(16)]) for w in words]
+    one, last = (1 << wide) - 1, wide * (len(words[-1]) - 1)
+
+    def step(acc: Column, letter: Column) -> Column:
+        fields = [(acc["at"] + 1).alias("at")]
+        carry, lost = F.lit(0).cast("long"), F.lit(0).cast("long")
+        for k in range(len(words)):
+            count, over = acc[f"c{k}"], acc[f"o{k}"]
+            moved = F.shiftleft(count, wide).bitwiseAND(F.lit(full[k]).cast("long")) + carry + F.get(raised[k], letter)
+            flags = moved.bitwiseAND(F.lit(top[k]).cast("long")).bitwiseOR(F.shiftleft(over, wide).bitwiseAND(F.lit(full[k]).cast("long"))).bitwiseOR(lost)
+            fields += [moved.bitwiseAND(F.lit(full[k] & ~top[k]).cast("long")).alias(f"c{k}"), flags.alias(f"o{k}")]
+            carry, lost = (F.shiftright(x, wide * (per - 1)).bitwiseAND(F.lit(one).cast("long")) for x in (count, over))
+
+        def noted(v: Column) -> Column:
+            k = len(words) - 1
+            fits = (F.shiftright(v[f"o{k}"], last).bitwiseAND(F.lit(one).cast("long")) == 0) & (F.shiftright(v[f"c{k}"], last).bitwiseAND(F.lit(one).cast("long")) <= most)
+            hits = F.when(fits & (v["at"] >= len(sets)), F.concat(acc["hits"], F.array(v["at"] - (len(sets) - 1)))).otherwise(acc["hits"])
+            return F.struct(*[v[name].alias(name) for name in ("at", *[f"{x}{i}" for i in range(len(words)) for x in "co"])], hits.alias("hits"))
+
+        return bind(F.struct(*fields), noted)
+
+    none = F.lit(0).cast("long")
+    start = F.struct(F.lit(0).alias("at"), *[none.alias(f"{x}{k}") for k in range(len(words)) for x in "co"], F.array().cast("array<int>").alias("hits"))
+    letters = F.transform(masks(text), lambda m: F.coalesce(m, F.lit(0)))
+    return F.aggregate(letters, start, step, lambda acc: acc["hits"])
+
+
 MOST_VARIANTS = 100_000
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.sequence import hamming_hits, iupac_regex, reverse_complement, reverse_complement_text
+from helixframe.functions.sequence import iupac_regex, reverse_complement, reverse_complement_text, tolerant_hits
 from helixframe.operators.frames import STARTS, frames
 from helixframe.operators.layout import spread
-from helixframe.operators.pieces import record_key
+from helixframe.operators.pieces import PIECE, pieces, record_key
 from helixframe.operators.seeds import fitting, rows_of
 
 
@@ -101,8 +101,11 @@ def map_queries(queries: DataFrame, references: DataFrame, most: int, strands: b
 
 
 def map_one(text: DataFrame, pattern: str, most: int) -> DataFrame:
-    """(id, start) of every place where an IUPAC pattern fits within ``most`` mismatches."""
-    return text.select("id", F.explode(hamming_hits(F.col("sequence"), F.lit(pattern), most)).alias("start"))
+    """(id, start) of every place where an IUPAC pattern fits within ``most`` mismatches; long texts are folded piece by piece."""
+    size = max(PIECE, 2 * len(pattern))
+    held = pieces(text.select("id", "sequence"), max(len(pattern) - 1, 0), size)
+    hits = held.select("id", "number", F.explode(tolerant_hits(F.col("piece"), pattern, most)).alias("at"))
+    return hits.select("id", (F.col("number") * size + F.col("at")).alias("start"))
 
 
 def extract_intervals(seqs: DataFrame, intervals: DataFrame) -> DataFrame:

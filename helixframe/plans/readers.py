@@ -71,6 +71,15 @@ def fastq_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fasta.read_fastq(spark, _written(_dna(spark, sf_dir), value, "fastq")).select("id", "sequence", "quality", "valid")
 
 
+@_register(f"SELECT 'r' || id AS id, CASE WHEN id % 5 = 0 THEN '@r' || id || chr(10) || sequence || 'X' || chr(10) || '+' || chr(10) || repeat('I', 32) END AS corrupt FROM ({_dna_sql()})")
+def corrupt_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken reads keep their text; files are read in ranges of a few records."""
+    seq = F.concat("sequence", F.when(F.col("id") % 5 == 0, "X").otherwise(""))
+    value = F.concat(F.lit("@r"), F.col("id").cast(_TEXT), F.lit("\n"), seq, F.lit("\n+\n" + "I" * 32))
+    rows = fasta.read_fastq(spark, _written(_dna(spark, sf_dir), value, "fastq"), range_bytes=64 << 10)
+    return rows.select("id", F.col("_corrupt_record").alias("corrupt"))
+
+
 @_register(f"SELECT id::VARCHAR AS id, sequence, CASE WHEN id % 2 = 0 THEN repeat('J', 32) END AS quality FROM ({_dna_sql()})")
 def mixed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder of FASTA files and one of FASTQ files, written as records and told apart by their first letters."""

@@ -549,6 +549,43 @@ def report_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responses.top_hits(responses.search_hits(_table(spark, sf_dir, "supplier").select(xml.alias("xml"))))
 
 
+@_register("""SELECT 'a & b <' || s_suppkey || '>' AS query, k::INT AS hit_no, j::INT AS alignment, 'P' || k AS accession, 'x > y & ' || k AS title, (j || 'e-5')::DOUBLE AS e_value,
+100.0::DOUBLE * (s_suppkey * k % 50) / (50 + j) AS identity, (s_suppkey + j)::BIGINT AS query_from FROM supplier, range(1, 4) x(k), range(1, 4) y(j) WHERE j <= k""")
+def report_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested reports with entities and CDATA, hits with one to three alignments."""
+    tag = lambda name, *value: F.concat(F.lit(f"<{name}>"), *value, F.lit(f"</{name}>"))
+    text = lambda c: c.cast("string")
+    key, many = F.col("s_suppkey"), lambda n, f: F.array_join(F.transform(F.sequence(F.lit(1), n), f), "\n")
+
+    def hit(k: Column) -> Column:
+        hsp = lambda j: tag("Hsp", tag("Hsp_num", text(j)), tag("Hsp_evalue", text(j), F.lit("e-5")), tag("Hsp_query-from", text(key + j)), tag("Hsp_identity", text(key * k % 50)), tag("Hsp_align-len", text(j + 50)))
+        return tag("Hit", tag("Hit_def", F.lit("<![CDATA[x > y]]> &amp; "), text(k)), tag("Hit_accession", F.lit("P"), text(k)), tag("Hit_hsps", many(k, hsp)))
+
+    query = tag("Iteration_query-def", F.lit("a &#38; b &lt;"), text(key), F.lit("&gt;"))
+    xml = F.concat(F.lit('<?xml version="1.0"?>\n<!DOCTYPE BlastOutput PUBLIC "x" "y.dtd">\n'), tag("BlastOutput", tag("BlastOutput_iterations", tag("Iteration", query, tag("Iteration_hits", many(F.lit(3), hit))))))
+    out = responses.search_alignments(_table(spark, sf_dir, "supplier").select(xml.alias("xml")))
+    return out.select("query", "hit_no", "alignment", "accession", "title", "e_value", "identity", "query_from")
+
+
+@_register("""SELECT c_custkey AS k, 'P' || c_custkey AS id, c_name AS protein, CASE c_custkey % 3 WHEN 2 THEN ['g' || c_nationkey] ELSE ['g' || c_nationkey, 'h'] END AS genes,
+CASE c_custkey % 3 WHEN 0 THEN ['1.' || c_nationkey] END AS ec FROM customer WHERE c_custkey % 7 > 0""")
+def annotation_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records alone, in a list of results, and with plain names, as one service has given them; some replies are none."""
+    j = lambda **x: F.to_json(F.struct(*[v.alias(k) for k, v in x.items()]))
+    s = lambda **x: F.struct(*[v.alias(k) for k, v in x.items()])
+    gene, id_ = F.concat(F.lit("g"), F.col("c_nationkey")), F.concat(F.lit("P"), F.col("c_custkey"))
+    full = s(fullName=s(value=F.col("c_name")))
+    first = s(recommendedName=s(fullName=s(value=F.col("c_name")), ecNumbers=F.array(s(value=F.concat(F.lit("1."), F.col("c_nationkey"))))))
+    shapes = [
+        j(results=F.array(s(primaryAccession=id_, proteinDescription=first, genes=F.array(s(geneName=s(value=gene)), s(geneName=s(value=F.lit("h"))))))),
+        j(primaryAccession=id_, proteinDescription=s(submissionNames=F.array(full)), genes=F.array(gene, F.lit("h"))),
+        j(primaryAccession=id_, protein=F.col("c_name"), genes=F.array(s(orfNames=F.array(s(value=gene))))),
+    ]
+    key = F.col("c_custkey")
+    reply = F.when(key % 7 == 0, F.when(key % 2 == 0, '{"results": []}').otherwise("<html>")).when(key % 3 == 0, shapes[0]).when(key % 3 == 1, shapes[1]).otherwise(shapes[2])
+    return _table(spark, sf_dir, "customer").select(key.alias("k"), responses.annotation_of(reply).alias("a")).where("a IS NOT NULL").select("k", "a.*")
+
+
 @_register("SELECT s_suppkey, 'R' || s_suppkey AS rid, (s_suppkey % 60)::INT AS wait, CASE WHEN s_suppkey % 2 = 0 THEN 'READY' END AS status FROM supplier")
 def job_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_suppkey")

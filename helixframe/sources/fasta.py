@@ -3,16 +3,17 @@
 A FASTA record is one text row split at ``\\n>``, so files need not fit a task
 (gzip files aren't splittable). Empty records and text before a file's first
 header are dropped, sequences upper-cased. FASTQ needs four-line framing, which a
-separator can't express: lines are numbered within a file.
+separator can't express: format ``fastq`` (``fastq_source``) reads byte ranges.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -64,12 +65,13 @@ def record_texts(rows: DataFrame) -> DataFrame:
     return marked.where(F.col("value").startswith(">") | (F.col("block") > 0) | ~F.col("_first")).drop("_first")
 
 
-def read_fasta(spark: SparkSession, path: str, drop_empty: bool = True, keep_case: bool = False, one_line_per_record: bool = False, mode: str = "PERMISSIVE") -> DataFrame:
-    """id, sequence, quality (null), file, rec_idx (rises within a file).
+def read_fasta(spark: SparkSession, path: str | list[str], drop_empty: bool = True, keep_case: bool = False, one_line_per_record: bool = False, mode: str = "PERMISSIVE", counts: Observation | None = None) -> DataFrame:
+    """id, sequence, quality (null), file, rec_idx (rises within a file), _corrupt_record (the letters of a malformed record).
 
     ``one_line_per_record`` makes every sequence line a record of its own. A
     record is malformed without an id, or with other marks than letters, ``*``, ``-`` and
     ``.``: DROPMALFORMED leaves it out, FAILFAST raises, PERMISSIVE keeps it.
+    ``counts`` gets ``n_records`` and ``n_corrupt`` of what was read, those left out too (a job that reads twice, as a sort does, counts twice).
     """
     texts = record_texts(spark.read.option("lineSep", "\n>").text(path)).withColumn("rec_idx", F.monotonically_increasing_id())
     if one_line_per_record:
@@ -79,7 +81,10 @@ def read_fasta(spark: SparkSession, path: str, drop_empty: bool = True, keep_cas
         parsed = texts.select(fasta_record(F.col("value"), keep_case).alias("r"), "file", "rec_idx")
     out = parsed.select("r.id", "r.sequence", F.lit(None).cast("string").alias("quality"), "file", "rec_idx")
     out = out.where("sequence <> ''") if drop_empty else out
-    good = (F.col("id") != "") & F.col("sequence").rlike(r"^[A-Za-z*.\-]*$")
+    good = F.coalesce((F.col("id") != "") & F.col("sequence").rlike(r"^[A-Za-z*.\-]*$"), F.lit(False))
+    if counts is not None:
+        out = out.observe(counts, F.count("*").alias("n_records"), F.count_if(~good).alias("n_corrupt"))
+    out = out.withColumn("_corrupt_record", F.when(~good, F.concat(F.lit(">"), "id", F.lit("\n"), "sequence")))
     if mode == "DROPMALFORMED":
         return out.where(good)
     return out.where(F.when(good, True).otherwise(F.raise_error(F.concat(F.lit("malformed FASTA record: "), "id")).cast("boolean"))) if mode == "FAILFAST" else out
@@ -90,16 +95,28 @@ def valid_read(head: Column, seq: Column, plus: Column, quality: Column) -> Colu
     return F.coalesce(head.startswith("@") & seq.rlike("^[ATGCN]+$") & plus.startswith("+") & (F.length(quality) > 0) & (F.length(quality) == F.length(seq)), F.lit(False))
 
 
-def read_fastq(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
-    """id, sequence, quality, file, rec_idx, valid; DROPMALFORMED leaves out broken records, FAILFAST raises."""
-    whole = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n").alias("l"), F.col("_metadata.file_path").alias("file"))
-    groups = F.sequence(F.lit(0), F.greatest(F.floor((F.size("l") - 1) / 4).cast("int"), F.lit(0)))
-    rows = whole.select("file", F.posexplode(F.transform(groups, lambda i: F.slice("l", i * 4 + 1, 4))).alias("rec_idx", "r"))
-    head, seq, plus, quality = (F.get("r", k) for k in range(4))
-    out = rows.select(F.trim(F.substring(head, F.lit(2), F.length(head))).alias("id"), F.upper(seq).alias("sequence"), quality.alias("quality"), "file", "rec_idx", valid_read(head, seq, plus, quality).alias("valid"))
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    """The files of a path, folder or pattern, as Spark lists them."""
+    return list(spark.read.format("text").load(path).inputFiles())
+
+
+def read_fastq(spark: SparkSession, path: str | list[str], mode: str = "PERMISSIVE", counts: Observation | None = None, range_bytes: int = 64 << 20) -> DataFrame:
+    """id, sequence, quality, file, rec_idx (rises within a file), valid, _corrupt_record; files are read in byte ranges, once.
+
+    A broken record has its text in ``_corrupt_record``; DROPMALFORMED leaves it out, FAILFAST raises. ``counts``
+    gets ``n_records`` and ``n_corrupt`` of what was read, those left out too (a job that reads twice, as a sort does, counts twice).
+    """
+    from helixframe.sources.fastq_source import FastqSource
+
+    spark.dataSource.register(FastqSource)
+    paths = path if isinstance(path, list) else _listed(spark, path)
+    rows = spark.read.format("fastq").option("paths", json.dumps(paths)).option("rangeBytes", range_bytes).option("valid", "true" if mode == "DROPMALFORMED" and counts is None else "any").load()
+    if counts is not None:
+        rows = rows.observe(counts, F.count("*").alias("n_records"), F.count_if(~F.col("valid")).alias("n_corrupt"))
+    out = rows.select("id", "sequence", "quality", "file", F.col("start").alias("rec_idx"), "valid", "_corrupt_record")
     if mode == "DROPMALFORMED":
         return out.where("valid")
-    return out.where(F.when(F.col("valid"), True).otherwise(F.raise_error(F.lit("malformed FASTQ record")).cast("boolean"))) if mode == "FAILFAST" else out
+    return out.where(F.when(F.col("valid"), True).otherwise(F.raise_error(F.concat(F.lit("malformed FASTQ record: "), "_corrupt_record")).cast("boolean"))) if mode == "FAILFAST" else out
 
 
 def record_text(width: int = 0) -> Column:
@@ -132,17 +149,39 @@ def sample_name(file: Column) -> Column:
     return F.regexp_replace(stem, r"[._](R?[12])$", "")
 
 
+def _kinds(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """First letter that is no blank of each file; only the beginnings are read, in tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from helixframe.sources.fastq_source import open_uri
+
+        for batch in batches:
+            first = []
+            for path in batch["path"]:
+                fs, inner = open_uri(path)
+                with fs.open_input_stream(inner, compression="gzip" if path.endswith(".gz") else None) as lines:
+                    text = b""
+                    while not text and (held := lines.read(1 << 12)):
+                        text = held.lstrip()
+                first.append(text[:1].decode("ascii", "replace"))
+            yield pd.DataFrame({"path": batch["path"], "kind": first})
+
+    listed = spark.createDataFrame([(p,) for p in paths], "path string")
+    return {r.path: r.kind for r in listed.repartition(min(len(paths), 64)).mapInPandas(run, "path string, kind string").collect()}  # one a file, as the listing
+
+
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
-    """FASTA or FASTQ by each file's first letter: id, sequence, quality, file.
+    """FASTA or FASTQ by each file's first letter: id, sequence, quality, file. Files of another kind give no rows.
 
-    Files are told apart first, then each reader keeps its own.
+    Only a file's beginning is read to tell its kind, then one reader reads it, once.
     """
-    first = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("i")).where("trim(value) <> ''")
-    kinds = first.groupBy("file").agg(F.substring(F.min_by("value", "i"), 1, 1).alias("kind"))
-    fastq = read_fastq(spark, path).join(kinds.where("kind = '@'"), "file", "left_semi")
-    fasta = read_fasta(spark, path).join(kinds.where("kind = '>'"), "file", "left_semi")
     columns = ["id", "sequence", "quality", "file"]
-    return fasta.select(columns).unionByName(fastq.select(columns))
+    kinds = _kinds(spark, paths) if (paths := _listed(spark, path)) else {}
+    chosen = {k: [p for p in paths if kinds[p] == k] for k in ">@"}
+    out = spark.createDataFrame([], "id string, sequence string, quality string, file string")
+    if chosen[">"]:
+        out = out.unionByName(read_fasta(spark, chosen[">"]).select(columns))
+    return out.unionByName(read_fastq(spark, chosen["@"]).select(columns)) if chosen["@"] else out
 
 
 def read_proteins(spark: SparkSession, path: str) -> DataFrame:

@@ -10,19 +10,60 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.coding import percent_identity, plain_text
-from helixframe.functions.sequence import truncated
+from helixframe.functions.sequence import bind, truncated
+
+
+_HSP = "struct<`Hsp_num`: int, `Hsp_bit-score`: double, `Hsp_evalue`: double, `Hsp_identity`: bigint, `Hsp_align-len`: bigint, `Hsp_query-from`: bigint, `Hsp_query-to`: bigint, `Hsp_hit-from`: bigint, `Hsp_hit-to`: bigint, `Hsp_qseq`: string, `Hsp_hseq`: string>"
+_HIT = f"struct<Hit_id: string, Hit_def: string, Hit_accession: string, Hit_len: bigint, Hsp: array<{_HSP}>, Hit_hsps: struct<Hsp: array<{_HSP}>>>"
+_ROUND = f"struct<`Iteration_query-def`: string, Hit: array<{_HIT}>, Iteration_hits: struct<Hit: array<{_HIT}>>>"
+_REPORT = f"struct<`BlastOutput_query-def`: string, Iteration: array<{_ROUND}>, BlastOutput_iterations: struct<Iteration: array<{_ROUND}>>>"
+
+
+def _either(nested: Column, direct: Column) -> Column:
+    """Elements inside their list's element, or side by side without one."""
+    return F.coalesce(nested, direct)
+
+
+def search_alignments(df: DataFrame, xml: str = "xml") -> DataFrame:
+    """One row a query, hit and alignment of search reports (whole XML documents), read by Spark's XML parser: entities and CDATA are decoded.
+
+    A hit without alignments has one row of nulls. Text that is no report gives no row.
+    """
+    report = F.from_xml(F.regexp_replace(xml, r"(?s)<!DOCTYPE[^>\[]*(\[.*?\])?[^>]*>", ""), _REPORT)
+    rows = df.withColumn("_b", report)
+    rows = rows.withColumn("_r", F.explode(_either(F.col("_b.BlastOutput_iterations.Iteration"), F.col("_b.Iteration"))))
+    query = F.coalesce(F.col("_r.`Iteration_query-def`"), F.col("_b.`BlastOutput_query-def`"), F.lit(""))
+    kept = [c for c in df.columns if c != xml]
+    rows = rows.select(*kept, query.alias("query"), F.posexplode(_either(F.col("_r.Iteration_hits.Hit"), F.col("_r.Hit"))).alias("hit_no", "_h"))
+    rows = rows.select(*kept, "query", (F.col("hit_no") + 1).alias("hit_no"), "_h", F.posexplode_outer(_either(F.col("_h.Hit_hsps.Hsp"), F.col("_h.Hsp"))).alias("_n", "_s"))
+    part = lambda name: F.col(f"_s.`Hsp_{name}`")
+    return rows.select(
+        *kept, "query", "hit_no", (F.coalesce("_n", F.lit(0)) + 1).alias("alignment"), F.col("_h.Hit_accession").alias("accession"), F.col("_h.Hit_def").alias("title"),
+        part("evalue").alias("e_value"), part("bit-score").alias("bit_score"), percent_identity(part("identity"), part("align-len")).alias("identity"),
+        *[part(f"{side}-{end}").alias(f"{side}_{end}") for side in ("query", "hit") for end in ("from", "to")], part("qseq").alias("aligned_query"), part("hseq").alias("aligned_hit"),
+    )
 
 
 def search_hits(df: DataFrame, xml: str = "xml") -> DataFrame:
-    """One row a query and hit of search reports (whole XML documents): query, accession, title, e-value and identity of the hit's first alignment."""
-    body = F.regexp_replace(xml, r"(?s)<!DOCTYPE.*?>", "")
-    rounds = F.transform(F.regexp_extract_all(body, F.lit(r"(?s)<Iteration>(.*?)</Iteration>"), F.lit(1)), lambda x: F.struct(F.nullif(F.regexp_extract(x, "<Iteration_query-def>([^<]*)<", 1), F.lit("")).alias("query"), F.regexp_extract_all(x, F.lit(r"(?s)<Hit>(.*?)</Hit>"), F.lit(1)).alias("hits")))
-    rows = df.withColumn("_r", F.explode(rounds)).withColumn("_q", F.coalesce(F.col("_r.query"), F.regexp_extract(body, "<BlastOutput_query-def>([^<]*)<", 1)))
-    rows = rows.select(*[c for c in df.columns if c != xml], F.col("_q").alias("query"), F.posexplode("_r.hits").alias("hit_no", "_h"))
-    tag = lambda name: F.nullif(F.regexp_extract("_h", f"<{name}>([^<]*)<", 1), F.lit(""))  # noqa: E731 (the first: of the first alignment)
-    identical, aligned = (tag(n).cast("long") for n in ("Hsp_identity", "Hsp_align-len"))
-    out = rows.withColumns({"accession": tag("Hit_accession"), "title": tag("Hit_def"), "e_value": tag("Hsp_evalue").cast("double"), "bit_score": tag("Hsp_bit-score").cast("double"), "identity": percent_identity(identical, aligned)})
-    return out.withColumn("hit_no", F.col("hit_no") + 1).drop("_h")
+    """One row a query and hit: query, hit_no, accession, title, e-value, bit score and identity of the hit's first alignment; all are in ``search_alignments``."""
+    kept = [c for c in df.columns if c != xml]
+    return search_alignments(df, xml).where("alignment = 1").select(*kept, "query", "hit_no", "accession", "title", "e_value", "bit_score", "identity")
+
+
+def annotation_of(text: Column) -> Column:
+    """(id, protein, genes, ec) of a protein record whatever its shape: alone or the first of ``results``, with a recommended or a submitted name, genes as objects or as names. Null where the text is no JSON or has no accession."""
+    get = lambda v, path, kind="string": F.try_variant_get(v, path, kind)
+    whole = F.try_parse_json(text)
+    record = F.coalesce(get(whole, "$.results[0]", "variant"), whole)
+
+    def told(v: Column) -> Column:
+        names = [get(v, f"$.proteinDescription.{p}") for p in ("recommendedName.fullName.value", "submissionNames[0].fullName.value", "alternativeNames[0].fullName.value")]
+        genes = F.transform(get(v, "$.genes", "array<variant>"), lambda g: F.coalesce(get(g, "$.geneName.value"), get(g, "$.orfNames[0].value"), get(g, "$")))
+        codes = F.coalesce(get(v, "$.proteinDescription.recommendedName.ecNumbers", "array<variant>"), get(v, "$.proteinDescription.submissionNames[0].ecNumbers", "array<variant>"))
+        out = F.struct(get(v, "$.primaryAccession").alias("id"), F.coalesce(*names, get(v, "$.protein")).alias("protein"), genes.alias("genes"), F.transform(codes, lambda e: F.coalesce(get(e, "$.value"), get(e, "$"))).alias("ec"))
+        return F.when(get(v, "$.primaryAccession").isNotNull(), out)
+
+    return bind(record, told)
 
 
 def job_ticket(text: Column) -> Column:

@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from helixframe.functions import sequence as S
 from helixframe.operators import frames, kmers, mapping, search, tables
 from helixframe.operators.pieces import pieces, windows
 
@@ -116,3 +117,17 @@ def test_last_of_repeated_keys(spark):
     rows = [("a", "x", 9, 1), ("a", "x", 2, 2), ("b", "y", 5, 1)]
     got = tables.merge_counts(spark.createDataFrame(rows, "key string, sample string, n int, at int"), ["x", "y"], order="at").collect()
     assert {tuple(r) for r in got} == {("a", 2, 0), ("b", 0, 5)}
+
+
+@pytest.mark.parametrize(("pattern", "most"), [("ATACN", 1), ("ATACM", 0), ("ACGTRYACGTNN", 3), ("A" * 5 + "CGTN" * 20, 9), ("ACGT" * 9, 0), ("G", 0), ("ACXG", 1), ("ACG", 3)])
+def test_tolerant_search(spark, pattern, most):
+    rng = random.Random(len(pattern))
+    rows = [(k, "".join(rng.choices("ACGTNRX", [9, 9, 9, 9, 1, 1, 1], k=n))) for k, n in enumerate([0, 3, 40, 255, 256, 300, 900])]
+    rows += [(9, ("ACGT" * 100)[: 30 + len(pattern)] + pattern.replace("N", "A").replace("R", "G") + "TT"), (10, None)]
+    mask = S.MASK
+    fits = lambda s, i: sum(not mask.get(a, 0) & mask.get(b, 0) for a, b in zip(pattern, s[i:], strict=False)) <= most
+    want = sorted((k, i + 1) for k, s in rows if s for i in range(len(s) - len(pattern) + 1) if fits(s, i))
+    df = spark.createDataFrame(rows, "id int, sequence string")
+    assert sorted(tuple(r) for r in mapping.map_one(df, pattern, most).collect()) == want
+    held = df.where("length(sequence) > 0").select("id", F.explode(S.hamming_hits(F.col("sequence"), F.lit(pattern), most)))
+    assert sorted(tuple(r) for r in held.collect()) == want
