@@ -96,7 +96,7 @@ class FastqReader(DataSourceReader):
                 ahead.pop(0)
                 continue
             synced = True
-            if not ahead[0][1]:
+            if not ahead[0][1].strip():
                 ahead.pop(0)
                 continue
             fill(4)
