@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm import exact_dedup, ngram_join, packing, quality_rules, secret_scan
@@ -13,25 +13,39 @@ END_ID = 1
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass every rule of policy v2, repeated rows each; null and empty texts don't pass."""
-    passed = tuple(c for c in docs.columns if c != "doc_id")
-    rows = quality_rules.ledger(quality_rules.measurements(docs, keep=passed))
-    return rows.where(quality_rules.passes("v2")).select(*docs.columns)
+    """Documents that pass every rule of policy v2, repeated rows each; null and empty texts don't pass. Other columns may have any names."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(0)
+    measured = quality_rules.measurements(docs.select("doc_id", "text", rest.alias("_rest")), keep=("text", "_rest"))
+    passed = quality_rules.ledger(measured).where(quality_rules.passes("v2"))
+    return passed.select(*[F.col(f"_rest.`{c}`") if c in others else F.col(c) for c in docs.columns])
+
+
+def _whole(docs: DataFrame) -> Column:
+    """A document's columns in one, so that no other name meets theirs."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of equal texts: the one with the largest id, null ids last; of rows that repeat with their id, one."""
     digest = F.sha2(exact_dedup.normalised(F.col("text")), 256)
-    kept = exact_dedup.classes(docs).where("kept").select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_digest")).distinct()
-    rows = docs.withColumn("_sha", digest).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_sha") == F.col("_digest")), "left_semi")
-    turn = F.row_number().over(Window.partitionBy("doc_id", "_sha").orderBy("text"))
-    return rows.withColumn("_turn", turn).where("_turn = 1").select(*docs.columns)
+    kept = exact_dedup.classes(docs).where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest")).distinct()
+    rows = docs.select(F.col("doc_id").alias("own"), digest.alias("sha"), _whole(docs)).join(kept, F.col("own").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("digest")), "left_semi")
+    turn = F.row_number().over(Window.partitionBy("own", "sha").orderBy("_doc.text"))
+    return rows.withColumn("turn", turn).where("turn = 1").select("_doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similarity 0.8 or more on five-word shingles: the one with the smallest id. Texts without words stay."""
-    kept = ngram_join.join(docs, ngram_join.Spec(size=5, num=80, den=100)).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One document of each component of similarity 0.8 or more on five-word shingles: the one with the smallest id (null ids last), of repeated rows one. Texts without words stay.
+
+    Rows are told by id and text, so texts of a repeated or null id are documents of their own.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("null"), F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("id"), F.xxhash64("text").alias("text"))
+    found = ngram_join.join(docs.select(key.alias("key"), "text"), ngram_join.Spec(size=5, num=80, den=100), id_col="key")
+    kept = found.where(F.col("key") == F.col("component_id")).select(F.col("key").alias("stays"), F.col("set").isNull().alias("wordless")).distinct()
+    rows = docs.select(key.alias("key"), _whole(docs)).join(kept, F.col("key") == F.col("stays"))
+    turn = F.row_number().over(Window.partitionBy("key").orderBy("_doc.text"))
+    return rows.withColumn("turn", turn).where("wordless OR turn = 1").select("_doc.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

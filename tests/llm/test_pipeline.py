@@ -61,6 +61,30 @@ def test_odd_rows(spark, tmp_path):
     assert stage["exact_duplicates"](spark, docs.limit(0), "").count() == 0 and stage["quality"](spark, docs.limit(0), "").count() == 0
 
 
+def test_clashing_names_and_rows_of_one_id(spark):
+    """Documents' own columns keep their values in every stage; near copies go by row."""
+    words = [f"w{k}x" for k in range(90)]
+    near = lambda k: " ".join([*words[:k], "edit", *words[k + 1 :]])
+    other = " ".join(f"other{k} of{k}" for k in range(60))
+    rows = [(0, " ".join(words)), (1, near(40)), (1, other), (None, near(50)), (None, "new " + other[:200]), (2, other), (2, other), (3, None), (3, ""), (3, "")]
+    names = ["_sha", "_turn", "_kept", "n_words", "key", "set", "row", "_doc", "_rest", "id", "turn", "own", "fail_bits", "text_sha256"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names)
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or ""), *[f"{c} {n}" for c in names]) for n, (k, t) in enumerate(rows)], schema)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        held = out.collect()
+        assert held and all(r[c].startswith(f"{c} ") and r[c].split()[-1] == r["_sha"].split()[-1] for r in held for c in names)
+        left = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in held)
+        if name == "near_duplicates":
+            assert left == sorted([(False, 0, " ".join(words)), (False, 1, other), (True, 0, "new " + other[:200]), (False, 3, ""), (False, 3, ""), (False, 3, "")])
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_tables_go(spark, tmp_path):
     from helixframe.llm import store
 
