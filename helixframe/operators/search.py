@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from helixframe.functions.coding import circular_end, kmer_similarity, mutual_ma
 from helixframe.functions.sequence import hairpin, max_mismatches, melting_temperature, reverse_complement
 from helixframe.operators.frames import STARTS, cut_out, frames
 from helixframe.operators.layout import spread
-from helixframe.operators.pieces import record_key
+from helixframe.operators.pieces import PIECE, pieces, record_key
 from helixframe.operators.seeds import fitting, rows_of
 
 
@@ -149,20 +148,24 @@ def find_orfs(df: DataFrame, starts: tuple[str, ...] = STARTS, longer_only: bool
 def cover_dedup(df: DataFrame, group: str, id_col: str = "id", sequence: str = "sequence") -> DataFrame:
     """Per group, longest first (ties by id): drop a sequence whose k-mers (k: the group's shortest length) were all seen.
 
-    Greedy and sequential by nature, so a group is one task's work; choose groups that fit one.
+    What was seen is what all earlier sequences hold, as those dropped add nothing.
+    So a sequence stays if it is the first holder of one of its k-mers: one
+    aggregate by group and k-mer, and no group or record is one task's work. Nulls count as
+    empty; in a group whose shortest is empty only the first stays. Of copies one stays.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip(pdf[sequence].fillna(""), pdf[id_col], pdf.index, strict=True), key=lambda r: (-len(r[0]), r[1]))
-        k, seen, keep = len(rows[-1][0]), set(), []
-        for text, _, at in rows:
-            mine = {text[i : i + k] for i in range(len(text) - k + 1)}
-            if not mine <= seen:
-                keep.append(at)
-                seen |= mine
-        return pdf.loc[keep]
-
-    return df.groupBy(group).applyInPandas(run, df.schema)
+    key = record_key(group, id_col, sequence)
+    rows = df.select(F.col(group).alias("_g"), F.col(id_col).alias("_id"), F.coalesce(sequence, F.lit("")).alias("sequence"), key.alias("_key"))
+    least = rows.groupBy("_g").agg(F.min(F.length("sequence")).alias("k"))
+    widest = max(least.agg(F.max("k")).first()[0] or 1, 1)
+    told = rows.join(least.withColumnRenamed("_g", "_own"), F.col("_g").eqNullSafe(F.col("_own"))).select("_g", "k", F.struct((-F.length("sequence")).alias("n"), F.col("_id").isNull().alias("null"), "_id", "_key").alias("rank"), "sequence")
+    size = max(PIECE, 2 * widest)
+    held = pieces(told.where("k > 0"), widest - 1, size)
+    last = F.least(F.length("piece") - F.col("k") + 1, F.lit(size))
+    grams = held.where(last >= 1).withColumn("at", F.explode(F.sequence(F.lit(1), last))).select("_g", F.substring("piece", F.col("at"), F.col("k")).alias("kmer"), "rank")
+    first = grams.groupBy("_g", "kmer").agg(F.min("rank").alias("rank")).union(told.where("k = 0").groupBy("_g").agg(F.lit("").alias("kmer"), F.min("rank").alias("rank")))
+    kept = df.withColumn("_key", key).join(first.select(F.col("rank._key").alias("_kept")).distinct(), F.col("_key") == F.col("_kept"), "left_semi")
+    turn = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))
+    return kept.withColumn("_turn", turn).where("_turn = 1").select(*df.columns)
 
 
 def sample_layout(files: DataFrame, matches: str = "n_matches", reads: str = "n_reads") -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as S
-from helixframe.operators import kmers, search, stats, variants
+from helixframe.functions import tables as table_functions
+from helixframe.operators import crawl, kmers, search, stats, variants
 from helixframe.plans.registry import CODED, HEX, PLAIN, _dna, _dna_sql, _RC, _register, _table
 from helixframe.sources import fasta, flatfiles, responses, sinks
 from helixframe.sources import tables as source_tables
@@ -313,3 +314,35 @@ def code_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"(https?://[^\"]*)\"', 1)) AS link FROM pages")
 def outer_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", F.explode(responses.links(F.col("html"), 'https?://[^"]*')).alias("link"))
+
+
+_LINKS = """(SELECT page_id, (unicode(substr(link, 2, 1)) * 31 + length(link) * 7 + page_id * 3) % (SELECT count(*) FROM pages) AS target
+FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="(/[^"]+)"', 1)) AS link FROM pages))"""
+
+
+@_register(f"""WITH RECURSIVE l AS MATERIALIZED (SELECT DISTINCT * FROM {_LINKS}),
+r AS (SELECT 0::BIGINT AS page_id, 0 AS round UNION SELECT l.target, r.round + 1 FROM r JOIN l USING (page_id) WHERE r.round < 30)
+SELECT page_id, min(round)::INT AS round FROM r GROUP BY 1""")
+def reached_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages reached from page 0, each link read as the number of a page."""
+    pages = _table(spark, sf_dir, "pages")
+    link = F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]+)"'), F.lit(1)))
+    many = pages.select(F.count("*").alias("many"))
+    target = (F.ascii(F.substring("link", 2, 1)) * 31 + F.length("link") * 7 + F.col("page_id") * 3) % F.col("many")
+    links = pages.select("page_id", link.alias("link")).join(F.broadcast(many)).select("page_id", target.alias("target"))  # one row
+    out = crawl.crawl(spark.range(1), lambda ids: links.join(ids, links.page_id == ids.id, "left_semi").select(F.col("target").alias("id")), rounds=30)
+    return out.select(F.col("id").alias("page_id"), "round")
+
+
+@_register("""WITH s AS (SELECT l_suppkey AS suppkey, l_orderkey AS start, l_orderkey + l_linenumber * 3 AS e FROM lineitem),
+m AS (SELECT *, CASE WHEN start <= max(e) OVER (PARTITION BY suppkey ORDER BY start, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 41 THEN 0 ELSE 1 END AS fresh FROM s),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY suppkey ORDER BY start, e ROWS UNBOUNDED PRECEDING) AS island FROM m)
+SELECT suppkey, min(start)::BIGINT AS start, max(e)::BIGINT AS "end", count(*)::INT AS n FROM i GROUP BY suppkey, island""")
+def merged_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL text alone over a table function with a partitioned and ordered TABLE argument."""
+    table_functions.register(spark)
+    _table(spark, sf_dir, "lineitem").createOrReplaceTempView("helixframe_lineitem")
+    return spark.sql("""
+        SELECT * FROM merged_spans(
+            TABLE(SELECT l_suppkey AS suppkey, l_orderkey AS start, l_orderkey + l_linenumber * 3 AS `end` FROM helixframe_lineitem)
+            PARTITION BY suppkey ORDER BY (start, `end`), 40)""")
