@@ -48,8 +48,7 @@ def stash(df: DataFrame, label: str, narrow: bool = False, codec: str | None = N
     """
     spark = df.sparkSession
     small_batches(spark)
-    path = new_path(spark, label)
-    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    path = track(spark, new_path(spark, label))
     schema = df.schema
     if narrow:
         df = df.coalesce(spark.sparkContext.defaultParallelism)
@@ -62,6 +61,12 @@ def stash(df: DataFrame, label: str, narrow: bool = False, codec: str | None = N
 _made: dict[str, list[str]] = {}  # tables of each application, oldest first
 
 
+def track(spark: SparkSession, path: str) -> str:
+    """Count a folder among the application's tables, so that it is deleted with them."""
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     made = _made.get(spark.sparkContext.applicationId, [])
     if path in made:

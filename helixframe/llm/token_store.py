@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm.byte_bpe import IdTable, flattened, spread
-from helixframe.llm.store import ROW_GROUP, new_path, release, small_batches, stash
+from helixframe.llm.store import ROW_GROUP, new_path, release, small_batches, stash, track
 from helixframe.llm.textops import Hasher, chunks, words
 
 MAGIC, VERSION = 0x31425648, 2
@@ -208,7 +208,7 @@ def count_ids(encoded: DataFrame, vocabulary: int) -> np.ndarray:
 def write(df: DataFrame, path: str, vocabulary: int, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", target: str | None = None) -> str:
     """Encode and write a store; returns its folder."""
     spark = df.sparkSession
-    target = target or new_path(spark, "token-store")
+    target = target or track(spark, new_path(spark, "token-store"))
     encoded = stash(encode(df, path, end_id, id_col, text_col), "token-ids")
     counts = count_ids(encoded, vocabulary)
     by_rank = np.argsort(-counts, kind="stable").astype("<u4")
