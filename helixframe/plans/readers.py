@@ -346,3 +346,23 @@ def merged_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT * FROM merged_spans(
             TABLE(SELECT l_suppkey AS suppkey, l_orderkey AS start, l_orderkey + l_linenumber * 3 AS `end` FROM helixframe_lineitem)
             PARTITION BY suppkey ORDER BY (start, `end`), 40)""")
+
+
+@_register(f"""SELECT kmer, count(*) AS n, count(DISTINCT id % 3) AS n_files FROM (SELECT id, unnest(list_transform(range(1, 29), lambda i: substr(sequence, i, 5))) AS kmer FROM ({_dna_sql()})) GROUP BY 1""")
+def growing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream over a folder that gets its third file late; the last counts of each k-mer."""
+    rows, path, out = _dna(spark, sf_dir), new_folder(spark, "growing"), new_folder(spark, "grown")
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store, None)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for number, some in enumerate((rows.where("id % 3 < 2"), rows.where("id % 3 = 2"))):
+            parts = some.select((F.col("id") % 3).alias("file"), _fasta().alias("value")).repartition(2, "file")
+            parts.write.mode("append").partitionBy("file").text(path)
+            stream = records.stream_kmer_counts(spark, f"{path}/*", 5)
+            write = lambda batch, at, number=number: batch.withColumn("at", F.lit(number * 1000 + at)).write.mode("overwrite").parquet(f"{out}/run={number}/batch={at}")
+            stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(store, before) if before else spark.conf.unset(store)
+    held = spark.read.schema("kmer string, n long, n_files long, at int").option("recursiveFileLookup", "true").parquet(out)
+    return held.groupBy("kmer").agg(F.max_by(F.struct("n", "n_files"), "at").alias("c")).select("kmer", "c.*")
