@@ -6,11 +6,13 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.coding import percent_identity, plain_text
 from helixframe.functions.sequence import bind, truncated
+from helixframe.operators.pieces import record_key
+from helixframe.sources.scratch import new_folder
 
 
 _HSP = "struct<`Hsp_num`: int, `Hsp_bit-score`: double, `Hsp_evalue`: double, `Hsp_identity`: bigint, `Hsp_align-len`: bigint, `Hsp_query-from`: bigint, `Hsp_query-to`: bigint, `Hsp_hit-from`: bigint, `Hsp_hit-to`: bigint, `Hsp_qseq`: string, `Hsp_hseq`: string>"
@@ -180,29 +182,66 @@ def poll(ask: Callable[[], str | None], tries: int = 20, first: float = 3.0, sle
     return None
 
 
-def fetch(df: DataFrame, send: Callable[[list[str]], str | None], size: int = 50, id_col: str = "id", sequence: str = "sequence") -> DataFrame:
-    """(ids, response, error): records of a partition go out in batches of ``size`` as FASTA text through ``send``.
-
-    Batches form while a partition streams by; a failed batch gives its ids and the error, never another batch's answer.
-    A lost executor sends its unfinished partition again, so ``send`` must bear repeats.
-    """
+def _answers(size: int, send: Callable[[list[str]], str | None], kept: tuple[str, ...] = ()) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Sends a partition's records (id, sequence) in batches of ``size`` as FASTA text; a failed batch gives the error, never another batch's answer. Of ``kept`` each batch has lists."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def flush(rows: list[tuple[str, str]]) -> pd.DataFrame:
+        def flush(rows: pd.DataFrame) -> pd.DataFrame:
+            ids = rows["id"].astype(str).tolist()
             try:
-                answer, error = send([f">{i}\n{s}" for i, s in rows]), None
+                answer, error = send([f">{i}\n{s}" for i, s in zip(ids, rows["sequence"], strict=True)]), None
             except Exception as e:  # any failure of the transport belongs to this batch
                 answer, error = None, f"{type(e).__name__}: {e}"
-            return pd.DataFrame({"ids": [[i for i, _ in rows]], "response": [answer], "error": [error]})
+            return pd.DataFrame({**{c: [rows[c].tolist()] for c in kept}, "ids": [ids], "response": [answer], "error": [error]})
 
-        held: list[tuple[str, str]] = []
+        held = None
         for batch in batches:
-            for row in zip(batch[id_col].astype(str), batch[sequence], strict=True):
-                held.append(row)
-                if len(held) == size:
-                    yield flush(held)
-                    held = []
-        if held:
+            held = batch if held is None or not len(held) else pd.concat([held, batch])
+            while len(held) >= size:
+                yield flush(held.iloc[:size])
+                held = held.iloc[size:]
+        if held is not None and len(held):
             yield flush(held)
 
-    return df.select(id_col, sequence).mapInPandas(run, "ids array<string>, response string, error string")
+    return run
+
+
+def fetch(df: DataFrame, send: Callable[[list[str]], str | None], size: int = 50, id_col: str = "id", sequence: str = "sequence") -> DataFrame:
+    """(ids, response, error): records of a partition go out in batches of ``size`` as FASTA text through ``send``.
+
+    Batches form while a partition streams by; a failed batch gives its ids and the error, never another batch's answer.
+    A lost executor sends its unfinished partition again, so ``send`` must bear repeats.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(sequence).alias("sequence"))
+    return rows.mapInPandas(_answers(size, send), "ids array<string>, response string, error string")
+
+
+_LEDGER = "keys array<struct<a: bigint, b: bigint>>, ids array<string>, response string, error string"
+
+
+def fetch_resumable(df: DataFrame, send: Callable[[list[str]], str | None], ledger: str, size: int = 50, wave: int = 64, id_col: str = "id", sequence: str = "sequence") -> DataFrame:
+    """(ids, response, error) of all batches in the folder ``ledger``, after those records of ``df`` were sent that have no answer there yet.
+
+    Records are told by id and text, whatever batch they went out in: a second run sends only what is new, and what
+    failed or got no answer. Batches go out in waves of ``wave``, each a committed write, so a run that dies loses the
+    answers of one wave at most; a lost executor sends its unfinished batches of that wave again. Copies of a record are sent once.
+    """
+    spark = df.sparkSession
+    known = spark.read.schema(_LEDGER).parquet(ledger) if _exists(spark, ledger) else spark.createDataFrame([], _LEDGER)
+    answered = known.where("response IS NOT NULL").select(F.explode("keys").alias("key"))
+    rows = df.select(record_key(id_col, sequence).alias("key"), F.col(id_col).cast("string").alias("id"), F.col(sequence).alias("sequence"))
+    path = new_folder(spark, "pending")
+    rows.dropDuplicates(["key"]).join(answered, "key", "left_anti").write.parquet(path)
+    pending = spark.read.schema(rows.schema).parquet(path)
+    waves = -(-pending.count() // (size * wave))
+    for k in range(waves):
+        some = pending.where(F.pmod(F.xxhash64("key"), F.lit(waves)) == k)
+        out = some.repartition(min(wave, spark.sparkContext.defaultParallelism)).mapInPandas(_answers(size, send, ("key",)), _LEDGER.replace("keys", "key", 1))
+        out.withColumnRenamed("key", "keys").write.mode("append").parquet(ledger)
+    done = spark.read.schema(_LEDGER).parquet(ledger) if waves or _exists(spark, ledger) else known
+    return done.select("ids", "response", "error")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

@@ -1,5 +1,9 @@
 """Search reports and annotations of several shapes."""
 
+from collections import Counter
+
+import pytest
+
 from helixframe.sources import responses
 
 REPORT = """<?xml version="1.0"?>
@@ -35,3 +39,55 @@ def test_annotations_of_any_shape(spark):
     df = spark.createDataFrame(list(enumerate(replies)), "k int, t string")
     got = df.select("k", responses.annotation_of(df.t).alias("a")).orderBy("k").collect()
     assert [tuple(r.a) if r.a else None for r in got] == [("P1", "x", ["g"], ["1.1"]), ("P2", "y", ["a", "b"], None), ("P3", None, None, None), *[None] * 5]
+
+
+def _sender(log, fail="", die=""):
+    def send(records):
+        import os
+        import uuid
+
+        text = "\n".join(records)
+        if die and die in text:
+            os._exit(1)  # the worker is gone, and the job with it
+        with open(f"{log}/{uuid.uuid4().hex}", "w") as f:
+            f.write("\n".join(r.split("\n")[0] for r in records))
+        if fail and fail in text:
+            raise OSError("refused")
+        return f"{len(records)} seen"
+
+    return send
+
+
+def _sent(log):
+    out = Counter()
+    for p in log.iterdir():
+        out.update(p.read_text().split("\n"))
+        p.unlink()
+    return out
+
+
+def test_a_run_goes_on_where_one_died(spark, tmp_path):
+    log, ledger = tmp_path / "log", str(tmp_path / "ledger")
+    log.mkdir()
+    rows = [(k, f"ACGT{k}") for k in range(40)] + [(3, "ACGT3"), (3, "other"), (None, "ACGT")]
+    df = spark.createDataFrame(rows, "id int, sequence string")
+    with pytest.raises(Exception):  # noqa: B017 (Spark's own, of the lost worker)
+        responses.fetch_resumable(df, _sender(log, die="ACGT17"), ledger, size=3, wave=2)
+    answered = {i for r in spark.read.schema(responses._LEDGER).parquet(ledger).collect() for i in r.ids} if responses._exists(spark, ledger) else set()
+    _sent(log)
+    got = responses.fetch_resumable(df, _sender(log, fail="ACGT21"), ledger, size=3, wave=2).collect()
+    second = _sent(log)
+    assert max(second.values()) <= 2 and second[">3"] <= 2 and not {f">{i}" for i in answered if i != "3"} & set(second)
+    failed = {i for r in got if r.error for i in r.ids}
+    assert "21" in failed and all(r.error == "OSError: refused" for r in got if r.response is None)
+    got = responses.fetch_resumable(df, _sender(log), ledger, size=3, wave=2).collect()
+    assert set(_sent(log)) == {f">{i}" for i in failed}
+    assert Counter(i for r in got if r.response for i in r.ids) == Counter([str(k) for k in range(40)] + ["3", "None"])
+    responses.fetch_resumable(df, _sender(log), ledger, size=3, wave=2)
+    assert not _sent(log)
+
+
+def test_batches_of_a_partition(spark, tmp_path):
+    df = spark.createDataFrame([(k, "AC") for k in range(7)], "id int, sequence string").coalesce(1)
+    got = responses.fetch(df, _sender(tmp_path), size=3).collect()
+    assert [(r.ids, r.response) for r in got] == [(["0", "1", "2"], "3 seen"), (["3", "4", "5"], "3 seen"), (["6"], "1 seen")]
