@@ -88,9 +88,13 @@ def _short_seeds(planned: DataFrame, kinds: list[tuple[int, int]]) -> DataFrame:
     return rows.select("s_key", "form", "n", "offset", seed.alias("seed"), number.alias("kind"), F.when(F.col("two"), 2 * F.col("size")).otherwise(F.col("size")).alias("length"))
 
 
+def _plain(text: Column) -> Column:
+    """No letter stands for several; most texts are settled by this."""
+    return ~text.rlike(f"[{''.join(_CODES.values())}]")
+
+
 def _variants(text: Column, nucleotide: bool) -> Column:
-    plain = ~text.rlike(f"[{''.join(_CODES.values())}]")
-    return F.when(plain, F.array(text)).otherwise(F.coalesce(expand(text, limit=WAYS), F.array().cast("array<string>"))) if nucleotide else F.array(text)
+    return F.when(_plain(text), F.array(text)).otherwise(F.coalesce(expand(text, limit=WAYS), F.array().cast("array<string>"))) if nucleotide else F.array(text)
 
 
 def _salted(rows: DataFrame, every: bool) -> DataFrame:
@@ -134,8 +138,10 @@ def candidates(shorts: DataFrame, longs: DataFrame, nucleotide: bool = True, cir
         def of(t: Column) -> Column:
             ends = _depth(t, length) if nucleotide else F.lit(length)
             own = F.struct((F.lit(k * 256) + ends * 2).cast("int").alias("code"), F.left(t, ends).alias("text"))
+            plain = [F.struct(F.lit(k * 256 + length * 2).alias("code"), t.alias("text")), *[F.struct(F.lit(k * 256 + level * 2 + 1).alias("code"), F.left(t, F.lit(level)).alias("text")) for kind, level in sorted(shallow) if kind == k]]
             beyond = [F.when(ends > level, F.struct(F.lit(k * 256 + level * 2 + 1).alias("code"), F.left(t, F.lit(level)).alias("text"))) for kind, level in sorted(shallow) if kind == k]
-            return F.filter(F.array(own, *beyond), lambda x: x.isNotNull())
+            coded = F.filter(F.array(own, *beyond), lambda x: x.isNotNull())
+            return F.when(_plain(t), F.array(*plain)).otherwise(coded) if nucleotide else F.array(own)
 
         return of
 

@@ -348,17 +348,17 @@ _SPARSE, _HALF = "ACGTACGTACGTACGN", "ACGTACGTACGRYSWN"
 _APART = "len(list_filter(range(1, {n}), lambda k: NOT list_has_any(string_split(({sets})[substr(q, k::INT, 1)], ''), string_split(({sets})[substr(s, k::INT, 1)], ''))))"
 
 
-@_register(f"""WITH q AS (SELECT s_suppkey AS id, translate(substr(md5(s_suppkey::VARCHAR), 1, 14), '{HEX}', '{_HALF}') AS q FROM supplier),
+@_register(f"""WITH q AS (SELECT s_suppkey AS id, translate(substr(md5(s_suppkey::VARCHAR), 1, 20), '{HEX}', '{_HALF}') AS q FROM supplier),
 b AS (SELECT id, q, '+' AS strand FROM q UNION ALL SELECT id, {_RC_ALL.format('q')}, '-' FROM q), r AS ({_dna_sql(letters=_SPARSE)}),
-w AS (SELECT b.id AS short_id, r.id AS long_id, strand, i AS start, q, substr(sequence, i::INT, 14) AS s FROM b, r, range(1, 20) x(i)),
-m AS (SELECT short_id, long_id, strand, start, {_APART.format(n=15, sets=_SETS)} AS mismatch FROM w),
-k AS (SELECT *, min(mismatch) FILTER (WHERE strand = '+') OVER (PARTITION BY short_id, long_id) AS best FROM m WHERE mismatch <= 14 - round_even(0.85 * 14, 0))
+w AS (SELECT b.id AS short_id, r.id AS long_id, strand, i AS start, q, substr(sequence, i::INT, 20) AS s FROM b, r, range(1, 14) x(i)),
+m AS (SELECT short_id, long_id, strand, start, {_APART.format(n=21, sets=_SETS)} AS mismatch FROM w),
+k AS (SELECT *, min(mismatch) FILTER (WHERE strand = '+') OVER (PARTITION BY short_id, long_id) AS best FROM m WHERE mismatch <= 20 - round_even(0.95 * 20, 0))
 SELECT short_id, long_id, start, mismatch::BIGINT AS mismatch, strand FROM k WHERE strand = '+' OR best IS NULL OR mismatch < best""")
 def coded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes in queries and references, which both grow."""
-    digest = F.substring(F.md5(F.col("s_suppkey").cast("string")), 1, 14)
+    digest = F.substring(F.md5(F.col("s_suppkey").cast("string")), 1, 20)
     queries = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.translate(digest, HEX, _HALF).alias("sequence"))
-    out = search.map_pairs(queries, _dna(spark, sf_dir, letters=_SPARSE), 0.85)
+    out = search.map_pairs(queries, _dna(spark, sf_dir, letters=_SPARSE), 0.95)
     return out.select("short_id", "long_id", F.col("start").cast("long").alias("start"), F.col("mismatch").cast("long").alias("mismatch"), "strand")
 
 
