@@ -312,10 +312,10 @@ def linked_sets(tiles: DataFrame, pairs: DataFrame, found: DataFrame, spec: Spec
         labels = merge(labels, links)
     release(links)
     # linked sets of different families share tiles that hold both
-    opened = open_tiles(tiles, families)
+    opened = open_tiles(tiles, families, found)
     if not opened.isEmpty():
         twice = tiles_of_two(opened)
-        fresh = few_pairs(opened, SHARED).union(few_pairs(twice)).distinct().join(pairs.where(F.col("n") >= SHARED), ["a", "b"], "left_anti")
+        fresh = few_pairs(opened, spec, SHARED).union(few_pairs(twice, spec)).distinct().join(pairs.where(F.col("n") >= SHARED), ["a", "b"], "left_anti")
         labels = checked(labels, fresh, found, spec)
         if not twice.where(_crossing() > FEW).isEmpty():
             labels = merge(labels, block_links(twice, found, spec))
@@ -366,14 +366,14 @@ def checked(labels: DataFrame, pairs: DataFrame, found: DataFrame, spec: Spec) -
     return labels
 
 
-def open_tiles(tiles: DataFrame, labels: DataFrame) -> DataFrame:
+def open_tiles(tiles: DataFrame, labels: DataFrame, found: DataFrame) -> DataFrame:
     """``_opened`` members of the tiles that hold several components."""
-    labelled = tiles.join(labels, "set", "left").select("tile", "set", F.coalesce("comp", "set").alias("comp"))
-    return _opened(labelled)
+    told = found.select("set", "size").join(labels, "set", "left").select("set", "size", F.coalesce("comp", "set").alias("comp"))
+    return _opened(tiles.select("tile", "set").join(told, "set"))
 
 
 def _opened(labelled: DataFrame) -> DataFrame:
-    """(tile, set, comp, most, mine, others, times): members of tiles with several components.
+    """(tile, set, size, comp, most, mine, others, times): members of tiles with several components.
 
     ``most`` marks members of the tile's largest component; ``others`` counts the rest, ``mine`` the largest. Of
     tiles with the same members one stays, ``times`` counts them.
@@ -384,22 +384,28 @@ def _opened(labelled: DataFrame) -> DataFrame:
     several = sizes.groupBy("tile").agg(F.count("*").alias("comps"), F.sum("c").alias("n"), F.sum("who").alias("who"), largest).where("comps > 1")
     chosen = several.groupBy("who", "n").agg(F.min(F.struct("tile", "top")).alias("t"), F.count("*").alias("times")).select("t.tile", "t.top", "n", "times")
     rows = labelled.join(chosen, "tile")
-    return stash(rows.select("tile", "set", "comp", (F.col("comp") == F.col("top.comp")).alias("most"), F.col("top.c").alias("mine"), (F.col("n") - F.col("top.c")).alias("others"), "times"), "join-open")
+    return stash(rows.select("tile", "set", "size", "comp", (F.col("comp") == F.col("top.comp")).alias("most"), F.col("top.c").alias("mine"), (F.col("n") - F.col("top.c")).alias("others"), "times"), "join-open")
 
 
 def tiles_of_two(opened: DataFrame) -> DataFrame:
     """``_opened`` members of pairs of open tiles, the first with more than ``FEW`` pairs: linked sets share several tiles, other sets rarely two."""
-    large = opened.where(_crossing() > FEW).select("set", "comp", F.col("tile").alias("t"))
+    large = opened.where(_crossing() > FEW).select("set", "size", "comp", F.col("tile").alias("t"))
     other = opened.select("set", F.col("tile").alias("u"), "times", (_crossing() > FEW).alias("large"))
     both = large.join(other, "set").where("(t != u OR times > 1) AND (NOT large OR t <= u)")
-    return _opened(both.select(F.xxhash64("t", "u").alias("tile"), "set", "comp"))
+    return _opened(both.select(F.xxhash64("t", "u").alias("tile"), "set", "size", "comp"))
 
 
-def few_pairs(opened: DataFrame, least: int = 1) -> DataFrame:
-    """Distinct pairs (a, b) of different components in at least ``least`` of the open tiles with ``FEW`` such pairs or less."""
+def few_pairs(opened: DataFrame, spec: Spec, least: int = 1) -> DataFrame:
+    """Distinct pairs (a, b) of different components in at least ``least`` of the open tiles with ``FEW`` such pairs or less.
+
+    Sets in fewer such tiles, and pairs whose sizes alone rule a link out, are never formed.
+    """
     few = opened.where(_crossing() <= FEW)
-    other = few.select("tile", F.col("set").alias("other"), F.col("comp").alias("other_comp"), F.col("most").alias("other_most"))
-    met = few.where("NOT most").join(other, "tile").where("comp != other_comp AND (other_most OR set < other)")
+    if least > 1:
+        few = few.withColumn("held", F.sum("times").over(Window.partitionBy("set"))).where(F.col("held") >= least)
+    other = few.select("tile", *[F.col(c).alias("other" if c == "set" else f"other_{c}") for c in ("set", "size", "comp", "most")])
+    sized = F.least("size", "other_size").cast("long") * spec.den >= F.greatest("size", "other_size").cast("long") * spec.num
+    met = few.where("NOT most").join(other, "tile").where("comp != other_comp AND (other_most OR set < other)").where(sized)
     counted = met.groupBy(F.least("set", "other").alias("a"), F.greatest("set", "other").alias("b")).agg(F.sum("times").alias("times"))
     return counted.where(F.col("times") >= least).select("a", "b")
 

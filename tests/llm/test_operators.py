@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -684,3 +685,16 @@ def test_ngram_join_hot_id(spark):
     df = spark.createDataFrame(given, "doc_id long, text string").repartition(4)
     got = Counter((r.doc_id, r.component_id) for r in ngram_join.join(df).collect())
     assert got == {(7, 7): 300, (8, 8): 300, (9, 8): 1}
+
+
+@pytest.mark.parametrize("least", [1, 2, ngram_join.SHARED])
+def test_few_pairs_are_those_that_sizes_and_tiles_allow(spark, least):
+    rng = np.random.default_rng(3)
+    sizes, comps = rng.integers(20, 60, 40).tolist(), rng.integers(0, 12, 40).tolist()
+    members = {t: rng.choice(40, int(rng.integers(2, 9)), replace=False).tolist() for t in range(60)}
+    labelled = spark.createDataFrame([(t, x, sizes[x], comps[x]) for t, xs in members.items() for x in xs], "tile long, set long, size int, comp long")
+    spec = ngram_join.Spec()
+    found = {tuple(r) for r in ngram_join.few_pairs(ngram_join._opened(labelled), spec, least).collect()}
+    met = Counter(p for xs in members.values() for p in itertools.combinations(sorted(xs), 2) if comps[p[0]] != comps[p[1]])
+    wanted = {p for p, n in met.items() if n >= least and spec.den * min(sizes[p[0]], sizes[p[1]]) >= spec.num * max(sizes[p[0]], sizes[p[1]])}
+    assert found == wanted and wanted
