@@ -12,17 +12,18 @@ vector above all) has many, dealt over salted keys.
 Centroids are found through a graph held in memory: each is tied to its nearest
 ones and to a few far ones, and a search goes on from the nearest known one
 that it has not left yet until it has seen nothing nearer for its whole list of
-best ones. A query reads the lists whose centroids lie within ``RATIO`` times
-its nearest one's distance (``LEAST`` at least), so a query in a dense place
-reads few and one between all lists many; the search widens until it has all
-of these. Lists then meet the blocks of queries that chose them, and each
-query's nearest rows are kept, once each, by distance in double precision and
-id.
+best ones. A query first reads the lists whose centroids lie within ``RATIO``
+times its nearest one's distance (``LEAST`` at least); the search widens until it
+has all of these. The k-th distance found there bounds the second reading: a list
+holds nothing nearer if its centroid lies farther than that distance and the
+list's own radius together, so all others are read, without the border copies.
+Nothing is missed by this, however rows and lists lie; a query in a dense place reads
+few lists, and one whose rows are all about as far reads most. Lists meet the blocks of queries
+that chose them, and each query's nearest rows are kept, once each, by distance
+in double precision and id.
 
 Memory: the graph is bounded by ``MOST_LISTS``, the sample by ``SAMPLE``; both
-may be broadcast. Every row is indexed and may be found; what is missed are
-neighbours whose lists lie all beyond the ratio (tests and the README hold the
-share found against brute force).
+may be broadcast. Every row is indexed and may be found.
 
 Rows with a null id, and vectors null, zero, empty or with a null or non-finite
 component, take no part. Missing components of shorter vectors count as zero.
@@ -46,8 +47,10 @@ from helixframe.llm.vectors import array_of, bytes_of, finite, matrix, numbered,
 LIST_ROWS, MOST_LISTS, SAMPLE = 128, 4096, 1 << 16
 #: Lists that a row may lie in, and how far the others may be.
 COPIES, EDGE = 3, 1.05
-#: Lists that a query reads: how far they may be, and how many at least.
-RATIO, LEAST = 1.2, 4
+#: Lists that a query reads for its bound: how far they may be, and how many at least.
+RATIO, LEAST = 1.05, 4
+#: What rounding may add to a distance, as a share of both lengths.
+_SLACK = 1e-7
 PART_ROWS, QUERY_ROWS = 2048, 512
 _NEAR, _FAR, _BEAM = 16, 4, 32
 #: Rows that a task holds of its queries before it passes them on.
@@ -159,10 +162,12 @@ class Graph:
 
 @dataclass(frozen=True)
 class Index:
-    """What ``build`` makes: the centroids' graph, and the lists' parts (list, salt, ids, rows, vectors)."""
+    """What ``build`` makes: the centroids' graph, the lists' radii, and their parts (list, salt, ids, rows, vectors): each row once, and border copies."""
 
     graph: Graph
+    reach: np.ndarray
     parts: DataFrame
+    copies: DataFrame
     salts: dict[int, int]
     width: int
     kind: str
@@ -188,7 +193,7 @@ def sampled(rows: DataFrame, n: int, size: int, width: int, kind: str) -> np.nda
 
 
 def assigned(rows: DataFrame, graph: Graph, width: int, kind: str, ratio: float, least: int, most: int | None) -> DataFrame:
-    """(list, id, _row, vector binary) for each list that a row goes to."""
+    """(list, id, _row, vector binary, own, gap) for each list that a row goes to: ``own`` is the first one, ``gap`` the distance to its centroid."""
     held = rows.sparkSession.sparkContext.broadcast(graph)  # bounded by MOST_LISTS
 
     def run(batches):
@@ -203,11 +208,38 @@ def assigned(rows: DataFrame, graph: Graph, width: int, kind: str, ratio: float,
                 if most:
                     chosen = [c[:most] for c in chosen]
                 times = np.fromiter(map(len, chosen), np.int64, len(chosen))
-                row = pa.array(np.repeat(np.arange(len(x)), times))
-                raw = pa.array([v.tobytes() for v in x], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(chosen), pa.int32()), part.column(0).take(row), part.column(1).take(row), raw.take(row)], ["list", "id", "_row", "vector"])
+                at, lists = np.repeat(np.arange(len(x)), times), np.concatenate(chosen)
+                with np.errstate(over="ignore"):
+                    gap = np.concatenate([np.sqrt(((x[at[k : k + 4096]] - held.value.at[lists[k : k + 4096]]) ** 2).sum(1)) for k in range(0, len(at), 4096)])
+                row, raw = pa.array(at), pa.array([v.tobytes() for v in x], pa.binary())
+                own = np.diff(at, prepend=-1) != 0
+                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), part.column(0).take(row), part.column(1).take(row), raw.take(row), pa.array(own), pa.array(gap)], ["list", "id", "_row", "vector", "own", "gap"])
 
-    return rows.select("id", "_row", "vector").mapInArrow(run, "list int, id long, _row long, vector binary")
+    return rows.select("id", "_row", "vector").mapInArrow(run, "list int, id long, _row long, vector binary, own boolean, gap double")
+
+
+def reaching(queries: DataFrame, index: Index) -> DataFrame:
+    """(list, id, _row, vector binary) for each list that may hold a row within ``bound`` of a query (null: no bound)."""
+    width, kind = index.width, index.kind
+    held = queries.sparkSession.sparkContext.broadcast((index.graph.at, index.reach))  # bounded by MOST_LISTS
+
+    def run(batches):
+        at, reach = held.value
+        length = np.sqrt((at * at).sum(1))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                x = matrix(part.column(2), width, kind)
+                bound = np.nan_to_num(part.column(3).to_numpy(zero_copy_only=False), nan=np.inf)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    y = x.astype(np.float64)
+                    slack = _SLACK * (np.sqrt((y * y).sum(1))[:, None] + length)
+                    beyond = np.sqrt(distances(y, at)) - reach - slack > bound[:, None]
+                query, lists = np.nonzero(~beyond & (reach >= 0))
+                raw, row = pa.array([v.tobytes() for v in x], pa.binary()), pa.array(query)
+                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), part.column(0).take(row), part.column(1).take(row), raw.take(row)], ["list", "id", "_row", "vector"])
+
+    return queries.select("id", "_row", "vector", "bound").mapInArrow(run, "list int, id long, _row long, vector binary")
 
 
 def parts_of(placed: DataFrame, salts: dict[int, int], per: int, n: int) -> DataFrame:
@@ -261,11 +293,15 @@ def build(rows: DataFrame) -> Index:
     points = sampled(rows, n, SAMPLE, width, kind)
     graph = Graph(fitted(points, min(lists, max(1, len(points)))) if len(points) else np.zeros((1, width)))
     placed = stash(assigned(rows, graph, width, kind, EDGE, 1, COPIES), "lists-placed")
-    sizes = placed.groupBy("list").count().collect()  # at most MOST_LISTS
+    sizes = placed.groupBy("list").agg(F.count("*").alias("count"), F.max(F.when(F.col("own"), F.col("gap"))).alias("reach")).collect()  # at most MOST_LISTS
     salts = {r["list"]: -(-r["count"] // (4 * PART_ROWS)) for r in sizes}
-    parts = stash(parts_of(placed, salts, PART_ROWS, sum(r["count"] for r in sizes)), "lists-parts")
+    reach = np.full(len(graph.at), -1.0)  # lists that are nobody's own are not read
+    for r in sizes:
+        reach[r["list"]] = -1.0 if r["reach"] is None else np.inf if np.isnan(r["reach"]) else r["reach"]
+    parts = stash(parts_of(placed.where("own"), salts, PART_ROWS, n), "lists-parts")
+    copies = stash(parts_of(placed.where("NOT own"), salts, PART_ROWS, sum(r["count"] for r in sizes) - n), "lists-copies")
     release(placed)
-    return Index(graph, parts, salts, width, kind)
+    return Index(graph, reach, parts, copies, salts, width, kind)
 
 
 def nearest_rows(q: np.ndarray, own: np.ndarray, c: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
@@ -307,14 +343,25 @@ def first_of_each(found: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarr
 
 
 def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, id, score, query_row of the ``k`` nearest rows found to each of ``queries`` (id, _row, vector), but for the row itself."""
+    """query_id, rank, id, score, query_row of the ``k`` nearest rows to each of ``queries`` (id, _row, vector), but for the row itself."""
+    asked = stash(assigned(queries, index.graph, index.width, index.kind, RATIO, LEAST, None), "lists-asked")
+    first = found(index, index.parts.unionByName(index.copies), asked, k)
+    bounds = first.groupBy("query_row").agg(F.when(F.count("*") == k, F.max("score")).alias("bound"))
+    bounded = stash(queries.join(bounds, F.col("_row") == F.col("query_row"), "left").select("id", "_row", "vector", "bound"), "lists-bounds")
+    release(asked, index.copies)
+    reached = stash(reaching(bounded, index), "lists-reached")
+    release(bounded)
+    return found(index, index.parts, reached, k)
+
+
+def found(index: Index, parts: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, id, score, query_row of the ``k`` nearest rows in the ``parts`` of the lists that each query asks for (list, id, _row, vector)."""
     width, kind = index.width, index.kind
-    asked = stash(assigned(queries, index.graph, width, kind, RATIO, LEAST, None), "lists-asked")
     sizes = asked.groupBy("list").count().collect()  # at most MOST_LISTS
     wide = parts_of(asked, {r["list"]: -(-r["count"] // (4 * QUERY_ROWS)) for r in sizes}, QUERY_ROWS, sum(r["count"] for r in sizes))
     times = F.coalesce(F.try_element_at(_map({a: b for a, b in index.salts.items() if b > 1}), F.col("list")), F.lit(1))
     blocks = wide.select("list", F.explode(F.sequence(F.lit(0), times - 1)).alias("salt"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("vectors").alias("q_vectors"))
-    met = index.parts.join(blocks, ["list", "salt"]).select("ids", "rows", "vectors", "q_ids", "q_rows", "q_vectors")
+    met = parts.join(blocks.hint("merge"), ["list", "salt"]).select("ids", "rows", "vectors", "q_ids", "q_rows", "q_vectors")
 
     def run(batches):
         held: list[tuple[np.ndarray, ...]] = []

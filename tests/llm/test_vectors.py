@@ -137,6 +137,25 @@ def test_recall(spark, kind):
     assert set(found) == set(want) and hits >= 0.95 * sum(len(x[0]) for x in want.values())
 
 
+@pytest.mark.parametrize("kind", ["few", "tails", "scales", "shell"])
+def test_nothing_nearer_is_missed(spark, kind):
+    """Rows far from all others are lists of their own, beside which a ratio to the nearest list says nothing."""
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(4000, 24))
+    if kind == "few":
+        m = rng.normal(size=(4000, 8))
+    elif kind == "tails":
+        m *= rng.lognormal(0, 1.5, (4000, 1))
+    elif kind == "scales":
+        m = (rng.normal(size=(40, 24)) * 3)[rng.integers(0, 40, 4000)] + m * 10.0 ** rng.integers(-3, 2, (4000, 1))
+    else:
+        m = m / np.linalg.norm(m, axis=1)[:, None] + 1000 * np.ones(24)
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(m)]
+    found = answers(posting_lists.neighbours(frame(spark, rows), F.col("vec_id") % 100 == 0, 10))
+    want = nearest(rows, 100, 10)
+    assert set(found) == set(want) and all([i for _, i in found[q][0]] == [i for _, i in want[q][0]] for q in want)
+
+
 def test_graph_finds_what_a_scan_finds():
     rng = np.random.default_rng(2)
     centroids = rng.normal(size=(700, 16))
