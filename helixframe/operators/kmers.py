@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.operators.layout import meet
 from helixframe.operators.pieces import record_key, windows
 
 _LETTERS, _DIGITS = "ACGT", "0123"
@@ -49,13 +50,14 @@ def _keyed(df: DataFrame, k: int, id_col: str, sequence: str) -> DataFrame:
 
 
 def _kept(df: DataFrame, keys: DataFrame, id_col: str, sequence: str) -> DataFrame:
-    return df.join(keys, record_key(id_col, sequence) == F.col("_key"), "left_semi")
+    return meet(df, keys, record_key(id_col, sequence) == F.col("_key"), "left_semi")
 
 
 def _meeting(rows: DataFrame, kmers: DataFrame) -> DataFrame:
     """Keys of records with one of the k-mers."""
-    same = rows["code"].eqNullSafe(kmers["code"]) & rows["odd"].eqNullSafe(kmers["odd"])
-    return rows.join(kmers, same, "left_semi").select("_key")
+    told = kmers.select(F.col("code").alias("_code"), F.col("odd").alias("_odd"))
+    same = F.col("code").eqNullSafe(F.col("_code")) & F.col("odd").eqNullSafe(F.col("_odd"))
+    return meet(rows, told, same, "left_semi").select("_key")
 
 
 def sharing_kmer(df: DataFrame, k: int = 11, id_col: str = "id", sequence: str = "sequence") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.operators.layout import spread
+
 #: Letters of a piece: a letter is found by counting from its piece's start.
 PIECE = 256
 
@@ -33,7 +35,7 @@ def pieces(df: DataFrame, overlap: int = 0, size: int = PIECE, sequence: str = "
 def windows(df: DataFrame, k: int, sequence: str = "sequence") -> DataFrame:
     """Rows of ``df`` without the text, one for each stretch of ``k`` letters: n, number, piece, at (in the piece, from 1), window."""
     size = max(PIECE, 2 * k)
-    held = pieces(df, k - 1, size, sequence)
+    held = pieces(spread(df), k - 1, size, sequence)
     # a piece's last k - 1 letters begin no window of their own if the next piece has them
     last = F.least(F.length("piece") - k + 1, F.lit(size))
     rows = held.where(last >= 1).withColumn("at", F.explode(F.sequence(F.lit(1), last)))
