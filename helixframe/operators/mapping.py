@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.sequence import iupac_regex, reverse_complement, reverse_complement_text, tolerant_hits
 from helixframe.operators.frames import STARTS, frames
-from helixframe.operators.layout import spread
+from helixframe.operators.layout import meet, spread
 from helixframe.operators.pieces import PIECE, pieces, record_key
 from helixframe.operators.seeds import fitting, rows_of
 
@@ -33,6 +35,8 @@ def amplicons(df: DataFrame, forward: str, reverse: str) -> DataFrame:
     return out
 
 
+#: Letters, and texts within its mismatches, of a query that is told by all of these.
+WHOLE, TEXTS = 16, 1024
 #: Letters of a seed; shorter pieces take the nested loop, longer ones are cut.
 SEEDS = (4, 8, 16, 32)
 
@@ -45,10 +49,30 @@ def seed_size(piece: Column) -> Column:
     return out
 
 
+def texts_within(n: int, most: int) -> int:
+    """Plain texts of ``n`` letters within ``most`` mismatches of one."""
+    return sum(comb(n, k) * 3**k for k in range(most + 1))
+
+
+def _whole(q: DataFrame, r: DataFrame, most: int) -> DataFrame:
+    """Places of short plain queries: each text within ``most`` mismatches of a query meets the stretches that are this text, so nothing else meets."""
+    lengths = sorted(x[0] for x in q.select(F.length("q")).distinct().collect())  # no more than WHOLE
+    at = rows = q.select("query_id", "strand", F.length("q").alias("n"), F.col("q").alias("text"), F.lit(0).alias("last"), F.lit(0).alias("mismatch"))
+    for k in range(1, most + 1):  # one more letter differs, behind the last one that does
+        at = at.where("last < n").withColumn("last", F.explode(F.sequence(F.col("last") + 1, F.col("n")))).withColumn("c", F.explode(F.array(*map(F.lit, "ACGT"))))
+        at = at.where(F.col("c") != F.substring("text", F.col("last"), F.lit(1))).select("query_id", "strand", "n", F.overlay("text", "c", "last").alias("text"), "last", F.lit(k).alias("mismatch"))
+        rows = rows.union(at)
+    n = F.explode(F.array(*map(F.lit, lengths or [1])))
+    held = r.select("ref_id", "r", n.alias("n")).where("n <= length(r)").withColumn("start", F.explode(F.sequence(F.lit(1), F.length("r") - F.col("n") + 1)))
+    found = meet(rows.drop("n", "last"), held.select("ref_id", "start", F.substring("r", F.col("start"), F.col("n")).alias("text")), "text")
+    return found.select("query_id", "ref_id", "strand", "start", (F.col("start") + F.length("text") - 1).alias("end"), "mismatch")
+
+
 def map_queries(queries: DataFrame, references: DataFrame, most: int, strands: bool = True) -> DataFrame:
     """(query_id, ref_id, strand, start, end, mismatch) of queries within ``most`` mismatches; codes match where their base sets meet.
 
-    Of most + 1 pieces of a plain query one matches a plain reference exactly, and of most + 2 pieces two do. Queries
+    Short plain queries (up to ``WHOLE`` letters, with up to ``TEXTS`` texts within their mismatches) join on these texts.
+    Of most + 1 pieces of a longer plain query one matches a plain reference exactly, and of most + 2 pieces two do. Queries
     whose pieces hold eight letters or more join on one piece; shorter ones join on two, with the distance between
     them, so that a seed is twice as long. A window carries the letters around a seed, no more than twice the longest seeded query, never its
     whole reference. A place counts by the first of its pieces that match, so none is found twice and rows that
@@ -61,17 +85,18 @@ def map_queries(queries: DataFrame, references: DataFrame, most: int, strands: b
     plain = lambda c: F.coalesce(~F.col(c).rlike("[^ACGT]"), F.lit(False))
     n = F.length("q")
     one, two = F.floor(n / (most + 1)).cast("int"), F.floor(n / (most + 2)).cast("int")
-    q = q.where("length(q) > 0").withColumn("pieces", F.when(plain("q") & (one >= 8), 1).when(plain("q") & (two >= 2), 2))
+    whole = max((k for k in range(1, WHOLE + 1) if texts_within(k, most) <= TEXTS), default=0)
+    q = q.where("length(q) > 0").withColumn("pieces", F.when(plain("q") & (one >= 8), 1).when(plain("q") & (n <= whole), 0).when(plain("q") & (two >= 2), 2))
     q = q.withColumn("step", F.when(F.col("pieces") == 1, one).when(F.col("pieces") == 2, two)).withColumn("size", F.when(F.col("pieces") == 1, seed_size(one)).otherwise(F.col("step")))
     r = spread(references.select(F.col("id").alias("ref_id"), F.upper("sequence").alias("r"), key.alias("l_key")))
 
-    held = q.where("pieces IS NOT NULL").groupBy("pieces", "size").agg(F.max(n).alias("n")).collect()  # three sizes of one piece, six of two
+    held = q.where("pieces > 0").groupBy("pieces", "size").agg(F.max(n).alias("n")).collect()  # three sizes of one piece, six of two
     reach = max((x["n"] for x in held), default=1)
     kinds = sorted({(x["size"], d * x["size"]) for x in held for d in ((0,) if x["pieces"] == 1 else range(1, most + 2))}) or [(1, 0)]
     pairs = lambda found: F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in found])
     chosen = F.when(F.col("pieces") == 1, pairs([(i, i) for i in range(most + 1)])).otherwise(pairs([(i, j) for j in range(most + 2) for i in range(j)]))
     piece = lambda k, text="q": F.substring(text, k * F.col("step") + 1, F.col("size"))
-    seeds = q.where("pieces IS NOT NULL").withColumn("p", F.explode(chosen)).select("query_id", "q", "strand", "step", "size", F.col("p.i").alias("i"), F.col("p.j").alias("j"))
+    seeds = q.where("pieces > 0").withColumn("p", F.explode(chosen)).select("query_id", "q", "strand", "step", "size", F.col("p.i").alias("i"), F.col("p.j").alias("j"))
     seeds = seeds.withColumn("apart", (F.col("j") - F.col("i")) * F.col("step")).withColumn("seed", F.when(F.col("i") == F.col("j"), piece(F.col("i"))).otherwise(F.concat(piece(F.col("i")), piece(F.col("j")))))
     places = r.where(plain("r")).select("ref_id", "r", F.explode(F.array(*[F.struct(F.lit(k).alias("size"), F.lit(d).alias("apart")) for k, d in kinds])).alias("k")).select("ref_id", "r", "k.size", "k.apart")
     places = places.withColumn("last", F.length("r") - F.col("size") - F.col("apart") + 1).where("last >= 1").withColumn("pos", F.explode(F.sequence(F.lit(1), F.col("last"))))
@@ -81,7 +106,7 @@ def map_queries(queries: DataFrame, references: DataFrame, most: int, strands: b
     places = places.select("ref_id", "size", "apart", "pos", from_.alias("from"), seed.alias("seed"), F.substring("r", from_, F.col("pos") - from_ + reach).alias("near"))
     start = F.col("start")
     hit = F.substring("near", start - F.col("from") + 1, n)
-    found = seeds.join(places, ["size", "apart", "seed"]).withColumn("start", F.col("pos") - F.col("i") * F.col("step")).where("start >= 1")
+    found = meet(seeds, places, ["size", "apart", "seed"]).withColumn("start", F.col("pos") - F.col("i") * F.col("step")).where("start >= 1")
     found = found.withColumn("hit", hit).where("length(hit) = length(q)")
     for k in range(most + 1):  # a place counts once: by the first of its pieces that match
         found = found.where((F.col("j") <= k) | (F.col("i") == k) | (piece(F.lit(k)) != piece(F.lit(k), "hit")))
@@ -89,12 +114,14 @@ def map_queries(queries: DataFrame, references: DataFrame, most: int, strands: b
     differ = F.size(F.filter(F.zip_with(letters("q"), letters("hit"), lambda x, y: x != y), lambda z: z))
     found = found.withColumn("mismatch", differ).where(F.col("mismatch") <= most)
     found = found.select("query_id", "ref_id", "strand", "start", (start + n - 1).alias("end"), "mismatch")
+    short = _whole(q.where("pieces = 0"), r.where(plain("r")), most)
+    found = short.unionByName(found) if held else short
 
     def coded(some: DataFrame, texts: DataFrame) -> DataFrame:
         short = some.select("s_key", F.col("strand").alias("form"), F.col("q").alias("s"), F.lit(most).alias("most"))
         places = fitting(short, texts.select("l_key", F.col("r").alias("l")), F.col("n") <= F.col("m"))
         ids = [rows_of(df, k).select(k, F.col("id").alias(name), F.col("times").alias(k[0])) for df, k, name in ((queries, "s_key", "query_id"), (references, "l_key", "ref_id"))]
-        rows = places.join(ids[0], "s_key").join(ids[1], "l_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("s") * F.col("l"))))
+        rows = meet(meet(places, ids[0], "s_key"), ids[1], "l_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("s") * F.col("l"))))
         return rows.select("query_id", "ref_id", F.col("form").alias("strand"), "start", (F.col("start") + F.col("n") - 1).alias("end"), "mismatch")
 
     return found.unionByName(coded(q.where("pieces IS NULL"), r)).unionByName(coded(q.where("pieces IS NOT NULL"), r.where(~plain("r"))))
@@ -103,7 +130,7 @@ def map_queries(queries: DataFrame, references: DataFrame, most: int, strands: b
 def map_one(text: DataFrame, pattern: str, most: int) -> DataFrame:
     """(id, start) of every place where an IUPAC pattern fits within ``most`` mismatches; long texts are folded piece by piece."""
     size = max(PIECE, 2 * len(pattern))
-    held = pieces(text.select("id", "sequence"), max(len(pattern) - 1, 0), size)
+    held = pieces(spread(text.select("id", "sequence")), max(len(pattern) - 1, 0), size)
     hits = held.select("id", "number", F.explode(tolerant_hits(F.col("piece"), pattern, most)).alias("at"))
     return hits.select("id", (F.col("number") * size + F.col("at")).alias("start"))
 
