@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.sequence import reverse_complement
+from helixframe.operators.layout import meet, spread
 from helixframe.operators.pieces import PIECE, pieces, record_key
 
 #: Letters of a block, whose starts and stops one task sorts.
@@ -33,7 +34,7 @@ def _codons(df: DataFrame, starts: tuple[str, ...]) -> DataFrame:
 
 def frames(df: DataFrame, starts: tuple[str, ...] = STARTS) -> DataFrame:
     """(_key, id, strand, n, start, end) from each start codon to the first stop in its frame, 1-based on its own strand; ``df``: id, sequence."""
-    told = df.select(record_key("id", "sequence").alias("_key"), "id", "sequence")
+    told = spread(df).select(record_key("id", "sequence").alias("_key"), "id", "sequence")
     rows = _codons(told, starts).withColumn("frame", F.col("at") % 3).withColumn("block", F.floor(F.col("at") / BLOCK).cast("int"))
     by = ["_key", "strand", "frame"]
     behind = Window.partitionBy(*by, "block").orderBy(F.col("at").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -43,7 +44,7 @@ def frames(df: DataFrame, starts: tuple[str, ...] = STARTS) -> DataFrame:
     reach = heads.withColumn("from", F.coalesce(F.lag("block").over(Window.partitionBy(*by).orderBy("block")), F.lit(-1)))
     later = reach.where("from < block").select(*by, F.explode(F.sequence(F.col("from"), F.col("block") - 1)).alias("block"), "head").where("block >= 0")
     closed = near.where("next IS NOT NULL")
-    opened = near.where("next IS NULL").drop("next").join(later, [*by, "block"]).withColumnRenamed("head", "next")
+    opened = meet(near.where("next IS NULL").drop("next"), later, [*by, "block"]).withColumnRenamed("head", "next")
     columns = ["_key", "id", "strand", "n", F.col("at").cast("int").alias("start"), (F.col("next") + 2).cast("int").alias("end")]
     return closed.select(*columns).union(opened.select(*columns))
 
@@ -53,7 +54,7 @@ def cut_out(df: DataFrame, spans: DataFrame) -> DataFrame:
     told = df.select(record_key("id", "sequence").alias("_key"), "sequence")
     held = pieces(told, size=PIECE).groupBy("_key", "number").agg(F.first("piece").alias("piece"))  # copies have the same
     at = lambda c: F.floor((F.col(c) - 1) / PIECE).cast("int")
-    parts = spans.withColumn("number", F.explode(F.sequence(at("start"), at("end")))).join(held, ["_key", "number"])
+    parts = meet(spans.withColumn("number", F.explode(F.sequence(at("start"), at("end")))), held, ["_key", "number"])
     low = F.greatest(F.col("start") - F.col("number") * PIECE, F.lit(1))
     part = F.substring("piece", low, F.least(F.col("end") - F.col("number") * PIECE, F.lit(PIECE)) - low + 1)
     whole = parts.groupBy(*spans.columns).agg(F.array_sort(F.collect_list(F.struct("number", part.alias("part")))).alias("p"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from helixframe.functions.coding import circular_end, kmer_similarity, mutual_match, occurs_once
 from helixframe.functions.sequence import hairpin, max_mismatches, melting_temperature, reverse_complement
 from helixframe.operators.frames import STARTS, cut_out, frames
-from helixframe.operators.layout import spread
+from helixframe.operators.layout import meet, spread
 from helixframe.operators.pieces import PIECE, pieces, record_key
 from helixframe.operators.seeds import fitting, rows_of
 
@@ -55,7 +55,7 @@ def map_pairs(queries: DataFrame, references: DataFrame, similarity: float = 0.8
         if nucleotide:
             best = F.min(F.when(F.col("form") == "+", F.col("mismatch"))).over(Window.partitionBy("s_key", "l_key"))
             found = found.withColumn("best", best).where("form = '+' OR best IS NULL OR mismatch < best")
-        return _repeated(found.select("s_key", "l_key", "n", "m", "start", "mismatch", "form").join(s_rows, "s_key").join(l_rows, "l_key"))
+        return _repeated(meet(meet(found.select("s_key", "l_key", "n", "m", "start", "mismatch", "form"), s_rows, "s_key"), l_rows, "l_key"))
 
     rows = one_way(queries, references, F.col("n") <= F.col("m")).unionByName(one_way(references, queries, F.col("n") < F.col("m")))
     end = F.col("start") + F.col("n") - 1
@@ -80,7 +80,7 @@ def mutual_windows(queries: DataFrame, references: DataFrame) -> DataFrame:
     """(query_id, ref_id, start, end) where query and window match by ``mutual_match``; texts meet through seeds, see ``seeds``."""
     short, long, s_rows, l_rows = _sides(queries, references, lambda n: F.lit(0), False)
     hits = fitting(short, long, F.col("n") <= F.col("m"), accept=mutual_match)
-    rows = _repeated(hits.select("s_key", "l_key", "n", "start").join(s_rows, "s_key").join(l_rows, "l_key"))
+    rows = _repeated(meet(meet(hits.select("s_key", "l_key", "n", "start"), s_rows, "s_key"), l_rows, "l_key"))
     return rows.select(F.col("s_id").alias("query_id"), F.col("l_id").alias("ref_id"), "start", (F.col("start") + F.col("n") - 1).alias("end"))
 
 
@@ -88,7 +88,7 @@ def flanking_primers(df: DataFrame, target_start: int, target_end: int, size: in
     """(id, primer, position, start, end, tm) of windows wholly beside the target (1-based, inclusive) that melt in range, form no hairpin and occur once."""
     s, n = F.col("sequence"), F.lit(size)
     last = F.length(s) - size + 1
-    rows = df.where(last >= 1).select("id", s, F.explode(F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).alias("start"))
+    rows = spread(df).where(last >= 1).select("id", s, F.explode(F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).alias("start"))
     where = F.when(F.col("start") + size - 1 < target_start, "upstream").when(F.col("start") > target_end, "downstream")
     rows = rows.withColumn("position", where).where("position IS NOT NULL").withColumn("primer", F.substring(s, F.col("start"), n))
     rows = rows.withColumn("tm", melting_temperature(F.col("primer"))).where(F.col("tm").between(low, high))
@@ -111,7 +111,7 @@ def overlaps(spans: DataFrame, by: list[str]) -> DataFrame:
     asked = spans.select(*by, "start", "end", F.explode(classes).alias("_c"))
     own = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_c")))
     asked = asked.withColumn("_b", F.explode(F.sequence(own("start") - 1, own("end"))))
-    pairs = asked.join(held, [*by, "_c", "_b"]).where("start <= e AND end >= s AND NOT (start = s AND end = e)").select(*by, "start", "end", "s", "e")
+    pairs = meet(asked, held, [*by, "_c", "_b"]).where("start <= e AND end >= s AND NOT (start = s AND end = e)").select(*by, "start", "end", "s", "e")
     return pairs.union(pairs.select(*by, F.col("s"), F.col("e"), F.col("start"), F.col("end"))).distinct()
 
 
@@ -123,7 +123,7 @@ def keep_longer_overlaps(orfs: DataFrame, key: str = "id") -> DataFrame:
     by = [key, "strand"]
     spans = orfs.select(*by, "start", "end").distinct()
     other = overlaps(spans, by).groupBy(*by, "start", "end").agg(F.min(F.struct("s", "e")).alias("o"))
-    first = spans.join(other, [*by, "start", "end"], "left")
+    first = meet(spans, other, [*by, "start", "end"], "left")
     own = F.col("o").isNull() | (F.col("end") - F.col("start") > F.col("o.e") - F.col("o.s"))
     pick = F.when(own, F.struct("start", "end")).otherwise(F.struct(F.col("o.s").alias("start"), F.col("o.e").alias("end")))
     return first.select(*by, pick.alias("p")).select(*by, "p.start", "p.end").distinct()
@@ -141,7 +141,7 @@ def find_orfs(df: DataFrame, starts: tuple[str, ...] = STARTS, longer_only: bool
     found = frames(df, starts).select("_key", "strand", F.when(back, mirror("end")).otherwise(F.col("start")).alias("start"), F.when(back, mirror("start")).otherwise(F.col("end")).alias("end"))
     kept = keep_longer_overlaps(found, "_key") if longer_only else found.distinct()
     records = df.groupBy(record_key("id", "sequence").alias("_key")).agg(F.first("id").alias("id"), F.count("*").alias("times"))
-    cut = cut_out(df, kept).join(records, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    cut = meet(cut_out(df, kept), records, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return cut.select("id", "strand", "start", "end", (F.col("end") - F.col("start") + 1).alias("n"), "sequence")
 
 
@@ -154,7 +154,7 @@ def cover_dedup(df: DataFrame, group: str, id_col: str = "id", sequence: str = "
     empty; in a group whose shortest is empty only the first stays. Of copies one stays.
     """
     key = record_key(group, id_col, sequence)
-    rows = df.select(F.col(group).alias("_g"), F.col(id_col).alias("_id"), F.coalesce(sequence, F.lit("")).alias("sequence"), key.alias("_key"))
+    rows = spread(df).select(F.col(group).alias("_g"), F.col(id_col).alias("_id"), F.coalesce(sequence, F.lit("")).alias("sequence"), key.alias("_key"))
     least = rows.groupBy("_g").agg(F.min(F.length("sequence")).alias("k"))
     widest = max(least.agg(F.max("k")).first()[0] or 1, 1)
     told = rows.join(least.withColumnRenamed("_g", "_own"), F.col("_g").eqNullSafe(F.col("_own"))).select("_g", "k", F.struct((-F.length("sequence")).alias("n"), F.col("_id").isNull().alias("null"), "_id", "_key").alias("rank"), "sequence")
@@ -163,7 +163,7 @@ def cover_dedup(df: DataFrame, group: str, id_col: str = "id", sequence: str = "
     last = F.least(F.length("piece") - F.col("k") + 1, F.lit(size))
     grams = held.where(last >= 1).withColumn("at", F.explode(F.sequence(F.lit(1), last))).select("_g", F.substring("piece", F.col("at"), F.col("k")).alias("kmer"), "rank")
     first = grams.groupBy("_g", "kmer").agg(F.min("rank").alias("rank")).union(told.where("k = 0").groupBy("_g").agg(F.lit("").alias("kmer"), F.min("rank").alias("rank")))
-    kept = df.withColumn("_key", key).join(first.select(F.col("rank._key").alias("_kept")).distinct(), F.col("_key") == F.col("_kept"), "left_semi")
+    kept = meet(df.withColumn("_key", key), first.select(F.col("rank._key").alias("_kept")).distinct(), F.col("_key") == F.col("_kept"), "left_semi")
     turn = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))
     return kept.withColumn("_turn", turn).where("_turn = 1").select(*df.columns)
 
