@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.sequence import MASK, bind, expand, masks, mismatches
+from helixframe.operators.layout import meet
 from helixframe.operators.pieces import PIECE, pieces, record_key
 
 #: Plain texts that a keyed seed stands for, at most; four letters never stand for more.
@@ -152,7 +153,7 @@ def candidates(shorts: DataFrame, longs: DataFrame, nucleotide: bool = True, cir
         found.append(F.when(F.length(text) == lengths[k], bind(text, keys(k, lengths[k]))).otherwise(F.array().cast("array<struct<code:int,text:string>>")))
     places = held.select("l_key", "m", (F.col("number") * max(PIECE, reach) + F.col("i")).alias("at"), F.explode(F.flatten(F.array(*found))).alias("k"))
     places = places.select("l_key", "m", "at", "k.code", F.explode(_variants(F.col("k.text"), nucleotide)).alias("text"))
-    met = _salted(asked, True).join(_salted(places, False), ["code", "text", "salt"]).withColumn("start", F.col("at") - F.col("offset"))
+    met = meet(_salted(asked, True), _salted(places, False), ["code", "text", "salt"]).withColumn("start", F.col("at") - F.col("offset"))
     last = F.col("m") if circular else F.col("m") - F.col("n") + 1
     return met.where((F.col("start") >= 1) & (F.col("start") <= last)).select("s_key", "form", "n", "l_key", "m", "start").distinct()
 
@@ -171,7 +172,7 @@ def fitting(shorts: DataFrame, longs: DataFrame, keep: Column, nucleotide: bool
     size = max(PIECE, longest)
     near = candidates(once, texts, nucleotide, circular).where(keep).withColumn("number", F.floor((F.col("start") - 1) / size).cast("int"))
     held = pieces(texts.select("l_key", "l"), longest, size, "l").select("l_key", "number", "piece")
-    rows = near.join(once, ["s_key", "form"]).join(held, ["l_key", "number"])
+    rows = meet(meet(near, once, ["s_key", "form"]), held, ["l_key", "number"])
     rows = rows.withColumn("hit", F.substring("piece", F.col("start") - F.col("number") * size, F.col("n"))).where("length(hit) = n")
     differ = mismatches(masks(F.col("hit")), masks(F.col("s"))) if nucleotide else F.size(F.filter(F.zip_with(F.split("hit", ""), F.split("s", ""), lambda x, y: x != y), lambda z: z))
     rows = rows.withColumn("mismatch", differ.cast("int"))
