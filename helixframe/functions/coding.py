@@ -71,18 +71,38 @@ def plain(s: Column) -> Column:
     return ~s.rlike("[^ACGT]")
 
 
+def _compatible(p: Column, q: Column) -> Column:
+    return ~F.exists(F.zip_with(p, q, lambda u, v: F.coalesce(u.bitwiseAND(v), F.lit(0))), lambda z: z == 0)
+
+
 def kmer_similarity(a: Column, b: Column, k: Column | int) -> Column:
     """Distinct k-mers of ``a`` that some k-mer of ``b`` is compatible with (base sets meet), over the larger set's size; 0 without k-mers."""
     x, y = (F.array_distinct(F.transform(kmers(s, k), masks)) for s in (a, b))
-    meet = lambda p, q: ~F.exists(F.zip_with(p, q, lambda u, v: F.coalesce(u.bitwiseAND(v), F.lit(0))), lambda z: z == 0)
 
     def share(v: Column) -> Column:
-        matched = F.size(F.filter(v["x"], lambda p: F.exists(v["y"], lambda q: meet(p, q))))
+        matched = F.size(F.filter(v["x"], lambda p: F.exists(v["y"], lambda q: _compatible(p, q))))
         return F.try_divide(matched.cast("double"), F.greatest(F.size(v["x"]), F.size(v["y"])))
 
     return F.coalesce(bind(F.struct(x.alias("x"), y.alias("y")), share), F.lit(0.0))
 
 
+def window_similarities(a: Column, b: Column, k: Column, starts: Column) -> Column:
+    """Array of (start, similarity): ``kmer_similarity`` of ``a`` and each window of ``b`` as long that begins at one of ``starts``.
+
+    Two k-mers are compared once a row, not once a window; k-mers of ``b`` are told apart by the first place of an equal one.
+    """
+    x, y = F.array_distinct(F.transform(kmers(a, k), masks)), F.transform(kmers(b, k), masks)
+    places = lambda v: F.transform(v["x"], lambda p: F.array_compact(F.transform(v["y"], lambda q, j: F.when(_compatible(p, q), j + 1))))
+    found = lambda v: F.struct(places(v).alias("places"), F.transform(v["y"], lambda q: F.array_position(v["y"], q)).alias("y"), F.greatest(F.length(a) - k + 1, F.lit(0)).alias("n"))
+
+    def share(v: Column, i: Column) -> Column:
+        matched = F.size(F.filter(v["places"], lambda at: F.exists(at, lambda j: (j >= i) & (j < i + v["n"]))))
+        return F.try_divide(matched.cast("double"), F.greatest(F.size(v["places"]), F.size(F.array_distinct(F.slice(v["y"], i, v["n"])))))
+
+    both = bind(F.struct(x.alias("x"), y.alias("y")), found)
+    return bind(both, lambda v: F.transform(starts, lambda i: F.struct(i.alias("start"), F.coalesce(share(v, i), F.lit(0.0)).alias("similarity"))))
+
+
 def mutual_match(a: Column, b: Column) -> Column:
     """Two strings of one length where one is plain and inside the other's codes, or both are equal."""
     inside = lambda x, y: plain(x) & ~F.exists(F.zip_with(masks(x), masks(y), lambda u, v: F.coalesce(u.bitwiseAND(v), F.lit(0))), lambda z: z == 0)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.coding import circular_end, kmer_similarity, mutual_match, occurs_once
+from helixframe.functions.coding import circular_end, mutual_match, occurs_once, window_similarities
 from helixframe.functions.sequence import hairpin, max_mismatches, melting_temperature, reverse_complement
 from helixframe.operators.frames import STARTS, cut_out, frames
 from helixframe.operators.layout import meet, spread
@@ -70,10 +70,10 @@ def map_windows(df: DataFrame, long: str, short: str, similarity: float = 0.0, c
     a, b = F.col(long), F.col(short)
     big, small = (F.when(F.length(a) >= F.length(b), x).otherwise(y) for x, y in ((a, b), (b, a)))
     rows = spread(df).withColumns({"_l": big, "_s": small}).where(F.length("_s") / F.length("_l") > coverage)
-    rows = rows.withColumn("start", F.explode(_windows(F.col("_l"), F.length("_s"))))
     size = F.greatest(F.floor(F.length("_s") / 5).cast("int"), F.lit(k))
-    score = kmer_similarity(F.col("_s"), F.substring(F.col("_l"), F.col("start"), F.length("_s")), size)
-    return rows.withColumn("end", F.col("start") + F.length("_s") - 1).withColumn("similarity", score).where(F.col("similarity") > similarity).drop("_l", "_s")
+    scored = window_similarities(F.col("_s"), F.col("_l"), size, _windows(F.col("_l"), F.length("_s")))
+    rows = rows.select("*", F.inline(F.filter(scored, lambda w: w["similarity"] > similarity)))
+    return rows.select(*df.columns, "start", (F.col("start") + F.length("_s") - 1).alias("end"), "similarity")
 
 
 def mutual_windows(queries: DataFrame, references: DataFrame) -> DataFrame:
