@@ -340,12 +340,15 @@ i AS (SELECT *, sum(fresh) OVER (PARTITION BY suppkey ORDER BY start, e ROWS UNB
 SELECT suppkey, min(start)::BIGINT AS start, max(e)::BIGINT AS "end", count(*)::INT AS n FROM i GROUP BY suppkey, island""")
 def merged_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SQL text alone over a table function with a partitioned and ordered TABLE argument."""
-    table_functions.register(spark)
-    _table(spark, sf_dir, "lineitem").createOrReplaceTempView("helixframe_lineitem")
-    return spark.sql("""
+    rows = _table(spark, sf_dir, "lineitem")
+    rows.createOrReplaceTempView("helixframe_lineitem")
+    table_functions.register(spark, f"suppkey {rows.schema['l_suppkey'].dataType.simpleString()}")
+    out = spark.sql("""
         SELECT * FROM merged_spans(
             TABLE(SELECT l_suppkey AS suppkey, l_orderkey AS start, l_orderkey + l_linenumber * 3 AS `end` FROM helixframe_lineitem)
             PARTITION BY suppkey ORDER BY (start, `end`), 40)""")
+    table_functions.register(spark)  # for tables of any columns
+    return out
 
 
 @_register(f"""SELECT kmer, count(*) AS n, count(DISTINCT id % 3) AS n_files FROM (SELECT id, unnest(list_transform(range(1, 29), lambda i: substr(sequence, i, 5))) AS kmer FROM ({_dna_sql()})) GROUP BY 1""")
