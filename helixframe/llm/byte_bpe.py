@@ -307,8 +307,10 @@ class ByteBPE:
         self.data, self.view = data, blocks(data)
         self.misses = IdTable()
 
-    def merge(self, pieces: list[bytes]) -> list[list[int]]:
-        return [merge_piece(x, self.ranks) for x in pieces]
+    def merge_slices(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of ids, ids in a row) of slices of ``data``."""
+        raw = data.tobytes()
+        return flattened([merge_piece(raw[a:b], self.ranks) for a, b in zip(start.tolist(), (start + size).tolist(), strict=True)])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents in a row, and where each document's ids begin (plus the end)."""
@@ -325,8 +327,8 @@ class ByteBPE:
         miss = np.flatnonzero(slot < 0)
         count = np.ones(len(start), np.int64)
         if len(miss):
-            raw, a, b = data.tobytes(), start[miss], (start + size)[miss]
-            held = self.misses.slots(hasher, h[miss], a, size[miss], lambda new: flattened(self.merge([raw[a[i] : b[i]] for i in new.tolist()])))
+            a, n = start[miss], size[miss]
+            held = self.misses.slots(hasher, h[miss], a, n, lambda new: self.merge_slices(data, a[new], n[new]))
             count[miss] = self.misses.count[held]
         to = np.concatenate(([0], np.cumsum(count)))
         out = np.empty(int(to[-1]), np.uint32)

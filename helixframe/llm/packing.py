@@ -82,6 +82,7 @@ class MergeBPE(ByteBPE):
         self.pairs, self.rank = pair[order], order
         self.made = np.array([vocab[a + b] for a, b in merges], np.int64)
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte_pairs = self.pair_ranks(self.byte_id[:, None], self.byte_id[None, :])
         self.misses = IdTable(KEEP_MISSES)
 
     @cached_property
@@ -99,43 +100,40 @@ class MergeBPE(ByteBPE):
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where(self.pairs[at] == key, self.rank[at], 1 << 40)
 
-    def merge(self, pieces: list[bytes]) -> list[list[int]]:
-        out: list = [None] * len(pieces)
-        short = []
-        for k, x in enumerate(pieces):
-            if len(x) > _LONG_PIECE:
-                out[k] = self._by_library(x)
-            else:
-                short.append(k)
-        if not short:
-            return out
-        size = np.array([len(pieces[k]) for k in short], np.int64)
-        ids = self.byte_id[np.frombuffer(b"".join(pieces[k] for k in short), np.uint8)]
-        piece = np.repeat(np.arange(len(short)), size)
-        done_ids, done_piece = [], []
+    def merge_slices(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        counts = np.zeros(len(start), np.int64)
+        flat, at = np.zeros(int(size.sum()), np.uint32), np.cumsum(size) - size  # a slice has no more ids than bytes
+        short = np.flatnonzero(size <= _LONG_PIECE)
+        for k in np.flatnonzero(size > _LONG_PIECE).tolist():
+            ids = self._by_library(data[start[k] : start[k] + size[k]].tobytes())
+            counts[k] = len(ids)
+            flat[at[k] : at[k] + len(ids)] = ids
+        raw = data[_flat(start[short], size[short])]
+        ids, piece = self.byte_id[raw], np.repeat(short, size[short])
         none = 1 << 40
         rank = np.full(len(ids), none, np.int64)
         inside = np.flatnonzero(piece[1:] == piece[:-1])
-        rank[inside] = self.pair_ranks(ids[inside], ids[inside + 1])
+        rank[inside] = self.byte_pairs[raw[inside], raw[inside + 1]]
         while len(ids):
             first = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1])))
             count = np.diff(np.append(first, len(ids)))
-            least = np.repeat(np.minimum.reduceat(rank, first), count)
+            least = np.minimum.reduceat(rank, first)
             over = least == none
             if over.any():
-                done_ids.append(ids[over])
-                done_piece.append(piece[over])
-                ids, piece, rank, least = ids[~over], piece[~over], rank[~over], least[~over]
+                some, n, gone = piece[first[over]], count[over], np.repeat(over, count)
+                counts[some] = n
+                flat[_flat(at[some], n)] = ids[gone]
+                ids, piece, rank, least, count = ids[~gone], piece[~gone], rank[~gone], least[~over], count[~over]
                 if not len(ids):
                     break
-            hit = np.flatnonzero(rank == least)
+            hit = np.flatnonzero(rank == np.repeat(least, count))
             hit = hit[np.concatenate(([True], piece[hit][1:] != piece[hit][:-1]))]  # the leftmost of each piece
             ids[hit] = self.made[rank[hit]]
             keep = np.ones(len(ids), bool)
             keep[hit + 1] = False
-            at = np.cumsum(keep)[hit] - 1
+            at_kept = hit - np.arange(len(hit))  # each piece before has lost one
             ids, piece, rank = ids[keep], piece[keep], rank[keep]
-            for left in (at, at - 1):
+            for left in (at_kept, at_kept - 1):
                 ok = left[(left >= 0) & (left < len(ids))]
                 same = np.zeros(len(ok), bool)
                 in_row = ok + 1 < len(ids)
@@ -143,13 +141,7 @@ class MergeBPE(ByteBPE):
                 rank[ok[~same]] = none
                 ok = ok[same]
                 rank[ok] = self.pair_ranks(ids[ok], ids[ok + 1])
-        ids, piece = np.concatenate(done_ids), np.concatenate(done_piece)
-        order = np.argsort(piece, kind="stable")
-        cut = np.searchsorted(piece[order], np.arange(len(short) + 1)).tolist()
-        flat = ids[order].tolist()
-        for n, k in enumerate(short):
-            out[k] = flat[cut[n] : cut[n + 1]]
-        return out
+        return counts, flat[_flat(at, counts)]
 
     def _by_library(self, piece: bytes) -> list[int]:
         """A long pre-token: merged by the same rules with a heap."""
