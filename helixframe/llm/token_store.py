@@ -160,6 +160,12 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return _made[path]
 
 
+def forget() -> None:
+    """A worker that encoded before needs its tables no more."""
+    _made.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def encode(df: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids binary, n_tokens): little-endian unsigned ids, 2 bytes each if the vocabulary allows (else 4), end id last."""
 
@@ -176,6 +182,7 @@ def encode(df: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", te
                     [batch.column(0).slice(lo, hi - lo), pa.array([raw[x:y] for x, y in zip(cut, cut[1:], strict=False)], pa.binary()), pa.array(np.diff(at))],
                     [id_col, "ids", "n_tokens"],
                 )
+            pa.default_memory_pool().release_unused()  # Arrow's allocator keeps over 100 MB otherwise
 
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, ids binary, n_tokens long")
 
@@ -189,6 +196,7 @@ def count_ids(encoded: DataFrame, vocabulary: int) -> np.ndarray:
     kind = id_type(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
             for x in batch.column(0):
@@ -220,6 +228,7 @@ def write(df: DataFrame, path: str, vocabulary: int, end_id: int = 1, id_col: st
     table = spark.sparkContext.broadcast(rank)  # vocabulary-bounded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         shard, number, waiting = TaskContext.get().partitionId(), 0, 0
         held: list[np.ndarray] = []
         keys: list = []
@@ -266,6 +275,7 @@ def read(spark: SparkSession, target: str, id_col: str = "doc_id", ids: bool = T
     starts = inside.join(shards, "shard").select("shard", "block", (F.col("before") + F.col("inside")).alias("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for k in range(batch.num_rows):
                 sizes, found = unblock(batch.column(2)[k].as_buffer(), batch.column(3)[k].as_buffer())
