@@ -131,7 +131,7 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class IdTable:
-    """Growing table byte string -> id list, emptied when it holds more than ``limit`` entries.
+    """Growing table byte string -> id list; beyond ``limit`` entries only those looked up again since the last time stay.
 
     Hashes are kept in two sorted arrays, the smaller one merged into the larger
     as it grows; strings are held too, and compared with what is looked up. A
@@ -148,18 +148,32 @@ class IdTable:
         self.n = self.used = self.n_bytes = 0
         self.start, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.text_at, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.again = np.zeros(1 << 12, bool)
         self.flat = np.zeros(1 << 14, np.uint32)
         self.text = np.zeros(1 << 16, np.uint8)
 
+    def thin(self) -> None:
+        """Drop what was not looked up again since it came or was kept; all, if that leaves too much."""
+        keys, slots = (np.concatenate(x) for x in zip(*self.levels, strict=True))
+        stays = self.again[slots]
+        keys, slots = keys[stays], slots[stays]
+        size, counts = self.size[slots], self.count[slots]
+        if 4 * len(slots) > 3 * self.limit or 2 * int(size.sum()) > KEEP_BYTES:
+            self.clear()
+            return
+        text, flat = self.text[spread(size, self.text_at[slots])], self.flat[spread(counts, self.start[slots])]
+        self.clear()
+        self.add(keys, text, np.cumsum(size) - size, size, counts, flat)
+
     def add(self, keys: np.ndarray | None, data: np.ndarray, start: np.ndarray, size: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> np.ndarray:
         """New slots for slices of ``data``; without ``keys`` no later look-up finds them."""
         slots = np.arange(self.n, self.n + len(start))
         self.n += len(slots)
         while self.n > len(self.start):
-            self.start, self.count, self.text_at, self.size = (np.resize(x, 2 * len(x)) for x in (self.start, self.count, self.text_at, self.size))
+            self.start, self.count, self.text_at, self.size, self.again = (np.resize(x, 2 * len(x)) for x in (self.start, self.count, self.text_at, self.size, self.again))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.count[slots] = counts
+        self.count[slots], self.again[slots] = counts, False
         self.start[slots] = self.used + np.cumsum(counts) - counts
         self.flat[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
@@ -182,7 +196,7 @@ class IdTable:
     def slots(self, hasher: Hasher, h: np.ndarray, start: np.ndarray, size: np.ndarray, make) -> np.ndarray:
         """Slot of each slice of the hasher's data; ``make(positions)`` gives (counts, ids) of those not held."""
         if self.n > self.limit or self.n_bytes > KEEP_BYTES:
-            self.clear()
+            self.thin()
         keys, at, back = np.unique(h, return_index=True, return_inverse=True)
         found = np.full(len(keys), -1)
         for have, slot in self.levels:
@@ -194,6 +208,7 @@ class IdTable:
         other = np.zeros(len(h), bool)  # slices that differ from the one that has their hash
         if len(held):
             view, slot, own = np.ndarray((len(self.text) - 7,), "<u8", self.text, 0, (1,)), found[held], at[held]
+            self.again[slot] = True
             same = self.size[slot] == size[own]
             same[same] = same_slices(view, self.text_at[slot[same]], hasher.at, start[own[same]], size[own[same]])
             if not same.all():

@@ -10,6 +10,7 @@ stands for the bytes in a table, ``same_slices`` compares the bytes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,6 +99,14 @@ def same_slices(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.n
     return out
 
 
+def give_back() -> None:
+    """Return what Arrow and the C library hold of freed memory to the system, which a Python worker otherwise keeps as long as it lives."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def chunks(column: pa.Array, max_bytes: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of consecutive rows; nulls count as empty."""
     max_bytes = max_bytes or CHUNK_BYTES

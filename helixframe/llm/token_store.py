@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.byte_bpe import IdTable, flattened, spread
 from helixframe.llm.store import ROW_GROUP, new_path, release, small_batches, stash, track
-from helixframe.llm.textops import Hasher, chunks, words
+from helixframe.llm.textops import Hasher, chunks, give_back, words
 
 MAGIC, VERSION = 0x31425648, 2
 BLOCK_TOKENS = 1 << 19
 SHARD_TOKENS = 1 << 24
 KEEP_WORDS = 500_000
-_BATCH = 1 << 13
+_BATCH, _ROW = 1 << 13, 1 << 10
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -118,10 +118,10 @@ class WordTokenizer:
         raw = data.tobytes()
 
         def make(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            texts = [raw[start[i] : end[i]].decode() for i in new.tolist()]
-            counts, at, flat, used = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [np.zeros(0, np.uint32)], 0
+            first, size = start[new], (end - start)[new]
+            counts, at, flat, used = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), [np.zeros(0, np.uint32)], 0
 
-            def take(some: list[int], ids: np.ndarray, n: np.ndarray) -> None:
+            def take(some: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
                 nonlocal used
                 counts[some] = n
                 at[some] = used + np.cumsum(n) - n
@@ -129,17 +129,23 @@ class WordTokenizer:
                 used += len(ids)
 
             # Latin letters only: one pre-token, so one word end
-            simple = [t.isalpha() and (t.isascii() or (max(t) < "\u0250" and "\u0130" not in t)) for t in texts]
-            plain = [k for k, x in enumerate(simple) if x]
+            ascii_ = np.logical_and.reduceat(_LETTER[data[spread(size, first)]], np.cumsum(size) - size) if len(new) else np.zeros(0, bool)
+            simple = ascii_.copy()
+            texts = {k: raw[first[k] : first[k] + size[k]].decode() for k in np.flatnonzero(~ascii_).tolist()}
+            simple[[k for k, t in texts.items() if t.isalpha() and max(t) < "\u0250" and "\u0130" not in t]] = True
+            plain = np.flatnonzero(simple)
             for lo in range(0, len(plain), _BATCH):
                 some = plain[lo : lo + _BATCH]
-                ids = np.array(self.tokenizer.encode(" ".join([texts[k] for k in some]), add_special_tokens=False).ids, np.uint32)
+                joined = np.full(int(size[some].sum()) + len(some), 0x20, np.uint8)
+                joined[spread(size[some], np.cumsum(size[some] + 1) - size[some] - 1)] = data[spread(size[some], first[some])]
+                cut = np.append(np.cumsum(size[some] + 1)[_ROW - 1 : -1 : _ROW], len(joined)).tolist()
+                found = self.tokenizer.encode_batch_fast([joined[a:b].tobytes().decode() for a, b in zip([0, *cut], cut, strict=False)], add_special_tokens=False)
+                ids = np.concatenate([np.array(x.ids, np.uint32) for x in found])
                 take(some, ids, np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0))
-            rest = [k for k, x in enumerate(simple) if not x]
+            rest = np.flatnonzero(~simple)
             for lo in range(0, len(rest), _BATCH):
                 some = rest[lo : lo + _BATCH]
-                found = [x.ids for x in self.tokenizer.encode_batch_fast([texts[k] for k in some], add_special_tokens=False)]
-                n, ids = flattened(found)
+                n, ids = flattened([x.ids for x in self.tokenizer.encode_batch_fast([texts[k] for k in some.tolist()], add_special_tokens=False)])
                 take(some, ids, n)
             return counts, np.concatenate(flat)[spread(counts, at)]
 
@@ -163,7 +169,7 @@ def word_tokenizer(path: str) -> WordTokenizer:
 def forget() -> None:
     """A worker that encoded before needs its tables no more."""
     _made.clear()
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def encode(df: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,7 +188,7 @@ def encode(df: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", te
                     [batch.column(0).slice(lo, hi - lo), pa.array([raw[x:y] for x, y in zip(cut, cut[1:], strict=False)], pa.binary()), pa.array(np.diff(at))],
                     [id_col, "ids", "n_tokens"],
                 )
-            pa.default_memory_pool().release_unused()  # Arrow's allocator keeps over 100 MB otherwise
+            give_back()  # Arrow's allocator keeps over 100 MB otherwise, the C library's 40 MB
 
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, ids binary, n_tokens long")
 
@@ -191,6 +197,16 @@ def id_type(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
+def runs(column: pa.Array, kind: str) -> Iterator[np.ndarray]:
+    """The ids of all rows of a binary column, ``BLOCK_TOKENS`` at a time."""
+    column = column.cast(pa.large_binary())
+    _, offsets, values = column.buffers()
+    at, end = np.frombuffer(offsets, np.int64)[[column.offset, column.offset + len(column)]].tolist() if len(column) else (0, 0)
+    ids = np.frombuffer(values, kind, (end - at) // np.dtype(kind).itemsize, at) if end > at else np.zeros(0, kind)
+    for at in range(0, len(ids), BLOCK_TOKENS):
+        yield ids[at : at + BLOCK_TOKENS]
+
+
 def count_ids(encoded: DataFrame, vocabulary: int) -> np.ndarray:
     """Corpus-wide count of every id (array of the vocabulary's size)."""
     kind = id_type(vocabulary)
@@ -199,11 +215,8 @@ def count_ids(encoded: DataFrame, vocabulary: int) -> np.ndarray:
         forget()
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), kind), minlength=vocabulary) if len(x.as_buffer()) > vocabulary else 0
-                if len(x.as_buffer()) <= vocabulary:
-                    ids, n = np.unique(np.frombuffer(x.as_buffer(), kind), return_counts=True)
-                    total[ids] += n
+            for ids in runs(batch.column(0), kind):
+                total += np.bincount(ids, minlength=vocabulary)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["id", "n"])
 

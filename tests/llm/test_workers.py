@@ -9,7 +9,8 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 
-from helixframe.llm import packing, token_store
+from helixframe.llm import byte_bpe, packing, token_store
+from helixframe.llm.textops import Hasher
 
 
 def test_a_worker_that_counts_ids_drops_the_tokenizer(spark):
@@ -35,3 +36,45 @@ def test_misses_are_merged_without_a_step_a_word():
     ids, _ = profile.runcall(model.encode, data, np.array([0, len(data)]))
     assert ids.tolist() == model.tokenizer.encode(text, add_special_tokens=False).ids
     assert pstats.Stats(profile).total_calls < 6000  # one long word takes a few hundred
+
+
+def test_a_full_table_keeps_what_is_looked_up_again():
+    table, made = byte_bpe.IdTable(1000), []
+
+    def look(numbers):
+        data = np.frombuffer(b"".join(b"%06d" % x for x in numbers), np.uint8)
+        start, size, hasher = np.arange(len(numbers)) * 6, np.full(len(numbers), 6), Hasher(data)
+
+        def make(new):
+            made.extend(numbers[k] for k in new)
+            return np.full(len(new), 2), np.array([x for k in new for x in (numbers[k], 7)], np.uint32)
+
+        held = table.slots(hasher, hasher.of(start, start + size), start, size, make)
+        assert table.flat[byte_bpe.spread(table.count[held], table.start[held])].tolist() == [x for n in numbers for x in (n, 7)]
+
+    often = list(range(300))
+    for k in range(20):
+        look(often + list(range(1000 + 200 * k, 1200 + 200 * k)))
+    assert len(made) == 300 + 20 * 200 and table.n <= 1500
+    look(list(range(9000, 10200)))
+    look(list(range(9000, 10200)))
+    assert table.n > table.limit
+    look(often)  # all were looked up again, so all go
+    assert table.n == 300
+
+
+def test_words_are_encoded_without_a_step_a_word():
+    model = token_store.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choices("aeiKLmnorst", k=rng.randrange(3, 14))) for _ in range(6000)})
+    text = " ".join([*words, "stra\u00dfe", "\u0130stanbul", "x1", "don't", "\u65e5\u672c"])
+    data, profile = np.frombuffer(text.encode(), np.uint8), cProfile.Profile()
+    ids, _ = profile.runcall(model.encode, data, np.array([0, len(data)]))
+    assert ids.tolist() == model.tokenizer.encode(text, add_special_tokens=False).ids
+    assert pstats.Stats(profile).total_calls < 2000
+
+
+def test_ids_of_a_sliced_column():
+    column = pa.array([np.array(x, "<u2").tobytes() for x in ([1, 2], [], [3], [4, 5, 6])], pa.binary())
+    assert [x for part in token_store.runs(column.slice(1, 3), "<u2") for x in part.tolist()] == [3, 4, 5, 6]
+    assert not list(token_store.runs(column.slice(1, 1), "<u2")) and not list(token_store.runs(column.slice(0, 0), "<u2"))
