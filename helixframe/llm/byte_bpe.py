@@ -49,31 +49,31 @@ class PerfectHash:
         order = np.argsort(bucket, kind="stable")
         counts = np.bincount(bucket, minlength=self.buckets)
         first = np.concatenate(([0], np.cumsum(counts)))
-        free = np.ones(n, bool)
+        free, owner = np.ones(n, bool), np.zeros(n, np.int64)
         self.shift = np.zeros(self.buckets, np.int64)
         self.key = np.zeros(n, np.uint64)
         self.slot_of = np.zeros(n, np.int64)
-        tries = np.arange(1, 65, dtype=np.uint64)
-        for b in np.argsort(-counts, kind="stable").tolist():
-            members = order[first[b] : first[b + 1]]
-            if len(members) == 1:
-                break
-            if not len(members):
-                break
-            h, base = hashes[members], 0
-            while True:
-                slots = self._place(h[None, :], (tries + np.uint64(base))[:, None])
-                good = free[slots].all(1)
-                for k in np.flatnonzero(good):
-                    if len(set(slots[k].tolist())) == len(members):
-                        break
-                else:
-                    base += len(tries)
-                    continue
-                break
-            self.shift[b] = base + int(tries[k])
-            free[slots[k]] = False
-            self.slot_of[members] = slots[k]
+        for size in range(int(counts.max()), 1, -1):  # all buckets of a size together, each from its own shift on
+            todo = np.flatnonzero(counts == size)
+            members, shift = order[first[todo, None] + np.arange(size)], np.ones(len(todo), np.int64)
+            while len(todo):
+                tries = shift[:, None] + np.arange(max(1, min(1 << 12, (1 << 14) // (len(todo) * size))))
+                slots = self._place(hashes[members][:, None, :], tries[:, :, None].astype(np.uint64))
+                good = free[slots].all(2)
+                ranked = np.sort(slots[good], 1)
+                good[good] = (ranked[:, 1:] != ranked[:, :-1]).all(1)
+                k, some = good.argmax(1), np.flatnonzero(good.any(1))
+                taken = slots[some, k[some]]
+                owner[taken[::-1].ravel()] = np.repeat(some[::-1], size)  # the first bucket that wants a slot has it
+                won = (owner[taken] == some[:, None]).all(1)
+                some, taken = some[won], taken[won]
+                self.shift[todo[some]] = tries[some, k[some]]
+                free[taken] = False
+                self.slot_of[members[some]] = taken
+                shift = np.where(good.any(1), shift, tries[:, -1] + 1)
+                left = np.ones(len(todo), bool)
+                left[some] = False
+                todo, members, shift = todo[left], members[left], shift[left]
         single = np.flatnonzero(counts == 1)
         left = np.flatnonzero(free)
         self.shift[single] = -left[: len(single)] - 1
@@ -253,7 +253,7 @@ def char_classes() -> np.ndarray:
     global _classes
     if _classes is None:
         table = np.zeros(0x110000, np.uint8)
-        for c in range(0x110000):
+        for c in range(0x40000):  # beyond are no letters or numbers
             kind = unicodedata.category(chr(c))[0]
             if kind == "L":
                 table[c] = _LETTER

@@ -63,6 +63,40 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class PairTable:
+    """Numbers of pairs of ids, by open addressing; ``NONE`` for other pairs."""
+
+    NONE, BITS = 1 << 30, 17
+
+    def __init__(self, pairs: np.ndarray):
+        self.bits = max(self.BITS, len(pairs).bit_length() + 1)
+        self.key, self.number = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, self.NONE, np.int32)
+        left, at = np.arange(len(pairs)), self._at(pairs)
+        while len(left):
+            free = self.key[at] < 0
+            self.key[at[free]] = pairs[left[free]]
+            out = self.key[at] == pairs[left]
+            self.number[at[out]] = left[out]
+            left, at = left[~out], (at[~out] + 1) & ((1 << self.bits) - 1)
+
+    def _at(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        at = self._at(key)
+        have, out = self.key[at], self.number[at]
+        other = np.flatnonzero(have != key)
+        out[other] = self.NONE
+        other = other[have[other] >= 0]
+        while len(other):
+            at[other] = (at[other] + 1) & ((1 << self.bits) - 1)
+            have = self.key[at[other]]
+            same = have == key[other]
+            out[other[same]] = self.number[at[other[same]]]
+            other = other[~same & (have >= 0)]
+        return out
+
+
 class MergeBPE(ByteBPE):
     """A tokenizers byte-level BPE file; distinct misses of a chunk are merged together, a step for all at once."""
 
@@ -77,12 +111,10 @@ class MergeBPE(ByteBPE):
         self.special = [x["content"].encode() for x in held["added_tokens"]]
         merges = [m if isinstance(m, list) else m.split(" ") for m in held["model"]["merges"]]
         self.width = max(vocab.values()) + 1
-        pair = np.array([vocab[a] * self.width + vocab[b] for a, b in merges], np.int64)
-        order = np.argsort(pair)
-        self.pairs, self.rank = pair[order], order
-        self.made = np.array([vocab[a + b] for a, b in merges], np.int64)
-        self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.byte_pairs = self.pair_ranks(self.byte_id[:, None], self.byte_id[None, :])
+        self.pairs = PairTable(np.array([vocab[a] * self.width + vocab[b] for a, b in merges], np.int64))
+        self.made = np.array([vocab[a + b] for a, b in merges], np.int32)
+        self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.byte_pairs = self.pair_ranks(np.repeat(self.byte_id, 256), np.tile(self.byte_id, 256)).reshape(256, 256)
         self.misses = IdTable(KEEP_MISSES)
 
     @cached_property
@@ -96,9 +128,7 @@ class MergeBPE(ByteBPE):
         return Tokenizer.from_file(self.path)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left * self.width + right
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == key, self.rank[at], 1 << 40)
+        return self.pairs.find(left.astype(np.int64) * self.width + right)
 
     def merge_slices(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         counts = np.zeros(len(start), np.int64)
@@ -109,14 +139,14 @@ class MergeBPE(ByteBPE):
             counts[k] = len(ids)
             flat[at[k] : at[k] + len(ids)] = ids
         raw = data[_flat(start[short], size[short])]
-        ids, piece = self.byte_id[raw], np.repeat(short, size[short])
-        none = 1 << 40
-        rank = np.full(len(ids), none, np.int64)
+        count = size[short]
+        ids, piece = self.byte_id[raw], np.repeat(short.astype(np.int32), count)
+        none = PairTable.NONE
+        rank = np.full(len(ids), none, np.int32)
         inside = np.flatnonzero(piece[1:] == piece[:-1])
         rank[inside] = self.byte_pairs[raw[inside], raw[inside + 1]]
         while len(ids):
-            first = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1])))
-            count = np.diff(np.append(first, len(ids)))
+            first = np.cumsum(count) - count
             least = np.minimum.reduceat(rank, first)
             over = least == none
             if over.any():
@@ -132,7 +162,7 @@ class MergeBPE(ByteBPE):
             keep = np.ones(len(ids), bool)
             keep[hit + 1] = False
             at_kept = hit - np.arange(len(hit))  # each piece before has lost one
-            ids, piece, rank = ids[keep], piece[keep], rank[keep]
+            ids, piece, rank, count = ids[keep], piece[keep], rank[keep], count - 1
             for left in (at_kept, at_kept - 1):
                 ok = left[(left >= 0) & (left < len(ids))]
                 same = np.zeros(len(ok), bool)
@@ -246,11 +276,13 @@ def document_frequencies(tokens: DataFrame, size: int) -> tuple[int, float, np.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        seen, n, total = np.zeros(size, np.int64), 0, 0
+        seen, n, total, last = np.zeros(size, np.int64), 0, 0, np.zeros(size, np.int64)
         for batch in batches:
             for x in batch.column(0):
                 ids = _ids(x, kind)
-                seen[np.unique(ids)] += 1
+                at = np.arange(len(ids))
+                last[ids] = at
+                seen[ids[last[ids] == at]] += 1  # each id once, where it is last
                 n, total = n + 1, total + len(ids)
         used = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array([*used, -1, -2], pa.int32()), pa.array([*seen[used], n, total], pa.int64())], ["id", "n"])
@@ -293,10 +325,12 @@ class Index:
     """BM25 index of a shard: a matrix over frequent terms, postings of the others."""
 
     def __init__(self, parts: list[np.ndarray], corpus: Corpus):
-        found = [np.unique(x, return_counts=True) for x in parts]
-        size = np.array([len(t) for t, _ in found])
-        term, count = np.concatenate([t for t, _ in found]).astype(np.int64), np.concatenate([c for _, c in found])
-        row, length = np.repeat(np.arange(len(parts)), size), np.array([len(x) for x in parts])
+        length = np.array([len(x) for x in parts])
+        wide = len(corpus.idf) * len(parts) > 1 << 32
+        held = np.sort(np.repeat(np.arange(len(parts)) * len(corpus.idf), length).astype(np.uint64 if wide else np.uint32) + np.concatenate(parts))
+        first = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1])))
+        count = np.diff(np.append(first, len(held)))
+        row, term = (x.astype(np.int64) for x in np.divmod(held[first], len(corpus.idf)))
         weight = (corpus.idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length[row] / corpus.mean))).astype(np.float32)
         self.n, col = len(parts), corpus.column[term]
         self.held = np.zeros((int(corpus.column.max(initial=-1)) + 1, self.n), np.float32)

@@ -78,3 +78,33 @@ def test_ids_of_a_sliced_column():
     column = pa.array([np.array(x, "<u2").tobytes() for x in ([1, 2], [], [3], [4, 5, 6])], pa.binary())
     assert [x for part in token_store.runs(column.slice(1, 3), "<u2") for x in part.tolist()] == [3, 4, 5, 6]
     assert not list(token_store.runs(column.slice(1, 1), "<u2")) and not list(token_store.runs(column.slice(0, 0), "<u2"))
+
+
+def test_a_perfect_hash_is_built_without_a_step_a_bucket():
+    rng, profile = np.random.default_rng(6), cProfile.Profile()
+    keys = rng.integers(0, 1 << 63, 40_000, dtype=np.uint64)
+    found = profile.runcall(byte_bpe.PerfectHash, keys)
+    assert sorted(found.slot_of.tolist()) == list(range(len(keys))) and (found.find(keys) == found.slot_of).all()
+    assert (found.find(rng.integers(0, 1 << 63, 1000, dtype=np.uint64)) < 0).all()
+    assert pstats.Stats(profile).total_calls < 40_000
+
+
+def test_pairs_are_found_by_their_numbers():
+    rng = np.random.default_rng(7)
+    pairs = np.unique(rng.integers(0, 1 << 32, 50_000))
+    rng.shuffle(pairs)
+    table, other = packing.PairTable(pairs), np.setdiff1d(rng.integers(0, 1 << 32, 50_000), pairs)
+    assert (table.find(pairs) == np.arange(len(pairs))).all() and (table.find(other) == table.NONE).all()
+
+
+def test_an_index_counts_terms_by_row(monkeypatch):
+    rng = np.random.default_rng(8)
+    parts = [rng.integers(0, 50, n).astype("<u2") for n in (1, 30, 200)]
+    corpus = packing.Corpus.of(100, 80.0, rng.integers(1, 40, 50))
+    monkeypatch.setattr(np, "unique", None)  # sorts a row at a time
+    index = packing.Index(parts, corpus)
+    for k, ids in enumerate(parts):
+        count = np.bincount(ids, minlength=50)
+        weight = np.where(count > 0, corpus.idf * count * (packing.K1 + 1) / (count + packing.K1 * (1 - packing.B + packing.B * len(ids) / corpus.mean)), 0)
+        often = np.flatnonzero(corpus.column >= 0)
+        assert np.allclose(index.held[corpus.column[often], k], weight[often], rtol=1e-5)
