@@ -107,6 +107,15 @@ def give_back() -> None:
         trim(0)
 
 
+def binaries(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Binary array of ``values`` cut at ``at`` (from 0 to their number).
+
+    Made from buffers: of memory views that it gets as rows, Arrow (pyarrow 23) never lets go, so all bytes behind them would stay for good.
+    """
+    offsets = pa.array(at * values.itemsize, pa.int32())
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, offsets.buffers()[1], pa.py_buffer(values)])
+
+
 def chunks(column: pa.Array, max_bytes: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of consecutive rows; nulls count as empty."""
     max_bytes = max_bytes or CHUNK_BYTES

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.byte_bpe import IdTable, flattened, spread
 from helixframe.llm.store import ROW_GROUP, new_path, release, small_batches, stash, track
-from helixframe.llm.textops import Hasher, chunks, give_back, words
+from helixframe.llm.textops import Hasher, binaries, chunks, give_back, words
 
 MAGIC, VERSION = 0x31425648, 2
 BLOCK_TOKENS = 1 << 19
@@ -183,11 +183,7 @@ def encode(df: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", te
                 ids, at = model.encode(data, offsets)
                 ids = np.insert(ids, at[1:], end_id).astype(kind)
                 at = at + np.arange(len(at))
-                raw, cut = memoryview(ids.tobytes()), (at * ids.itemsize).tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array([raw[x:y] for x, y in zip(cut, cut[1:], strict=False)], pa.binary()), pa.array(np.diff(at))],
-                    [id_col, "ids", "n_tokens"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), binaries(ids, at), pa.array(np.diff(at))], [id_col, "ids", "n_tokens"])
             give_back()  # Arrow's allocator keeps over 100 MB otherwise, the C library's 40 MB
 
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, ids binary, n_tokens long")
@@ -235,7 +231,8 @@ def write(df: DataFrame, path: str, vocabulary: int, end_id: int = 1, id_col: st
     by_rank = np.argsort(-counts, kind="stable").astype("<u4")
     rank = np.empty(vocabulary, np.uint32)
     rank[by_rank] = np.arange(vocabulary, dtype=np.uint32)
-    spark.createDataFrame([(VERSION, vocabulary, by_rank.tobytes())], "version int, vocabulary int, ids binary").coalesce(1).write.parquet(f"{target}/ranks")
+    head = pa.table([pa.array([VERSION], pa.int32()), pa.array([vocabulary], pa.int32()), pa.array([by_rank.tobytes()], pa.binary())], ["version", "vocabulary", "ids"])
+    spark.createDataFrame(head).coalesce(1).write.parquet(f"{target}/ranks")  # rows of Python objects would start workers of their own, which stay
     kind = id_type(vocabulary)
     shards = max(1, -(-int(counts.sum()) // SHARD_TOKENS))
     table = spark.sparkContext.broadcast(rank)  # vocabulary-bounded

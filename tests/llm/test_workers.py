@@ -1,8 +1,10 @@
 """What Python workers hold and do: tables go when they are needed no more, misses are merged without a step a word."""
 
 import cProfile
+import gc
 import pstats
 import random
+import tracemalloc
 from unittest.mock import MagicMock
 
 import numpy as np
@@ -10,7 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 
 from helixframe.llm import byte_bpe, packing, token_store
-from helixframe.llm.textops import Hasher
+from helixframe.llm.textops import Hasher, binaries
 
 
 def test_a_worker_that_counts_ids_drops_the_tokenizer(spark):
@@ -108,3 +110,46 @@ def test_an_index_counts_terms_by_row(monkeypatch):
         weight = np.where(count > 0, corpus.idf * count * (packing.K1 + 1) / (count + packing.K1 * (1 - packing.B + packing.B * len(ids) / corpus.mean)), 0)
         often = np.flatnonzero(corpus.column >= 0)
         assert np.allclose(index.held[corpus.column[often], k], weight[often], rtol=1e-5)
+
+
+def kept_by(run, batch):
+    """(bytes of ids that a task gives, bytes that a worker holds more after eight more tasks)."""
+
+    def task():
+        return sum(x.column(1).nbytes for x in run(iter([batch])))
+
+    size = task()  # makes the model and fills its table
+    tracemalloc.start()
+    try:
+        task()
+        gc.collect()
+        before = tracemalloc.get_traced_memory()[0]
+        for _ in range(8):
+            task()
+        gc.collect()
+        return size, tracemalloc.get_traced_memory()[0] - before
+    finally:
+        tracemalloc.stop()
+
+
+def the_run(step, path):
+    df, found = MagicMock(), []
+    df.select.return_value.mapInArrow.side_effect = lambda run, schema: found.append(run)
+    step(df, public_tokenizers.path(path))
+    return found[0]
+
+
+_TEXTS = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array([f"row {k} of few words " * 2000 for k in range(60)])], ["doc_id", "text"])
+
+
+def test_a_worker_keeps_no_ids_that_it_gave():
+    size, more = kept_by(the_run(token_store.encode, "word_bpe_49k.json"), _TEXTS)
+    assert size > 1_000_000 and more < size // 4
+
+
+def test_binary_rows_from_buffers():
+    values = np.arange(10, dtype="<u2")
+    rows = binaries(values, np.array([0, 3, 3, 10]))
+    rows.validate(full=True)
+    assert rows.equals(pa.array([values[:3].tobytes(), b"", values[3:].tobytes()], pa.binary()))
+    assert binaries(values[:0], np.array([0, 0])).to_pylist() == [b""]
