@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.byte_bpe import ByteBPE, IdTable
 from helixframe.llm.store import release, small_batches, stash, tidy
-from helixframe.llm.textops import chunks, mix
+from helixframe.llm.textops import binaries, chunks, mix
 from helixframe.llm.token_store import id_type
 
 WINDOW = 2048
@@ -241,10 +241,9 @@ def tokenize(df: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id",
                 keys = np.zeros((0, KEYS), np.int64)
                 if len(some):
                     keys = content_keys(ids[_flat(at[1:][some] - left[some], left[some])], np.cumsum(left[some]) - left[some]).T
-                raw, cut = memoryview(ids.astype(kind).tobytes()), (at * np.dtype(kind).itemsize).tolist()
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(left >= GRAM))) * KEYS, pa.int32()), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array([raw[a:b] for a, b in zip(cut, cut[1:], strict=False)], pa.binary()), pa.array(np.arange(at_row, at_row + hi - lo)), lists],
+                    [batch.column(0).slice(lo, hi - lo), binaries(ids.astype(kind), at), pa.array(np.arange(at_row, at_row + hi - lo)), lists],
                     [id_col, "ids", "_at", "keys"],
                 )
                 at_row += hi - lo

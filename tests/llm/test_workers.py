@@ -153,3 +153,11 @@ def test_binary_rows_from_buffers():
     rows.validate(full=True)
     assert rows.equals(pa.array([values[:3].tobytes(), b"", values[3:].tobytes()], pa.binary()))
     assert binaries(values[:0], np.array([0, 0])).to_pylist() == [b""]
+
+
+def test_a_worker_keeps_no_ids_that_it_packs(monkeypatch):
+    here = MagicMock()
+    here.get.return_value.partitionId.return_value = 0
+    monkeypatch.setattr(packing, "TaskContext", here)
+    size, more = kept_by(the_run(packing.tokenize, "byte_bpe_50k.json"), _TEXTS)
+    assert size > 1_000_000 and more < size // 4
