@@ -10,11 +10,18 @@ from unittest.mock import MagicMock
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 
 from helixframe.llm import byte_bpe, packing, token_store
 from helixframe.llm.textops import Hasher, binaries
 
 
+@pytest.fixture(autouse=True)
+def no_garbage():
+    """Else handles of other tests' Spark objects may be freed while calls are counted, and count too."""
+    gc.collect()
+
+
 def test_a_worker_that_counts_ids_drops_the_tokenizer(spark):
     token_store.word_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
     batch, seen, encoded = pa.RecordBatch.from_arrays([pa.array([np.array([5, 5, 7], "<u2").tobytes()])], ["ids"]), [], MagicMock()
