@@ -11,7 +11,7 @@ from helixframe.functions.sequence import iupac_regex, reverse_complement, rever
 from helixframe.operators.frames import STARTS, frames
 from helixframe.operators.layout import meet, spread
 from helixframe.operators.pieces import PIECE, pieces, record_key
-from helixframe.operators.seeds import fitting, rows_of
+from helixframe.operators.seeds import fitting
 
 
 def primer_pair(s: Column, forward: str, reverse: str) -> Column:
@@ -118,10 +118,9 @@ def map_queries(queries: DataFrame, references: DataFrame, most: int, strands: b
     found = short.unionByName(found) if held else short
 
     def coded(some: DataFrame, texts: DataFrame) -> DataFrame:
-        short = some.select("s_key", F.col("strand").alias("form"), F.col("q").alias("s"), F.lit(most).alias("most"))
-        places = fitting(short, texts.select("l_key", F.col("r").alias("l")), F.col("n") <= F.col("m"))
-        ids = [rows_of(df, k).select(k, F.col("id").alias(name), F.col("times").alias(k[0])) for df, k, name in ((queries, "s_key", "query_id"), (references, "l_key", "ref_id"))]
-        rows = meet(meet(places, ids[0], "s_key"), ids[1], "l_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("s") * F.col("l"))))
+        short = some.groupBy("s_key", F.col("strand").alias("form")).agg(F.first("query_id").alias("query_id"), F.first("q").alias("s"), F.count("*").alias("s_times")).withColumn("most", F.lit(most))
+        long = texts.groupBy("l_key").agg(F.first("ref_id").alias("ref_id"), F.first("r").alias("l"), F.count("*").alias("l_times"))
+        rows = fitting(short, long, F.col("n") <= F.col("m")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("s_times") * F.col("l_times"))))
         return rows.select("query_id", "ref_id", F.col("form").alias("strand"), "start", (F.col("start") + F.col("n") - 1).alias("end"), "mismatch")
 
     return found.unionByName(coded(q.where("pieces IS NULL"), r)).unionByName(coded(q.where("pieces IS NOT NULL"), r.where(~plain("r"))))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.coding import circular_end, mutual_match, occurs_once, window_similarities
+from helixframe.functions.coding import circular_end, occurs_once, window_similarities
 from helixframe.functions.sequence import hairpin, max_mismatches, melting_temperature, reverse_complement
 from helixframe.operators.frames import STARTS, cut_out, frames
 from helixframe.operators.layout import meet, spread
@@ -21,14 +21,13 @@ def _windows(long: Column, size: Column) -> Column:
     return F.when((size > 0) & (last >= 1), F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
 
 
-def _sides(shorts: DataFrame, longs: DataFrame, most: Callable[[Column], Column], strands: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """What ``seeds.fitting`` takes, and (key, id, times) of the rows of both sides."""
+def _sides(shorts: DataFrame, longs: DataFrame, most: Callable[[Column], Column], strands: bool) -> tuple[DataFrame, DataFrame]:
+    """What ``seeds.fitting`` takes, with id and times of the rows of both sides."""
     text = F.col("sequence")
     forms = [(F.lit("+"), text), (F.lit("-"), reverse_complement(text))] if strands else [(F.lit("."), text)]
-    key = record_key("id", "sequence")
-    short = shorts.select(key.alias("s_key"), F.explode(F.array(*[F.struct(f.alias("form"), s.alias("s")) for f, s in forms])).alias("f"))
-    short = short.select("s_key", "f.form", "f.s", most(F.length("f.s")).alias("most"))
-    return short, longs.select(key.alias("l_key"), text.alias("l")), rows_of(shorts, "s_key").select("s_key", F.col("id").alias("s_id"), F.col("times").alias("s_times")), rows_of(longs, "l_key").select("l_key", F.col("id").alias("l_id"), F.col("times").alias("l_times"))
+    short = rows_of(shorts, "s_key").select("s_key", F.col("id").alias("s_id"), F.col("times").alias("s_times"), F.explode(F.array(*[F.struct(f.alias("form"), s.alias("s")) for f, s in forms])).alias("f"))
+    short = short.select("s_key", "s_id", "s_times", "f.form", "f.s", most(F.length("f.s")).alias("most"))
+    return short, rows_of(longs, "l_key").select("l_key", F.col("id").alias("l_id"), F.col("times").alias("l_times"), text.alias("l"))
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
@@ -50,12 +49,11 @@ def map_pairs(queries: DataFrame, references: DataFrame, similarity: float = 0.8
     covered = F.col("n") / F.col("m") >= coverage
 
     def one_way(a: DataFrame, b: DataFrame, keep: Column) -> DataFrame:
-        short, long, s_rows, l_rows = _sides(a, b, lambda n: max_mismatches(n, similarity), nucleotide)
-        found = fitting(short, long, keep & covered, nucleotide, circular)
+        found = fitting(*_sides(a, b, lambda n: max_mismatches(n, similarity), nucleotide), keep & covered, nucleotide, circular)
         if nucleotide:
             best = F.min(F.when(F.col("form") == "+", F.col("mismatch"))).over(Window.partitionBy("s_key", "l_key"))
             found = found.withColumn("best", best).where("form = '+' OR best IS NULL OR mismatch < best")
-        return _repeated(meet(meet(found.select("s_key", "l_key", "n", "m", "start", "mismatch", "form"), s_rows, "s_key"), l_rows, "l_key"))
+        return _repeated(found)
 
     rows = one_way(queries, references, F.col("n") <= F.col("m")).unionByName(one_way(references, queries, F.col("n") < F.col("m")))
     end = F.col("start") + F.col("n") - 1
@@ -78,9 +76,7 @@ def map_windows(df: DataFrame, long: str, short: str, similarity: float = 0.0, c
 
 def mutual_windows(queries: DataFrame, references: DataFrame) -> DataFrame:
     """(query_id, ref_id, start, end) where query and window match by ``mutual_match``; texts meet through seeds, see ``seeds``."""
-    short, long, s_rows, l_rows = _sides(queries, references, lambda n: F.lit(0), False)
-    hits = fitting(short, long, F.col("n") <= F.col("m"), accept=mutual_match)
-    rows = _repeated(meet(meet(hits.select("s_key", "l_key", "n", "start"), s_rows, "s_key"), l_rows, "l_key"))
+    rows = _repeated(fitting(*_sides(queries, references, lambda n: F.lit(0), False), F.col("n") <= F.col("m"), mutual=True))
     return rows.select(F.col("s_id").alias("query_id"), F.col("l_id").alias("ref_id"), "start", (F.col("start") + F.col("n") - 1).alias("end"))
 
 

@@ -1,39 +1,38 @@
-"""Places of short texts in long ones through seeds, ambiguity codes on either side; no pair of texts meets without a shared seed.
+"""Places of short texts in long ones through seeds, ambiguity codes on either side; letters are compared only where a seed is shared.
 
 A text that fits a place within ``most`` mismatches is cut into ``most`` + 1
 pieces, of which one fits without any, or ``most`` + 2, of which two do. So every
-place shares the seed of one piece (its first 8, 16 or 32 letters, or a shorter
-piece whole) or of two pieces with the distance between them.
-
-Seeds with ambiguity codes are keyed by the plain texts they stand for, as two
-seeds fit if they have one in common. A seed that stands for more than ``WAYS`` is
-keyed by its longest beginning (16, 8 or 4 letters) that does not. Two seeds meet
-on the shorter of their beginnings, and on that alone: each side says whether it
-goes on behind it. So runs of N cost ``WAYS`` keys a letter at most, and plain
-texts one.
-
-Long texts send (row, place, seed); texts join the distinct candidates, as pieces
-that hold the place whole. Keys of four letters or less, which many places share,
-are salted. Rows are told by 128 bits of id and text.
+place shares the seed of one piece (its first 32 or 16 letters, or a shorter piece
+up to 12) or of two pieces with the distance between them.
+
+Seeds with ambiguity codes are told by the plain texts they stand for, as two
+seeds fit if they have one in common. A seed that stands for more than ``cells.WAYS``
+is told by its longest beginning that does not, and two seeds meet on the shorter of
+their beginnings. So runs of N cost that many hashes a letter at most, and plain texts one.
+
+Seeds and candidates are never rows. Short texts are dealt into blocks, pieces of
+long ones into slices, and each block meets each slice in a cell: a text is sent
+once a slice, a piece once a block, and places leave the cell compared and with the
+columns of both texts. A cell holds its block's seeds, reads its slice a batch at a time
+and returns places as they are found. What is sent grows with texts times slices,
+one for ``SLICE`` letters, and letters times blocks, one for about ``BLOCK`` hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from helixframe.functions.sequence import MASK, bind, expand, masks, mismatches
-from helixframe.operators.layout import meet
+from helixframe.functions.sequence import MASK
+from helixframe.operators.cells import PAIRED, Block
 from helixframe.operators.pieces import PIECE, pieces, record_key
 
-#: Plain texts that a keyed seed stands for, at most; four letters never stand for more.
-WAYS = 256
-#: Lengths of a seed's beginnings, and of seeds of long pieces.
-SIZES = (32, 16, 8, 4)
-#: Salts of short keys, and the most mismatches for which two pieces are joined.
-SALTS, PAIRED = 8, 8
+#: Hashes of a block (as estimated), letters of a slice, and of one that is cut only so that all cores have work.
+BLOCK, SLICE, LEAST = 1 << 21, 1 << 22, 1 << 16
 _CODES = {n: "".join(c for c, m in MASK.items() if m.bit_count() == n) for n in (2, 3, 4)}
 
 
@@ -43,142 +42,74 @@ def _ways(text: Column) -> Column:
     return count(_CODES[2]) + F.lit(1.584963) * count(_CODES[3]) + 2 * count(_CODES[4])
 
 
-def _levels(length: int) -> list[int]:
-    """Lengths of beginnings that a seed may be keyed by, the whole first."""
-    return [length, *[s for s in SIZES if s < length]]
-
-
-def _depth(text: Column, length: int) -> Column:
-    """Length of the beginning that a seed is keyed by."""
-    out = F.lit(_levels(length)[-1])
-    for level in reversed(_levels(length)[:-1]):
-        out = F.when(_ways(F.left(text, F.lit(level))) <= 8, level).otherwise(out)
-    return out if length > 4 else F.lit(length)
-
-
-def _kinds(shorts: DataFrame) -> list[tuple[int, int]]:
-    """(letters of a piece's seed, distance between two pieces or 0) of all seeds."""
-    held = shorts.select("two", "size", F.col("step"), F.when(F.col("two"), F.col("most")).otherwise(0).alias("most")).distinct().collect()  # a handful
-    kinds = {(r["size"], 0) for r in held if not r["two"]}
-    for r in held:
-        if r["two"]:
-            kinds |= {(r["size"], d * r["step"]) for d in range(1, r["most"] + 2)}
-    return sorted(kinds)
-
-
-def _planned(shorts: DataFrame) -> DataFrame:
-    """Adds n, and the pieces of each text: step, size (letters of a seed), two (whether two pieces are joined)."""
-    n = F.length("s")
-    one, two = (F.floor(n / (F.col("most") + k)).cast("int") for k in (1, 2))
-    paired = (one < 8) & (two >= 2) & (F.col("most") <= PAIRED)
-    size = F.when(paired, two).when(one >= 32, 32).when(one >= 16, 16).when(one >= 8, 8).otherwise(one)
-    return shorts.withColumn("n", n).withColumn("two", paired).withColumn("step", F.when(paired, two).otherwise(one)).withColumn("size", size)
-
-
-def _short_seeds(planned: DataFrame, kinds: list[tuple[int, int]]) -> DataFrame:
-    """(s_key, form, n, offset, kind, depth, seed, length): each seed of each text, not keyed yet."""
-    places = F.sequence(F.lit(0), F.col("most") + F.when(F.col("two"), 1).otherwise(0))
-    pairs = F.flatten(F.transform(places, lambda i: F.transform(F.filter(places, lambda j: j > i), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    chosen = F.when(F.col("two"), pairs).otherwise(F.transform(places, lambda i: F.struct(i.alias("i"), i.alias("j"))))
-    rows = planned.withColumn("p", F.explode(chosen)).withColumn("offset", F.col("p.i") * F.col("step")).withColumn("apart", (F.col("p.j") - F.col("p.i")) * F.col("step"))
-    at = lambda o: F.substring("s", o + 1, F.col("size"))
-    seed = F.when(F.col("two"), F.concat(at(F.col("offset")), at(F.col("offset") + F.col("apart")))).otherwise(at(F.col("offset")))
-    number = F.lit(None).cast("int")
-    for k, (size, apart) in enumerate(kinds):
-        number = F.when((F.col("size") == size) & (F.col("apart") == apart), k).otherwise(number)
-    return rows.select("s_key", "form", "n", "offset", seed.alias("seed"), number.alias("kind"), F.when(F.col("two"), 2 * F.col("size")).otherwise(F.col("size")).alias("length"))
-
-
-def _plain(text: Column) -> Column:
-    """No letter stands for several; most texts are settled by this."""
-    return ~text.rlike(f"[{''.join(_CODES.values())}]")
-
-
-def _variants(text: Column, nucleotide: bool) -> Column:
-    return F.when(_plain(text), F.array(text)).otherwise(F.coalesce(expand(text, limit=WAYS), F.array().cast("array<string>"))) if nucleotide else F.array(text)
-
-
-def _salted(rows: DataFrame, every: bool) -> DataFrame:
-    """Adds a salt to keys (code, text): all of them, or one by place."""
-    short = F.length("text") <= 4
-    salt = F.explode(F.when(short, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))) if every else F.when(short, F.pmod(F.xxhash64("l_key", "at"), F.lit(SALTS))).otherwise(0).cast("int")
-    return rows.withColumn("salt", salt)
-
-
-def candidates(shorts: DataFrame, longs: DataFrame, nucleotide: bool = True, circular: bool = False) -> DataFrame:
-    """Distinct (s_key, form, n, l_key, m, start) that share a seed.
-
-    ``shorts``: s_key, form (one of several texts of a row), s, most; ``longs``: l_key, l, m (letters,
-    without those that a circular text repeats behind its end).
-    """
-    planned = _planned(shorts.where("length(s) > 0"))
-    kinds = _kinds(planned)
-    if not kinds:
-        kinds = [(1, 0)]
-    lengths = [size if not apart else 2 * size for size, apart in kinds]
-    seeds = _short_seeds(planned, kinds)
-    depth = F.lit(None).cast("int")
-    for length in sorted(set(lengths)):
-        depth = F.when(F.col("length") == length, _depth(F.col("seed"), length) if nucleotide else F.lit(length)).otherwise(depth)
-    seeds = seeds.withColumn("depth", depth)
-    shallow = {(r["kind"], r["depth"]) for r in seeds.where("depth < length").select("kind", "depth").distinct().collect()} if nucleotide else set()  # a handful
-    keyed = []
-    for length in sorted(set(lengths)):
-        for level in _levels(length) if nucleotide else [length]:
-            own, code = F.col("depth") == level, (F.col("kind") * 256 + level * 2).cast("int")
-            # to seeds that end at this level: all that go at least as far; to those that go on: only what ends here
-            keyed.append(F.when((F.col("length") == length) & (F.col("depth") >= level), F.struct(code.alias("code"), F.lit(level).alias("level"))))
-            keyed.append(F.when((F.col("length") == length) & own & (F.col("depth") < F.col("length")), F.struct((code + 1).alias("code"), F.lit(level).alias("level"))))
-    asked = seeds.withColumn("k", F.explode(F.filter(F.array(*keyed), lambda x: x.isNotNull())))
-    asked = asked.withColumn("text", F.explode(_variants(F.left("seed", F.col("k.level")), nucleotide))).select("s_key", "form", "n", "offset", F.col("k.code").alias("code"), "text")
-
-    reach = max(size + apart for size, apart in kinds)
-    held = pieces(longs.select("l_key", "m", "l"), reach, max(PIECE, reach), "l")
-    held = held.withColumn("i", F.explode(F.sequence(F.lit(1), F.least(F.length("piece"), F.lit(max(PIECE, reach))))))
-    def keys(k: int, length: int) -> Callable[[Column], Column]:
-        def of(t: Column) -> Column:
-            ends = _depth(t, length) if nucleotide else F.lit(length)
-            own = F.struct((F.lit(k * 256) + ends * 2).cast("int").alias("code"), F.left(t, ends).alias("text"))
-            plain = [F.struct(F.lit(k * 256 + length * 2).alias("code"), t.alias("text")), *[F.struct(F.lit(k * 256 + level * 2 + 1).alias("code"), F.left(t, F.lit(level)).alias("text")) for kind, level in sorted(shallow) if kind == k]]
-            beyond = [F.when(ends > level, F.struct(F.lit(k * 256 + level * 2 + 1).alias("code"), F.left(t, F.lit(level)).alias("text"))) for kind, level in sorted(shallow) if kind == k]
-            coded = F.filter(F.array(own, *beyond), lambda x: x.isNotNull())
-            return F.when(_plain(t), F.array(*plain)).otherwise(coded) if nucleotide else F.array(own)
-
-        return of
-
-    found = []
-    for k, (size, apart) in enumerate(kinds):
-        at = F.substring("piece", F.col("i"), F.lit(size))
-        text = at if not apart else F.concat(at, F.substring("piece", F.col("i") + apart, F.lit(size)))
-        found.append(F.when(F.length(text) == lengths[k], bind(text, keys(k, lengths[k]))).otherwise(F.array().cast("array<struct<code:int,text:string>>")))
-    places = held.select("l_key", "m", (F.col("number") * max(PIECE, reach) + F.col("i")).alias("at"), F.explode(F.flatten(F.array(*found))).alias("k"))
-    places = places.select("l_key", "m", "at", "k.code", F.explode(_variants(F.col("k.text"), nucleotide)).alias("text"))
-    met = meet(_salted(asked, True), _salted(places, False), ["code", "text", "salt"]).withColumn("start", F.col("at") - F.col("offset"))
-    last = F.col("m") if circular else F.col("m") - F.col("n") + 1
-    return met.where((F.col("start") >= 1) & (F.col("start") <= last)).select("s_key", "form", "n", "l_key", "m", "start").distinct()
-
-
-def fitting(shorts: DataFrame, longs: DataFrame, keep: Column, nucleotide: bool = True, circular: bool = False, accept: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def _weight(nucleotide: bool) -> Column:
+    """About the hashes of a short text (s, most), or its letters if these are more."""
+    n, most = F.length("s"), F.col("most").cast("long")
+    one, two = F.floor(n / (most + 1)), F.floor(n / (most + 2))
+    paired = (one < 8) & (two >= 2) & (most <= PAIRED)
+    seeds = F.when(paired, (most + 1) * (most + 2) / 2).otherwise(most + 1)
+    letters = F.when(paired, 2 * two).otherwise(F.least(one, F.lit(32)))
+    return F.greatest(seeds * F.pow(F.lit(2.0), F.least(_ways(F.col("s")) * letters / n, F.lit(8.0)) if nucleotide else F.lit(0.0)), n)
+
+
+def _dealt(asked: DataFrame, held: DataFrame, size: int, nucleotide: bool, mutual: bool, schema: StructType, parts: int) -> DataFrame:
+    """The places of each cell. ``asked``: cell, q (a short text's columns); ``held``: cell, l (a piece's)."""
+    both = asked.select("cell", "q", F.lit(None).cast(held.schema["l"].dataType).alias("l")).union(held.select("cell", F.lit(None).cast(asked.schema["q"].dataType), "l"))
+    names = [f.name for f in schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = block = None
+        texts: list[pa.Array] = []
+        for batch in batches:
+            cells, short = batch.column(0).to_pylist(), batch.column(1).is_valid().to_pylist()
+            at = 0
+            while at < len(cells):
+                to = at
+                while to < len(cells) and cells[to] == cells[at] and short[to] == short[at]:
+                    to += 1
+                if cells[at] != cell:
+                    cell, block, texts = cells[at], None, []
+                if short[at]:
+                    texts.append(batch.column(1).slice(at, to - at))
+                elif texts:
+                    block = block or Block(pa.concat_arrays(texts), nucleotide, mutual)
+                    for q, i, l, j, start, mismatch in block.places(batch.column(2).slice(at, to - at), size):
+                        i, j = pa.array(i), pa.array(j)
+                        columns = {k: c.take(i) for k, c in q.items() if k in names} | {k: c.take(j) for k, c in l.items() if k in names}
+                        columns |= {"start": pa.array(start, pa.int32()), "mismatch": pa.array(mismatch, pa.int32())}
+                        yield pa.RecordBatch.from_arrays([columns[k] for k in names], names)
+                at = to
+
+    return both.repartitionById(parts, F.col("cell") % parts).sortWithinPartitions("cell", F.col("q").isNull()).mapInArrow(run, schema)
+
+
+def fitting(shorts: DataFrame, longs: DataFrame, keep: Column, nucleotide: bool = True, circular: bool = False, mutual: bool = False) -> DataFrame:
     """(s_key, form, l_key, n, m, start, mismatch) of the places of ``shorts`` (s_key, form, s, most) in ``longs`` (l_key, l) within ``most`` mismatches.
 
-    ``keep`` bounds the lengths n and m of a pair; ``accept`` tells in place of the mismatches whether the
-    short text fits the stretch. Copies of a row have one key, and count once here.
+    There is one row for each s_key and form, and for each l_key; other columns come along with the
+    places. No place is longer than its long text (n <= m); ``keep`` bounds the two lengths further.
+    With ``mutual``, ``coding.mutual_match`` tells in place of the mismatches whether a text fits.
     """
-    once = shorts.where("length(s) > 0").groupBy("s_key", "form").agg(F.first("s").alias("s"), F.first("most").alias("most"))
-    texts = longs.where("length(l) > 0").groupBy("l_key").agg(F.first("l").alias("l")).withColumn("m", F.length("l"))
-    longest = once.agg(F.max(F.length("s"))).first()[0] or 1
+    texts = longs.where("length(l) > 0").withColumn("m", F.length("l"))
+    widest, letters = texts.agg(F.max("m"), F.sum("m")).first()
+    once = shorts.where(F.length("s").between(1, widest or 0)).withColumn("n", F.length("s")).withColumn("most", F.col("most").cast("int"))
+    longest, weight = once.agg(F.max("n"), F.sum(_weight(nucleotide))).first()
+    longest, letters = longest or 1, letters or 0
     if circular:
         texts = texts.withColumn("l", F.concat("l", F.left("l", F.lit(longest - 1))))
     size = max(PIECE, longest)
-    near = candidates(once, texts, nucleotide, circular).where(keep).withColumn("number", F.floor((F.col("start") - 1) / size).cast("int"))
-    held = pieces(texts.select("l_key", "l"), longest, size, "l").select("l_key", "number", "piece")
-    rows = meet(meet(near, once, ["s_key", "form"]), held, ["l_key", "number"])
-    rows = rows.withColumn("hit", F.substring("piece", F.col("start") - F.col("number") * size, F.col("n"))).where("length(hit) = n")
-    differ = mismatches(masks(F.col("hit")), masks(F.col("s"))) if nucleotide else F.size(F.filter(F.zip_with(F.split("hit", ""), F.split("s", ""), lambda x, y: x != y), lambda z: z))
-    rows = rows.withColumn("mismatch", differ.cast("int"))
-    return rows.where(accept(F.col("s"), F.col("hit")) if accept else F.col("mismatch") <= F.col("most")).select("s_key", "form", "l_key", "n", "m", "start", "mismatch")
+    blocks, cores = int((weight or 0) // BLOCK) + 1, shorts.sparkSession.sparkContext.defaultParallelism
+    slices = max(letters // SLICE + 1, min(2 * cores // blocks, letters // LEAST) + 1)
+    held = pieces(texts, longest, size, "l").drop("n")
+    schema = StructType([f for f in once.schema if f.name not in ("s", "most")] + [f for f in texts.schema if f.name != "l"] + [StructField(c, IntegerType()) for c in ("start", "mismatch")])
+    number = lambda n, *columns: F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = once.select(F.struct(*once.columns).alias("q"), number(blocks, "s_key", "form").alias("block"), every(slices).alias("slice"))
+    sent = held.select(F.struct(*held.columns).alias("l"), number(slices, "l_key", "number").alias("slice"), every(blocks).alias("block"))
+    cell = (F.col("block") * slices + F.col("slice")).alias("cell")
+    return _dealt(asked.select(cell, "q"), sent.select(cell, "l"), size, nucleotide, mutual, schema, min(blocks * slices, 16 * max(cores, 16))).where(keep)
 
 
 def rows_of(df: DataFrame, key: str) -> DataFrame:
-    """(key, id, times) of the rows of ``df`` (id, sequence): copies together."""
-    return df.groupBy(record_key("id", "sequence").alias(key)).agg(F.first("id").alias("id"), F.count("*").alias("times"))
+    """(key, id, sequence, times) of the rows of ``df`` (id, sequence): copies together."""
+    return df.groupBy(record_key("id", "sequence").alias(key)).agg(F.first("id").alias("id"), F.first("sequence").alias("sequence"), F.count("*").alias("times"))
