@@ -48,14 +48,14 @@ def map_pairs(queries: DataFrame, references: DataFrame, similarity: float = 0.8
         raise ValueError("only nucleotide references are circular")
     covered = F.col("n") / F.col("m") >= coverage
 
-    def one_way(a: DataFrame, b: DataFrame, keep: Column) -> DataFrame:
-        found = fitting(*_sides(a, b, lambda n: max_mismatches(n, similarity), nucleotide), keep & covered, nucleotide, circular)
+    def one_way(a: DataFrame, b: DataFrame, shorter: bool) -> DataFrame:
+        found = fitting(*_sides(a, b, lambda n: max_mismatches(n, similarity), nucleotide), covered & (F.col("n") <= F.col("m")), nucleotide, circular, shorter=shorter)
         if nucleotide:
             best = F.min(F.when(F.col("form") == "+", F.col("mismatch"))).over(Window.partitionBy("s_key", "l_key"))
             found = found.withColumn("best", best).where("form = '+' OR best IS NULL OR mismatch < best")
         return _repeated(found)
 
-    rows = one_way(queries, references, F.col("n") <= F.col("m")).unionByName(one_way(references, queries, F.col("n") < F.col("m")))
+    rows = one_way(queries, references, False).unionByName(one_way(references, queries, True))
     end = F.col("start") + F.col("n") - 1
     return rows.select(
         F.col("s_id").alias("short_id"), F.col("l_id").alias("long_id"), "start", (circular_end(end, F.col("m")) if circular else end).alias("end"), "mismatch",

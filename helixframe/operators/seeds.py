@@ -83,17 +83,20 @@ def _dealt(asked: DataFrame, held: DataFrame, size: int, nucleotide: bool, mutua
     return both.repartitionById(parts, F.col("cell") % parts).sortWithinPartitions("cell", F.col("q").isNull()).mapInArrow(run, schema)
 
 
-def fitting(shorts: DataFrame, longs: DataFrame, keep: Column, nucleotide: bool = True, circular: bool = False, mutual: bool = False) -> DataFrame:
+def fitting(shorts: DataFrame, longs: DataFrame, keep: Column, nucleotide: bool = True, circular: bool = False, mutual: bool = False, shorter: bool = False) -> DataFrame:
     """(s_key, form, l_key, n, m, start, mismatch) of the places of ``shorts`` (s_key, form, s, most) in ``longs`` (l_key, l) within ``most`` mismatches.
 
     There is one row for each s_key and form, and for each l_key; other columns come along with the
-    places. No place is longer than its long text (n <= m); ``keep`` bounds the two lengths further.
+    places. No place is longer than its long text (n <= m), or as long (``shorter``, n < m); ``keep`` bounds the two lengths
+    further. Nothing is sent where no short text is short enough for any long one.
     With ``mutual``, ``coding.mutual_match`` tells in place of the mismatches whether a text fits.
     """
     texts = longs.where("length(l) > 0").withColumn("m", F.length("l"))
     widest, letters = texts.agg(F.max("m"), F.sum("m")).first()
-    once = shorts.where(F.length("s").between(1, widest or 0)).withColumn("n", F.length("s")).withColumn("most", F.col("most").cast("int"))
+    once = shorts.where(F.length("s").between(1, (widest or 0) - shorter)).withColumn("n", F.length("s")).withColumn("most", F.col("most").cast("int"))
     longest, weight = once.agg(F.max("n"), F.sum(_weight(nucleotide))).first()
+    if longest is None:
+        once, texts, letters = once.where("false"), texts.where("false"), 0
     longest, letters = longest or 1, letters or 0
     if circular:
         texts = texts.withColumn("l", F.concat("l", F.left("l", F.lit(longest - 1))))
@@ -107,7 +110,8 @@ def fitting(shorts: DataFrame, longs: DataFrame, keep: Column, nucleotide: bool
     asked = once.select(F.struct(*once.columns).alias("q"), number(blocks, "s_key", "form").alias("block"), every(slices).alias("slice"))
     sent = held.select(F.struct(*held.columns).alias("l"), number(slices, "l_key", "number").alias("slice"), every(blocks).alias("block"))
     cell = (F.col("block") * slices + F.col("slice")).alias("cell")
-    return _dealt(asked.select(cell, "q"), sent.select(cell, "l"), size, nucleotide, mutual, schema, min(blocks * slices, 16 * max(cores, 16))).where(keep)
+    places = _dealt(asked.select(cell, "q"), sent.select(cell, "l"), size, nucleotide, mutual, schema, min(blocks * slices, 16 * max(cores, 16)))
+    return places.where(keep & (F.col("n") < F.col("m")) if shorter else keep)
 
 
 def rows_of(df: DataFrame, key: str) -> DataFrame:

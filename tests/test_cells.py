@@ -80,3 +80,14 @@ def test_no_seed_or_candidate_is_a_row(spark, monkeypatch):
         assert "Join" not in plan and "Broadcast" not in plan
     assert len(sent) == 3 and sum(sent) <= 60 * (2 + 1) + 60 * (2 + 1) + 60 * 2
     assert seeds.fitting(q.selectExpr("id s_key", "sequence s", "'+' form", "1 most"), r.selectExpr("id l_key", "sequence l"), F.col("n") <= F.col("m")).count() == 0
+
+
+def test_a_side_that_is_too_long_is_not_sent(spark, monkeypatch):
+    """References that are as long as the queries, or longer, are searched in none of them."""
+    sent = []
+    dealt = seeds._dealt
+    monkeypatch.setattr(seeds, "_dealt", lambda asked, held, *rest: sent.append((asked.count(), held.count())) or dealt(asked, held, *rest))
+    q = spark.range(5).selectExpr("id", "'ACGTTGCAAC' || substr('ACGTA', cast(id as int) + 1, 1) sequence")
+    r = spark.range(7).selectExpr("id", "'ACGTTGCAACA' || repeat('T', cast(id as int) % 2 * 9) sequence")
+    assert search.map_pairs(q, r.where("id % 2 = 0"), 1.0).count() == 2 * 4 and sent[1] == (0, 0)
+    assert search.map_pairs(q, r.where("id % 2 = 1"), 1.0).count() == 2 * 3 and sent[3] == (0, 0)
